@@ -32,6 +32,28 @@ REASONS = (
     "completion:duration_ms",
 )
 
+# Fields of a line that mean something; others may be there.
+FIELDS = (
+    "schema_version",
+    "event_version",
+    "tool",
+    "seq",
+    "parent_seq",
+    "ts",
+    "event",
+    "phase",
+    "status",
+    "level",
+    "message",
+    "fatal",
+    "retryable",
+    "run_id",
+    "database",
+    "db",
+    "table",
+    *fixed.COUNTERS,
+)
+
 EVENT_COLUMNS = (
     "run_id",
     "sequence",
@@ -63,13 +85,12 @@ EVENT_COLUMNS = (
 )
 
 
-def _one_object(line: Column) -> Column:
+def _one_object(line: Column, listed: Column) -> Column:
     """Variant of a line that is exactly one JSON object, else null.
 
     The parser ignores text after the first value, so the line is parsed as the only entry of an
-    array; a line that could close that array early is also parsed as a member of an object.
+    array (``listed``); a line that could close that array early is also parsed as an object's member.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"m":'), line, F.lit("}")))
     alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
     closes_early = F.contains(line, F.lit("]")) & member.isNull()
@@ -79,9 +100,10 @@ def _one_object(line: Column) -> Column:
     )
 
 
-def _whole_number(json: Column) -> Column:
+def _whole_number(type_: Column, text: Column) -> Column:
     """Long of a JSON number that is a safe whole number, else null."""
-    exact = F.when(json.rlike(r"\A-?[0-9]"), json.try_cast("decimal(38,10)"))
+    numeric = type_.rlike(r"\A(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    exact = F.when(numeric, text.try_cast("decimal(38,10)"))
     bound = F.lit(fixed.SAFE_INTEGER_MAX)
     return F.when((exact == F.floor(exact)) & (F.abs(exact) <= bound), exact.cast("long"))
 
@@ -95,119 +117,144 @@ def parse_lines(
 ) -> DataFrame:
     """Add ``reason`` (null = accepted) and the event columns to a table of log lines.
 
-    Types are checked on the JSON text of each value, because a cast would turn a JSON number into
-    a counter text, or a text into a number, without a word. Lines may hold unknown fields; when
+    The JSON type of each value is checked besides its text, because a cast would turn a JSON number
+    into a counter text, or a text into a number, without a word. Lines may hold unknown fields; when
     ``known_keys`` is given, ``unknown_keys`` lists them. Everything is one projection.
     """
-    text = F.regexp_replace(F.col(line), r"\r\z", "")
-    base = lines.withColumn("_v", _one_object(text))
-
-    def json(name: str) -> Column:
-        return F.to_json(F.try_variant_get("_v", f"$.{name}", "variant"))
-
-    wanted = (
-        "schema_version event_version tool seq parent_seq ts event phase status level message "
-        "fatal retryable run_id database db table"
-    ).split() + list(fixed.COUNTERS)
-    raw = F.struct(*[json(n).alias(n) for n in wanted])
-    texts = F.struct(
-        *[
-            F.when(json(n).startswith('"'), F.try_variant_get("_v", f"$.{n}", "string")).alias(n)
-            for n in wanted
-            if n not in ("seq", "parent_seq", "fatal", "retryable")
-        ]
+    parsed = (
+        lines.withColumn("_line", F.regexp_replace(line, r"\r\z", ""))
+        .withColumn("_listed", F.try_parse_json(F.concat(F.lit("["), "_line", F.lit("]"))))
+        .withColumn("_v", _one_object(F.col("_line"), F.col("_listed")))
+        .withColumn("_members", F.try_variant_get("_v", "$", _struct_of("variant")))
+        .withColumn("_texts", F.try_variant_get("_v", "$", _struct_of("string")))
+        .withColumn(
+            "_types", _named({n: F.schema_of_variant(F.col(f"_members.{n}")) for n in FIELDS})
+        )
+    )
+    raw = {"types": F.col("_types"), "texts": F.col("_texts"), "malformed": F.col("_v").isNull()}
+    judged = (
+        parsed.withColumn("_raw", _named(raw))
+        .withColumn("_read", _readings(F.col("_raw"), completion_events))
+        .withColumn("_event", _judge(F.col("_read"), tool))
+    )
+    kept = [c for c in lines.columns if c not in EVENT_COLUMNS]
+    ok = F.col("_event.reason").isNull()
+    columns = [F.when(ok, F.col(f"_event.{n}")).alias(n) for n in EVENT_COLUMNS]
+    extra = []
+    if known_keys:
+        known = F.array(*[F.lit(k) for k in known_keys])
+        keys = F.json_object_keys(F.to_json("_v"))
+        extra.append(F.array_sort(F.array_except(keys, known)).alias("unknown_keys"))
+    return judged.select(*kept, F.col("_event.reason").alias("reason"), *columns, *extra)
+
+
+def _struct_of(type_: str) -> str:
+    return "struct<" + ",".join(f"{n}:{type_}" for n in FIELDS) + ">"
+
+
+def _named(columns: dict[str, Column]) -> Column:
+    """Struct whose names survive any projection."""
+    return F.named_struct(*[part for n, c in columns.items() for part in (F.lit(n), c)])
+
+
+def _readings(raw: Column, completion_events: Sequence[str]) -> Column:
+    """What the checks share: types, texts of the JSON strings, whole numbers and the event's type."""
+    types, values = raw["types"], raw["texts"]
+    texts = {n: F.when(types[n] == "STRING", values[n]) for n in FIELDS}
+    is_fatal = values["fatal"] == "true"
+    return _named(
+        {
+            "malformed": raw["malformed"],
+            "types": types,
+            "texts": _named(texts),
+            "seq": _whole_number(types["seq"], values["seq"]),
+            "parent": _whole_number(types["parent_seq"], values["parent_seq"]),
+            "is_fatal": is_fatal,
+            "retryable": values["retryable"] == "true",
+            "type": ev.type_of(
+                texts["status"], is_fatal, texts["level"], texts["event"], completion_events
+            ),
+        }
     )
-    # Two projections: the second reads the parsed fields instead of parsing again.
-    parsed = base.withColumn("_j", raw).withColumn("_t", texts)
-    j, t = (lambda n: F.col(f"_j.{n}")), (lambda n: F.col(f"_t.{n}"))
 
-    def absent(name: str) -> Column:
-        return t(name).isNull() | (t(name) == "")
 
-    def bad_counter(name: str) -> Column:
-        return j(name).isNotNull() & ~ev.is_counter(t(name))
+def _judge(read: Column, tool: str) -> Column:
+    """Struct of the reason a line is refused and of its event's fields."""
+
+    def text(name: str) -> Column:
+        return read["texts"][name]
+
+    def given(name: str) -> Column:
+        return read["types"][name].isNotNull()
+
+    def is_boolean(name: str) -> Column:
+        return read["types"][name].eqNullSafe(F.lit("BOOLEAN"))
+
+    def absent(name: str) -> Column:
+        return F.coalesce(text(name) == "", F.lit(True))
 
     def version(name: str) -> Column:
-        return ~t(name).eqNullSafe(F.lit(fixed.SUPPORTED_LOG_VERSION))
+        return ~text(name).eqNullSafe(F.lit(fixed.SUPPORTED_LOG_VERSION))
 
-    seq, parent = _whole_number(j("seq")), _whole_number(j("parent_seq"))
-    finished = (
-        ev.type_of(t("status"), j("fatal") == "true", t("level"), t("event"), completion_events)
-        == "completion"
-    )
+    seq, parent, type_ = read["seq"], read["parent"], read["type"]
+    finished, is_progress = type_ == "completion", type_ == "progress"
     needed = ("exit_code", "errors", "warnings", "retries", "files")
-    lacks = F.lit(False)
-    for name in needed:
-        lacks = lacks | t(name).isNull()
+    lacks = F.array_contains(F.array(*[text(n).isNull() for n in needed]), True)
     tests: dict[str, Column] = {
-        "malformed": F.col("_v").isNull(),
+        "malformed": read["malformed"],
         "version": version("schema_version") | version("event_version"),
-        "tool": ~t("tool").eqNullSafe(F.lit(tool)),
-        "seq": seq.isNull() | (seq < 0),
-        "parent_seq": j("parent_seq").isNotNull() & (parent.isNull() | (parent < 0)),
-        "ts": absent("ts") | ~t("ts").rlike(fixed.TIMESTAMP_PATTERN),
+        "tool": ~text("tool").eqNullSafe(F.lit(tool)),
+        "seq": F.coalesce(seq < 0, F.lit(True)),
+        "parent_seq": given("parent_seq") & F.coalesce(parent < 0, F.lit(True)),
+        "ts": ~F.coalesce(text("ts").rlike(fixed.TIMESTAMP_PATTERN), F.lit(False)),
         "event": absent("event"),
         "phase": absent("phase"),
         "status": absent("status"),
         "level": absent("level"),
-        "fatal": ~F.coalesce(j("fatal").isin("true", "false"), F.lit(False)),
-        "retryable": j("retryable").isNotNull() & ~j("retryable").isin("true", "false"),
-        **{f"counter:{n}": bad_counter(n) for n in fixed.COUNTERS},
+        "fatal": ~is_boolean("fatal"),
+        "retryable": given("retryable") & ~is_boolean("retryable"),
+        **{f"counter:{n}": given(n) & ~ev.is_counter(text(n)) for n in fixed.COUNTERS},
         "run_id": absent("run_id"),
-        "unknown-status": ~t("status").isin(*fixed.SOURCE_STATUSES),
+        "unknown-status": ~text("status").isin(*fixed.SOURCE_STATUSES),
         "completion:missing": finished & lacks,
-        "completion:exit_code": finished & ~ev.is_safe_integer(t("exit_code")),
+        "completion:exit_code": finished & ~ev.is_safe_integer(text("exit_code")),
         "completion:duration_ms": finished
-        & t("duration_ms").isNotNull()
-        & ~ev.is_safe_integer(t("duration_ms")),
+        & given("duration_ms")
+        & ~ev.is_safe_integer(text("duration_ms")),
     }
-    reason = F.coalesce(*[F.when(tests[r], F.lit(r)) for r in REASONS])
-    judged = parsed.withColumn("reason", reason)
-
-    ok = F.col("reason").isNull()
-    type_ = ev.type_of(t("status"), j("fatal") == "true", t("level"), t("event"), completion_events)
-    is_completion, is_progress = type_ == "completion", type_ == "progress"
-    message = F.coalesce(t("message"), t("event"))
     fields = {
-        "run_id": t("run_id"),
+        "reason": F.coalesce(*[F.when(tests[r], F.lit(r)) for r in REASONS]),
+        "run_id": text("run_id"),
         "sequence": seq,
         "parent_sequence": parent,
-        "timestamp": t("ts"),
-        "event_time": F.try_to_timestamp(t("ts")),
-        "phase": ev.phase_of(t("phase"), t("tool")),
-        "tool": t("tool"),
+        "timestamp": text("ts"),
+        "event_time": F.try_to_timestamp(text("ts")),
+        "phase": ev.phase_of(text("phase"), text("tool")),
+        "tool": text("tool"),
         "type": type_,
-        "status": F.when(type_ == "status", ev.status_of(t("status"))),
-        "source_event": t("event"),
-        "source_phase": t("phase"),
-        "source_status": t("status"),
+        "status": F.when(type_ == "status", ev.status_of(text("status"))),
+        "source_event": text("event"),
+        "source_phase": text("phase"),
+        "source_status": text("status"),
         "database_name": F.when(
-            j("database").isNull() | (j("database") == "null"), t("db")
-        ).otherwise(t("database")),
-        "table_name": t("table"),
-        "message": F.when(ev.carries_message(type_), message),
-        "fatal": F.when(type_ == "error", j("fatal") == "true"),
-        "retryable": F.when((type_ == "error"), j("retryable") == "true"),
-        "rows": F.coalesce(t("rows"), t("rows_done")),
-        "bytes": t("bytes"),
-        "retries": t("retries"),
-        "warnings": t("warnings"),
-        "errors": t("errors"),
-        "completed": F.when(is_progress, F.coalesce(t("completed"), t("rows_done"))),
-        "total": F.when(is_progress, F.coalesce(t("total"), t("rows_total"))),
-        "files": F.when(is_completion, t("files")),
-        "exit_code": F.when(is_completion, ev.counter(t("exit_code")).try_cast("long")),
-        "duration_ms": F.when(is_completion, ev.counter(t("duration_ms")).try_cast("long")),
+            F.coalesce(read["types"]["database"] == "VOID", F.lit(True)), text("db")
+        ).otherwise(text("database")),
+        "table_name": text("table"),
+        "message": F.when(ev.carries_message(type_), F.coalesce(text("message"), text("event"))),
+        "fatal": F.when(type_ == "error", read["is_fatal"]),
+        "retryable": F.when(type_ == "error", read["retryable"]),
+        "rows": F.coalesce(text("rows"), text("rows_done")),
+        "bytes": text("bytes"),
+        "retries": text("retries"),
+        "warnings": text("warnings"),
+        "errors": text("errors"),
+        "completed": F.when(is_progress, F.coalesce(text("completed"), text("rows_done"))),
+        "total": F.when(is_progress, F.coalesce(text("total"), text("rows_total"))),
+        "files": F.when(finished, text("files")),
+        "exit_code": F.when(finished, text("exit_code").try_cast("long")),
+        "duration_ms": F.when(finished, text("duration_ms").try_cast("long")),
     }
-    kept = [c for c in lines.columns if c not in fields]
-    columns = [F.when(ok, c).alias(n) for n, c in fields.items()]
-    out = judged.select(*kept, "reason", *columns, "_v")
-    if known_keys:
-        # schema_of_variant never shows values; keys come from the object itself.
-        keys = F.json_object_keys(F.to_json("_v"))
-        known = F.array(*[F.lit(k) for k in known_keys])
-        out = out.withColumn("unknown_keys", F.array_sort(F.array_except(keys, known)))
-    return out.drop("_v")
+    return _named(fields)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
