@@ -80,34 +80,35 @@ def decode_files(files: DataFrame) -> DataFrame:
     )
 
 
-def file_findings(files: DataFrame) -> DataFrame:
+def file_rules() -> list[Rule]:
     """Files no artifact may hold."""
     name = F.col("file_name")
-    return check(
-        files,
-        [
-            Rule(
-                "control-file",
-                (name == "metadata.header")
-                | name.startswith(INCOMPLETE_FILE)
-                | name.startswith(fixed.RESERVED_PREFIX),
-                name,
-                F.lit("unsupported loader control file"),
-            ),
-            Rule(
-                "incomplete-artifact",
-                name == INCOMPLETE_FILE,
-                name,
-                F.lit("marker of an unfinished artifact"),
-            ),
-            Rule(
-                "unsafe-path",
-                names.is_unsafe_path(name),
-                name,
-                F.lit("path is empty, absolute or leaves the artifact"),
-            ),
-        ],
-    )
+    return [
+        Rule(
+            "control-file",
+            (name == "metadata.header")
+            | name.startswith(INCOMPLETE_FILE)
+            | name.startswith(fixed.RESERVED_PREFIX),
+            name,
+            F.lit("unsupported loader control file"),
+        ),
+        Rule(
+            "incomplete-artifact",
+            name == INCOMPLETE_FILE,
+            name,
+            F.lit("marker of an unfinished artifact"),
+        ),
+        Rule(
+            "unsafe-path",
+            names.is_unsafe_path(name),
+            name,
+            F.lit("path is empty, absolute or leaves the artifact"),
+        ),
+    ]
+
+
+def file_findings(files: DataFrame) -> DataFrame:
+    return check(files, file_rules())
 
 
 def assign_headings(
