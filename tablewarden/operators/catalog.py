@@ -158,24 +158,25 @@ def binlog_rules() -> list[Rule]:
     ]
 
 
-def replica_findings(replicas: DataFrame) -> DataFrame:
-    """Health of replicas reported under the new or the old column names."""
+def replica_rules() -> list[Rule]:
+    """Health of a replica reported under the new or the old column names."""
     io = F.coalesce("replica_io_running", "slave_io_running")
     sql = F.coalesce("replica_sql_running", "slave_sql_running")
     configured = F.coalesce(io, sql).isNotNull()
     running = (F.upper(io).eqNullSafe(F.lit("YES"))) & (F.upper(sql).eqNullSafe(F.lit("YES")))
-    return check(
-        replicas,
-        [
-            Rule("not-a-replica", ~configured, F.col("server"), F.lit("no replica is configured")),
-            Rule(
-                "replica-stopped",
-                configured & ~running,
-                F.col("server"),
-                F.lit("both threads must be running"),
-            ),
-        ],
-    )
+    return [
+        Rule("not-a-replica", ~configured, F.col("server"), F.lit("no replica is configured")),
+        Rule(
+            "replica-stopped",
+            configured & ~running,
+            F.col("server"),
+            F.lit("both threads must be running"),
+        ),
+    ]
+
+
+def replica_findings(replicas: DataFrame) -> DataFrame:
+    return check(replicas, replica_rules())
 
 
 def replica_lag() -> Column:
