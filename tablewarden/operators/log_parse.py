@@ -138,14 +138,17 @@ def parse_lines(
         .withColumn("_event", _judge(F.col("_read"), tool))
     )
     kept = [c for c in lines.columns if c not in EVENT_COLUMNS]
-    ok = F.col("_event.reason").isNull()
-    columns = [F.when(ok, F.col(f"_event.{n}")).alias(n) for n in EVENT_COLUMNS]
-    extra = []
     if known_keys:
         known = F.array(*[F.lit(k) for k in known_keys])
         keys = F.json_object_keys(F.to_json("_v"))
-        extra.append(F.array_sort(F.array_except(keys, known)).alias("unknown_keys"))
-    return judged.select(*kept, F.col("_event.reason").alias("reason"), *columns, *extra)
+        judged = judged.withColumn("unknown_keys", F.array_sort(F.array_except(keys, known)))
+        kept.append("unknown_keys")
+    # Unpacking through a generator keeps later filters on the result from being pushed down, where
+    # each use of a parsed value would be replaced by parsing the line again.
+    unpacked = judged.select(*kept, F.inline(F.array("_event")))
+    ok = F.col("reason").isNull()
+    columns = [F.when(ok, F.col(n)).alias(n) for n in EVENT_COLUMNS]
+    return unpacked.select(*kept, "reason", *columns)
 
 
 def _struct_of(type_: str) -> str:
