@@ -24,19 +24,6 @@ from tablewarden.operators.run_log import RunLog
 ALWAYS = np.iinfo(np.int64).max
 
 
-def keep_mask(
-    micros: np.ndarray, droppable: np.ndarray, gap: int, last: int | None
-) -> tuple[list[bool], int | None]:
-    """Which of one run's ordered events are kept, and the last kept time after them."""
-    mask = []
-    for at, may_drop in zip(micros.tolist(), droppable.tolist(), strict=True):
-        keep = not may_drop or last is None or at - last >= gap
-        if keep:
-            last = at
-        mask.append(keep)
-    return mask, last
-
-
 def step_function(
     micros: np.ndarray, droppable: np.ndarray, gap: int
 ) -> tuple[list[int], list[int]]:
@@ -82,18 +69,23 @@ def throttle(
     log: RunLog,
     interval_ms: int = fixed.PROGRESS_INTERVAL_MS,
     limit: int = ordered.ROWS_PER_SCAN,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
-    """The events that are kept, with all their columns."""
+    """The events that are kept, with all their columns.
+
+    ``seed`` may give the time of the last event kept before (the run column and ``micros``).
+    """
     gap, run = interval_ms * 1000, log.run
     columns = log.events.columns
     timed = log.events.withColumn("_us", log.micros).withColumn(
         "_drop", F.coalesce(F.col("type") == "progress", F.lit(False))
     )
-    cut, any_hot = ordered.cut_hot_groups(timed, [run], F.col("_us"), limit)
-    if any_hot:
-        cut = _with_carry(cut, log, gap)
+    if seed is None:
+        timed = timed.withColumn("_seed", F.lit(None).cast("long"))
     else:
-        cut = cut.withColumn("_carry", F.lit(None).cast("long"))
+        timed = timed.join(seed.select(run, F.col("micros").alias("_seed")), run, "left")
+    cut, any_hot = ordered.cut_hot_groups(timed, [run], F.col("_us"), limit)
+    cut = _with_carry(cut, log, gap) if any_hot else cut.withColumn("_carry", F.col("_seed"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last = None, None
@@ -126,7 +118,7 @@ def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
     run, chunk = log.run, ordered.CHUNK
     run_type = cut.schema[run].dataType.simpleString()
     hot = cut.groupBy(run).agg(F.max(chunk).alias("_top")).where("_top > 0").select(run)
-    rows = cut.select(run, chunk, *log.order, "_us", "_drop").join(hot, run, "left_semi")
+    rows = cut.select(run, chunk, *log.order, "_us", "_drop", "_seed").join(hot, run, "left_semi")
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(log.order), kind="stable")
@@ -139,12 +131,14 @@ def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
                 chunk: [pdf[chunk].iloc[0]],
                 "thresholds": [thresholds],
                 "results": [results],
+                "_seed": pd.array([pdf["_seed"].iloc[0]], dtype="Int64"),
             }
         )
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(chunk)
-        last, carries = None, []
+        first = pdf["_seed"].iloc[0]
+        last, carries = (None if pd.isna(first) else int(first)), []
         for thresholds, results in zip(pdf["thresholds"], pdf["results"], strict=True):
             carries.append(last)
             if last is None:
@@ -157,9 +151,11 @@ def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
         )
 
     steps = rows.groupBy(run, chunk).applyInPandas(
-        summarise, f"{run} {run_type}, {chunk} long, thresholds array<long>, results array<long>"
+        summarise,
+        f"{run} {run_type}, {chunk} long, thresholds array<long>, results array<long>, _seed long",
     )
     carried = steps.groupBy(run).applyInPandas(
         compose, f"{run} {run_type}, {chunk} long, _carry long"
     )
-    return cut.join(carried, [run, chunk], "left")
+    joined = cut.join(carried, [run, chunk], "left")
+    return joined.withColumn("_carry", F.coalesce("_carry", "_seed"))

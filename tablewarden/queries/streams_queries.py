@@ -13,7 +13,7 @@ from tablewarden.queries import runs, scrubs
 from tablewarden.sources.run_log import stream_lines
 from tablewarden.streaming import streams
 
-# Runs of the data last a day, and their files arrive in any order.
+# All files are one micro-batch here, so nothing arrives late.
 DELAY = "0 seconds"
 
 
@@ -76,8 +76,13 @@ def stream_lock_watchdog(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Every lock start, armed or not: whether any progress comes within the budget.
 STREAM_LOCK_WATCHDOG = f"""
-SELECT run_id, event_id, outcome <> 'in_time' AS over_budget FROM ({runs.LOCK_BUDGET_SQL}) b
+SELECT run_id, event_id, coalesce(next_progress > ts + INTERVAL 6 HOUR, true) AS over_budget FROM (
+  SELECT *, min(CASE WHEN source_event = 'view' THEN ts END) OVER (PARTITION BY run_id ORDER BY ts, event_id
+             ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_progress
+  FROM ({c.RUNLOG}) r) w
+WHERE source_event = 'signup'
 """
 
 
@@ -87,22 +92,19 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     states = streams.drain(spark, followed, folder, mode="update")
     return (
         states.groupBy("run_id")
-        .agg(F.max_by("state", "batch_id").alias("status"))
+        .agg(F.max_by("lifecycle", "batch_id").alias("status"))
         .where(F.col("run_id") != "closing")
     )
 
 
-STREAM_LIFECYCLE = f"""
-SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHECK}) l WHERE kind = 'run' AND recognised > 0
-"""
+STREAM_LIFECYCLE = f"SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHECK}) l WHERE kind = 'run'"
 
 
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "throttle")
-    kept = streams.throttle_progress(_events(spark, sf, folder), runs.THROTTLE_MS)
+    kept = streams.drain_throttled(spark, _events(spark, sf, folder), folder, runs.THROTTLE_MS)
     return (
-        streams.drain(spark, kept, folder)
-        .where(F.col("run_id") != "closing")
+        kept.where(F.col("run_id") != "closing")
         .select("run_id", F.col("sequence").alias("event_id"))
     )
 

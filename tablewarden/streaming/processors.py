@@ -1,9 +1,4 @@
-"""Per-run state machines for streams: the lock watchdog, the lifecycle and the progress throttle.
-
-Each keeps a few numbers per run. A micro-batch's rows of one run are ordered before they are
-applied; across micro-batches a run's events must arrive in order, as they do when one log is
-followed. What comes out of order then is a failure of the run, not something to be repaired.
-"""
+"""The lock watchdog as a state machine with event-time timers."""
 
 from __future__ import annotations
 
@@ -13,19 +8,20 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_NUMBERS = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
-
-
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A micro-batch's few columns of one run, by time and sequence."""
-    return pd.concat(list(rows)).sort_values(["micros", "sequence"], kind="stable")
+_PAIR = T.StructType([T.StructField(n, T.LongType()) for n in ("micros", "sequence")])
 
 
 class LockWatchdog(StatefulProcessor):
-    """Tells of every arming lock start whether progress came within the budget.
+    """Tells of every lock start whether progress followed within the budget.
+
+    The state is kept per run *and* per time bucket of the budget's length, so a run holding most
+    events is spread over its buckets, and rows may come in any order up to the watermark. Progress
+    after a lock and within its budget lies in the lock's own bucket or in the next one. In its own
+    bucket any later progress is in time, so the latest one tells; of the next bucket the earliest
+    one tells. That is all that is remembered besides the locks waiting for their deadline.
 
-    Input: run_id, sequence, micros, kind (``lock`` or ``progress``). A timer in event time reports
-    a lock nobody released; the watchdog stays armed until progress comes, as in batch.
+    Input: run_id, bucket, sequence, micros, kind (``lock``, ``progress`` or ``next`` for progress of
+    the following bucket).
     """
 
     OUTPUT = "run_id string, sequence long, over_budget boolean"
@@ -35,111 +31,64 @@ class LockWatchdog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        # a: time the watchdog was armed; b: the lock's sequence, or -1 once reported.
-        self._armed = handle.getValueState("armed", _NUMBERS)
+        self._latest = handle.getValueState("latest_here", _PAIR)
+        self._earliest = handle.getValueState("earliest_next", _PAIR)
+        self._waiting = handle.getListState("waiting", _PAIR)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        armed = self._armed.get() if self._armed.exists() else None
-        before = armed
-        out = []
-        batch = _in_order(rows)
-        for seq, micros, kind in zip(
-            batch["sequence"].tolist(), batch["micros"].tolist(), batch["kind"], strict=True
-        ):
-            if kind == "lock" and armed is None:
-                armed = (micros, seq)
-            elif kind == "progress" and armed is not None:
-                if armed[1] >= 0:
-                    out.append((key[0], armed[1], micros - armed[0] > self._budget_us))
-                armed = None
-        if armed != before:
-            self._rearm(before, armed)
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "sequence", "over_budget"])
-
-    def _deadline(self, armed) -> int:
-        return (armed[0] + self._budget_us) // 1000 + 1
-
-    def _rearm(self, before, armed) -> None:
-        if before is not None and before[1] >= 0:
-            self._handle.deleteTimer(self._deadline(before))
-        if armed is None:
-            self._armed.clear()
-            return
-        self._armed.update((int(armed[0]), int(armed[1])))
-        self._handle.registerTimer(self._deadline(armed))
+        # Once no lock of this bucket can wait any more, its state goes.
+        self._handle.registerTimer(self._end(key))
+        latest = self._latest.get() if self._latest.exists() else None
+        earliest = self._earliest.get() if self._earliest.exists() else None
+        for part in rows:  # one Arrow batch at a time, in any order
+            here = part[part["kind"] == "progress"]
+            if len(here):
+                last = here.sort_values(["micros", "sequence"]).iloc[-1]
+                found = (int(last["micros"]), int(last["sequence"]))
+                latest = found if latest is None else max(tuple(latest), found)
+            beyond = part.loc[part["kind"] == "next", "micros"]
+            if len(beyond):
+                found = (int(beyond.min()), 0)
+                earliest = found if earliest is None else min(tuple(earliest), found)
+            locks = part[part["kind"] == "lock"]
+            if len(locks):
+                pairs = list(zip(locks["micros"].tolist(), locks["sequence"].tolist(), strict=True))
+                self._waiting.appendList(pairs)
+                for deadline in {self._deadline(micros) for micros, _ in pairs}:
+                    self._handle.registerTimer(deadline)
+        if latest is not None:
+            self._latest.update(tuple(latest))
+        if earliest is not None:
+            self._earliest.update(tuple(earliest))
+        return iter(())
+
+    def _end(self, key) -> int:
+        return (int(key[1]) + 2) * self._budget_us // 1000 + 2
+
+    def _deadline(self, micros: int) -> int:
+        return (micros + self._budget_us) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        armed = self._armed.get() if self._armed.exists() else None
-        if armed is not None and armed[1] >= 0:
-            self._armed.update((int(armed[0]), -1))
-            yield pd.DataFrame(
-                [(key[0], armed[1], True)], columns=["run_id", "sequence", "over_budget"]
-            )
-
-    def close(self) -> None:
-        pass
-
-
-class LifecycleCheck(StatefulProcessor):
-    """Follows the lifecycle; emits the run's state each time it changes.
-
-    Input: run_id, sequence, micros, step (0-based index of the recognised transition).
-    """
-
-    OUTPUT = "run_id string, sequence long, state string"
-
-    def __init__(self, steps: int):
-        self._steps = steps
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # a: steps taken in order; b: 1 once the order was broken.
-        self._progress = handle.getValueState("lifecycle", _NUMBERS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        taken, broken = self._progress.get() if self._progress.exists() else (0, 0)
-        batch = _in_order(rows)
-        for step in batch["step"].tolist():
-            if step == taken and not broken:
-                taken += 1
-            else:
-                broken = 1
-        self._progress.update((int(taken), int(broken)))
-        state = "reordered" if broken else "complete" if taken == self._steps else "incomplete"
-        yield pd.DataFrame(
-            [(key[0], int(batch["sequence"].iloc[-1]), state)],
-            columns=["run_id", "sequence", "state"],
-        )
-
-    def close(self) -> None:
-        pass
-
-
-class ProgressThrottle(StatefulProcessor):
-    """Passes on the events that are kept; remembers only the time of the last one.
-
-    Input: run_id, sequence, micros, droppable.
-    """
-
-    OUTPUT = "run_id string, sequence long"
-
-    def __init__(self, interval_ms: int):
-        self._gap = interval_ms * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", _NUMBERS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        from tablewarden.operators.throttle import keep_mask
-
-        last = self._last.get()[0] if self._last.exists() else None
-        batch = _in_order(rows)
-        mask, last = keep_mask(
-            batch["micros"].to_numpy(), batch["droppable"].to_numpy(bool), self._gap, last
-        )
-        self._last.update((int(last), 0))
-        kept = batch.loc[mask, ["sequence"]]
-        yield pd.DataFrame({"run_id": key[0], "sequence": kept["sequence"].to_numpy()})
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        latest = self._latest.get() if self._latest.exists() else None
+        earliest = self._earliest.get() if self._earliest.exists() else None
+        due, later = [], []
+        for micros, sequence in self._waiting.get():
+            if self._deadline(micros) > now:
+                later.append((micros, sequence))
+                continue
+            here = latest is not None and tuple(latest) > (micros, sequence)
+            soon = earliest is not None and earliest[0] <= micros + self._budget_us
+            due.append((key[0], sequence, not (here or soon)))
+        if later:
+            self._waiting.put(later)
+        else:
+            self._waiting.clear()
+        if now >= self._end(key):
+            self._latest.clear()
+            self._earliest.clear()
+        if due:
+            yield pd.DataFrame(due, columns=["run_id", "sequence", "over_budget"])
 
     def close(self) -> None:
         pass

@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from tablewarden import fixed_values as fixed
 from tablewarden.functions import redaction
-from tablewarden.operators import log_parse
-from tablewarden.operators.run_log import Transition, is_transition
-from tablewarden.streaming.processors import LifecycleCheck, LockWatchdog, ProgressThrottle
+from tablewarden.operators import log_parse, run_log, throttle
+from tablewarden.operators.run_log import RunLog, Transition, is_transition
+from tablewarden.sources.storage import Storage
+from tablewarden.streaming.processors import LockWatchdog
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def typed_events(
-    lines: DataFrame, tool: str, delay: str, completion_events: Sequence[str] = fixed.COMPLETION_EVENTS
+    lines: DataFrame,
+    tool: str,
+    delay: str,
+    completion_events: Sequence[str] = fixed.COMPLETION_EVENTS,
 ) -> DataFrame:
     """Accepted events of a stream of lines, with the watermark that bounds all state."""
     parsed = log_parse.parse_lines(lines, tool, completion_events=completion_events)
@@ -28,22 +32,35 @@ def refused_lines(lines: DataFrame, tool: str) -> DataFrame:
     return log_parse.quarantine(log_parse.parse_lines(lines, tool))
 
 
-def _micros() -> Column:
-    return F.unix_micros("event_time").alias("micros")
-
-
 def watch_locks(
     events: DataFrame,
     lock: Transition = fixed.EXPORT_LIFECYCLE[0],
     progress: Transition = fixed.EXPORT_LIFECYCLE[3],
     budget_seconds: int = fixed.LOCK_BUDGET_SECONDS,
 ) -> DataFrame:
-    """Stream of (run_id, sequence of the lock, over_budget). Only lock and progress events shuffle."""
+    """Stream of (run_id, sequence of the lock, over_budget); a lock is told at its deadline.
+
+    Progress goes to its own time bucket and, as ``next``, to the one before; a fixed factor of two.
+    """
     kind = F.when(is_transition(lock), "lock").when(is_transition(progress), "progress")
+    micros = F.unix_micros("event_time")
+    bucket = F.floor(micros / F.lit(budget_seconds * 1_000_000)).cast("long")
+    places = F.filter(
+        F.array(
+            F.named_struct(F.lit("bucket"), bucket, F.lit("kind"), kind),
+            F.when(
+                kind == "progress",
+                F.named_struct(F.lit("bucket"), bucket - 1, F.lit("kind"), F.lit("next")),
+            ),
+        ),
+        lambda p: p.isNotNull(),
+    )
     return (
-        events.select("run_id", "sequence", "event_time", _micros(), kind.alias("kind"))
-        .where(F.col("kind").isNotNull())
-        .groupBy("run_id")
+        events.where(kind.isNotNull())
+        .withColumn("micros", micros)
+        .withColumn("places", places)
+        .select("run_id", "sequence", "event_time", "micros", F.inline("places"))
+        .groupBy("run_id", "bucket")
         .transformWithStateInPandas(
             LockWatchdog(budget_seconds), LockWatchdog.OUTPUT, "Append", "EventTime"
         )
@@ -53,30 +70,8 @@ def watch_locks(
 def follow_lifecycle(
     events: DataFrame, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE
 ) -> DataFrame:
-    step = F.coalesce(*[F.when(is_transition(s), F.lit(i)) for i, s in enumerate(steps)])
-    return (
-        events.select("run_id", "sequence", _micros(), step.alias("step"))
-        .where(F.col("step").isNotNull())
-        .groupBy("run_id")
-        .transformWithStateInPandas(
-            LifecycleCheck(len(steps)), LifecycleCheck.OUTPUT, "Update", "None"
-        )
-    )
-
-
-def throttle_progress(
-    events: DataFrame, interval_ms: int = fixed.PROGRESS_INTERVAL_MS
-) -> DataFrame:
-    """Stream of (run_id, sequence) of the events that are kept."""
-    return (
-        events.select(
-            "run_id", "sequence", _micros(), (F.col("type") == "progress").alias("droppable")
-        )
-        .groupBy("run_id")
-        .transformWithStateInPandas(
-            ProgressThrottle(interval_ms), ProgressThrottle.OUTPUT, "Append", "None"
-        )
-    )
+    """Running lifecycle state per run: the batch aggregate as it is, combined before the shuffle."""
+    return run_log.lifecycle(RunLog(events, ("event_time", "sequence")), steps)
 
 
 def run_status(events: DataFrame) -> DataFrame:
@@ -96,11 +91,28 @@ def one_terminal(events: DataFrame, terminal: Column) -> DataFrame:
 
 
 def scrub(
-    records: DataFrame, column: str, secrets: Sequence[str] = (), keys: Sequence[str] = fixed.SECRET_ASSIGNMENT_KEYS
+    records: DataFrame,
+    column: str,
+    secrets: Sequence[str] = (),
+    keys: Sequence[str] = fixed.SECRET_ASSIGNMENT_KEYS,
 ) -> DataFrame:
     return records.withColumn(column, redaction.clean(F.col(column), secrets, keys))
 
 
+def _run(spark: SparkSession, start: Callable[[], object]) -> None:
+    """Start a query under the RocksDB state store, which timers need, and wait for its end."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drain(
     spark: SparkSession,
     stream: DataFrame,
@@ -110,12 +122,9 @@ def drain(
 ) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
-    ``each_batch`` is the caller's hook on every micro-batch; without it rows go to Parquet. State
-    needs the RocksDB provider, which is set for the start only.
+    ``each_batch`` is the caller's hook on every micro-batch; without it rows go to Parquet, and in
+    update mode each micro-batch to a folder of its own, told apart by ``batch_id``.
     """
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -125,18 +134,54 @@ def drain(
         if each_batch is not None:
             each_batch(batch, batch_id)
 
-    try:
-        writer = stream.writeStream.trigger(availableNow=True).option(
-            "checkpointLocation", f"{folder}/checkpoint"
-        )
-        if mode == "append" and each_batch is None:
-            query = writer.outputMode("append").format("parquet").start(out)
-        else:
-            query = writer.outputMode(mode).foreachBatch(write).start()
-        query.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    writer = (
+        stream.writeStream.trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode(mode)
+    )
+    if mode == "append" and each_batch is None:
+        _run(spark, lambda: writer.format("parquet").start(out))
+    else:
+        _run(spark, lambda: writer.foreachBatch(write).start())
     return spark.read.parquet(out)
+
+
+def drain_throttled(
+    spark: SparkSession,
+    events: DataFrame,
+    folder: str,
+    interval_ms: int = fixed.PROGRESS_INTERVAL_MS,
+) -> DataFrame:
+    """Thin the progress of a stream; returns (run_id, sequence, micros) of the events kept.
+
+    Each micro-batch goes through the batch operator, which cuts hot runs, seeded with the last kept
+    time per run. That time is the only state: one row per run and micro-batch, written beside the
+    output under the batch's number, so a batch that is run again finds and leaves the same. Across
+    micro-batches a run's events must arrive in order, as they do when a log is followed.
+    """
+    out, state = f"{folder}/out", f"{folder}/state"
+    storage = Storage(spark)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = f"{state}/after={batch_id - 1}"
+        seed = session.read.parquet(before) if storage.exists(before) else None
+        # Kept for this batch only: its lines are parsed once, though they are read twice.
+        narrow = batch.select("run_id", "sequence", "event_time", "type").persist()
+        log = RunLog(narrow, ("event_time", "sequence"))
+        kept = throttle.throttle(log, interval_ms, seed=seed).select(
+            "run_id", "sequence", log.micros.alias("micros")
+        )
+        kept.write.mode("overwrite").parquet(f"{out}/run={batch_id}")
+        narrow.unpersist()
+        ends = session.read.parquet(f"{out}/run={batch_id}").select("run_id", "micros")
+        if seed is not None:
+            ends = ends.unionByName(seed)
+        last = ends.groupBy("run_id").agg(F.max("micros").alias("micros"))
+        last.write.mode("overwrite").parquet(f"{state}/after={batch_id}")
+
+    writer = events.writeStream.trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    )
+    _run(spark, lambda: writer.foreachBatch(write).start())
+    return spark.read.parquet(out).select("run_id", "sequence", "micros")
