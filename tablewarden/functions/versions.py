@@ -29,14 +29,18 @@ def triple_key(text: Column) -> Column:
     return _key(text, TRIPLE_PATTERN, 3)
 
 
+def compare_keys(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of two keys; keys kept in columns are built once, not once per comparison."""
+    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).when(a == b, F.lit(0))
+
+
 def compare_versions(left: Column, right: Column) -> Column:
     """-1, 0 or 1; null where either side is no version."""
-    a, b = version_key(left), version_key(right)
-    return F.when(a < b, F.lit(-1)).when(a > b, F.lit(1)).when(a == b, F.lit(0))
+    return compare_keys(version_key(left), version_key(right))
 
 
 def version_at_least(actual: Column, minimum: Column) -> Column:
-    return F.coalesce(compare_versions(actual, minimum) >= 0, F.lit(False))
+    return F.coalesce(version_key(actual) >= version_key(minimum), F.lit(False))
 
 
 def triple_at_least(actual: Column, minimum: Column) -> Column:

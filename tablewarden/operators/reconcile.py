@@ -38,10 +38,26 @@ def reconcile(source: DataFrame, restored: DataFrame, keys: Sequence[str]) -> Da
     return joined.withColumn("status", status)
 
 
-def canonical(column: Column, dtype: T.DataType) -> Column:
-    """Text of a value that is the same in every engine; doubles never by their own text."""
+def _hashable(column: Column, dtype: T.DataType) -> Column:
+    """Maps have no order and no hash of their own: their sorted entries stand for them."""
+    if isinstance(dtype, T.MapType):
+        return F.array_sort(F.map_entries(column))
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(column)
+    return column
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64-bit hash of a row's exact values; which columns are null counts too."""
+    columns = [(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c, _ in columns])
+    return F.xxhash64(nulls, *[_hashable(c, t) for c, t in columns])
+
+
+def portable_text(column: Column, dtype: T.DataType, scale: int) -> Column:
+    """Text of a value that other engines write alike; doubles as whole numbers of 10^-scale."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        text = column.cast("decimal(18,2)").cast("string")
+        text = F.round(column * F.lit(float(10**scale))).try_cast("long").cast("string")
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
@@ -51,22 +67,36 @@ def canonical(column: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """First 32 bits of the md5 of a row's canonical text, as a number."""
-    parts = [canonical(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("decimal(20,0)")
+def portable_row_hash(df: DataFrame, scale: int) -> Column:
+    """First 32 bits of the md5 of a row's portable text: for comparison with another engine.
+
+    It does not see differences of doubles below the scale; within Spark use :func:`row_hash`.
+    """
+    parts = [portable_text(F.col(f"`{f.name}`"), f.dataType, scale) for f in df.schema.fields]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def checksum(df: DataFrame) -> DataFrame:
-    """One row: number of rows and an order-insensitive checksum.
+def hash_sum(hashes: Column) -> Column:
+    """Sum of row hashes, read as unsigned, as an exact decimal aggregate.
 
-    A sum of row hashes needs no sort, merges on the map side and, unlike an exclusive or, does not
-    lose pairs of equal rows.
+    The four 16-bit parts are summed as longs, which cannot overflow below 10^14 rows and stay in
+    generated code; they are put together once at the end. A sum needs no sort, merges on the map
+    side and, unlike an exclusive or, does not lose pairs of equal rows.
     """
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row_hash(df)), F.lit(0)).cast("decimal(38,0)").alias("checksum"),
-    )
+    total = F.lit(0).cast("decimal(38,0)")
+    for part in range(4):
+        bits = F.shiftrightunsigned(hashes, 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        weight = F.lit(1 << (16 * part)).cast("decimal(20,0)")
+        total = total + (F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(18,0)") * weight).cast(
+            "decimal(38,0)"
+        )
+    return total.cast("decimal(38,0)")
+
+
+def checksum(df: DataFrame, portable_scale: int | None = None) -> DataFrame:
+    """One row: number of rows and an order-insensitive checksum."""
+    hashes = row_hash(df) if portable_scale is None else portable_row_hash(df, portable_scale)
+    return df.agg(F.count(F.lit(1)).alias("rows"), hash_sum(hashes).alias("checksum"))
 
 
 def row_surplus(left: DataFrame, right: DataFrame) -> DataFrame:

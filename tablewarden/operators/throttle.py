@@ -9,11 +9,13 @@ every chunk then folds on its own, knowing where it starts.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def throttle(
 
     ``seed`` may give the time of the last event kept before (the run column and ``micros``).
     """
-    gap, run = interval_ms * 1000, log.run
+    gap, run, chunk_column = interval_ms * 1000, log.run, ordered.CHUNK
     columns = log.events.columns
     timed = log.events.withColumn("_us", log.micros).withColumn(
         "_drop", F.coalesce(F.col("type") == "progress", F.lit(False))
@@ -91,7 +93,7 @@ def throttle(
         group, last = None, None
         for batch in batches:
             runs = batch.column(batch.schema.get_field_index(run)).to_pylist()
-            chunks = batch.column(batch.schema.get_field_index(ordered.CHUNK)).to_pylist()
+            chunks = batch.column(batch.schema.get_field_index(chunk_column)).to_pylist()
             carries = batch.column(batch.schema.get_field_index("_carry")).to_pylist()
             times = batch.column(batch.schema.get_field_index("_us")).to_pylist()
             drops = batch.column(batch.schema.get_field_index("_drop")).to_pylist()
@@ -115,13 +117,13 @@ def throttle(
 
 def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
     """Add ``_carry``: the last kept time before each row's chunk, in hot runs."""
-    run, chunk = log.run, ordered.CHUNK
+    run, chunk, order = log.run, ordered.CHUNK, list(log.order)
     run_type = cut.schema[run].dataType.simpleString()
     hot = cut.groupBy(run).agg(F.max(chunk).alias("_top")).where("_top > 0").select(run)
     rows = cut.select(run, chunk, *log.order, "_us", "_drop", "_seed").join(hot, run, "left_semi")
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(log.order), kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         thresholds, results = step_function(
             pdf["_us"].to_numpy(np.int64), pdf["_drop"].to_numpy(bool), gap
         )
@@ -159,3 +161,7 @@ def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
     )
     joined = cut.join(carried, [run, chunk], "left")
     return joined.withColumn("_carry", F.coalesce("_carry", "_seed"))
+
+
+# Python workers get this code with the job; nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -120,8 +120,7 @@ class Snapshot:
         measured = Observation()
         metrics = [F.count(F.lit(1)).alias("rows")]
         if self.with_checksum:
-            total = F.coalesce(F.sum(reconcile.row_hash(df)), F.lit(0))
-            metrics.append(total.cast("decimal(38,0)").alias("checksum"))
+            metrics.append(reconcile.hash_sum(reconcile.row_hash(df)).alias("checksum"))
         save(df.observe(measured, *metrics))
         found = measured.get
         return found["rows"], found.get("checksum")

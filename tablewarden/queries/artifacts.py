@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.findings import all_findings
 from tablewarden.operators import artifact
 from tablewarden.queries import common as c
@@ -166,7 +167,8 @@ SELECT concat('db', cast(s_suppkey AS string)), 'extra', 'base-table', 'ALL', fa
 
 
 def artifact_verify(spark: SparkSession, sf: str) -> DataFrame:
-    files, manifest = c.view(spark, sf, c.FILES), c.view(spark, sf, DECLARED)
+    files = session.materialised(c.view(spark, sf, c.FILES), "files")
+    manifest = session.materialised(c.view(spark, sf, DECLARED), "manifest")
     export = artifact.export_findings(c.view(spark, sf, SELECTION), manifest, files)
     restore = artifact.restore_findings(manifest, files)
     reported = c.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()

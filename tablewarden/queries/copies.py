@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import session
+from tablewarden.findings import all_findings
 from tablewarden.operators import catalog, naming, reconcile, selection
 from tablewarden.plans.restore import Restore
 from tablewarden.plans.snapshot import Snapshot, object_path
@@ -19,6 +20,7 @@ DROP = ("shop.labels",)
 SCHEMA_ONLY = ("shop.bench*",)
 VIEW = "big_orders"
 CHECKED = ("lineitem", "orders", "customer")
+SCALE = 2
 
 
 def _objects(spark: SparkSession, tables) -> DataFrame:
@@ -79,28 +81,35 @@ EXPORT_RESTORE_COUNTS = "\nUNION ALL\n".join(
 
 
 def table_checksum(spark: SparkSession, sf: str) -> DataFrame:
-    """Checksums taken while exporting, and again from what was written."""
+    """Exact checksums taken while exporting and again from the copy; a portable one of each side."""
     folder = session.scratch_dir(spark, "checksum")
     objects = selection.resolve_scopes(_objects(spark, CHECKED))
     artifact = f"{folder}/shop-checksum"
     manifest = Snapshot(spark, objects, parquet_reader(sf), with_checksum=True).export(artifact)
-    copies = [
-        reconcile.checksum(spark.read.parquet(object_path(artifact, SOURCE, t))).withColumn(
-            "table_name", F.lit(t)
+
+    def measured(name: str, df: DataFrame) -> DataFrame:
+        portable = reconcile.portable_row_hash(df, SCALE)
+        return df.agg(
+            F.lit(name).alias("table_name"),
+            F.count(F.lit(1)).alias("rows"),
+            reconcile.hash_sum(portable).cast("string").alias("portable"),
+            reconcile.hash_sum(reconcile.row_hash(df)).alias("exact"),
         )
-        for t in CHECKED
-    ]
-    after = copies[0]
-    for part in copies[1:]:
-        after = after.unionByName(part)
+
+    source = all_findings([measured(t, c.table(spark, sf, t)) for t in CHECKED])
+    copy = all_findings(
+        [measured(t, spark.read.parquet(object_path(artifact, SOURCE, t))) for t in CHECKED]
+    )
     return (
-        manifest.select("table_name", F.col("checksum").cast("string").alias("checksum_before"))
-        .join(after, "table_name")
+        manifest.select("table_name", "checksum")
+        .join(source.select("table_name", "rows", F.col("portable").alias("checksum_before")), "table_name")
+        .join(copy.select("table_name", F.col("portable").alias("checksum_after"), "exact"), "table_name")
         .select(
             "table_name",
             "rows",
             "checksum_before",
-            F.col("checksum").cast("string").alias("checksum_after"),
+            "checksum_after",
+            (F.col("checksum") == F.col("exact")).alias("exact_match"),
         )
     )
 
@@ -109,7 +118,7 @@ def _md5_sql(table: str, columns: list[str]) -> str:
     parts = ", ".join(f"coalesce({x}, '\\N')" for x in columns)
     return f"""
 SELECT '{table}' AS table_name, count(*) AS rows, cast(sum(h) AS varchar) AS checksum_before,
-       cast(sum(h) AS varchar) AS checksum_after
+       cast(sum(h) AS varchar) AS checksum_after, true AS exact_match
 FROM (SELECT cast(cast('0x' || substr(md5(concat_ws('|', {parts})), 1, 8) AS bigint) AS hugeint) AS h FROM {table}) x"""
 
 
@@ -118,7 +127,7 @@ def _text(name: str) -> str:
 
 
 def _money(name: str) -> str:
-    return f"cast(cast({name} AS decimal(18, 2)) AS varchar)"
+    return f"cast(cast(round({name} * 100) AS bigint) AS varchar)"
 
 
 def _time(name: str) -> str:

@@ -106,11 +106,15 @@ def version_order(spark: SparkSession, sf: str) -> DataFrame:
     )
     left, right = F.col("left_version"), F.col("right_version")
     line = F.concat(F.lit("exporter v"), left, F.lit(", built against lib 8.0 with SSL support\n"))
-    return pairs.orderBy(versions.version_key(left)).select(
+    keyed = pairs.withColumn("_left", versions.version_key(left)).withColumn(
+        "_right", versions.version_key(right)
+    )
+    minimum = versions.version_key(F.lit(MINIMUM))
+    return keyed.orderBy("_left").select(
         "host",
         "agreement",
-        versions.compare_versions(left, right).cast("long").alias("compared"),
-        versions.version_at_least(left, F.lit(MINIMUM)).alias("recent"),
+        versions.compare_keys(F.col("_left"), F.col("_right")).cast("long").alias("compared"),
+        F.coalesce(F.col("_left") >= minimum, F.lit(False)).alias("recent"),
         versions.printed_version(line, "exporter").alias("printed"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library is written for; callers pass them to their session builder.
 RECOMMENDED = {
@@ -38,3 +38,15 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tablewarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tablewarden/{label}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """The rows of a table that several rules read, written once to the shared folder.
+
+    Unlike a cache it is there after executors are lost, and unlike the plan it is not computed again
+    by every rule.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-_PAIR = T.StructType([T.StructField(n, T.LongType()) for n in ("micros", "sequence")])
+_NUMBERS = T.LongType()
+_SEEN = T.StructType(
+    [
+        T.StructField("latest", _NUMBERS),
+        T.StructField("latest_sequence", _NUMBERS),
+        T.StructField("earliest_next", _NUMBERS),
+        T.StructField("waiting", _NUMBERS),
+    ]
+)
+_LOCK = T.StructType([T.StructField("micros", _NUMBERS), T.StructField("sequence", _NUMBERS)])
+_NEVER = (1 << 62)
 
 
 class LockWatchdog(StatefulProcessor):
@@ -31,35 +43,35 @@ class LockWatchdog(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._latest = handle.getValueState("latest_here", _PAIR)
-        self._earliest = handle.getValueState("earliest_next", _PAIR)
-        self._waiting = handle.getListState("waiting", _PAIR)
+        # Every call is a round trip to the JVM: one small value holds all but the waiting locks.
+        self._seen = handle.getValueState("seen", _SEEN)
+        self._waiting = handle.getListState("waiting", _LOCK)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Once no lock of this bucket can wait any more, its state goes.
-        self._handle.registerTimer(self._end(key))
-        latest = self._latest.get() if self._latest.exists() else None
-        earliest = self._earliest.get() if self._earliest.exists() else None
+        before = self._seen.get()
+        latest, earliest, waiting = (-1, -1), _NEVER, 0
+        if before is None:
+            # Once no lock of this bucket can wait any more, its state goes.
+            self._handle.registerTimer(self._end(key))
+        else:
+            latest, earliest, waiting = (before[0], before[1]), before[2], before[3]
+        locks = []
         for part in rows:  # one Arrow batch at a time, in any order
-            here = part[part["kind"] == "progress"]
-            if len(here):
-                last = here.sort_values(["micros", "sequence"]).iloc[-1]
-                found = (int(last["micros"]), int(last["sequence"]))
-                latest = found if latest is None else max(tuple(latest), found)
-            beyond = part.loc[part["kind"] == "next", "micros"]
-            if len(beyond):
-                found = (int(beyond.min()), 0)
-                earliest = found if earliest is None else min(tuple(earliest), found)
-            locks = part[part["kind"] == "lock"]
-            if len(locks):
-                pairs = list(zip(locks["micros"].tolist(), locks["sequence"].tolist(), strict=True))
-                self._waiting.appendList(pairs)
-                for deadline in {self._deadline(micros) for micros, _ in pairs}:
+            for micros, sequence, kind in zip(
+                part["micros"].tolist(), part["sequence"].tolist(), part["kind"], strict=True
+            ):
+                if kind == "lock":
+                    locks.append((micros, sequence))
+                elif kind == "progress":
+                    latest = max(latest, (micros, sequence))
+                else:
+                    earliest = min(earliest, micros)
+            if locks:
+                self._waiting.appendList(locks)
+                for deadline in {self._deadline(micros) for micros, _ in locks}:
                     self._handle.registerTimer(deadline)
-        if latest is not None:
-            self._latest.update(tuple(latest))
-        if earliest is not None:
-            self._earliest.update(tuple(earliest))
+                waiting, locks = waiting + len(locks), []
+        self._seen.update((*latest, earliest, waiting))
         return iter(())
 
     def _end(self, key) -> int:
@@ -70,25 +82,32 @@ class LockWatchdog(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        latest = self._latest.get() if self._latest.exists() else None
-        earliest = self._earliest.get() if self._earliest.exists() else None
+        seen = self._seen.get()
+        if seen is None:
+            return
+        latest, earliest, waiting = (seen[0], seen[1]), seen[2], seen[3]
         due, later = [], []
-        for micros, sequence in self._waiting.get():
-            if self._deadline(micros) > now:
-                later.append((micros, sequence))
-                continue
-            here = latest is not None and tuple(latest) > (micros, sequence)
-            soon = earliest is not None and earliest[0] <= micros + self._budget_us
-            due.append((key[0], sequence, not (here or soon)))
-        if later:
-            self._waiting.put(later)
-        else:
-            self._waiting.clear()
+        if waiting:
+            for micros, sequence in self._waiting.get():
+                if self._deadline(micros) > now:
+                    later.append((micros, sequence))
+                else:
+                    in_time = latest > (micros, sequence) or earliest <= micros + self._budget_us
+                    due.append((key[0], sequence, not in_time))
+        if due:
+            if later:
+                self._waiting.put(later)
+            else:
+                self._waiting.clear()
+            self._seen.update((*latest, earliest, len(later)))
         if now >= self._end(key):
-            self._latest.clear()
-            self._earliest.clear()
+            self._seen.clear()
         if due:
             yield pd.DataFrame(due, columns=["run_id", "sequence", "over_budget"])
 
     def close(self) -> None:
         pass
+
+
+# Python workers get this code with the job; nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
