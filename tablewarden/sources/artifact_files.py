@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions import names
 from tablewarden.operators.artifact import OBJECT_HEADING
 from tablewarden.operators.selection import DATABASE, TABLE
 
@@ -31,8 +32,10 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\n[").text(path)
     text = F.regexp_replace("value", r"\r", "")
-    whole = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text))
-    head = F.regexp_replace(F.substring_index(whole, "\n", 1), r"\A\s+|\s+\z", "")
+    # The separator took the bracket of all headings but a first one; a preamble has none at all.
+    has_heading = names.trimmed(F.substring_index(text, "\n", 1)).endswith("]")
+    whole = F.when(text.startswith("["), text).when(has_heading, F.concat(F.lit("["), text))
+    head = names.trimmed(F.substring_index(whole, "\n", 1))
 
     def value(key: str):
         pattern = rf"(?m)^{key}\s*=\s*([0-9]+)\s*$"
@@ -41,7 +44,7 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     def part(group: int):
         return F.when(head.rlike(OBJECT_HEADING), F.regexp_extract(head, OBJECT_HEADING, group))
 
-    return raw.select(
+    return raw.where(whole.isNotNull()).select(
         head.alias("heading"),
         part(1).alias(DATABASE),
         part(2).alias(TABLE),
