@@ -6,7 +6,6 @@ LOCK_BUDGET_SECONDS = 10
 PROGRESS_INTERVAL_MS = 250
 CANDIDATE_LIST_LIMIT = 10
 MIN_THREADS = 2
-MAX_THREADS_PER_TABLE = 4
 PORT_RANGE = (1, 65_535)
 
 # Run-log formats.

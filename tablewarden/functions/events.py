@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +79,15 @@ def shown_at(verbosity: str, type_: Column, status: Column) -> Column:
     return notable | ((type_ == "status") & (status != "running"))
 
 
+def public_event(columns: Mapping[str, Column]) -> Column:
+    """The fields of an event that may be shown, in their fixed order."""
+    hidden = set(columns) - set(fixed.PUBLIC_FIELDS)
+    if hidden:
+        raise ValueError(f"no public fields: {sorted(hidden)}")
+    shown = [n for n in fixed.PUBLIC_FIELDS if n in columns]
+    return F.named_struct(*[part for n in shown for part in (F.lit(n), columns[n])])
+
+
 def envelope(event: Column, command: str) -> Column:
     """One line of versioned output; absent fields are left out."""
     return F.to_json(

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SCAN = 1_000_000
 BROADCAST_ROWS = 100_000
+# Chunk numbers of three cuts with up to 2^20 pieces each fit a long.
+CUT_LEVELS = 3
+PIECES = 1 << 20
 CHUNK = "_chunk"
 
 
@@ -23,29 +26,37 @@ def cut_hot_groups(
 ) -> tuple[DataFrame, bool]:
     """Add ``_chunk``: 0 in ordinary groups, rising with ``position`` (a long) in hot ones.
 
-    Finding hot groups is a map-side combined count over the key columns only. There are at most
-    rows/limit of them, and they are broadcast only when counted to be few; otherwise the join is
-    an ordinary one. The flag tells whether any group was cut.
+    Finding hot groups is a map-side combined count over the key columns only. A hot group is cut
+    into stretches of equal width, and stretches still too full (a burst) are cut again; only rows at
+    one and the same position cannot be parted. There are at most rows/limit hot groups, and they are
+    broadcast only when counted to be few; otherwise the join is an ordinary one. The flag tells
+    whether any group was cut.
     """
-    sizes = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min(position).alias("_low"),
-            F.max(position).alias("_high"),
+    cut = df.withColumn(CHUNK, F.lit(0).cast("long"))
+    groups = [*keys, CHUNK]
+    any_hot = False
+    for _ in range(CUT_LEVELS):
+        sizes = (
+            cut.groupBy(*groups)
+            .agg(
+                F.count(F.lit(1)).alias("_rows"),
+                F.min(position).alias("_low"),
+                F.max(position).alias("_high"),
+            )
+            .where((F.col("_rows") > limit) & (F.col("_low") < F.col("_high")))
         )
-        .where(F.col("_rows") > limit)
-    )
-    hot = sizes.count()
-    if hot == 0:
-        return df.withColumn(CHUNK, F.lit(0).cast("long")), False
-    pieces = F.ceil(F.col("_rows") / F.lit(limit)).cast("long")
-    width = F.floor((F.col("_high") - F.col("_low")) / pieces).cast("long") + 1
-    sizes = sizes.select(*keys, F.col("_low"), width.alias("_width"))
-    joined = df.join(F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes, list(keys), "left")
-    chunk = F.floor((position - F.col("_low")) / F.col("_width")).cast("long")
-    cut = joined.withColumn(CHUNK, F.coalesce(chunk, F.lit(0).cast("long")))
-    return cut.drop("_low", "_width"), True
+        hot = sizes.count()
+        if hot == 0:
+            break
+        any_hot = True
+        # Twice as many pieces as needed, so that ordinary unevenness does not call for another cut.
+        pieces = F.least(F.ceil(F.col("_rows") * 2 / F.lit(limit)), F.lit(PIECES)).cast("long")
+        width = F.floor((F.col("_high") - F.col("_low")) / pieces).cast("long") + 1
+        sizes = sizes.select(*groups, F.col("_low"), width.alias("_width"))
+        joined = cut.join(F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes, groups, "left")
+        piece = F.coalesce(F.floor((position - F.col("_low")) / F.col("_width")).cast("long"), F.lit(0))
+        cut = joined.withColumn(CHUNK, F.col(CHUNK) * PIECES + piece).drop("_low", "_width")
+    return cut, any_hot
 
 
 def numbered(

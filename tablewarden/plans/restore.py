@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tablewarden.findings import check, refuse_on
 from tablewarden.operators import catalog, naming
 from tablewarden.plans import snapshot
-from tablewarden.sources.storage import Storage
+from tablewarden.sources.folders import Folders
 
 DESTINATION_RULES = (
     "invalid-destination",
@@ -133,7 +133,7 @@ def restored_counts(
 
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Names of the published artifacts below a folder; staged ones begin with a dot."""
-    names = [(n,) for n in Storage(spark).folders(root) if not n.startswith(".")]
+    names = [(n,) for n in Folders(spark).folders(root) if not n.startswith(".")]
     return spark.createDataFrame(names, "name string")
 
 

@@ -15,7 +15,7 @@ from tablewarden.findings import FINDINGS, Rule, all_findings, check, refuse_on
 from tablewarden.operators import reconcile, selection
 from tablewarden.sources.artifact_files import list_files
 from tablewarden.sources.catalog import Reader
-from tablewarden.sources.storage import Storage
+from tablewarden.sources.folders import Folders
 
 MANIFEST = "manifest"
 DATA = "data"
@@ -57,13 +57,13 @@ class Snapshot:
         rename copies (object stores), readers still refuse a folder without its manifest.
         """
         self._check_options()
-        storage = Storage(self.spark)
-        if storage.exists(target):
+        folders = Folders(self.spark)
+        if folders.exists(target):
             raise FileExistsError(target)
         refuse_on(selection.identifier_findings(self.objects), ("unsafe-identifier",))
         parent, _, name = target.rstrip("/").rpartition("/")
         staged = f"{parent}/.{name}.{uuid.uuid4().hex}.partial"
-        storage.make_parent(staged)
+        folders.make_parent(staged)
         try:
             with ThreadPoolExecutor(self.threads) as pool:
                 # The driver holds one small record per table: each table is a job of its own.
@@ -75,9 +75,9 @@ class Snapshot:
             manifest = self.spark.createDataFrame(exported, MANIFEST_SCHEMA)
             manifest.coalesce(1).write.mode("errorifexists").parquet(f"{staged}/{MANIFEST}")
             refuse_on(verify(self.spark, staged, self.extra_rules), RULE_ORDER)
-            storage.publish(staged, target)
+            folders.publish(staged, target)
         except BaseException:
-            storage.delete(staged)
+            folders.delete(staged)
             raise
         return self.spark.read.parquet(f"{target}/{MANIFEST}")
 
@@ -130,13 +130,13 @@ def verify(
     spark: SparkSession, path: str, extra_rules: Sequence[ExtraRule] = (), threads: int = 4
 ) -> DataFrame:
     """Findings on an artifact: its manifest against the files and the rows they hold."""
-    if not Storage(spark).exists(f"{path}/{MANIFEST}"):
+    if not Folders(spark).exists(f"{path}/{MANIFEST}"):
         return spark.createDataFrame(
             [("not-an-artifact", path, "error", "there is no manifest")], FINDINGS
         )
     manifest = spark.read.parquet(f"{path}/{MANIFEST}")
     tables = manifest.where(F.col("kind") != "view")
-    if not Storage(spark).exists(f"{path}/{DATA}"):
+    if not Folders(spark).exists(f"{path}/{DATA}"):
         files = spark.createDataFrame([], "file_name string, length long")
     else:
         files = list_files(spark, f"{path}/{DATA}")

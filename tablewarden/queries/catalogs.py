@@ -223,6 +223,9 @@ def grant_parse(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join("privileges", ",").alias("privileges"),
         "database",
         F.array_join("total", ",").alias("account_privileges"),
+        F.array_join(
+            grants.held_of(grants.required_data("mysql", "auto"), F.col("total")), ","
+        ).alias("needed_held"),
     )
 
 
@@ -239,9 +242,11 @@ FROM ({c.GRANTS}) g
 
 GRANT_PARSE = f"""
 WITH p AS ({PARSED_GRANTS}),
-t AS (SELECT grantee, string_agg(DISTINCT item, ',' ORDER BY item) AS account_privileges
+t AS (SELECT grantee, string_agg(DISTINCT item, ',' ORDER BY item) AS account_privileges,
+             coalesce(string_agg(DISTINCT item, ',' ORDER BY item) FILTER (item IN ('SELECT', 'SHOW VIEW', 'TRIGGER')), '')
+               AS needed_held
       FROM (SELECT grantee, unnest(string_split(listed, ', ')) AS item FROM p WHERE action = 'GRANT') GROUP BY grantee)
-SELECT p.grantee, stmt, understood, action, replace(listed, ', ', ',') AS privileges, database, account_privileges
+SELECT p.grantee, stmt, understood, action, replace(listed, ', ', ',') AS privileges, database, account_privileges, needed_held
 FROM p LEFT JOIN t ON p.grantee = t.grantee
 """
 

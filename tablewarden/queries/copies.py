@@ -14,6 +14,7 @@ from tablewarden.plans.restore import Restore
 from tablewarden.plans.snapshot import Snapshot, object_path
 from tablewarden.queries import common as c
 from tablewarden.sources.catalog import parquet_reader
+from tablewarden.sources.folders import Folders
 
 SOURCE = "shop"
 DROP = ("shop.labels",)
@@ -49,6 +50,7 @@ def export_restore_counts(spark: SparkSession, sf: str) -> DataFrame:
         counted = restored.drop("database_name").collect()  # one row per table
     finally:
         spark.sql(f"DROP DATABASE IF EXISTS `{destination}` CASCADE")
+        Folders(spark).delete(folder)
     back = spark.createDataFrame(counted, restored.drop("database_name").schema)
     counts = [
         c.table(spark, sf, t).agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(t))
@@ -100,7 +102,7 @@ def table_checksum(spark: SparkSession, sf: str) -> DataFrame:
     copy = all_findings(
         [measured(t, spark.read.parquet(object_path(artifact, SOURCE, t))) for t in CHECKED]
     )
-    return (
+    compared = (
         manifest.select("table_name", "checksum")
         .join(source.select("table_name", "rows", F.col("portable").alias("checksum_before")), "table_name")
         .join(copy.select("table_name", F.col("portable").alias("checksum_after"), "exact"), "table_name")
@@ -112,6 +114,9 @@ def table_checksum(spark: SparkSession, sf: str) -> DataFrame:
             (F.col("checksum") == F.col("exact")).alias("exact_match"),
         )
     )
+    rows = compared.collect()  # one per table; then the copy can go
+    Folders(spark).delete(folder)
+    return spark.createDataFrame(rows, compared.schema)
 
 
 def _md5_sql(table: str, columns: list[str]) -> str:

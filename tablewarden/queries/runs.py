@@ -361,17 +361,19 @@ FROM ({COUNTED}) e GROUP BY run_id
 def verbosity_filter(spark: SparkSession, sf: str) -> DataFrame:
     events = _with_counters(c.run_log(spark, sf)).events
     is_progress, is_error = F.col("type") == "progress", F.col("type") == "error"
-    public = F.struct(
-        F.col("run_id").alias("runId"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
-        "phase",
-        "tool",
-        "type",
-        "status",
-        F.when(ev.carries_message(F.col("type")), F.col("source_event")).alias("message"),
-        F.when(is_progress, F.col("completed")).alias("completed"),
-        F.when(is_progress, F.col("total")).alias("total"),
-        F.when(is_error, F.col("fatal")).alias("fatal"),
+    public = ev.public_event(
+        {
+            "runId": F.col("run_id"),
+            "timestamp": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+            "phase": F.col("phase"),
+            "tool": F.col("tool"),
+            "type": F.col("type"),
+            "status": F.col("status"),
+            "message": F.when(ev.carries_message(F.col("type")), F.col("source_event")),
+            "completed": F.when(is_progress, F.col("completed")),
+            "total": F.when(is_progress, F.col("total")),
+            "fatal": F.when(is_error, F.col("fatal")),
+        }
     )
     levels = F.filter(
         F.array(

@@ -10,6 +10,7 @@ from tablewarden.functions import events as ev
 from tablewarden.operators import log_parse
 from tablewarden.queries import common as c
 from tablewarden.queries import runs, scrubs
+from tablewarden.sources.folders import Folders
 from tablewarden.sources.run_log import stream_lines
 from tablewarden.streaming import streams
 
@@ -61,6 +62,11 @@ def _log_lines(spark: SparkSession, sf: str, folder: str) -> str:
     return path
 
 
+def _drop_lines(spark: SparkSession, folder: str) -> None:
+    """The copy of the lines is not needed once a stream has read them."""
+    Folders(spark).delete(f"{folder}/lines")
+
+
 def _events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     lines = stream_lines(spark, _log_lines(spark, sf, folder))
     return streams.typed_events(lines, "exporter", DELAY, c.COMPLETIONS)
@@ -71,9 +77,9 @@ def stream_lock_watchdog(spark: SparkSession, sf: str) -> DataFrame:
     watched = streams.watch_locks(
         _events(spark, sf, folder), c.LOCK, c.PROGRESS, runs.LOCK_BUDGET
     )
-    return streams.drain(spark, watched, folder).select(
-        "run_id", F.col("sequence").alias("event_id"), "over_budget"
-    )
+    told = streams.drain(spark, watched, folder)
+    _drop_lines(spark, folder)
+    return told.select("run_id", F.col("sequence").alias("event_id"), "over_budget")
 
 
 # Every lock start, armed or not: whether any progress comes within the budget.
@@ -90,6 +96,7 @@ def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "lifecycle")
     followed = streams.follow_lifecycle(_events(spark, sf, folder), c.LIFECYCLE)
     states = streams.drain(spark, followed, folder, mode="update")
+    _drop_lines(spark, folder)
     return (
         states.groupBy("run_id")
         .agg(F.max_by("lifecycle", "batch_id").alias("status"))
@@ -103,6 +110,7 @@ STREAM_LIFECYCLE = f"SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHEC
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "throttle")
     kept = streams.drain_throttled(spark, _events(spark, sf, folder), folder, runs.THROTTLE_MS)
+    _drop_lines(spark, folder)
     return (
         kept.where(F.col("run_id") != "closing")
         .select("run_id", F.col("sequence").alias("event_id"))
@@ -132,6 +140,7 @@ def stream_run_status(spark: SparkSession, sf: str) -> DataFrame:
     ended = streams.drain(
         spark, streams.one_terminal(events(), terminal).select("run_id"), f"{folder}/ended"
     )
+    _drop_lines(spark, folder)
     ends = ended.groupBy("run_id").agg(F.count(F.lit(1)).alias("terminals"))
     return (
         latest.where(F.col("run_id") != "closing")
@@ -161,6 +170,7 @@ def stream_scrub(spark: SparkSession, sf: str) -> DataFrame:
         ev.envelope(F.struct("source", "id", "text"), "scrub").alias("line")
     )
     out = streams.drain(spark, lines, folder)
+    _drop_lines(spark, folder)
     envelope = "schemaVersion int, type string, command string, event struct<source string, id long, text string>"
     event = F.from_json("line", envelope)["event"]
     return out.select(event.alias("e")).select("e.source", "e.id", *scrubs.summary(F.col("e.text")))
@@ -173,6 +183,7 @@ def stream_parse(spark: SparkSession, sf: str) -> DataFrame:
     c.view(spark, sf, c.LINES).select("line").write.text(path)
     parsed = log_parse.parse_lines(stream_lines(spark, path), "exporter")
     out = streams.drain(spark, parsed.select("reason", "sequence"), folder)
+    _drop_lines(spark, folder)
     return out.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(
         F.count(F.lit(1)).alias("lines"),
         F.coalesce(F.sum("sequence"), F.lit(0)).alias("sequences"),

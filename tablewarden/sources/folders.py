@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-class Storage:
+class Folders:
     """Metadata operations of the driver; table data never passes through here."""
 
     def __init__(self, spark: SparkSession):

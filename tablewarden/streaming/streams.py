@@ -11,7 +11,7 @@ from tablewarden import fixed_values as fixed
 from tablewarden.functions import redaction
 from tablewarden.operators import log_parse, run_log, throttle
 from tablewarden.operators.run_log import RunLog, Transition, is_transition
-from tablewarden.sources.storage import Storage
+from tablewarden.sources.folders import Folders
 from tablewarden.streaming.processors import LockWatchdog
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -160,12 +160,12 @@ def drain_throttled(
     micro-batches a run's events must arrive in order, as they do when a log is followed.
     """
     out, state = f"{folder}/out", f"{folder}/state"
-    storage = Storage(spark)
+    folders = Folders(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = f"{state}/after={batch_id - 1}"
-        seed = session.read.parquet(before) if storage.exists(before) else None
+        seed = session.read.parquet(before) if folders.exists(before) else None
         # Kept for this batch only: its lines are parsed once, though they are read twice.
         narrow = batch.select("run_id", "sequence", "event_time", "type").persist()
         log = RunLog(narrow, ("event_time", "sequence"))
