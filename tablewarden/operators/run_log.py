@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,22 @@ class RunLog:
     def position(self) -> Column:
         return F.struct(*self.order)
 
+    @property
+    def ordinal(self) -> Column:
+        """The order as one number, so that aggregates of it hash instead of sorting.
+
+        A time and a non-negative number make a decimal (19 digits for the number); other orders
+        stay structs, which Spark aggregates by sorting.
+        """
+        lead, *rest = self.order
+        if not rest:
+            return F.col(lead)
+        types = [self.events.schema[c].dataType.typeName() for c in self.order]
+        if len(rest) == 1 and types[0].startswith("timestamp") and types[1] in ("long", "integer"):
+            shifted = self.cutter.cast("decimal(18,0)") * F.lit(Decimal(10**19)).cast("decimal(20,0)")
+            return (shifted + F.col(rest[0]).cast("decimal(19,0)")).cast("decimal(38,0)")
+        return self.position
+
     @property
     def micros(self) -> Column:
         return F.unix_micros(F.col(self.at).cast("timestamp"))
@@ -97,7 +114,7 @@ def lifecycle(log: RunLog, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE)
         seen = seen + F.col(f"_seen{i}")
     return (
         log.events.groupBy(log.run)
-        .agg(*_lifecycle_aggregates(steps, log.position))
+        .agg(*_lifecycle_aggregates(steps, log.ordinal))
         .select(log.run, _lifecycle_status(steps).alias("lifecycle"), seen.alias("recognised"))
     )
 
@@ -417,16 +434,23 @@ def judge(
     """
     run = log.run
     is_completion = F.col("type") == "completion"
+
+    def completed(value: Column) -> Column:
+        return F.when(is_completion, value)
+
+    # Counters matter only where there is one completion, so any aggregate of it gives its value.
+    # All results are numbers and booleans: this aggregate hashes, where texts would make it sort.
     facts = log.events.groupBy(run).agg(
         F.count_if(is_completion).alias("completions"),
         F.bool_or(F.col("type") == "cancelled").alias("any_cancelled"),
         F.coalesce(F.bool_or((F.col("type") == "error") & F.col("fatal")), F.lit(False)).alias(
             "any_fatal"
         ),
-        F.max_by(
-            F.struct("exit_code", "errors", "files"), F.when(is_completion, log.position)
-        ).alias("c"),
-        *_lifecycle_aggregates(steps, log.position),
+        F.max(completed(F.col("exit_code"))).alias("exit_code"),
+        F.bool_or(completed(F.coalesce(F.col("errors") == "0", F.lit(False)))).alias("no_errors"),
+        F.max(completed(ev.counter(F.col("files")))).alias("files"),
+        F.bool_or(completed(~ev.is_safe_integer(F.col("files")))).alias("unsafe_files"),
+        *_lifecycle_aggregates(steps, log.ordinal),
     )
     over = (
         lock_windows(log, lock, progress, budget_seconds, limit)
@@ -438,11 +462,9 @@ def judge(
         .groupBy(run)
         .agg(F.count(F.lit(1)).alias("faults"))
     )
-    files = ev.counter(F.col("c.files"))
-    unsafe_files = ~ev.is_safe_integer(F.col("c.files"))
-    no_errors = F.coalesce(F.col("c.errors") == "0", F.lit(False))
-    clean_exit = F.col("c.exit_code").eqNullSafe(F.lit(0).cast("long"))
-    agrees = F.col("c.exit_code").eqNullSafe(F.col("exit").cast("long"))
+    no_errors = F.coalesce(F.col("no_errors"), F.lit(False))
+    clean_exit = F.col("exit_code").eqNullSafe(F.lit(0).cast("long"))
+    agrees = F.col("exit_code").eqNullSafe(F.col("exit").cast("long"))
     once = F.col("completions") == 1
     broken = {
         "lock-budget": F.coalesce("over_budget", F.lit(False)),
@@ -454,8 +476,8 @@ def judge(
         "completion-count": ~once,
         "completion-errors": ~clean_exit | ~no_errors,
         "exit-disagreement": ~agrees | ~no_errors,
-        "invalid-file-count": unsafe_files,
-        "file-count": F.col("files_found").isNotNull() & (files != F.col("files_found")),
+        "invalid-file-count": F.col("unsafe_files"),
+        "file-count": F.col("files_found").isNotNull() & (F.col("files") != F.col("files_found")),
     }
     is_export = F.col("tool") == exporter
     # An export is also aborted by the watchdog when a fault follows an unlock.

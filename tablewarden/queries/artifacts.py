@@ -169,7 +169,7 @@ SELECT concat('db', cast(s_suppkey AS string)), 'extra', 'base-table', 'ALL', fa
 def artifact_verify(spark: SparkSession, sf: str) -> DataFrame:
     files = session.materialised(c.view(spark, sf, c.FILES), "files")
     manifest = session.materialised(c.view(spark, sf, DECLARED), "manifest")
-    export = artifact.export_findings(c.view(spark, sf, SELECTION), manifest, files)
+    export = artifact.export_findings(session.materialised(c.view(spark, sf, SELECTION), "selection"), manifest, files)
     restore = artifact.restore_findings(manifest, files)
     reported = c.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
     parts = {

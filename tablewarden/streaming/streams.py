@@ -81,7 +81,7 @@ def run_status(events: DataFrame) -> DataFrame:
         F.count_if(F.col("type") == "completion").alias("completions"),
         F.coalesce(F.bool_or(F.col("fatal")), F.lit(False)).alias("any_fatal"),
         F.coalesce(F.bool_or(F.col("type") == "cancelled"), F.lit(False)).alias("any_cancelled"),
-        F.max(F.struct("event_time", "sequence", "phase")).alias("last"),
+        F.max("event_time").alias("last_seen"),
     )
 
 
