@@ -140,7 +140,7 @@ def parse_lines(
     kept = [c for c in lines.columns if c not in EVENT_COLUMNS]
     if known_keys:
         known = F.array(*[F.lit(k) for k in known_keys])
-        keys = F.json_object_keys(F.to_json("_v"))
+        keys = F.map_keys(F.try_variant_get("_v", "$", "map<string,variant>"))
         judged = judged.withColumn("unknown_keys", F.array_sort(F.array_except(keys, known)))
         kept.append("unknown_keys")
     # Unpacking through a generator keeps later filters on the result from being pushed down, where

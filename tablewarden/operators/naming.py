@@ -52,6 +52,7 @@ def _resolve(counted: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
         .groupBy("parent", "child", "place")
         .agg(F.count_if(F.col("_at") < F.col("_first")).alias("_come"))
     )
+    # One entry per distinct literal child of a parent, never per row.
     children = before.groupBy("parent").agg(
         F.array_sort(
             F.collect_list(F.struct("place", F.col("_come").alias("come"), "child"))
@@ -132,12 +133,14 @@ def pick_artifacts(
         F.sequence(F.lit(1), F.size(dashed) - 1),
         lambda n: F.array_join(F.slice(dashed, F.lit(1), n), "-"),
     )
+    # Names are unique before they are exploded, so pairs are too, and everything after the first
+    # join is grouped by the key it was joined on: no further shuffle.
     candidates = (
         listing.where(F.contains(F.col("name"), F.lit("-")))
+        .select("name")
+        .distinct()
         .select("name", F.explode(prefixes).alias("id"))
         .join(keys.select("id").distinct(), "id", "left_semi")
-        .groupBy("id", "name")
-        .agg(F.lit(1).alias("_one"))
     )
     counted = candidates.groupBy("id").agg(
         F.count(F.lit(1)).alias("matches"), F.min("name").alias("path")

@@ -75,6 +75,7 @@ def throttle(
 ) -> DataFrame:
     """The events that are kept, with all their columns.
 
+    The clock decides, so a run's events are taken by time, and by the log's order within one time.
     ``seed`` may give the time of the last event kept before (the run column and ``micros``).
     """
     gap, run, chunk_column = interval_ms * 1000, log.run, ordered.CHUNK
@@ -110,20 +111,26 @@ def throttle(
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     placed = cut.repartition(run, ordered.CHUNK).sortWithinPartitions(
-        run, ordered.CHUNK, *log.order
+        run, ordered.CHUNK, "_us", *log.order
     )
     return placed.mapInArrow(fold, placed.schema).select(*columns)
 
 
 def _with_carry(cut: DataFrame, log: RunLog, gap: int) -> DataFrame:
     """Add ``_carry``: the last kept time before each row's chunk, in hot runs."""
-    run, chunk, order = log.run, ordered.CHUNK, list(log.order)
+    run, chunk = log.run, ordered.CHUNK
     run_type = cut.schema[run].dataType.simpleString()
     hot = cut.groupBy(run).agg(F.max(chunk).alias("_top")).where("_top > 0").select(run)
-    rows = cut.select(run, chunk, *log.order, "_us", "_drop", "_seed").join(hot, run, "left_semi")
+    # Of events at one time only this counts: whether one of them cannot be dropped. Bursts merge on
+    # the map side, and a chunk's rows are bounded by the distinct times in it.
+    rows = (
+        cut.join(hot, run, "left_semi")
+        .groupBy(run, chunk, "_us")
+        .agg(F.bool_and("_drop").alias("_drop"), F.max("_seed").alias("_seed"))
+    )
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values("_us")
         thresholds, results = step_function(
             pdf["_us"].to_numpy(np.int64), pdf["_drop"].to_numpy(bool), gap
         )
