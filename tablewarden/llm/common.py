@@ -30,6 +30,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return session.materialised(df, label)
 
 
+def file_bytes(path: str) -> bytes:
+    """A vocabulary or model file, read where the query is planned and sent along with the job."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table does not have yet."""
     taken = {c.lower() for c in df.columns}
