@@ -40,14 +40,12 @@ def around(places: np.ndarray, n_words: int) -> np.ndarray:
     return np.unique(starts[(starts >= 0) & (starts <= n_words - WINDOW)])
 
 
-@F.pandas_udf("array<bigint>")
 def _anchor_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known = WordHashes()
     for batch in texts:
         yield pd.Series([np.unique(anchors(known.of(split_words(t)))[0]) for t in batch], dtype=object)
 
 
-@F.pandas_udf("code array<bigint>, start array<int>")
 def _windows(inputs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     known = WordHashes()
     for texts, shared in inputs:
@@ -61,7 +59,6 @@ def _windows(inputs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
         yield pd.DataFrame({"code": codes, "start": starts})
 
 
-@F.pandas_udf("n_words bigint, n_removed bigint, kept_text string")
 def _without(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, starts, copies in inputs:
         rows = []
@@ -94,12 +91,14 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     sort-merge joins, whose large partitions Spark splits: a passage of a third of all documents is one
     row on one side and spread on the other. No pair of documents is ever made.
     """
-    found = rows.select("doc", "mark", F.explode(_anchor_sets("text")).alias("anchor"))
+    anchor_sets = F.pandas_udf(_anchor_sets, "array<bigint>")
+    window_codes = F.pandas_udf(_windows, "code array<bigint>, start array<int>")
+    found = rows.select("doc", "mark", F.explode(anchor_sets("text")).alias("anchor"))
     shared = found.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
     wanted = found.join(shared, "anchor", "left_semi").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted"))
     windows = (
         rows.join(wanted, ["doc", "mark"])
-        .select("doc", "mark", _windows("text", "wanted").alias("w"))
+        .select("doc", "mark", window_codes("text", "wanted").alias("w"))
         .select("doc", "mark", F.explode(F.arrays_zip("w.code", "w.start")).alias("w"))
         .select("doc", "mark", "w.code", "w.start")
     )
@@ -129,7 +128,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     changes = changes.unionByName(copies.select("doc", "mark", nothing.alias("starts"), F.lit(True).alias("copy")))
     changes = changes.select(F.col("doc").alias(f"{out}_doc"), F.col("mark").alias(f"{out}_mark"), *[F.col(c).alias(f"{out}_{c}") for c in ("starts", "copy")])
     joined = whole.join(changes, [f"{out}_doc", f"{out}_mark"], "left")
-    result: Column = _without.asNondeterministic()(
+    without = F.pandas_udf(_without, "n_words bigint, n_removed bigint, kept_text string").asNondeterministic()
+    result: Column = without(
         F.col(text), F.coalesce(f"{out}_starts", nothing), F.coalesce(f"{out}_copy", F.lit(False))
     )
     return joined.select(*docs.columns, result.alias(out))
