@@ -26,9 +26,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Runs of characters that are no ASCII white space; bytes split at just that."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """Runs of characters that are no ASCII white space, as bytes split; `lower` turns A-Z, and only these, to a-z."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return (data.lower() if lower else data).split()
 
 
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:

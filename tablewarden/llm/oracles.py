@@ -76,4 +76,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based
 """
 
-ORACLES = {"op1_url_filter": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4}
+OP7 = rf"""
+WITH RECURSIVE
+     docs AS (SELECT row_number() OVER () AS n, doc_id,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS words FROM documents),
+     shingles AS (SELECT DISTINCT n, array_to_string(words[i:i + 4], ' ') AS shingle
+                  FROM (SELECT *, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM docs WHERE len(words) > 0)),
+     sizes AS (SELECT n, count(*) AS size FROM shingles GROUP BY n),
+     shared AS (SELECT a.n AS a, b.n AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle) WHERE a.n <> b.n GROUP BY ALL),
+     links AS (SELECT a, b FROM shared JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE 100 * common >= 75 * (x.size + y.size - common)),
+     reach(n, m) AS (SELECT n, n FROM docs UNION SELECT reach.n, b FROM reach JOIN links ON a = m)
+SELECT docs.doc_id, coalesce(any_value(size), 0) AS n_shingles, min(other.doc_id) AS component_id
+FROM docs JOIN reach USING (n) JOIN docs other ON other.n = m LEFT JOIN sizes ON sizes.n = docs.n
+GROUP BY docs.n, docs.doc_id
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op3_substring_dedup": OP3, "op4_quality_rules": OP4, "op7_ngram_jaccard_join": OP7}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import fingerprint, language, packing, quality, sentence_pieces, substring, toxicity, url_filter
+from tablewarden.llm import fingerprint, jaccard, language, packing, quality, sentence_pieces, substring, toxicity, url_filter
 from tablewarden.llm.common import file_bytes, fold, table
 from tablewarden.llm.oracles import ORACLES  # noqa: F401
 from tablewarden.llm.rules import URL_RULES
@@ -55,6 +55,10 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.with_digests(docs, file_bytes(public_tokenizers.path("piece_bpe_32k.model"))).select("doc_id", "pieces.*")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = file_bytes(public_tokenizers.path("byte_bpe_50k.json")).decode()
     return packing.pack(packing.tokenised_pieces(table(spark, sf_dir, "documents"), tokenizer))
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fingerprint": op10_fingerprint,
 }
