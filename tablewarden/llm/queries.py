@@ -27,12 +27,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    got = F.col("substring")
-    return found.select(
-        "doc_id", got["n_words"].alias("n_words"), got["n_removed"].alias("n_removed"),
-        F.sha2(got["kept_text"].cast("binary"), 256).alias("kept_sha256"),
-    )
+    return substring.deduplicate(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ Hashes are taken only of the 7-word runs that start at places 0, 1 or 3 modulo 7
 two equal windows, there is a distance below 7 at which both have such a place, so they share an anchor
 that lies inside them. Anchors that occur in one document are done with; around the others windows are
 extended to their full length and compared as such.
+
+Anchors that a fixed-size sample of documents shows to be common are known to be shared. They are sent to
+all tasks as a list of bounded length instead of being shuffled, so no anchor's rows pile up in one task;
+what the sample misses is found like any other anchor.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import free_name
@@ -25,6 +29,8 @@ COVER = (0, 1, 3)  # every difference modulo 7 is one between two of these
 ANCHOR = WINDOW - PERIOD + 1
 #: Anchors only choose what is compared, so they need fewer bits than windows; short ones travel cheaper.
 ANCHOR_BITS = 48
+#: Documents looked at for common anchors, in how many of them an anchor is common, and how many are listed.
+SAMPLE, SAMPLE_HITS, MOST_COMMON = 2000, 4, 100_000
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,20 +46,23 @@ def around(places: np.ndarray, n_words: int) -> np.ndarray:
     return np.unique(starts[(starts >= 0) & (starts <= n_words - WINDOW)])
 
 
-def _anchor_sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _anchor_sets(batches: Iterator[pd.Series], common: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Each document's anchors without the common ones, and whether it has any of these."""
     known = WordHashes()
-    for batch in texts:
-        yield pd.Series([np.unique(anchors(known.of(split_words(t)))[0]) for t in batch], dtype=object)
+    for texts in batches:
+        sets = [np.unique(anchors(known.of(split_words(t)))[0]) for t in texts]
+        rest = [s[~np.isin(s, common, assume_unique=True)] for s in sets]
+        yield pd.DataFrame({"anchors": rest, "common": [len(r) < len(s) for r, s in zip(rest, sets)]})
 
 
-def _windows(inputs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def _windows(inputs: Iterator[tuple[pd.Series, pd.Series]], common: np.ndarray) -> Iterator[pd.DataFrame]:
     known = WordHashes()
     for texts, shared in inputs:
         codes, starts = [], []
         for text, wanted in zip(texts, shared):
             words = known.of(split_words(text))
             own, places = anchors(words)
-            start = around(places[np.isin(own, wanted)], len(words))
+            start = around(places[np.isin(own, wanted) | np.isin(own, common)], len(words))
             codes.append(run_hashes(words, WINDOW)[start].view(np.int64))
             starts.append(start.astype(np.int32))
         yield pd.DataFrame({"code": codes, "start": starts})
@@ -84,21 +93,49 @@ def _later_copies(rows: DataFrame) -> DataFrame:
     return marked.join(first, "digest").where("first < doc").select("doc", "mark").distinct()
 
 
+def common_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors of at least SAMPLE_HITS of about SAMPLE documents (chosen by their id's hash), the most frequent ones."""
+    nth = max(1, rows.count() // SAMPLE)
+
+    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return (x["anchors"] for x in _anchor_sets(texts, np.empty(0, np.int64)))
+
+    anchor_udf = F.pandas_udf(sets, "array<bigint>")
+    found = rows.where(F.pmod(F.xxhash64("doc"), F.lit(nth)) == 0).select(F.explode(anchor_udf("text")).alias("anchor"))
+    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
+    top = often.orderBy(F.desc("n"), "anchor").limit(MOST_COMMON).collect()
+    return np.sort(np.array([r["anchor"] for r in top], np.int64))
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc, mark, starts) of windows of `rows` (doc, mark, text) that a document with a smaller id has too.
 
-    Anchors and windows are counted before they are shuffled, and the tables of counts meet the rows by
-    sort-merge joins, whose large partitions Spark splits: a passage of a third of all documents is one
-    row on one side and spread on the other. No pair of documents is ever made.
+    Windows are reduced to their smallest document before they are shuffled and meet it again in a
+    sort-merge join, whose large partitions Spark splits: a passage of a third of all documents is one row
+    on one side and spread on the other. No pair of documents is ever made.
     """
-    anchor_sets = F.pandas_udf(_anchor_sets, "array<bigint>")
-    window_codes = F.pandas_udf(_windows, "code array<bigint>, start array<int>")
-    found = rows.select("doc", "mark", F.explode(anchor_sets("text")).alias("anchor"))
-    shared = found.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1").select("anchor")
-    wanted = found.join(shared, "anchor", "left_semi").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted"))
+    common = common_anchors(rows)
+
+    def anchor_sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return _anchor_sets(texts, common)
+
+    def window_codes(inputs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return _windows(inputs, common)
+
+    anchor_udf = F.pandas_udf(anchor_sets, "anchors array<bigint>, common boolean")
+    window_udf = F.pandas_udf(window_codes, "code array<bigint>, start array<int>")
+    # A document with common anchors has one row more, in a place of its own, that needs no second one.
+    own_place = F.when(F.col("a.common"), F.array(F.xxhash64("doc", "mark"))).otherwise(F.array().cast("array<bigint>"))
+    found = (
+        rows.select("doc", "mark", anchor_udf("text").alias("a"))
+        .select("doc", "mark", F.explode(F.array(F.struct(F.col("a.anchors").alias("list"), F.lit(False).alias("known")), F.struct(own_place.alias("list"), F.lit(True).alias("known")))).alias("x"))
+        .select("doc", "mark", "x.known", F.explode("x.list").alias("anchor"))
+    )
+    holders = found.withColumn("rows", F.count("*").over(Window.partitionBy("anchor", "known")))
+    wanted = holders.where("known OR rows > 1").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted"))
     windows = (
         rows.join(wanted, ["doc", "mark"])
-        .select("doc", "mark", window_codes("text", "wanted").alias("w"))
+        .select("doc", "mark", window_udf("text", "wanted").alias("w"))
         .select("doc", "mark", F.explode(F.arrays_zip("w.code", "w.start")).alias("w"))
         .select("doc", "mark", "w.code", "w.start")
     )
@@ -108,41 +145,58 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     )
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """`rows` (doc, mark, text, neither null) with `result`. All joins take the texts from one and the same shuffle."""
+    copies = _later_copies(rows)
+    originals = rows.join(copies, ["doc", "mark"], "left_anti")
+    nothing = F.array().cast("array<int>")
+    changes = (
+        repeated_windows(originals)
+        .select("doc", "mark", "starts", F.lit(False).alias("copy"))
+        .unionByName(copies.select("doc", "mark", nothing.alias("starts"), F.lit(True).alias("copy")))
+    )
+    without = F.pandas_udf(_without, "n_words bigint, n_removed bigint, kept_text string").asNondeterministic()
+    return rows.join(changes, ["doc", "mark"], "left").select(
+        "doc", "mark", "text", without("text", F.coalesce("starts", nothing), F.coalesce("copy", F.lit(False))).alias("result")
+    )
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with a struct column `substring` (n_words, n_removed, kept_text), underscored where the name is taken.
+    """key, text, n_words, n_removed and kept_text of every row.
 
     kept_text has the words that stay, joined by one space. Windows are judged on the input, not on what
-    is left. The key is an integer. Null texts have no words. Rows with a null key neither lose words nor
-    take any; rows with the same key are one document as far as "smaller" goes, and each is judged alone.
-    Whole copies are settled by their digest and are not cut into windows. An empty table stays empty.
+    is left. The key is an integer. Null texts have no words and an empty kept_text. Rows with a null key
+    neither lose words nor take any; rows with the same key are one document as far as "smaller" goes, and
+    each is judged alone. Whole copies are settled by their digest and are not cut into windows. Other
+    columns are not read; an empty table stays empty.
     """
-    out = free_name(docs, "substring")
-    whole = docs.withColumns({f"{out}_doc": F.col(key).cast("long"), f"{out}_mark": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")
-    )
-    copies = _later_copies(rows)
-    originals = rows.join(copies, ["doc", "mark"], "left_anti")
-    changes = repeated_windows(originals).select("doc", "mark", "starts", F.lit(False).alias("copy"))
-    nothing = F.array().cast("array<int>")
-    changes = changes.unionByName(copies.select("doc", "mark", nothing.alias("starts"), F.lit(True).alias("copy")))
-    changes = changes.select(F.col("doc").alias(f"{out}_doc"), F.col("mark").alias(f"{out}_mark"), *[F.col(c).alias(f"{out}_{c}") for c in ("starts", "copy")])
-    joined = whole.join(changes, [f"{out}_doc", f"{out}_mark"], "left")
+    named = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    rows = named.where("doc IS NOT NULL AND text IS NOT NULL").select(F.col("doc").cast("long"), F.xxhash64("text").alias("mark"), "text")
     without = F.pandas_udf(_without, "n_words bigint, n_removed bigint, kept_text string").asNondeterministic()
-    result: Column = without(
-        F.col(text), F.coalesce(f"{out}_starts", nothing), F.coalesce(f"{out}_copy", F.lit(False))
+    alone = named.where("doc IS NULL OR text IS NULL").select(
+        F.col("doc").cast("long"), "text", without("text", F.array().cast("array<int>"), F.lit(False)).alias("result")
     )
-    return joined.select(*docs.columns, result.alias(out))
+    found = _judged(rows).select("doc", "text", "result").unionByName(alone)
+    return found.select(F.col("doc").alias(key), F.col("text").alias(text), "result.n_words", "result.n_removed", "result.kept_text")
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
-    """Documents without the repeated passages, their words joined by one space; those left with nothing go.
+    """`docs` without the repeated passages, the words left joined by one space; documents left with nothing go.
 
-    Documents that lose no word stay as they are, to the byte. `length`, if there, is counted anew.
+    Documents that lose no word stay as they are, to the byte, and so do rows with a null key or text.
+    `length`, if there, is counted anew. Other columns meet the result by key and text hash; of rows that
+    are equal in both, each keeps its own.
     """
-    found = deduplicate(docs, key, text)
-    got = F.col(found.columns[-1])
-    new_text = F.when(got["n_removed"] > 0, got["kept_text"]).otherwise(F.col(text))
+    out = free_name(docs, "substring")
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")
+    )
+    n = F.col("result")
+    lost = _judged(rows).where(n["n_removed"] > 0).groupBy("doc", "mark").agg(F.first(F.struct(n["n_words"], n["n_removed"], n["kept_text"])).alias(out))
+    lost = lost.select(F.col("doc").alias(f"{out}_doc"), F.col("mark").alias(f"{out}_mark"), out)
+    same = (F.col(key) == F.col(f"{out}_doc")) & (F.xxhash64(F.col(text)) == F.col(f"{out}_mark"))
+    got = F.col(out)
+    new_text = F.coalesce(got["kept_text"], F.col(text))
     new = {text: new_text} | ({length: F.length(new_text).cast("long")} if length in docs.columns else {})
-    left = (got["n_removed"] == 0) | (got["n_removed"] < got["n_words"])
-    return found.where(left).withColumns(new).select(*docs.columns)
+    left = got.isNull() | (got["n_removed"] < got["n_words"])
+    return docs.join(lost, same, "left").where(left).withColumns(new).select(*docs.columns)
