@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import fingerprint, jaccard, language, packing, quality, sentence_pieces, substring, toxicity, url_filter
+from tablewarden.llm import fingerprint, jaccard, language, lm_scoring, packing, quality, sentence_pieces, substring, toxicity, url_filter
 from tablewarden.llm.common import file_bytes, fold, table
 from tablewarden.llm.oracles import ORACLES  # noqa: F401
 from tablewarden.llm.rules import URL_RULES
@@ -56,6 +56,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = file_bytes(public_tokenizers.path("byte_bpe_50k.json")).decode()
     return packing.pack(packing.tokenised_pieces(table(spark, sf_dir, "documents"), tokenizer))
@@ -73,6 +77,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_sentence_pieces": op6_sentence_pieces,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fingerprint": op10_fingerprint,
 }
