@@ -24,9 +24,9 @@ ORDERS = (3, 4, 5, 6)
 #: At most so many documents of each class are trained on, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1500
 #: A bucket must occur in so many documents of the sample to have a weight.
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 3
 #: Buckets that are nearly as frequent in either class get no weight.
-LEAST_RATIO = 0.7
+LEAST_RATIO = 1.0
 THRESHOLD = 0.7
 
 
@@ -96,7 +96,7 @@ def _curve(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(max(found[0], 1e-3)), float(found[1])
 
 
-def train(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 8, cost: float = 0.01) -> ToxicityModel:
+def train(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 8, cost: float = 0.003) -> ToxicityModel:
     """Fit the weights; with fewer than five documents of a class, every score is the smoothed share of toxic ones.
 
     The curve from margins to scores is fitted on every fifth document by a model trained without it.
