@@ -25,7 +25,7 @@ from tablewarden.llm.common import stored
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that one task numbers, on average.
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 1000
 # Fixed value: how a byte-level tokenizer of this kind splits a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -179,19 +179,21 @@ def plan(
     return placed
 
 
-def _numbered(pieces: DataFrame, key: str, length: str) -> DataFrame:
-    """`pieces` with `number`, from 0 within each length. Lengths are split into buckets, so a common one meets no single task."""
-    buckets = max(1, -(-pieces.count() // ROWS_PER_BUCKET))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(buckets)))
-    counts = dealt.groupBy(length, "bucket").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy(length).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(length, "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy(length, "bucket").orderBy(key, "piece", "ids_crc32")
+def _numbered(pieces: DataFrame, key: str, counts: Mapping[int, int]) -> DataFrame:
+    """`pieces` with `number`, from 0 within each length. Each length has buckets by its count, so a common one meets no single task."""
+    spark = pieces.sparkSession
+    # One row for each length: bounded by the capacity.
+    share = spark.createDataFrame([(n, -(-c // ROWS_PER_BUCKET)) for n, c in counts.items()] or [(0, 1)], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(share), "length").withColumn("bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.col("buckets")))
+    rows = dealt.groupBy("length", "bucket").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.select("length", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("length", "bucket").orderBy(key, "piece", "ids_crc32")
     return (
         dealt.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(starts, [length, "bucket"])
+        .join(starts, ["length", "bucket"])
         .withColumn("number", F.col("before") + F.col("inside"))
-        .drop("bucket", "inside", "before")
+        .drop("bucket", "buckets", "inside", "before")
     )
 
 
@@ -223,4 +225,4 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, **lim
                 [*columns, pa.array(first + inside // each), pa.array(offset + inside % each * size)], names=schema.names
             )
 
-    return _numbered(kept, key, "length").select(*kept.columns, "number").mapInArrow(place, schema)
+    return _numbered(kept, key, counts).select(*kept.columns, "number").mapInArrow(place, schema)
