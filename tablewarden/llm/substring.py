@@ -6,21 +6,23 @@ two equal windows, there is a distance below 7 at which both have such a place,
 that lies inside them. Anchors that occur in one document are done with; around the others windows are
 extended to their full length and compared as such.
 
-Anchors that a fixed-size sample of documents shows to be common are known to be shared. They are sent to
-all tasks as a list of bounded length instead of being shuffled, so no anchor's rows pile up in one task;
-what the sample misses is found like any other anchor.
+Anchors and windows that a fixed-size sample of documents shows to be common are sent to all tasks as lists
+of bounded length instead of being shuffled, so their rows pile up in no task; what the sample misses is
+found like anything else, and no result depends on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import free_name
+from tablewarden.llm.common import free_name, stored
 from tablewarden.llm.hashing import WordHashes, run_hashes, split_words
 
 WINDOW = 13
@@ -29,46 +31,94 @@ COVER = (0, 1, 3)  # every difference modulo 7 is one between two of these
 ANCHOR = WINDOW - PERIOD + 1
 #: Anchors only choose what is compared, so they need fewer bits than windows; short ones travel cheaper.
 ANCHOR_BITS = 48
-#: Documents looked at for common anchors, in how many of them an anchor is common, and how many are listed.
+#: Documents looked at for what is common, in how many of them it must be, and how many runs are listed.
 SAMPLE, SAMPLE_HITS, MOST_COMMON = 2000, 4, 100_000
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of a document's anchors."""
+    """Hashes (not negative) and places of a document's anchors."""
     codes = run_hashes(words, ANCHOR)
     places = np.flatnonzero(np.isin(np.arange(len(codes)) % PERIOD, COVER))
     return (codes[places] >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64), places
 
 
+def windows(words: np.ndarray) -> np.ndarray:
+    """Hashes (63 bits, not negative) of all windows, by their start."""
+    return (run_hashes(words, WINDOW) >> np.uint64(1)).astype(np.int64)
+
+
 def around(places: np.ndarray, n_words: int) -> np.ndarray:
     """Starts of the windows that hold an anchor at one of these places."""
     starts = (places[:, None] - np.arange(WINDOW - ANCHOR + 1)[None, :]).ravel()
     return np.unique(starts[(starts >= 0) & (starts <= n_words - WINDOW)])
 
 
-def _anchor_sets(batches: Iterator[pd.Series], common: np.ndarray) -> Iterator[pd.DataFrame]:
+@dataclass
+class Common:
+    """What a sample shows to be in many documents: anchors, and windows with the smallest document of each."""
+
+    anchors: np.ndarray
+    windows: np.ndarray
+    smallest: np.ndarray
+
+
+def _sample_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    known = WordHashes()
+    for texts in batches:
+        words = [known.of(split_words(t)) for t in texts]
+        yield pd.DataFrame({"anchors": [np.unique(anchors(w)[0]) for w in words], "windows": [np.unique(windows(w)) for w in words]})
+
+
+def _smallest_holders(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(code, doc): the smallest document of each common window, among those of a batch."""
+    known = WordHashes()
+    for batch in batches:
+        smallest = np.full(len(codes), np.iinfo(np.int64).max)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = windows(known.of(split_words(text.as_py())))
+            held = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            held = held[codes[held] == own]
+            smallest[held] = np.minimum(smallest[held], doc)
+        there = smallest < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(codes[there]), pa.array(smallest[there])], names=["code", "doc"])
+
+
+def _shuffled_anchors(batches: Iterator[pd.Series], common: Common) -> Iterator[pd.DataFrame]:
     """Each document's anchors without the common ones, and whether it has any of these."""
     known = WordHashes()
     for texts in batches:
         sets = [np.unique(anchors(known.of(split_words(t)))[0]) for t in texts]
-        rest = [s[~np.isin(s, common, assume_unique=True)] for s in sets]
+        rest = [s[~np.isin(s, common.anchors, assume_unique=True)] for s in sets]
         yield pd.DataFrame({"anchors": rest, "common": [len(r) < len(s) for r, s in zip(rest, sets)]})
 
 
-def _windows(inputs: Iterator[tuple[pd.Series, pd.Series]], common: np.ndarray) -> Iterator[pd.DataFrame]:
+def _windows(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]], common: Common) -> Iterator[pd.DataFrame]:
+    """Windows around shared anchors, each code once with its first start; -1 - start where the text has it again.
+
+    Common windows are decided here: those that a smaller document has go into `sure`.
+    """
     known = WordHashes()
-    for texts, shared in inputs:
-        codes, starts = [], []
-        for text, wanted in zip(texts, shared):
+    for docs, texts, shared in inputs:
+        rows = []
+        for doc, text, wanted in zip(docs, texts, shared):
             words = known.of(split_words(text))
             own, places = anchors(words)
-            start = around(places[np.isin(own, wanted) | np.isin(own, common)], len(words))
-            codes.append(run_hashes(words, WINDOW)[start].view(np.int64))
-            starts.append(start.astype(np.int32))
-        yield pd.DataFrame({"code": codes, "start": starts})
+            start = around(places[np.isin(own, wanted) | np.isin(own, common.anchors)], len(words))
+            codes = windows(words)[start]
+            codes, first, times = np.unique(codes, return_index=True, return_counts=True)
+            start = np.where(times > 1, -1 - start[first], start[first]).astype(np.int32)
+            sure = np.zeros(len(codes), bool)
+            decided = sure
+            if len(common.windows):
+                held = np.minimum(np.searchsorted(common.windows, codes), len(common.windows) - 1)
+                decided = common.windows[held] == codes
+                sure = decided & (common.smallest[held] < doc)
+            rows.append((codes[~decided], start[~decided], start[sure]))
+        yield pd.DataFrame(rows, columns=["code", "start", "sure"])
 
 
 def _without(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    known = WordHashes()
     for texts, starts, copies in inputs:
         rows = []
         for text, start, copy in zip(texts, starts, copies):
@@ -77,9 +127,12 @@ def _without(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
             if copy and len(words) >= WINDOW:
                 covered[0] = 1
             elif start is not None and len(start):
-                start = np.unique(start)
+                start = np.unique(start).astype(np.int64)
+                if start[0] < 0:  # some windows stand for all their equals in the text
+                    codes = windows(known.of(words))
+                    start = np.union1d(start[start >= 0], np.flatnonzero(np.isin(codes, codes[-1 - start[start < 0]])))
                 covered[start] += 1
-                np.subtract.at(covered, start + WINDOW, 1)
+                covered[start + WINDOW] -= 1
             removed = np.cumsum(covered[:-1]) > 0
             kept = [w for w, gone in zip(words, removed.tolist()) if not gone] if removed.any() else words
             rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
@@ -93,56 +146,77 @@ def _later_copies(rows: DataFrame) -> DataFrame:
     return marked.join(first, "digest").where("first < doc").select("doc", "mark").distinct()
 
 
-def common_anchors(rows: DataFrame) -> np.ndarray:
-    """Anchors of at least SAMPLE_HITS of about SAMPLE documents (chosen by their id's hash), the most frequent ones."""
+def common_runs(rows: DataFrame) -> Common:
+    """Anchors and windows of at least SAMPLE_HITS of about SAMPLE documents (chosen by their id's hash).
+
+    The sample only decides what is not shuffled. The smallest documents of common windows come from all
+    rows, put together in each task before anything is sent.
+    """
     nth = max(1, rows.count() // SAMPLE)
+    sets = F.pandas_udf(_sample_sets, "anchors array<bigint>, windows array<bigint>")
+    sample = stored(rows.where(F.pmod(F.xxhash64("doc"), F.lit(nth)) == 0).select(sets("text").alias("s")).select("s.*"), "sample")
+
+    def often(column: str) -> np.ndarray:
+        counted = sample.select(F.explode(column).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+        top = counted.where(F.col("n") >= SAMPLE_HITS).orderBy(F.desc("n"), "code").limit(MOST_COMMON).collect()
+        return np.sort(np.array([r["code"] for r in top], np.int64))
+
+    codes = often("windows")
+    if not len(codes):
+        return Common(often("anchors"), codes, codes)
 
-    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return (x["anchors"] for x in _anchor_sets(texts, np.empty(0, np.int64)))
+    def smallest_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _smallest_holders(batches, codes)
 
-    anchor_udf = F.pandas_udf(sets, "array<bigint>")
-    found = rows.where(F.pmod(F.xxhash64("doc"), F.lit(nth)) == 0).select(F.explode(anchor_udf("text")).alias("anchor"))
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
-    top = often.orderBy(F.desc("n"), "anchor").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r["anchor"] for r in top], np.int64))
+    found = rows.select("doc", "text").mapInArrow(smallest_holders, "code bigint, doc bigint")
+    smallest = {r["code"]: r["doc"] for r in found.groupBy("code").agg(F.min("doc").alias("doc")).collect()}
+    return Common(often("anchors"), codes, np.array([smallest[c] for c in codes.tolist()], np.int64))
 
 
-def repeated_windows(rows: DataFrame) -> DataFrame:
+def _exploded(listed: Column, known: Column) -> Column:
+    """Rows of a list, and one row more for what is known: its key is negative and the document's own."""
+    own = F.when(known, F.array(_own_key())).otherwise(F.array().cast("array<bigint>"))
+    return F.explode(F.concat(listed, own))
+
+
+def _own_key() -> Column:
+    return -1 - F.shiftrightunsigned(F.xxhash64("doc", "mark"), 1)
+
+
+def repeated_windows(rows: DataFrame, common: Common) -> DataFrame:
     """(doc, mark, starts) of windows of `rows` (doc, mark, text) that a document with a smaller id has too.
 
-    Windows are reduced to their smallest document before they are shuffled and meet it again in a
-    sort-merge join, whose large partitions Spark splits: a passage of a third of all documents is one row
-    on one side and spread on the other. No pair of documents is ever made.
+    One shuffle by anchors tells which are shared, one by windows which document is the smallest. A key's
+    rows are at most one per document, common keys are not shuffled, and no pair of documents is ever made.
+    Keys below zero carry what needs no comparison.
     """
-    common = common_anchors(rows)
 
-    def anchor_sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return _anchor_sets(texts, common)
+    def shuffled_anchors(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return _shuffled_anchors(texts, common)
 
-    def window_codes(inputs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def window_codes(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         return _windows(inputs, common)
 
-    anchor_udf = F.pandas_udf(anchor_sets, "anchors array<bigint>, common boolean")
-    window_udf = F.pandas_udf(window_codes, "code array<bigint>, start array<int>")
-    # A document with common anchors has one row more, in a place of its own, that needs no second one.
-    own_place = F.when(F.col("a.common"), F.array(F.xxhash64("doc", "mark"))).otherwise(F.array().cast("array<bigint>"))
-    found = (
-        rows.select("doc", "mark", anchor_udf("text").alias("a"))
-        .select("doc", "mark", F.explode(F.array(F.struct(F.col("a.anchors").alias("list"), F.lit(False).alias("known")), F.struct(own_place.alias("list"), F.lit(True).alias("known")))).alias("x"))
-        .select("doc", "mark", "x.known", F.explode("x.list").alias("anchor"))
+    anchor_udf = F.pandas_udf(shuffled_anchors, "anchors array<bigint>, common boolean").asNondeterministic()
+    window_udf = F.pandas_udf(window_codes, "code array<bigint>, start array<int>, sure array<int>").asNondeterministic()
+    found = rows.select("doc", "mark", anchor_udf("text").alias("a")).select(
+        "doc", "mark", _exploded(F.col("a.anchors"), F.col("a.common")).alias("anchor")
     )
-    holders = found.withColumn("rows", F.count("*").over(Window.partitionBy("anchor", "known")))
-    wanted = holders.where("known OR rows > 1").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted"))
-    windows = (
-        rows.join(wanted, ["doc", "mark"])
-        .select("doc", "mark", window_udf("text", "wanted").alias("w"))
-        .select("doc", "mark", F.explode(F.arrays_zip("w.code", "w.start")).alias("w"))
-        .select("doc", "mark", "w.code", "w.start")
+    holders = found.withColumn("rows", F.count("*").over(Window.partitionBy("anchor")))
+    wanted = holders.where("anchor < 0 OR rows > 1").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("wanted"))
+    w, sure = F.col("w"), F.col("w")["sure"]
+    pairs = F.concat(
+        F.arrays_zip(w["code"].alias("code"), w["start"].alias("start")),
+        F.transform(sure, lambda s: F.struct(_own_key().alias("code"), s.alias("start"))),
     )
-    first = windows.groupBy("code").agg(F.min("doc").alias("first"))
-    return (
-        windows.join(first, "code").where("first < doc").groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"))
+    compared = (
+        rows.join(wanted, ["doc", "mark"])
+        .select("doc", "mark", window_udf("doc", "text", "wanted").alias("w"))
+        .select("doc", "mark", F.explode(pairs).alias("p"))
+        .select("doc", "mark", "p.code", "p.start")
+        .withColumn("first", F.min("doc").over(Window.partitionBy("code")))
     )
+    return compared.where("code < 0 OR first < doc").groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -151,7 +225,7 @@ def _judged(rows: DataFrame) -> DataFrame:
     originals = rows.join(copies, ["doc", "mark"], "left_anti")
     nothing = F.array().cast("array<int>")
     changes = (
-        repeated_windows(originals)
+        repeated_windows(originals, common_runs(rows))
         .select("doc", "mark", "starts", F.lit(False).alias("copy"))
         .unionByName(copies.select("doc", "mark", nothing.alias("starts"), F.lit(True).alias("copy")))
     )

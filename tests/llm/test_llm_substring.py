@@ -53,10 +53,15 @@ def test_common_anchors_change_nothing(spark, monkeypatch):
     draw = random.Random(6)
     shared = " ".join(f"s{i}" for i in range(30))
     docs = [(key, " ".join(f"w{draw.randint(0, 9)}" for _ in range(20)) + " " + shared + f" end{key}") for key in range(40)]
+    docs += [(100 + i, "again and again " * 12 + f"tail{i} " + shared + " " + shared) for i in range(5)]
+    docs += [(-1, shared), (200, "x " * 30), (201, "x " * 31 + "y"), (202, "y " + "x " * 40)]
+    want = sorted(brute(docs), key=str)
+    assert _spark(spark, docs) == want
     monkeypatch.setattr(substring, "SAMPLE", 10)
     rows = spark.createDataFrame([(k, t, k) for k, t in docs], "doc long, text string, mark long")
-    assert len(substring.common_anchors(rows)) > 0
-    assert _spark(spark, docs) == sorted(brute(docs), key=str)
+    common = substring.common_runs(rows)
+    assert len(common.anchors) > 0 and len(common.windows) > 0 and (common.smallest == -1).any()
+    assert _spark(spark, docs) == want
 
 
 @given(st.integers(0, 200), st.integers(0, 200))
