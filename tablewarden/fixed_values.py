@@ -4,7 +4,6 @@
 SAFE_INTEGER_MAX = 9_007_199_254_740_991
 LOCK_BUDGET_SECONDS = 10
 PROGRESS_INTERVAL_MS = 250
-CANDIDATE_LIST_LIMIT = 10
 MIN_THREADS = 2
 PORT_RANGE = (1, 65_535)
 

@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 from tablewarden import fixed_values as fixed
 
-# Terminal control sequences: operating-system commands, then control sequences, then short escapes.
+# Terminal control sequences: operating-system commands with any of their three ends, then control
+# sequences, then escapes of an optional intermediate and one final character.
 CONTROL_SEQUENCES = (
-    r"\x1B\][^\x07\x1B]*(?:\x07|\x1B\\)"
+    r"\x1B\][^\x07\x1B\x{9C}]*(?:\x07|\x1B\\|\x{9C})"
     r"|(?:\x1B\[|\x{9B})[0-?]*[ -/]*[@-~]"
-    r"|\x1B[@-Z\\^_]"
+    r"|\x1B[ -/]*[0-Z\\^-~]"
 )
+BINARY = "[binary]"
 
 # White space beyond ASCII is named one by one, so that every regex engine reads it alike.
 _SPACE = (
@@ -25,11 +27,11 @@ _SPACE = (
 
 def assignment_pattern(keys: Sequence[str] = fixed.SECRET_ASSIGNMENT_KEYS) -> str:
     """``key = value`` or ``key: value`` with a quoted or bare value; group 1 is all but the value."""
-    names = "|".join(keys)
-    return (
-        rf"((?:{names})[{_SPACE}]*[=:][{_SPACE}]*)"
-        rf"""(?:"[^"]*"|'[^']*'|[^{_SPACE},;]+)"""
-    )
+    blanks = f"[{_SPACE}]*"
+    sign = blanks + "[=:]" + blanks
+    values = [mark + f"[^{mark}]*" + mark for mark in ('"', "'")]  # quoted either way
+    values.append(f"[^,;{_SPACE}]+")  # bare, up to a blank or separator
+    return "((?:" + "|".join(keys) + ")" + sign + ")(?:" + "|".join(values) + ")"
 
 
 def strip_control(text: Column) -> Column:
@@ -113,7 +115,13 @@ def clean_value(
     if isinstance(dtype, T.DateType):
         return F.date_format(value, "yyyy-MM-dd")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        # What is written as UTC must be UTC; times without a zone are taken as they are.
+        utc = F.to_utc_timestamp(value, F.current_timezone()) if isinstance(dtype, T.TimestampType) else value
+        return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if isinstance(dtype, T.BinaryType):
+        return F.when(value.isNotNull(), F.lit(BINARY))
+    if isinstance(dtype, T.VariantType):
+        return clean_json(F.to_json(value), secrets)
     if isinstance(dtype, T.StructType):
         fields = [
             clean_value(value[f.name], f.dataType, secrets, f.name).alias(f.name)
@@ -122,7 +130,9 @@ def clean_value(
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda item: clean_value(item, dtype.elementType, secrets))
-    if isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+    if isinstance(dtype, T.MapType) and not isinstance(dtype.keyType, T.StringType):
+        return F.transform_values(value, lambda key, item: clean_value(item, dtype.valueType, secrets))
+    if isinstance(dtype, T.MapType):
         return F.transform_values(
             value,
             lambda key, item: F.when(is_sensitive(key), F.lit(fixed.REDACTED)).otherwise(
@@ -132,6 +142,18 @@ def clean_value(
     return value
 
 
+def clean_json(text: Column, secrets: Sequence[str] = ()) -> Column:
+    """Safe form of JSON text whose shape is not known: members with sensitive names hold the marker.
+
+    Where such a member holds an object or a list, the whole text becomes the marker, as its end cannot
+    be told without a parser.
+    """
+    name = rf'"(?=[^"]*"\s*:)(?:[^"\\]|\\.)*(?:{fixed.SENSITIVE_KEY_PATTERN})(?:[^"\\]|\\.)*"\s*:\s*'
+    scalar = r'(?:"(?:[^"\\]|\\.)*"|[^\s"{}\[\],]+)'
+    hidden = F.regexp_replace(text, f"({name}){scalar}", '$1"' + fixed.REDACTED + '"')
+    return F.when(text.rlike(name + r"[\[{]"), F.lit(fixed.REDACTED)).otherwise(clean(hidden, secrets))
+
+
 def _as_text(value: Column, dtype: T.DataType) -> Column:
     """Values of a scrubbed map share one type with the marker, so nested ones become JSON text."""
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden import fixed_values as fixed
 from tablewarden.functions import names
 from tablewarden.operators import ordered
 
@@ -119,52 +118,38 @@ def _with_key(placed: DataFrame) -> DataFrame:
     return placed.withColumn("key", key).drop("_nth", "_place")
 
 
-def pick_artifacts(
-    keys: DataFrame, listing: DataFrame, limit: int = fixed.CANDIDATE_LIST_LIMIT
-) -> DataFrame:
-    """Per key (column ``id``) the one artifact named ``id-…``, or why none can be chosen.
+def artifact_candidates(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """(id, name): every artifact named ``id-…`` of every key, one row each.
 
     Every artifact name is matched by equality with its own prefixes before a dash, so no key is
-    compared with names that do not begin with it. Names are listed only for keys counted to have
-    few; other keys show the number.
+    compared with names that do not begin with it.
     """
     dashed = F.split("name", "-")
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(dashed) - 1),
         lambda n: F.array_join(F.slice(dashed, F.lit(1), n), "-"),
     )
-    # Names are unique before they are exploded, so pairs are too, and everything after the first
-    # join is grouped by the key it was joined on: no further shuffle.
-    candidates = (
+    return (
         listing.where(F.contains(F.col("name"), F.lit("-")))
         .select("name")
         .distinct()
-        .select("name", F.explode(prefixes).alias("id"))
+        .select(F.explode(prefixes).alias("id"), "name")
         .join(keys.select("id").distinct(), "id", "left_semi")
     )
-    counted = candidates.groupBy("id").agg(
+
+
+def pick_artifacts(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """Per key (column ``id``) the number of its candidates, and its artifact where there is just one.
+
+    The candidates themselves are the rows of :func:`artifact_candidates`; whoever prints them decides
+    how many to show.
+    """
+    counted = artifact_candidates(keys, listing).groupBy("id").agg(
         F.count(F.lit(1)).alias("matches"), F.min("name").alias("path")
     )
-    few = counted.where(F.col("matches").between(2, limit)).select("id")
-    listed = (
-        candidates.join(few, "id", "left_semi")
-        .groupBy("id")
-        .agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("_names"))
-    )
     matches = F.coalesce("matches", F.lit(0)).cast("long")
     return (
         keys.select("id")
         .join(counted, "id", "left")
-        .join(listed, "id", "left")
-        .select(
-            "id",
-            matches.alias("matches"),
-            F.when(matches == 1, F.col("path")).alias("path"),
-            F.when(matches == 0, "none matched")
-            .when(
-                matches > 1,
-                F.coalesce("_names", F.concat(matches.cast("string"), F.lit(" matches"))),
-            )
-            .alias("problem"),
-        )
+        .select("id", matches.alias("matches"), F.when(matches == 1, F.col("path")).alias("path"))
     )

@@ -68,18 +68,30 @@ def portable_text(column: Column, dtype: T.DataType, scale: int) -> Column:
 
 
 def portable_row_hash(df: DataFrame, scale: int) -> Column:
-    """First 32 bits of the md5 of a row's portable text: for comparison with another engine.
+    """The md5 of a row's portable text, in hexadecimal: for comparison with another engine.
 
     It does not see differences of doubles below the scale; within Spark use :func:`row_hash`.
     """
     parts = [portable_text(F.col(f"`{f.name}`"), f.dataType, scale) for f in df.schema.fields]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def portable_sum(hashes: Column) -> Column:
+    """The sums of the four 32-bit parts of all hashes, in order, with dashes between: all 128 bits count.
+
+    A part has 32 bits, so a sum of longs could overflow from 2^31 rows on; decimals cannot.
+    """
+    sums = [
+        F.sum(F.conv(F.substring(hashes, 8 * part + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
+        for part in range(4)
+    ]
+    return F.concat_ws("-", *[F.coalesce(s, F.lit("0")) for s in sums])
 
 
 def hash_sum(hashes: Column) -> Column:
     """Sum of row hashes, read as unsigned, as an exact decimal aggregate.
 
-    The four 16-bit parts are summed as longs, which cannot overflow below 10^14 rows and stay in
+    The four 16-bit parts are summed as longs, which cannot overflow below 1.4 * 10^14 rows and stay in
     generated code; they are put together once at the end. A sum needs no sort, merges on the map
     side and, unlike an exclusive or, does not lose pairs of equal rows.
     """
@@ -87,7 +99,7 @@ def hash_sum(hashes: Column) -> Column:
     for part in range(4):
         bits = F.shiftrightunsigned(hashes, 16 * part).bitwiseAND(F.lit(0xFFFF).cast("long"))
         weight = F.lit(1 << (16 * part)).cast("decimal(20,0)")
-        total = total + (F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(18,0)") * weight).cast(
+        total = total + (F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(20,0)") * weight).cast(
             "decimal(38,0)"
         )
     return total.cast("decimal(38,0)")
@@ -95,8 +107,11 @@ def hash_sum(hashes: Column) -> Column:
 
 def checksum(df: DataFrame, portable_scale: int | None = None) -> DataFrame:
     """One row: number of rows and an order-insensitive checksum."""
-    hashes = row_hash(df) if portable_scale is None else portable_row_hash(df, portable_scale)
-    return df.agg(F.count(F.lit(1)).alias("rows"), hash_sum(hashes).alias("checksum"))
+    if portable_scale is None:
+        total = hash_sum(row_hash(df))
+    else:
+        total = portable_sum(portable_row_hash(df, portable_scale))
+    return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("checksum"))
 
 
 def row_surplus(left: DataFrame, right: DataFrame) -> DataFrame:

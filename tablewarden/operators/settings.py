@@ -146,21 +146,9 @@ def dangling_references(
     )
 
 
-def known_keys(registry: DataFrame, key: str, limit: int = fixed.CANDIDATE_LIST_LIMIT) -> DataFrame:
-    """One row: the sorted keys of a registry of at most ``limit`` keys, else just their number.
-
-    Only a registry counted to be that small is listed in one row.
-    """
-    keys = registry.select(F.col(key).cast("string").alias("k")).distinct()
-    number = keys.agg(F.count(F.lit(1))).scalar()
-    listed = keys.where(number <= limit)
-    text = F.array_join(F.array_sort(F.collect_list("k")), ", ")
-    return listed.agg(text.alias("t"), F.count(F.lit(1)).alias("n")).select(
-        F.when(F.col("n") > 0, F.col("t"))
-        .when(number == 0, F.lit("(none)"))
-        .otherwise(F.concat(number.cast("string"), F.lit(" keys")))
-        .alias("known")
-    )
+def known_keys(registry: DataFrame, key: str) -> DataFrame:
+    """The keys of a registry, each once, as rows of one column ``known``; ordering is left to the reader."""
+    return registry.select(F.col(key).cast("string").alias("known")).where(F.col("known").isNotNull()).distinct()
 
 
 def with_fallback(
@@ -178,7 +166,5 @@ def with_fallback(
 
 
 def issue_list(findings: DataFrame, subject: str = "subject") -> DataFrame:
-    """Distinct messages per subject as one text; the sets hold rule messages, so they are small."""
-    return findings.groupBy(subject).agg(
-        F.array_join(F.array_sort(F.collect_set("detail")), "; ").alias("issues")
-    )
+    """Distinct messages per subject, one row each; equal ones merge before the shuffle."""
+    return findings.select(subject, F.col("detail").alias("issue")).distinct()

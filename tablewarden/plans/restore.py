@@ -23,6 +23,9 @@ DESTINATION_RULES = (
 )
 
 
+SHOWN_CANDIDATES = 10  # in a message
+
+
 class NotApproved(Exception):
     """The plan was disclosed and not approved; nothing was changed."""
 
@@ -140,11 +143,17 @@ def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
 def find_artifact(spark: SparkSession, root: str, key: str, explicit: str | None = None) -> str:
     """Path of the one artifact of a key; an explicit path wins over any listing."""
     if explicit is not None:
-        if explicit.strip() == "":
+        explicit = explicit.strip()
+        if explicit == "":
             raise ValueError("the artifact path must not be empty")
         return explicit if explicit.startswith("/") or ":" in explicit else f"{root}/{explicit}"
     keys = spark.createDataFrame([(key,)], "id string")
-    chosen = naming.pick_artifacts(keys, list_artifacts(spark, root)).collect()[0]  # one key
+    listing = list_artifacts(spark, root)
+    chosen = naming.pick_artifacts(keys, listing).collect()[0]  # one key
+    if chosen.matches == 0:
+        raise LookupError(f"{key}: none matched")
     if chosen.path is None:
-        raise LookupError(f"{key}: {chosen.problem}")
+        # A message for a person: it tells the number and shows the first few.
+        shown = naming.artifact_candidates(keys, listing).orderBy("name").limit(SHOWN_CANDIDATES).collect()
+        raise LookupError(f"{key}: {chosen.matches} matches: {', '.join(r.name for r in shown)}")
     return f"{root}/{chosen.path}"

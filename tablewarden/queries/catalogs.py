@@ -76,7 +76,8 @@ WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.pattern = q.p)
 def scope_resolve(spark: SparkSession, sf: str) -> DataFrame:
     objects = c.view(spark, sf, c.OBJECTS)
     here = selection.in_databases(selection.of_kinds(objects, include_views=False), DATABASES)
-    sold = c.table(spark, sf, "lineitem").where("l_quantity > 40").select("l_partkey").distinct()
+    # A property of the part, told by all of its lines.
+    sold = c.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").alias("most")).where("most > 40")
     wanted = objects.join(sold, F.col("object_id") == F.col("l_partkey"), "left_semi")
     unwanted = objects.where(F.col("object_id") % 9 == 0)
     kept = selection.without(selection.only_named(here, wanted), unwanted)
@@ -92,7 +93,7 @@ SELECT object_id,
        '`' || database_name || '`.`' || table_name || '`' AS serialized
 FROM ({c.OBJECTS}) o
 WHERE kind <> 'view' AND database_name IN ('economy', 'promo', 'standard', 'large') AND object_id % 9 <> 0
-  AND object_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)
+  AND object_id IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING max(l_quantity) > 40)
   AND NOT starts_with(table_name, 'red_') AND NOT (database_name = 'economy' AND starts_with(table_name, 'old'))
 """
 
@@ -132,11 +133,18 @@ WHERE NOT regexp_full_match(name, '[A-Za-z0-9_-]+') OR starts_with(name, 'tablew
 
 def catalog_preflight(spark: SparkSession, sf: str) -> DataFrame:
     objects = c.view(spark, sf, c.OBJECTS)
-    keys = c.table(spark, sf, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_partkey").alias("object_id")
+    # Properties told by all lines of a part and all orders of a customer.
+    keys = (
+        c.table(spark, sf, "lineitem")
+        .groupBy(F.col("l_partkey").alias("object_id"))
+        .agg(F.min("l_linenumber").alias("first"))
+        .where("first = 1")
     )
-    triggers = c.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(
-        F.col("o_custkey").alias("object_id")
+    triggers = (
+        c.table(spark, sf, "orders")
+        .groupBy(F.col("o_custkey").alias("object_id"))
+        .agg(F.bool_or(F.col("o_orderstatus") == "F").alias("finished"))
+        .where("finished")
     )
     marked = catalog.mark_existence(objects, ["object_id"], keys, "has_key")
     marked = catalog.mark_existence(marked, ["object_id"], triggers, "has_triggers")
@@ -181,8 +189,8 @@ def catalog_preflight(spark: SparkSession, sf: str) -> DataFrame:
 
 CATALOG_PREFLIGHT = f"""
 WITH o AS ({c.OBJECTS}),
-m AS (SELECT *, object_id IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1) AS has_key,
-             object_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS has_triggers FROM o),
+m AS (SELECT *, object_id IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING min(l_linenumber) = 1) AS has_key,
+             object_id IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F')) AS has_triggers FROM o),
 w AS (SELECT * FROM (VALUES ('economy'), ('promo'), ('small'), ('medium'), ('large'), ('standard'), ('archive')) v(d)),
 s AS (SELECT s_name, CASE s_suppkey % 4 WHEN 0 THEN '8.0.' || s_suppkey WHEN 1 THEN '10.6.1-MariaDB' WHEN 2 THEN '5.7.1'
              ELSE '8.4.0' END AS v, CASE WHEN s_suppkey % 8 = 3 THEN 'mariadb build' ELSE 'community' END AS cm FROM supplier),
@@ -213,22 +221,17 @@ def _parsed_grants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grant_parse(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = _parsed_grants(spark, sf)
-    totals = grants.granted_set(parsed, "grantee").withColumnRenamed("privileges", "total")
-    return parsed.join(totals, "grantee", "left").select(
-        "grantee",
-        "stmt",
-        "understood",
-        "action",
-        F.array_join("privileges", ",").alias("privileges"),
-        "database",
-        F.array_join("total", ",").alias("account_privileges"),
-        F.array_join(
-            grants.held_of(grants.required_data("mysql", "auto"), F.col("total")), ","
-        ).alias("needed_held"),
+    return _parsed_grants(spark, sf).select(
+        "grantee", "stmt", "understood", "action", F.array_join("privileges", ",").alias("privileges"), "database"
     )
 
 
+def granted_privileges(spark: SparkSession, sf: str) -> DataFrame:
+    """What each account holds, one row per privilege, and whether a run needs it."""
+    held = grants.granted_set(_parsed_grants(spark, sf), "grantee")
+    return held.withColumn("needed", grants.is_one_of(grants.required_data("mysql", "auto"), F.col("privilege")))
+
+
 # The statements read: what they grant, and where.
 PARSED_GRANTS = rf"""
 SELECT grantee, stmt, NOT contains(stmt, '.`t`') AS understood,
@@ -241,13 +244,12 @@ FROM ({c.GRANTS}) g
 """
 
 GRANT_PARSE = f"""
-WITH p AS ({PARSED_GRANTS}),
-t AS (SELECT grantee, string_agg(DISTINCT item, ',' ORDER BY item) AS account_privileges,
-             coalesce(string_agg(DISTINCT item, ',' ORDER BY item) FILTER (item IN ('SELECT', 'SHOW VIEW', 'TRIGGER')), '')
-               AS needed_held
-      FROM (SELECT grantee, unnest(string_split(listed, ', ')) AS item FROM p WHERE action = 'GRANT') GROUP BY grantee)
-SELECT p.grantee, stmt, understood, action, replace(listed, ', ', ',') AS privileges, database, account_privileges, needed_held
-FROM p LEFT JOIN t ON p.grantee = t.grantee
+SELECT grantee, stmt, understood, action, replace(listed, ', ', ',') AS privileges, database FROM ({PARSED_GRANTS}) p
+"""
+
+GRANTED_PRIVILEGES = f"""
+SELECT DISTINCT grantee, item AS privilege, item IN ('SELECT', 'SHOW VIEW', 'TRIGGER') AS needed
+FROM (SELECT grantee, unnest(string_split(listed, ', ')) AS item FROM ({PARSED_GRANTS}) p WHERE action = 'GRANT') x
 """
 
 
@@ -345,9 +347,9 @@ UNION ALL
 SELECT 'unknown-region', cast(n_regionkey AS varchar), 'error', 'referred to by ' || count(*) || ' rows'
 FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region) GROUP BY n_regionkey
 UNION ALL
-SELECT 'known-keys', 'region', 'info', string_agg(r_name, ', ' ORDER BY r_name) FROM region
+SELECT DISTINCT 'known-keys', 'region', 'info', r_name FROM region
 UNION ALL
-SELECT 'known-keys', 'nation', 'info', count(*) || ' keys' FROM nation
+SELECT DISTINCT 'known-keys', 'nation', 'info', n_name FROM nation
 """
 
 
@@ -381,6 +383,7 @@ QUERIES = {
     "identifier_findings": identifier_findings,
     "catalog_preflight": catalog_preflight,
     "grant_parse": grant_parse,
+    "granted_privileges": granted_privileges,
     "privilege_gaps": privilege_gaps,
     "grant_visibility": grant_visibility,
     "reference_integrity": reference_integrity,
@@ -392,6 +395,7 @@ ORACLES = {
     "identifier_findings": IDENTIFIER_FINDINGS,
     "catalog_preflight": CATALOG_PREFLIGHT,
     "grant_parse": GRANT_PARSE,
+    "granted_privileges": GRANTED_PRIVILEGES,
     "privilege_gaps": PRIVILEGE_GAPS,
     "grant_visibility": GRANT_VISIBILITY,
     "reference_integrity": REFERENCE_INTEGRITY,

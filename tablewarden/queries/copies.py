@@ -94,7 +94,7 @@ def table_checksum(spark: SparkSession, sf: str) -> DataFrame:
         return df.agg(
             F.lit(name).alias("table_name"),
             F.count(F.lit(1)).alias("rows"),
-            reconcile.hash_sum(portable).cast("string").alias("portable"),
+            reconcile.portable_sum(portable).alias("portable"),
             reconcile.hash_sum(reconcile.row_hash(df)).alias("exact"),
         )
 
@@ -121,10 +121,10 @@ def table_checksum(spark: SparkSession, sf: str) -> DataFrame:
 
 def _md5_sql(table: str, columns: list[str]) -> str:
     parts = ", ".join(f"coalesce({x}, '\\N')" for x in columns)
+    sums = " || '-' || ".join(f"sum(cast(cast('0x' || substr(h, {8 * n + 1}, 8) AS bigint) AS hugeint))" for n in range(4))
     return f"""
-SELECT '{table}' AS table_name, count(*) AS rows, cast(sum(h) AS varchar) AS checksum_before,
-       cast(sum(h) AS varchar) AS checksum_after, true AS exact_match
-FROM (SELECT cast(cast('0x' || substr(md5(concat_ws('|', {parts})), 1, 8) AS bigint) AS hugeint) AS h FROM {table}) x"""
+SELECT '{table}' AS table_name, count(*) AS rows, {sums} AS checksum_before, {sums} AS checksum_after, true AS exact_match
+FROM (SELECT md5(concat_ws('|', {parts})) AS h FROM {table}) x"""
 
 
 def _text(name: str) -> str:
@@ -301,19 +301,20 @@ def artifact_pick(spark: SparkSession, sf: str) -> DataFrame:
     keys = c.table(spark, sf, "customer").select(
         F.col("c_custkey"), F.explode(endings).alias("ending")
     ).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), "ending").alias("id"))
-    return naming.pick_artifacts(keys, listing)
+    picked = naming.pick_artifacts(keys, listing).withColumn("name", F.lit(None).cast("string"))
+    several = naming.artifact_candidates(keys, listing).join(picked.where("matches > 1").select("id"), "id", "left_semi")
+    return picked.unionByName(several, allowMissingColumns=True)
 
 
 ARTIFACT_PICK = """
 WITH n AS (SELECT DISTINCT o_custkey, 'c' || o_custkey || '-' || lower(o_orderstatus) || '-' ||
                   strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders),
 k AS (SELECT c_custkey, 'c' || c_custkey || e AS id FROM customer CROSS JOIN (VALUES (''), ('-f'), ('-o'), ('-p'), ('-x')) v(e)),
-m AS (SELECT id, count(name) AS matches, min(name) AS first, string_agg(name, ', ' ORDER BY name) AS listed
-      FROM k LEFT JOIN n ON o_custkey = c_custkey AND starts_with(name, id || '-') GROUP BY id)
-SELECT id, matches, CASE WHEN matches = 1 THEN first END AS path,
-       CASE WHEN matches = 0 THEN 'none matched' WHEN matches > 10 THEN matches || ' matches'
-            WHEN matches > 1 THEN listed END AS problem
-FROM m
+f AS (SELECT id, name FROM k LEFT JOIN n ON o_custkey = c_custkey AND starts_with(name, id || '-')),
+m AS (SELECT id, count(name) AS matches, min(name) AS first FROM f GROUP BY id)
+SELECT id, matches, CASE WHEN matches = 1 THEN first END AS path, NULL AS name FROM m
+UNION ALL
+SELECT id, NULL, NULL, name FROM f WHERE id IN (SELECT id FROM m WHERE matches > 1)
 """
 
 QUERIES = {

@@ -28,6 +28,8 @@ def dirty_texts(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 7 == 0, F.concat(esc, F.lit("[31m"), "text", esc, F.lit("[0m PassWord : 'a b' x")))
         .when(key % 7 == 1, F.concat("text", F.lit("\r\npwd=k1,passwd: k2;"), esc, F.lit("]0;t"), bel, F.lit("z")))
         .when(key % 7 == 2, F.concat("text", F.lit(' password="q \r\n r" tail')))
+        .when(key % 7 == 3, F.concat(esc, F.lit("c"), "text", esc, F.lit("( Bx"), esc, F.lit("7pwd"), esc, F.lit("(B=k3 y")))
+        .when(key % 7 == 4, F.concat("text", esc, F.lit("]8;;link"), F.lit("\x9c"), F.lit("pass"), esc, F.lit("8word: k4")))
         .otherwise(F.col("text"))
     )
     return documents.unionByName(pages).withColumn("text", dirty)
@@ -53,11 +55,13 @@ DIRTY = r"""
 SELECT source, id, CASE id % 7
   WHEN 0 THEN chr(27) || '[31m' || text || chr(27) || '[0m PassWord : ''a b'' x'
   WHEN 1 THEN text || chr(13) || chr(10) || 'pwd=k1,passwd: k2;' || chr(27) || ']0;t' || chr(7) || 'z'
-  WHEN 2 THEN text || ' password="q ' || chr(13) || chr(10) || ' r" tail' ELSE text END AS text
+  WHEN 2 THEN text || ' password="q ' || chr(13) || chr(10) || ' r" tail'
+  WHEN 3 THEN chr(27) || 'c' || text || chr(27) || '( Bx' || chr(27) || '7pwd' || chr(27) || '(B=k3 y'
+  WHEN 4 THEN text || chr(27) || ']8;;link' || chr(156) || 'pass' || chr(27) || '8word: k4' ELSE text END AS text
 FROM (SELECT 'document' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages) t
 """
 SCRUB_TEXT = rf"""
-WITH a AS (SELECT source, id, regexp_replace(text, '\x1B\[[0-9]*m|\x1B\]0;t\x07', '', 'g') AS t FROM ({DIRTY}) d),
+WITH a AS (SELECT source, id, regexp_replace(text, '\x1B\[[0-9]*m|\x1B\]0;t\x07|\x1B\]8;;link\x{{9C}}|\x1B\( ?B|\x1B[c78]', '', 'g') AS t FROM ({DIRTY}) d),
 b AS (SELECT source, id, replace(replace(replace(replace(replace(t, 'DOCTYPE html', '[redacted]'), 'example.com', '[redacted]'),
       'track(0)', '[redacted]'), 'example', '[redacted]'), 'track', '[redacted]') AS t FROM a),
 k AS (SELECT source, id, regexp_replace(regexp_replace(t,
@@ -86,6 +90,9 @@ def scrub_records(spark: SparkSession, sf: str) -> DataFrame:
             ),
             F.lit("sessions"), F.array(F.named_struct(F.lit("host"), F.lit("h"), F.lit("authorization"), F.col("c_name"))),
             F.lit("extra"), F.create_map(F.lit("credentials"), F.col("c_name"), F.lit("plain"), F.col("c_name")),
+            F.lit("numbered"), F.create_map(F.col("c_nationkey"), F.concat(F.lit("pwd="), "c_name")),
+            F.lit("raw"), F.col("c_name").cast("binary"),
+            F.lit("free"), F.parse_json(F.concat(F.lit('{"n":1,"password":"'), "c_name", F.lit('"}'))),
         ).alias("record"),
         F.when(key % 3 != 0, F.lit("x")).alias("password"),
     )
@@ -112,7 +119,8 @@ def scrub_records(spark: SparkSession, sf: str) -> DataFrame:
 SCRUB_RECORDS = """
 SELECT c_custkey AS id, '{"id":"' || c_custkey || '","nation":' || c_nationkey || ',"note":"pwd=[redacted] name ' || c_name ||
        '","account":{"userPassword":"[redacted]","segment":"' || c_mktsegment || '","API_Key":"[redacted]","since":"2024-02-03"}' ||
-       ',"sessions":[{"host":"h","authorization":"[redacted]"}],"extra":{"credentials":"[redacted]","plain":"' || c_name || '"}}'
+       ',"sessions":[{"host":"h","authorization":"[redacted]"}],"extra":{"credentials":"[redacted]","plain":"' || c_name || '"},"numbered":{"' || c_nationkey ||
+       '":"pwd=[redacted]"},"raw":"[binary]","free":"{\\"n\\":1,\\"password\\":\\"[redacted]\\"}"}'
        AS record, c_custkey % 3 <> 0 AS "passwordConfigured"
 FROM customer
 UNION ALL
@@ -146,7 +154,7 @@ WITH t AS (
   SELECT 'user-' || user_id AS subject, CASE WHEN event_id % 3 = 0 THEN 'DATABASE_ERROR' ELSE upper(event_type) END AS d FROM events
   UNION ALL
   SELECT 'type-' || p_type, CASE WHEN p_size % 2 = 0 THEN upper(replace(p_brand, '#', '_')) ELSE 'DATABASE_ERROR' END FROM part)
-SELECT subject, string_agg(DISTINCT d, '; ' ORDER BY d) AS issues FROM t GROUP BY subject
+SELECT DISTINCT subject, d AS issue FROM t
 """
 
 QUERIES = {"scrub_text": scrub_text, "scrub_records": scrub_records, "error_tokens": error_tokens}

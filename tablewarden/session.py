@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewarden.sources.folders import Folders
+
 # Settings the library is written for; callers pass them to their session builder.
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,18 +28,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    Only where the session names none (tests, notebooks) a local folder is made and recorded, so
-    that later calls share it. Every executor must reach this folder, hence no per-machine default
-    on a cluster.
-    """
+def _scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors reach in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="tablewarden-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tablewarden/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tablewarden/{spark.sparkContext.applicationId}"
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder, in a part of this application's own.
+
+    Only on one machine, where the session names no folder (tests, notebooks), a local one is made and
+    recorded. Anywhere else a missing setting is an error, as executors would write to their own disks.
+    """
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when no result that reads it is needed any more."""
+    Folders(spark).delete(_scratch_root(spark))
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:

@@ -55,6 +55,7 @@ def test_only_the_exact_version_line_is_read(spark):
         ("\x1b]0;title\x07x", [], "x"),
         ("a.b $1 \\x", [".b", "$1"], "a[redacted] [redacted] \\x"),
         ("pass\x1b[1mword=x1", [], "password=[redacted]"),
+        ("\x1bcpa\x1b( Bss\x1b7word=x1 \x1b]8;;u\x9cz", [], "password=[redacted] z"),
     ],
 )
 def test_text_is_cleaned(spark, text, secrets, expected):
@@ -88,6 +89,29 @@ def test_records_are_scrubbed_by_their_schema(spark):
     }
 
 
+def test_maps_variants_and_binaries_hold_no_secret(spark):
+    df = spark.sql(
+        """SELECT map(1, 'password=hunter2', 2, 'fine') AS by_number, X'70776430' AS raw,
+           parse_json('{"password":"hunter2","a":{"apiToken" : 5,"n":1},"t":"pwd=x y"}') AS free,
+           parse_json('{"credentials":{"user":"u"}}') AS nested, parse_json('[1,null]') AS plain"""
+    )
+    row = redaction.clean_records(df).collect()[0]
+    assert row.by_number == {1: "password=[redacted]", 2: "fine"}
+    assert row.raw == redaction.BINARY
+    assert row.free == '{"a":{"apiToken":"[redacted]","n":1},"password":"[redacted]","t":"pwd=[redacted] y"}'
+    assert row.nested == "[redacted]" and row.plain == "[1,null]"
+
+
+def test_times_are_written_in_utc_whatever_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.sql("SELECT timestamp'2024-01-02T03:04:05Z' AS t")
+        assert redaction.clean_records(df).collect()[0].t == "2024-01-02T03:04:05.000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_public_projection_tells_only_whether_a_secret_is_set(spark):
     df = spark.createDataFrame([("h", None), ("i", "p")], "host string, password string")
     rows = redaction.public_projection(df, "password").orderBy("host").collect()
