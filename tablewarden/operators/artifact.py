@@ -23,8 +23,8 @@ OBJECT_FILE = (
 DATA_FILE = r"\A([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)((?:\.[0-9]+)+)\.(?:sql|dat)" + _CODEC
 HEADING = r"\A\[(.*)\]\z"
 OBJECT_HEADING = r"\A\[`([^`]+)`\.`([^`]+)`\]\z"
-LOADER_SECTION = r"(?i)\A{prefix}_session_variables(?:_.+)?\z"
-CONTROL_KEY = r"(?i)\A\s*SQL_LOG_BIN\s*="
+LOADER_VARIABLES = "_session_variables"
+PROTECTED_SWITCH = "sql_log_bin"
 MANIFEST_FILE = "metadata"
 INCOMPLETE_FILE = "metadata.partial"
 
@@ -33,6 +33,7 @@ RULE_ORDER = (
     "unsafe-identifier",
     "control-file",
     "incomplete-artifact",
+    "unexpected-entry",
     "unsafe-path",
     "file-count",
     "binlog-override",
@@ -108,7 +109,11 @@ def file_rules() -> list[Rule]:
 
 
 def file_findings(files: DataFrame) -> DataFrame:
-    return check(files, file_rules())
+    rules = file_rules()
+    if "regular" in files.columns:
+        name = F.col("file_name")
+        rules.append(Rule("unexpected-entry", ~F.col("regular"), name, F.lit("not a plain file")))
+    return check(files, rules)
 
 
 def assign_headings(
@@ -135,6 +140,20 @@ def assign_headings(
     )
 
 
+def sets_switch(line: Column) -> Column:
+    """Whether a line gives the protected switch a value: its part before an equals sign names it."""
+    key = F.lower(names.trimmed(F.substring_index(line, "=", 1)))
+    return F.contains(line, F.lit("=")) & (key == PROTECTED_SWITCH)
+
+
+def is_loader_section(heading: Column, loader: str) -> Column:
+    """Headings of a loader's variables: ``[<loader>_session_variables]``, or with an underscore and more."""
+    start = loader.lower() + LOADER_VARIABLES
+    name = F.lower(F.substring(heading, 2, F.length(heading) - 2))
+    rest = F.substr(name, F.lit(len(start) + 1))
+    return name.startswith(start) & ((rest == "") | (rest.startswith("_") & (F.length(rest) > 1)))
+
+
 def sections(headed: DataFrame, artifact: str = "artifact", text: str = "line") -> DataFrame:
     """One row per section: its keys as read, first line winning within a section."""
     line, at = F.col(text), F.col("line_no")
@@ -149,7 +168,7 @@ def sections(headed: DataFrame, artifact: str = "artifact", text: str = "line")
         .agg(
             value("rows").alias("declared_rows"),
             value("is_view").alias("view_flag"),
-            F.count_if(line.rlike(CONTROL_KEY)).alias("control_lines"),
+            F.count_if(sets_switch(line)).alias("control_lines"),
         )
         .withColumn(DATABASE, _pick(F.col("heading"), OBJECT_HEADING, 1))
         .withColumn(TABLE, _pick(F.col("heading"), OBJECT_HEADING, 2))
@@ -160,14 +179,12 @@ def section_findings(
     found: DataFrame, artifact: str = "artifact", loader: str = "loader"
 ) -> DataFrame:
     """Duplicate object sections, and loader sections that set a protected switch."""
-    pattern = LOADER_SECTION.replace("{prefix}", loader)
     override = check(
         found,
         [
             Rule(
                 "binlog-override",
-                F.regexp_extract("heading", HEADING, 1).rlike(pattern)
-                & (F.col("control_lines") > 0),
+                is_loader_section(F.col("heading"), loader) & (F.col("control_lines") > 0),
                 F.col(artifact),
                 F.col("heading"),
             )
@@ -282,6 +299,12 @@ def restore_findings(manifest: DataFrame, files: DataFrame) -> DataFrame:
             check(
                 rows,
                 [
+                    Rule(
+                        "unsafe-identifier",
+                        ~names.is_safe_identifier(F.col(DATABASE)),
+                        subject,
+                        F.lit("unsupported database name"),
+                    ),
                     Rule(
                         "unsafe-identifier",
                         ~names.is_safe_identifier(F.col(TABLE)),

@@ -39,8 +39,9 @@ def object_counts(wanted: DataFrame, *kinds: DataFrame) -> DataFrame:
     return wanted.select(DATABASE).join(totals, DATABASE, "left").na.fill(0, ["objects"])
 
 
-def catalog_findings(catalog: DataFrame) -> DataFrame:
+def catalog_findings(catalog: DataFrame, safe_engines: Sequence[str] = (fixed.SAFE_ENGINE,)) -> DataFrame:
     """Unsafe engines (error) and base tables without a unique key (warning)."""
+    safe = F.coalesce(F.upper("engine").isin(*[e.upper() for e in safe_engines]), F.lit(False))
     base = F.col("kind") == "base-table"
     subject = F.concat_ws(".", DATABASE, TABLE)
     return check(
@@ -48,7 +49,7 @@ def catalog_findings(catalog: DataFrame) -> DataFrame:
         [
             Rule(
                 "unsafe-engine",
-                base & ~F.upper("engine").eqNullSafe(F.lit(fixed.SAFE_ENGINE)),
+                base & ~safe,
                 subject,
                 F.concat(F.lit("engine "), F.coalesce(F.col("engine"), F.lit("unknown"))),
             ),

@@ -92,15 +92,24 @@ def without(catalog: DataFrame, excluded: DataFrame) -> DataFrame:
     return catalog.join(excluded.select(DATABASE, TABLE), [DATABASE, TABLE], "left_anti")
 
 
+def refuse_unmatched(catalog: DataFrame, patterns: Sequence[str]) -> None:
+    """Raise where a pattern matches no catalog row: a mistyped exclusion would silently export its tables."""
+    lacking = pattern_hits(catalog, patterns).where("matches = 0").select("pattern").collect()  # one row per pattern
+    if lacking:
+        raise ValueError("patterns matched nothing: " + ", ".join(sorted(r.pattern for r in lacking)))
+
+
 def resolve_scopes(
-    catalog: DataFrame, drop: Sequence[str] = (), schema_only: Sequence[str] = ()
+    catalog: DataFrame, drop: Sequence[str] = (), schema_only: Sequence[str] = (), within: DataFrame | None = None
 ) -> DataFrame:
     """Scope of every kept table: ``SCHEMA`` keeps structure only, ``ALL`` rows too.
 
     Dropping wins over keeping the structure. The rules are expressions of the catalog scan, so
-    nothing is shuffled.
+    nothing is shuffled. Each pattern must match something of ``within`` (the catalog itself unless given,
+    or a larger one that it was chosen from); one job counts that.
     """
     _refuse_malformed([*drop, *schema_only])
+    refuse_unmatched(catalog if within is None else within, [*drop, *schema_only])
     database, table = F.col(DATABASE), F.col(TABLE)
     scope: Column = F.when(
         names.matches_any(schema_only, database, table), F.lit("SCHEMA")

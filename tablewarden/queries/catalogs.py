@@ -81,7 +81,7 @@ def scope_resolve(spark: SparkSession, sf: str) -> DataFrame:
     wanted = objects.join(sold, F.col("object_id") == F.col("l_partkey"), "left_semi")
     unwanted = objects.where(F.col("object_id") % 9 == 0)
     kept = selection.without(selection.only_named(here, wanted), unwanted)
-    return selection.resolve_scopes(kept, DROP, SCHEMA_ONLY).select(
+    return selection.resolve_scopes(kept, DROP, SCHEMA_ONLY, within=objects).select(
         "object_id", "scope", "serialized"
     )
 

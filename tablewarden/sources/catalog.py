@@ -21,9 +21,14 @@ def session_reader() -> Reader:
 
 
 def session_catalog(spark: SparkSession, databases: Sequence[str]) -> DataFrame:
-    """Tables and views of the session's own catalog."""
+    """Tables and views of the session's own catalog; a table's engine is its provider."""
+
+    def provider(db: str, table: str) -> str | None:
+        told = spark.sql(f"DESCRIBE TABLE EXTENDED `{db}`.`{table}`").where("col_name = 'Provider'")
+        return next((r.data_type for r in told.collect()), None)  # one row of metadata
+
     rows = [
-        (db, t.name, "view" if t.tableType == "VIEW" else "base-table", None if t.tableType == "VIEW" else "InnoDB")
+        (db, t.name, "view" if t.tableType == "VIEW" else "base-table", None if t.tableType == "VIEW" else provider(db, t.name))
         for db in databases
         if spark.catalog.databaseExists(db)
         for t in spark.catalog.listTables(db)

@@ -27,6 +27,23 @@ class Folders:
         if parent is not None:
             self._fs(path).mkdirs(parent)
 
+    def qualified(self, path: str) -> str:
+        """The path with its scheme, as Spark's file sources write it."""
+        return self._fs(path).makeQualified(self._path(path)).toString()
+
+    def unusual(self, path: str) -> list[tuple[str, int, bool]]:
+        """(name, length, is a plain file) of what Spark's file sources pass over: hidden entries and folders.
+
+        The listing is one call of the file system; only entries that an artifact should not have are
+        looked at one by one.
+        """
+        found = self._fs(path).listStatus(self._path(path))
+        return [
+            (s.getPath().getName(), s.getLen(), s.isFile())
+            for s in found
+            if not s.isFile() or s.getPath().getName().startswith((".", "_"))
+        ]
+
     def folders(self, path: str) -> list[str]:
         """Names of the folders directly below a path; none where it does not exist."""
         if not self.exists(path):

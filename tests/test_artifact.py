@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rules
 from tablewarden.operators import artifact, reconcile
-from tablewarden.sources.artifact_files import list_files, read_sections
+from tablewarden.sources.artifact_files import list_entries, list_files, read_sections
 
 
 def files(spark, *names):
@@ -104,6 +105,27 @@ def test_files_are_listed_without_their_contents(spark, tmp_path):
     assert sorted(map(tuple, listed.collect())) == [("a.sql", 1), ("sub/b.sql", 2)]
 
 
+def test_nothing_escapes_the_listing_of_an_artifact(spark, tmp_path):
+    root = tmp_path / "data" / "bigdata"
+    (root / "sub").mkdir(parents=True)
+    for name in ("app.data.0.sql", ".hidden", "_x.sql", "metadata.header"):
+        (root / name).write_text("x")
+    (root / "sub" / "metadata.partial").write_text("x")
+    entries = list_entries(spark, str(root))
+    assert sorted(map(tuple, entries.select("file_name", "regular").collect())) == [
+        (".hidden", True), ("_x.sql", True), ("app.data.0.sql", True), ("metadata.header", True), ("sub", False),
+    ]
+    assert rules(artifact.file_findings(entries)) == [("control-file", "metadata.header"), ("unexpected-entry", "sub")]
+
+
+def test_an_indented_heading_hides_no_switch(spark, tmp_path):
+    text = "[`app`.`t`]\nrows = 3\n  [loader_session_variables] \n SQL_LOG_BIN = 1\n[x]\ny = [1\n"
+    (tmp_path / "metadata").write_text(text)
+    found = read_sections(spark, str(tmp_path / "metadata")).withColumn("artifact", F.lit("m"))
+    assert sorted(r.heading for r in found.collect()) == ["[`app`.`t`]", "[loader_session_variables]", "[x]"]
+    assert rules(artifact.section_findings(found)) == [("binlog-override", "m")]
+
+
 SELECTED = "database_name string, table_name string, kind string, scope string, has_triggers boolean"
 SECTION = "database_name string, table_name string, section_start long, declared_rows string, view_flag string"
 ALL_FILES = ("app-schema-create.sql", "app.t-schema.sql", "app.t.0.sql")

@@ -59,6 +59,15 @@ def test_dropping_wins_over_structure_only(catalog):
     ]
 
 
+def test_an_exclusion_that_matches_nothing_is_refused(catalog):
+    with pytest.raises(ValueError, match="nope"):
+        selection.resolve_scopes(catalog, ["nope.*"])
+    chosen = catalog.where("table_name = 'users'")
+    with pytest.raises(ValueError, match="app.c"):
+        selection.resolve_scopes(chosen, ["app.c*"])
+    assert selection.resolve_scopes(chosen, ["app.c*"], within=catalog).count() == 1
+
+
 def test_scopes_need_no_shuffle(catalog):
     plan = selection.resolve_scopes(catalog, ["app.c*"], ["*.users"])
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -206,3 +206,14 @@ def test_discovery(spark, artifact):
     with pytest.raises(LookupError, match="app-2026-07-21, app-2026-07-22"):
         find_artifact(spark, root, "app")
     assert list_artifacts(spark, f"{root}/nowhere").count() == 0
+
+
+@pytest.mark.parametrize("database", ["app", "data"])
+def test_tables_named_like_the_folders_make_the_round_trip(spark, tmp_path, destination, database):
+    names = ["data", "bigdata", "metadata", "manifest"]
+    rows = [(database, name, "base-table", "ALL", None) for name in names]
+    target = str(tmp_path / "data" / "bigdata" / "out")
+    Snapshot(spark, spark.createDataFrame(rows, OBJECTS), reader).export(target)
+    assert snapshot.verify(spark, target).count() == 0
+    back = Restore(spark, target, database, destination).apply(True)
+    assert {r.table_name: r.rows for r in back.collect()} == dict.fromkeys(names, 5000)
