@@ -49,19 +49,12 @@ def _class(items: np.ndarray) -> int | None:
 
 
 def _named(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    known = WordHashes()
-    for texts in batches:
-        sets = list(_sets(texts, known))
-        yield pd.DataFrame({"class": pd.Series(map(_class, sets), dtype="Int64"), "size": [len(s) for s in sets]})
-
-
-def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The class and half of its shingles: a fixed half of all there are."""
+    """The class, its size, and half of its shingles: a fixed half of all there are."""
     known = WordHashes()
     for texts in batches:
         sets = list(_sets(texts, known))
         half = [(s[s % np.uint64(2) == 0] >> np.uint64(64 - COUNTED_BITS)).astype(np.int64) for s in sets]
-        yield pd.DataFrame({"class": pd.Series(map(_class, sets), dtype="Int64"), "items": half})
+        yield pd.DataFrame({"class": pd.Series(map(_class, sets), dtype="Int64"), "size": [len(s) for s in sets], "half": half})
 
 
 def _whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -75,10 +68,9 @@ def _least(size: Column) -> Column:
     return F.ceil(size * SHARE[0] / SHARE[1])
 
 
-def _candidates(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _candidates(heads: DataFrame, classes: DataFrame) -> DataFrame:
     """Classes of which, in a fixed half of all shingles, no more are their own than may be missing."""
-    halves = F.pandas_udf(_sampled, "class bigint, items array<bigint>")
-    items = rows.select(halves("text").alias("h")).select("h.class", F.explode("h.items").alias("item"))
+    items = heads.select("class", F.explode("half").alias("item"))
     owners = items.groupBy("item").agg(F.min("class").alias("class"), F.max("class").alias("last"))
     own = owners.where("class = last").groupBy("class").agg(F.count("*").alias("own"))
     return (
@@ -92,12 +84,13 @@ def _ordered_sets(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """(class, size, items): the shingles that other candidates hold too, in global order."""
     whole = F.pandas_udf(_whole, "array<bigint>")
     # A repeated row counts its shingles twice, which only lets more of them pass.
-    items = rows.join(chosen, ["doc", "mark"]).select("class", "size", F.explode(whole("text")).alias("item"))
+    # Candidates have no bound, so they are merged with the texts, never sent to all tasks.
+    items = rows.join(chosen.hint("merge"), ["doc", "mark"]).select("class", "size", F.explode(whole("text")).alias("item"))
     held = items.groupBy("item").agg(F.count("*").alias("held")).where("held > 1")
     # Twice as many holders put a shingle one step later; among equals the hash decides.
     step = F.floor(F.log2("held")).cast("long")
     place = F.shiftleft(step, ORDERED_BITS).bitwiseOR(F.shiftrightunsigned("item", 64 - ORDERED_BITS))
-    sets = items.join(held, "item").groupBy("class", "size").agg(F.array_sort(F.collect_set(place)).alias("items"))
+    sets = items.join(held.hint("merge"), "item").groupBy("class", "size").agg(F.array_sort(F.collect_set(place)).alias("items"))
     return sets.where(F.size("items") >= _least(F.col("size")))
 
 
@@ -208,9 +201,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component if it is alone. Keys are integers; repeated rows are repeated; other columns are not read.
     Sets are named by 64-bit hashes.
     """
-    named = F.pandas_udf(_named, "class bigint, size bigint")
+    named = F.pandas_udf(_named, "class bigint, size bigint, half array<bigint>").asNondeterministic()
     rows = docs.select(F.col(key), F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
-    heads = stored(rows.select(key, "doc", "mark", named("text").alias("c")).select(key, "doc", "mark", "c.class", "c.size"), "classes")
+    heads = stored(rows.select(key, "doc", "mark", named("text").alias("c")).select(key, "doc", "mark", "c.class", "c.size", "c.half"), "classes")
     # A class's first row stands for it; a null key comes last.
     order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("mark").alias("mark"))
     classes = (
@@ -220,7 +213,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .select("class", "size", F.coalesce("first.doc", F.lit(-(1 << 63))).alias("doc"), "first.mark")
     )
     rows = rows.where("text IS NOT NULL").select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "mark", "text")
-    chosen = stored(_candidates(rows, classes), "candidates")
+    chosen = stored(_candidates(heads, classes), "candidates")
     sets = stored(_ordered_sets(rows, chosen), "sets")
     members = stored(_members(sets), "members")
     links = _links(sets, members)
