@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.functions import names
 from tablewarden.operators import ordered
 
@@ -39,76 +45,98 @@ def unique_keys(
     )
     if pairs.isEmpty():
         return _with_key(counted.withColumn("_place", F.col("_nth")))
-    return _with_key(_resolve(counted, pairs, order))
+    skips = _skipped_places(_arrived_before(counted, pairs, order, limit))
+    return _with_key(_past_skips(counted, skips, limit))
 
 
-def _resolve(counted: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
-    """Places within competing families, from the shortest parent down the chain of children."""
-    # How many of the parent's rows came before the child's first: a count over family rows only.
-    before = (
-        counted.select(F.col("slug").alias("parent"), F.col(order).alias("_at"))
-        .join(pairs, "parent")
-        .groupBy("parent", "child", "place")
-        .agg(F.count_if(F.col("_at") < F.col("_first")).alias("_come"))
-    )
-    # One entry per distinct literal child of a parent, never per row.
-    children = before.groupBy("parent").agg(
-        F.array_sort(
-            F.collect_list(F.struct("place", F.col("_come").alias("come"), "child"))
-        ).alias("_children")
+def _arrived_before(counted: DataFrame, pairs: DataFrame, order: str, limit: int) -> DataFrame:
+    """Pairs with ``come``: how many of the parent's rows came before the child's first.
+
+    A child's first arrival is numbered among its parent's rows; what is not another child is a row.
+    """
+    marks = pairs.select(F.col("parent").alias("slug"), F.col("_first").alias("_at"), "child", "place")
+    rows = counted.join(pairs.select(F.col("parent").alias("slug")).distinct(), "slug", "left_semi")
+    entries = rows.select("slug", F.col(order).alias("_at")).unionByName(marks, allowMissingColumns=True)
+    among_all = ordered.numbered(entries, ["slug"], ["_at"], "_all", F.col("_at"), limit).where("child IS NOT NULL")
+    among_marks = ordered.numbered(marks, ["slug"], ["_at"], "_marks", F.col("_at"), limit).select("child", "_marks")
+    return among_all.join(among_marks, "child").select(
+        F.col("slug").alias("parent"), "child", "place", (F.col("_all") - F.col("_marks")).alias("come")
     )
 
-    def skipped(children, start):
-        """Places a parent must skip: a literal child came before the parent reached that place."""
-        initial = F.when(start, F.array(F.lit(1).cast("long"))).otherwise(
-            F.array().cast("array<long>")
-        )
-        return F.aggregate(
-            children,
-            initial,
-            lambda taken, c: F.when(
-                c["come"] < c["place"] - F.size(taken), F.concat(taken, F.array(c["place"]))
-            ).otherwise(taken),
-        )
 
-    spark = counted.sparkSession
-    solved = None
-    # A slug's own first place is lost when its parent took it; parents are solved before children.
-    level = children.join(
-        pairs.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti"
-    ).withColumn("_skip", skipped(F.col("_children"), F.lit(False)))
-    level = level.select("parent", "_children", "_skip")
-    while not level.isEmpty():
-        solved = level if solved is None else solved.unionByName(level)
-        lost = (
-            level.select(F.explode("_children").alias("c"), "_skip")
-            .select(
-                F.col("c.child").alias("parent"),
-                (~F.array_contains("_skip", F.col("c.place"))).alias("_lost"),
-            )
+_SKIPS = "slug string, place long, index long, child string, skipped boolean"
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Children by parent and place: a parent skips a place that a literal child had before the parent got there.
+
+    Only the number of places skipped so far is kept, so a parent may have any number of children.
+    """
+    parent, skipped = None, 0
+    for batch in batches:
+        out = []
+        for slug, lost, child, place, come in zip(*[batch.column(n).to_pylist() for n in ("slug", "lost", "child", "place", "come")]):
+            if slug != parent:
+                parent, skipped = slug, 0
+                if lost:  # its own first place went to its parent
+                    out.append((slug, 1, 0, None, True))
+                    skipped = 1
+            if child is not None:
+                skips = come < place - skipped
+                out.append((slug, place, skipped, child, skips))
+                skipped += skips
+        columns = list(zip(*out)) or [()] * 5
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], names=["slug", "place", "index", "child", "skipped"]
         )
-        level = (
-            lost.join(children, "parent", "left")
-            .withColumn(
-                "_children",
-                F.coalesce(
-                    "_children",
-                    F.array().cast("array<struct<place:bigint,come:bigint,child:string>>"),
-                ),
-            )
-            .withColumn("_skip", skipped(F.col("_children"), F.col("_lost")))
-            .select("parent", "_children", "_skip")
+
+
+def _skipped_places(pairs: DataFrame) -> DataFrame:
+    """(slug, place, index): the places each slug skips, numbered from 0; parents are solved before children.
+
+    There are as many rounds as numbers follow each other at the end of a name (``a-2-2-2``); each
+    round's decisions are stored, so no plan grows.
+    """
+    pairs = session.materialised(pairs, "pairs")
+    children = pairs.withColumnRenamed("parent", "slug")
+    level = children.select("slug").distinct().join(pairs.select(F.col("child").alias("slug")), "slug", "left_anti")
+    level = level.withColumn("lost", F.lit(False))
+    solved = []
+    while True:
+        decided = session.materialised(
+            level.join(children, "slug", "left").repartition("slug").sortWithinPartitions("slug", "place").mapInArrow(_follow, _SKIPS),
+            "skips",
         )
-    if solved is None:
-        solved = spark.createDataFrame([], "parent string, _skip array<long>")
-    skips = solved.select(F.col("parent").alias("slug"), "_skip")
-    # The n-th row takes the n-th place that is not skipped; skipped places ascend.
-    place = F.aggregate(
-        F.coalesce("_skip", F.array().cast("array<long>")),
-        F.col("_nth"),
-        lambda at, s: F.when(s <= at, at + 1).otherwise(at),
-    )
-    return counted.join(skips, "slug", "left").withColumn("_place", place).drop("_skip")
+        if decided.isEmpty():
+            break
+        solved.append(decided.where("skipped").select("slug", "place", "index"))
+        # A child lost its own first place where its parent did not skip it; children that neither lost
+        # it nor have children of their own leave no row.
+        level = decided.where("child IS NOT NULL").select(F.col("child").alias("slug"), (~F.col("skipped")).alias("lost"))
+    return _all_of(solved)
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _past_skips(counted: DataFrame, skips: DataFrame, limit: int) -> DataFrame:
+    """The n-th row takes the n-th place that is not skipped.
+
+    The j-th skip moves a row on if its place is at most n + j, so ordered by place - j the skips
+    before a row are counted by numbering rows and skips together.
+    """
+    rows = counted.select("*", F.col("_nth").alias("_value"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_j"))
+    marks = skips.select("slug", (F.col("place") - F.col("index")).alias("_value"), F.lit(0).alias("_kind"), F.col("index").alias("_j"))
+    together = rows.unionByName(marks, allowMissingColumns=True)
+    # Rows and skips of one value stand together: skips first.
+    position = F.col("_value") * 2 + F.col("_kind")
+    numbered = ordered.numbered(together, ["slug"], ["_value", "_kind", "_j"], "_place", position, limit)
+    return numbered.where("_kind = 1").drop("_value", "_kind", "_j")
 
 
 def _with_key(placed: DataFrame) -> DataFrame:
@@ -153,3 +181,7 @@ def pick_artifacts(keys: DataFrame, listing: DataFrame) -> DataFrame:
         .join(counted, "id", "left")
         .select("id", matches.alias("matches"), F.when(matches == 1, F.col("path")).alias("path"))
     )
+
+
+# Python workers get this code with the job; nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -70,6 +70,10 @@ FROM s
 """
 
 
+# In this order: the second db must pass over db-2, and the second db-2 takes db-2-2 before it comes itself.
+COLLIDING = ("db", "db-2", "db", "db-2", "db-2-2")
+
+
 def slug_suffix(spark: SparkSession, sf: str) -> DataFrame:
     """Two names per part from a list with blanks; keys unique over all."""
     listed = names.name_list(F.concat("p_name", F.lit(" , ,  *"), "p_type", F.lit("*,")))
@@ -77,6 +81,14 @@ def slug_suffix(spark: SparkSession, sf: str) -> DataFrame:
     ordered = entries.where(~names.is_blank(F.col("name"))).withColumn(
         "at", F.col("p_partkey") * 10 + F.col("pos")
     )
+    # Names that take each other's numbered keys, one per region.
+    colliding = c.table(spark, sf, "region").select(
+        (-1 - F.col("r_regionkey")).cast("long").alias("p_partkey"),
+        F.lit(0).alias("pos"),
+        F.element_at(F.array(*[F.lit(n) for n in COLLIDING]), (F.col("r_regionkey") + 1).cast("int")).alias("name"),
+        (F.col("r_regionkey") - 1000).cast("long").alias("at"),
+    )
+    ordered = ordered.select("p_partkey", "pos", "name", "at").unionByName(colliding)
     return naming.unique_keys(ordered, "name", "at").select("p_partkey", "pos", "key")
 
 
@@ -85,6 +97,8 @@ WITH e AS (SELECT p_partkey, 0 AS pos, replace(p_name, ' ', '-') AS slug FROM pa
            UNION ALL SELECT p_partkey, 1, p_type FROM part),
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey, pos) AS nth FROM e)
 SELECT p_partkey, pos, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS key FROM n
+UNION ALL
+SELECT -1 - r_regionkey, 0, ['db', 'db-2', 'db-3', 'db-2-2', 'db-2-2-2'][cast(r_regionkey + 1 AS integer)] FROM region
 """
 
 _PART_VERSION = (

@@ -76,6 +76,15 @@ def test_keys_are_those_of_taking_names_in_turn(spark, seed, limit):
     assert got == greedy_keys(slugs)
 
 
+def test_a_name_may_have_very_many_numbered_children(spark):
+    rng = random.Random(9)
+    slugs = ["a"] * 3000 + [f"a-{n}" for n in range(2, 8002)] + ["a-5-2", "a-5", "a-5"]
+    rng.shuffle(slugs)
+    df = spark.createDataFrame(list(enumerate(slugs)), "at long, name string").repartition(3)
+    got = [r.key for r in naming.unique_keys(df, "name", "at", 700).orderBy("at").collect()]
+    assert got == greedy_keys(slugs)
+
+
 def pick(spark, keys, listing):
     found = naming.pick_artifacts(
         spark.createDataFrame([(k,) for k in keys], "id string"),
