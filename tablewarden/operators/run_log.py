@@ -103,7 +103,9 @@ def _lifecycle_status(steps: Sequence[Transition]) -> Column:
     )
 
 
-def lifecycle(log: RunLog, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE) -> DataFrame:
+def lifecycle(
+    log: RunLog, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE, also_by: Sequence[Column] = ()
+) -> DataFrame:
     """Per run: ``complete``, ``incomplete`` (a clean beginning) or ``reordered``.
 
     A recognised event that repeats or comes early makes the run ``reordered``; other events do not
@@ -113,7 +115,7 @@ def lifecycle(log: RunLog, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE)
     for i in range(len(steps)):
         seen = seen + F.col(f"_seen{i}")
     return (
-        log.events.groupBy(log.run)
+        log.events.groupBy(log.run, *also_by)
         .agg(*_lifecycle_aggregates(steps, log.ordinal))
         .select(log.run, _lifecycle_status(steps).alias("lifecycle"), seen.alias("recognised"))
     )

@@ -14,12 +14,16 @@ from tablewarden.sources.folders import Folders
 from tablewarden.sources.run_log import stream_lines
 from tablewarden.streaming import streams
 
-# All files are one micro-batch here, so nothing arrives late.
-DELAY = "0 seconds"
+# Lines arrive in several files, one micro-batch each, and some of them a day late.
+FILES = 4
+LATE_DAYS = 1
+DELAY = "2 days"
+# A run is one user on one day, so it has ended when nothing came for longer.
+IDLE = "25 hours"
 
 
-def _log_lines(spark: SparkSession, sf: str, folder: str) -> str:
-    """The run-log view written as JSON lines of both tools' format, and a last line to close it."""
+def _log_lines(spark: SparkSession, sf: str, folder: str, late_days: int = LATE_DAYS) -> str:
+    """The run-log view written as JSON lines of both tools' format, file after file, and a last line to close it."""
     log = c.run_log(spark, sf).events
     k = F.col("k").cast("string")
     counted = F.col("source_event") == "purchase"
@@ -48,7 +52,14 @@ def _log_lines(spark: SparkSession, sf: str, folder: str) -> str:
         )
     )
     path = f"{folder}/lines"
-    log.select(F.concat(line, F.lit("\r")).alias("line")).write.text(path)
+    # Each file has the lines of a stretch of time, in no order; every other line comes late.
+    micros, day = F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000
+    ends = log.agg(F.min(micros).alias("low"), F.max(micros).alias("high")).first()
+    arrival = micros + (F.col("event_id") % 2) * (late_days * day)
+    number = F.least(F.floor((arrival - ends.low) / ((ends.high - ends.low) / FILES + day)), F.lit(FILES - 1))
+    lines = session.materialised(log.select(F.concat(line, F.lit("\r")).alias("line"), number.alias("number")), "lines")
+    for n in range(FILES):
+        lines.where(F.col("number") == n).select("line").coalesce(1).write.mode("append").text(path)
     # One event long after the others lets every timer of theirs expire.
     end = log.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
     closing = end.select(
@@ -58,7 +69,7 @@ def _log_lines(spark: SparkSession, sf: str, folder: str) -> str:
             F.lit('","level":"INFO","tool":"exporter","event":"view","phase":"dump","status":"progress","fatal":false}'),
         ).alias("line")
     )
-    closing.write.mode("append").text(path)
+    closing.coalesce(1).write.mode("append").text(path)
     return path
 
 
@@ -67,15 +78,15 @@ def _drop_lines(spark: SparkSession, folder: str) -> None:
     Folders(spark).delete(f"{folder}/lines")
 
 
-def _events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    lines = stream_lines(spark, _log_lines(spark, sf, folder))
-    return streams.typed_events(lines, "exporter", DELAY, c.COMPLETIONS)
+def _events(spark: SparkSession, path: str) -> DataFrame:
+    return streams.typed_events(stream_lines(spark, path, maxFilesPerTrigger="1"), "exporter", DELAY, c.COMPLETIONS)
 
 
 def stream_lock_watchdog(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "watchdog")
+    lines = stream_lines(spark, _log_lines(spark, sf, folder), maxFilesPerTrigger="1")
     watched = streams.watch_locks(
-        _events(spark, sf, folder), c.LOCK, c.PROGRESS, runs.LOCK_BUDGET
+        streams.parsed_events(lines, "exporter", c.COMPLETIONS), c.LOCK, c.PROGRESS, runs.LOCK_BUDGET, DELAY
     )
     told = streams.drain(spark, watched, folder)
     _drop_lines(spark, folder)
@@ -94,14 +105,10 @@ WHERE source_event = 'signup'
 
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "lifecycle")
-    followed = streams.follow_lifecycle(_events(spark, sf, folder), c.LIFECYCLE)
-    states = streams.drain(spark, followed, folder, mode="update")
+    followed = streams.follow_lifecycle(_events(spark, _log_lines(spark, sf, folder)), c.LIFECYCLE, IDLE)
+    states = streams.drain(spark, followed, folder)
     _drop_lines(spark, folder)
-    return (
-        states.groupBy("run_id")
-        .agg(F.max_by("lifecycle", "batch_id").alias("status"))
-        .where(F.col("run_id") != "closing")
-    )
+    return states.where(F.col("run_id") != "closing").select("run_id", F.col("lifecycle").alias("status"))
 
 
 STREAM_LIFECYCLE = f"SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHECK}) l WHERE kind = 'run'"
@@ -109,7 +116,9 @@ STREAM_LIFECYCLE = f"SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHEC
 
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "throttle")
-    kept = streams.drain_throttled(spark, _events(spark, sf, folder), folder, runs.THROTTLE_MS)
+    # Thinning follows a log as it grows, so its lines come in order of time, file after file.
+    events = _events(spark, _log_lines(spark, sf, folder, late_days=0))
+    kept = streams.drain_throttled(spark, events, folder, runs.THROTTLE_MS)
     _drop_lines(spark, folder)
     return (
         kept.where(F.col("run_id") != "closing")
@@ -121,31 +130,24 @@ STREAM_THROTTLE = f"SELECT run_id, event_id FROM ({runs.PROGRESS_THROTTLE}) t"
 
 
 def stream_run_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters per run from an update stream, and the runs that ended from a deduplicated one."""
+    """Counters of each run, told when it has ended, and the runs with a terminal record from a deduplicated stream."""
     folder = session.scratch_dir(spark, "status")
     lines = _log_lines(spark, sf, folder)
 
-    def events() -> DataFrame:
-        return streams.typed_events(
-            stream_lines(spark, lines), "exporter", "30 days", c.COMPLETIONS
-        )
-
-    updates = streams.drain(spark, streams.run_status(events()), f"{folder}/status", mode="update")
-    latest = updates.groupBy("run_id").agg(
-        F.max_by(
-            F.struct("events", "completions", "any_fatal", "any_cancelled"), "batch_id"
-        ).alias("s")
-    )
+    told = streams.drain(spark, streams.run_status(_events(spark, lines), IDLE), f"{folder}/status")
     terminal = (F.col("type") == "completion") | F.coalesce(F.col("fatal"), F.lit(False))
     ended = streams.drain(
-        spark, streams.one_terminal(events(), terminal).select("run_id"), f"{folder}/ended"
+        spark, streams.one_terminal(_events(spark, lines), terminal).select("run_id"), f"{folder}/ended"
     )
     _drop_lines(spark, folder)
     ends = ended.groupBy("run_id").agg(F.count(F.lit(1)).alias("terminals"))
     return (
-        latest.where(F.col("run_id") != "closing")
+        told.where(F.col("run_id") != "closing")
         .join(ends, "run_id", "left")
-        .select("run_id", "s.*", F.coalesce("terminals", F.lit(0)).cast("long").alias("terminals"))
+        .select(
+            "run_id", "events", "completions", "any_fatal", "any_cancelled",
+            F.coalesce("terminals", F.lit(0)).cast("long").alias("terminals"),
+        )
     )
 
 

@@ -12,11 +12,17 @@ from tablewarden.functions import redaction
 from tablewarden.operators import log_parse, run_log, throttle
 from tablewarden.operators.run_log import RunLog, Transition, is_transition
 from tablewarden.sources.folders import Folders
-from tablewarden.streaming.processors import LockWatchdog
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def parsed_events(
+    lines: DataFrame, tool: str, completion_events: Sequence[str] = fixed.COMPLETION_EVENTS
+) -> DataFrame:
+    """Accepted events of a stream of lines."""
+    return log_parse.accepted(log_parse.parse_lines(lines, tool, completion_events=completion_events))
+
+
 def typed_events(
     lines: DataFrame,
     tool: str,
@@ -24,8 +30,7 @@ def typed_events(
     completion_events: Sequence[str] = fixed.COMPLETION_EVENTS,
 ) -> DataFrame:
     """Accepted events of a stream of lines, with the watermark that bounds all state."""
-    parsed = log_parse.parse_lines(lines, tool, completion_events=completion_events)
-    return log_parse.accepted(parsed).withWatermark("event_time", delay)
+    return parsed_events(lines, tool, completion_events).withWatermark("event_time", delay)
 
 
 def refused_lines(lines: DataFrame, tool: str) -> DataFrame:
@@ -37,51 +42,70 @@ def watch_locks(
     lock: Transition = fixed.EXPORT_LIFECYCLE[0],
     progress: Transition = fixed.EXPORT_LIFECYCLE[3],
     budget_seconds: int = fixed.LOCK_BUDGET_SECONDS,
+    delay: str = "0 seconds",
 ) -> DataFrame:
-    """Stream of (run_id, sequence of the lock, over_budget); a lock is told at its deadline.
-
-    Progress goes to its own time bucket and, as ``next``, to the one before; a fixed factor of two.
+    """Stream of (run_id, sequence of the lock, over_budget); a lock is told when its deadline is past.
+
+    Progress after a lock and within its budget lies in the lock's own stretch of time of the budget's
+    length, or in the next one. In its own, any later progress is in time, so the latest one tells; of
+    the next, the earliest one tells. So progress goes to its own stretch and, shifted by the budget, to
+    the one before, and one windowed aggregate per run and stretch holds what is needed: two numbers and
+    the locks that wait. A run with most events is spread over its stretches. ``events`` come without a
+    watermark; rows may be late by ``delay``. The state of a stretch goes when it is told.
     """
     kind = F.when(is_transition(lock), "lock").when(is_transition(progress), "progress")
+    budget = F.expr(f"INTERVAL {budget_seconds} SECONDS")
+    own = F.named_struct(F.lit("at"), F.col("event_time"), F.lit("kind"), kind)
+    before = F.named_struct(F.lit("at"), F.col("event_time") - budget, F.lit("kind"), F.lit("next"))
     micros = F.unix_micros("event_time")
-    bucket = F.floor(micros / F.lit(budget_seconds * 1_000_000)).cast("long")
-    places = F.filter(
-        F.array(
-            F.named_struct(F.lit("bucket"), bucket, F.lit("kind"), kind),
-            F.when(
-                kind == "progress",
-                F.named_struct(F.lit("bucket"), bucket - 1, F.lit("kind"), F.lit("next")),
-            ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    return (
+    position = F.struct("micros", "sequence")
+    stretches = (
         events.where(kind.isNotNull())
-        .withColumn("micros", micros)
-        .withColumn("places", places)
-        .select("run_id", "sequence", "event_time", "micros", F.inline("places"))
-        .groupBy("run_id", "bucket")
-        .transformWithStateInPandas(
-            LockWatchdog(budget_seconds), LockWatchdog.OUTPUT, "Append", "EventTime"
+        .select("run_id", "sequence", micros.alias("micros"), F.inline(F.array_compact(F.array(own, F.when(kind == "progress", before)))))
+        # Shifted rows are older by the budget, which is no lateness.
+        .withWatermark("at", f"{delay} {budget_seconds} seconds")
+        .groupBy("run_id", F.window("at", f"{budget_seconds} seconds"))
+        .agg(
+            F.max(F.when(F.col("kind") == "progress", position)).alias("latest"),
+            F.min(F.when(F.col("kind") == "next", F.col("micros"))).alias("following"),
+            F.collect_list(F.when(F.col("kind") == "lock", position)).alias("locks"),
         )
     )
+    in_time = F.coalesce(F.col("latest") > F.col("l"), F.lit(False)) | F.coalesce(
+        F.col("following") <= F.col("l.micros") + budget_seconds * 1_000_000, F.lit(False)
+    )
+    return stretches.select("run_id", "latest", "following", F.explode("locks").alias("l")).select(
+        "run_id", F.col("l.sequence").alias("sequence"), (~in_time).alias("over_budget")
+    )
+
+
+def _sessions(idle: str | None) -> list[Column]:
+    return [] if idle is None else [F.session_window("event_time", idle)]
 
 
 def follow_lifecycle(
-    events: DataFrame, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE
+    events: DataFrame, steps: Sequence[Transition] = fixed.EXPORT_LIFECYCLE, idle: str | None = None
 ) -> DataFrame:
-    """Running lifecycle state per run: the batch aggregate as it is, combined before the shuffle."""
-    return run_log.lifecycle(RunLog(events, ("event_time", "sequence")), steps)
-
-
-def run_status(events: DataFrame) -> DataFrame:
-    """Running counters per run."""
-    return events.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("type") == "completion").alias("completions"),
-        F.coalesce(F.bool_or(F.col("fatal")), F.lit(False)).alias("any_fatal"),
-        F.coalesce(F.bool_or(F.col("type") == "cancelled"), F.lit(False)).alias("any_cancelled"),
-        F.max("event_time").alias("last_seen"),
+    """Lifecycle state per run: the batch aggregate as it is, combined before the shuffle.
+
+    Without ``idle`` it is a running state for update mode, and every run ever seen stays in it. With it,
+    a run is told once, in append mode, when it has been idle for so long, and its state goes.
+    """
+    return run_log.lifecycle(RunLog(events, ("event_time", "sequence")), steps, _sessions(idle))
+
+
+def run_status(events: DataFrame, idle: str | None = None) -> DataFrame:
+    """Counters per run: running, or told once it has been idle, as in :func:`follow_lifecycle`."""
+    return (
+        events.groupBy("run_id", *_sessions(idle))
+        .agg(
+            F.count(F.lit(1)).alias("events"),
+            F.count_if(F.col("type") == "completion").alias("completions"),
+            F.coalesce(F.bool_or(F.col("fatal")), F.lit(False)).alias("any_fatal"),
+            F.coalesce(F.bool_or(F.col("type") == "cancelled"), F.lit(False)).alias("any_cancelled"),
+            F.max("event_time").alias("last_seen"),
+        )
+        .drop("session_window")
     )
 
 
@@ -100,7 +124,7 @@ def scrub(
 
 
 def _run(spark: SparkSession, start: Callable[[], object]) -> None:
-    """Start a query under the RocksDB state store, which timers need, and wait for its end."""
+    """Start a query under the RocksDB state store, whose state may exceed memory, and wait for its end."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, STATE_STORE)
@@ -129,10 +153,11 @@ def drain(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure replaces its own folder: once and no more.
-        tagged = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        tagged.write.mode("overwrite").parquet(f"{out}/run={batch_id}")
+        where = f"{out}/run={batch_id}"
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(where)
         if each_batch is not None:
-            each_batch(batch, batch_id)
+            # The hook gets what was written, so the batch is computed once.
+            each_batch(batch.sparkSession.read.schema(batch.schema).parquet(where), batch_id)
 
     writer = (
         stream.writeStream.trigger(availableNow=True)

@@ -52,10 +52,8 @@ def test_watchdog_reports_at_the_deadline_across_micro_batches(spark, tmp_path):
     write(logs, "2.jsonl", [line("late", 2, 10_001, PROGRESS), line("next", 2, 19_000, PROGRESS)], 50)
     write(logs, "3.jsonl", [line("closing", 1, 600_000, PROGRESS)], 10)
     # The watermark moves between the files; a delay lets the second file's rows count.
-    slow = streams.typed_events(
-        stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "1 minute"
-    )
-    got = streams.drain(spark, streams.watch_locks(slow), str(tmp_path / "w"))
+    slow = streams.parsed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter")
+    got = streams.drain(spark, streams.watch_locks(slow, delay="1 minute"), str(tmp_path / "w"))
     assert {(r.run_id, r.sequence): r.over_budget for r in got.collect()} == {
         ("late", 1): True,
         ("never", 1): True,
@@ -77,6 +75,25 @@ def test_lifecycle_is_followed_across_micro_batches(spark, tmp_path):
     assert states[("bad", 0)] == "reordered"
 
 
+def test_state_goes_when_runs_have_ended(spark, tmp_path):
+    logs = str(tmp_path / "logs")
+    steps = [LOCK, CONSISTENT, UNLOCK, PROGRESS]
+    for n in range(6):  # one run per file, minutes apart
+        write(logs, f"{n}.jsonl", [line(f"r{n}", i, 90_000 * n + 10 * i, s) for i, s in enumerate(steps)], 100 - n)
+    write(logs, "9.jsonl", [line("closing", 1, 3_000_000, PROGRESS)], 10)
+    source = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "1 second")
+    followed = streams.follow_lifecycle(source, idle="20 seconds")
+    query = (
+        followed.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c"))
+        .outputMode("append").format("parquet").start(str(tmp_path / "o"))
+    )
+    query.awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "o"))
+    assert {r.run_id: r.lifecycle for r in told.collect()} == {f"r{n}": "complete" for n in range(6)}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 6 and max(held) <= 3 and held[-1] <= 1
+
+
 def test_throttle_remembers_the_last_kept_event(spark, tmp_path):
     logs = str(tmp_path / "logs")
     write(logs, "1.jsonl", [line("r", i, 100 * i, PROGRESS) for i in range(5)], 100)
