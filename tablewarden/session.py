@@ -15,6 +15,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Of a JSON object's repeated keys the last one counts, as in most readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Generated methods above this size are never compiled to machine code; splitting them instead
     # halves the time of long rule chains such as the log parser's.
     "spark.sql.codegen.hugeMethodLimit": "8000",

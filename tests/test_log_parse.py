@@ -51,6 +51,9 @@ CASES = [
     (json.dumps(LINE) + "] [", "malformed"),
     (json.dumps(LINE) + "]", "malformed"),
     (LINE | {"extra": [1, {"a": "]"}]}, None),
+    (json.dumps(LINE)[:-1] + ', "x": {"a": 1, "a": 2}, "x": []}', None),
+    (json.dumps(LINE)[:-1] + ', "seq": "2", "seq": 3}', None),
+    (json.dumps(LINE)[:-1] + ', "seq": "2"}', "seq"),
     (LINE | {"schema_version": "2"}, "version"),
     (LINE | {"event_version": 1}, "version"),
     (LINE | {"tool": "loader"}, "tool"),
