@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,11 @@ RECOMMENDED = {
 }
 
 
+# Folders of materialised copies, in the order made; and which copy reads which.
+MADE: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings a running session still takes."""
     for key, value in RECOMMENDED.items():
@@ -64,4 +70,16 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    _PATHS[copy] = path
+    MADE.append(path)
+    return copy
+
+
+def discard(spark: SparkSession, *copies: DataFrame | str) -> None:
+    """Delete materialised copies (or their paths) that nothing will read any more."""
+    for copy in copies:
+        path = copy if isinstance(copy, str) else _PATHS[copy]
+        Folders(spark).delete(path)
+        if path in MADE:
+            MADE.remove(path)
