@@ -7,10 +7,13 @@ operators in `tablewarden.llm` say.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.llm import jaccard, language, packing, quality, substring
 from tablewarden.llm.common import file_bytes, fold, prepare, stored, table
 
@@ -18,34 +21,56 @@ from tablewarden.llm.common import file_bytes, fold, prepare, stored, table
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+_intermediate: list[str] = []
+
+
+def _tidy(stage):
+    """A stage that first deletes what the stage before it stored on the way.
+
+    A stage's result is written before the next stage is called, as `STAGES` are to be used; after that
+    nothing reads the intermediate tables of its operator.
+    """
+
+    @functools.wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        session.discard(spark, *_intermediate)
+        before = len(session.MADE)
+        result = stage(spark, docs, sf_dir)
+        _intermediate[:] = session.MADE[before:]
+        return result
+
+    return tidied
+
+
+@_tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; learned from the documents themselves, a third held out."""
-    prepare(spark)
     model = language.fit(docs, fold(F.col("doc_id"), 3) != 1)
     return language.keep_identified(docs, model, LEAST_LANGUAGE_SCORE)
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail them."""
-    prepare(spark)
     return quality.clean(docs)
 
 
+@_tidy
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
-    prepare(spark)
     return jaccard.keep_smallest(docs)
 
 
+@_tidy
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has."""
-    prepare(spark)
     return substring.drop_repeats(docs)
 
 
+@_tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' tokens in training sequences."""
-    prepare(spark)
     tokenizer = file_bytes(public_tokenizers.path("byte_bpe_50k.json")).decode()
     return packing.pack(packing.tokenised_pieces(docs, tokenizer))
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.llm.common import stored
 from tablewarden.llm.components import connected_components
 from tablewarden.llm.hashing import WordHashes, run_hashes, split_words
@@ -214,6 +215,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     rows = rows.where("text IS NOT NULL").select(F.coalesce("doc", F.lit(-(1 << 63))).alias("doc"), "mark", "text")
     chosen = stored(_candidates(heads, classes), "candidates")
+    # The sampled shingles have done their part; what is left of the heads is small.
+    whole, heads = heads, stored(heads.drop("half"), "heads")
+    session.discard(docs.sparkSession, whole)
     sets = stored(_ordered_sets(rows, chosen), "sets")
     members = stored(_members(sets), "members")
     links = _links(sets, members)
