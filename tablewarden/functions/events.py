@@ -88,20 +88,26 @@ def public_event(columns: Mapping[str, Column]) -> Column:
     return F.named_struct(*[part for n in shown for part in (F.lit(n), columns[n])])
 
 
-def envelope(event: Column, command: str) -> Column:
+def _output_line(kind: str, command: str, **members: Column) -> Column:
     """One line of versioned output; absent fields are left out."""
-    return F.to_json(
-        F.named_struct(
-            F.lit("schemaVersion"),
-            F.lit(1),
-            F.lit("type"),
-            F.lit("event"),
-            F.lit("command"),
-            F.lit(command),
-            F.lit("event"),
-            event,
-        )
-    )
+    head = {"schemaVersion": F.lit(1), "type": F.lit(kind), "command": F.lit(command)}
+    return F.to_json(F.named_struct(*[part for n, c in (head | members).items() for part in (F.lit(n), c)]))
+
+
+def envelope(event: Column, command: str) -> Column:
+    """Output line of an event."""
+    return _output_line("event", command, event=event)
+
+
+def result_envelope(result: Column, command: str) -> Column:
+    """Output line that ends a command that succeeded."""
+    return _output_line("result", command, ok=F.lit(True), result=result)
+
+
+def error_envelope(code: Column, message: Column, command: str) -> Column:
+    """Output line that ends a command that failed; ``code`` is its exit code, ``message`` is scrubbed already."""
+    error = F.named_struct(F.lit("code"), outcome_name(code), F.lit("message"), message)
+    return _output_line("error", command, ok=F.lit(False), error=error)
 
 
 def outcome_code(cancelled: Column, usage_error: Column, failed: Column) -> Column:

@@ -159,11 +159,15 @@ def binlog_rules() -> list[Rule]:
     ]
 
 
-def replica_rules() -> list[Rule]:
-    """Health of a replica reported under the new or the old column names."""
+def replica_rules(reported: Column | None = None) -> list[Rule]:
+    """Health of a replica reported under the new or the old column names.
+
+    ``reported`` tells whether the server gave a status row at all; a row without either thread's state
+    is a replica that does not run. Unless given, such a row counts as none.
+    """
     io = F.coalesce("replica_io_running", "slave_io_running")
     sql = F.coalesce("replica_sql_running", "slave_sql_running")
-    configured = F.coalesce(io, sql).isNotNull()
+    configured = F.coalesce(io, sql).isNotNull() if reported is None else reported
     running = (F.upper(io).eqNullSafe(F.lit("YES"))) & (F.upper(sql).eqNullSafe(F.lit("YES")))
     return [
         Rule("not-a-replica", ~configured, F.col("server"), F.lit("no replica is configured")),
@@ -177,7 +181,7 @@ def replica_rules() -> list[Rule]:
 
 
 def replica_findings(replicas: DataFrame) -> DataFrame:
-    return check(replicas, replica_rules())
+    return check(replicas, replica_rules(F.col("reported") if "reported" in replicas.columns else None))
 
 
 def replica_lag() -> Column:

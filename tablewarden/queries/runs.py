@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions import events as ev
+from tablewarden.functions import redaction
 from tablewarden.operators import log_parse, run_log, throttle
 from tablewarden.operators.run_log import RunLog
 from tablewarden.queries import common as c
@@ -385,7 +386,16 @@ def verbosity_filter(spark: SparkSession, sf: str) -> DataFrame:
         lambda v: v.isNotNull(),
     )
     lines = events.withColumn("line", ev.envelope(public, "backup"))
-    return lines.select("event_id", F.explode(levels).alias("verbosity"), "line")
+    shown = lines.select("event_id", F.explode(levels).alias("verbosity"), "line")
+    # A run's own last word: the result of one that completed, the error of one that failed for good.
+    completed, failed = F.col("type") == "completion", is_error & F.col("fatal")
+    message = redaction.clean(F.col("source_event"))
+    last = (
+        F.when(completed, ev.result_envelope(F.struct(F.col("run_id").alias("runId")), "backup"))
+        .when(failed, ev.error_envelope(F.lit(1), message, "backup"))
+    )
+    terminal = events.select("event_id", F.lit("terminal").alias("verbosity"), last.alias("line"))
+    return shown.unionByName(terminal.where(F.col("line").isNotNull()))
 
 
 VERBOSITY_FILTER = f"""
@@ -405,6 +415,12 @@ SELECT event_id, 'verbose' AS verbosity, line FROM l
 UNION ALL
 SELECT event_id, 'default', line FROM l
 WHERE type IN ('warning', 'error', 'cancelled', 'completion') OR state <> 'running'
+UNION ALL
+SELECT event_id, 'terminal', CASE WHEN type = 'completion'
+  THEN '{{"schemaVersion":1,"type":"result","command":"backup","ok":true,"result":{{"runId":"' || run_id || '"}}}}'
+  ELSE '{{"schemaVersion":1,"type":"error","command":"backup","ok":false,"error":{{"code":"OPERATION_FAILED","message":"' ||
+       source_event || '"}}}}' END
+FROM e WHERE type = 'completion' OR (type = 'error' AND fatal)
 """
 
 QUERIES = {

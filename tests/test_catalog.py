@@ -84,8 +84,10 @@ REPLICA = "server string, replica_io_running string, slave_io_running string, re
     ],
 )
 def test_replicas(spark, flags, expected):
-    found = catalog.replica_findings(spark.createDataFrame([("s", *flags)], REPLICA))
-    assert [r for r, _ in rules(found)] == expected
+    rows = spark.createDataFrame([("s", *flags)], REPLICA)
+    assert [r for r, _ in rules(catalog.replica_findings(rows))] == expected
+    told = catalog.replica_findings(rows.withColumn("reported", F.lit(True)))
+    assert [r for r, _ in rules(told)] == (["replica-stopped"] if flags == (None,) * 4 else expected)
 
 
 @pytest.mark.parametrize(

@@ -183,6 +183,17 @@ def test_outcomes_and_switches(spark):
     assert [one(spark, ev.zero_one(F.lit(v))) for v in ("0", "1", "2")] == [False, True, None]
 
 
+def test_result_and_error_lines(spark):
+    result = ev.result_envelope(F.struct(F.lit("r").alias("runId")), "backup")
+    assert one(spark, result) == '{"schemaVersion":1,"type":"result","command":"backup","ok":true,"result":{"runId":"r"}}'
+    names = {2: "INVALID_USAGE", 130: "CANCELLED", 1: "OPERATION_FAILED"}
+    for code, name in names.items():
+        line = ev.error_envelope(F.lit(code), F.lit("m"), "restore")
+        assert one(spark, line) == (
+            f'{{"schemaVersion":1,"type":"error","command":"restore","ok":false,"error":{{"code":"{name}","message":"m"}}}}'
+        )
+
+
 def test_envelope_leaves_out_absent_fields(spark):
     event = F.struct(F.lit("r").alias("runId"), F.lit(None).cast("string").alias("message"))
     assert one(spark, ev.envelope(event, "backup")) == (
