@@ -12,7 +12,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows of one Arrow batch: whole texts travel in them, so a batch stays at some megabytes.
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH = 250
 
 
 def prepare(spark: SparkSession) -> SparkSession:
