@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden import session
-from tablewarden.llm.common import stored
+from tablewarden.llm.common import free_name, stored
 from tablewarden.llm.components import connected_components
 from tablewarden.llm.hashing import WordHashes, run_hashes, split_words
 from tablewarden.llm.prefix_tree import Groups, PrefixTree
@@ -193,14 +193,10 @@ def _links(sets: DataFrame, members: DataFrame) -> DataFrame:
     return links.unionByName(across.select("a", "b"))
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id and class_id of every row.
+def _linked_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, doc, mark (of the text), size, class, smallest and first of every row.
 
-    component_id is the smallest key that links lead to, class_id names the shingle set (null for an empty
-    one). Null and empty texts have no shingles and link with nothing. Rows with equal sets are linked,
-    also rows with the same key; a row with a null key links others but is no smallest key, and has a null
-    component if it is alone. Keys are integers; repeated rows are repeated; other columns are not read.
-    Sets are named by 64-bit hashes.
+    smallest is the least key of the row's component, first the least (doc, mark) among its rows with a key.
     """
     named = F.pandas_udf(_named, "class bigint, size bigint, half array<bigint>").asNondeterministic()
     rows = docs.select(F.col(key), F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
@@ -222,18 +218,46 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = stored(_members(sets), "members")
     links = _links(sets, members)
     component = connected_components(links, "a", "b")
-    smallest_of_class = heads.where("class IS NOT NULL").groupBy("class").agg(F.min("doc").alias("doc"))
+    row = F.when(F.col("doc").isNotNull(), F.struct("doc", "mark"))
+    smallest_of_class = heads.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("first"))
     labelled = smallest_of_class.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")
     )
-    smallest = labelled.groupBy("component").agg(F.min("doc").alias("smallest"))
-    of_class = labelled.join(smallest, "component").select("class", "smallest")
-    return heads.join(of_class, "class", "left").select(
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    of_class = labelled.select("class", "component").join(smallest, "component").select("class", "first")
+    return heads.join(of_class, "class", "left").select(key, "doc", "mark", "size", "class", F.col("first.doc").alias("smallest"), "first")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles, component_id and class_id of every row.
+
+    component_id is the smallest key that links lead to, class_id names the shingle set (null for an empty
+    one). Null and empty texts have no shingles and link with nothing. Rows with equal sets are linked,
+    also rows with the same key; a row with a null key links others but is no smallest key, and has a null
+    component if it is alone. Keys are integers; repeated rows are repeated; other columns are not read.
+    Sets are named by 64-bit hashes.
+    """
+    return _linked_rows(docs, key, text).select(
         key, F.col("size").alias("n_shingles"), F.coalesce("smallest", "doc").alias("component_id"), F.col("class").alias("class_id")
     )
 
 
 def keep_smallest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of linked ones: the one with the smallest key. Rows with a null key stay."""
-    found = similar_groups(docs, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+    """One row of each group of linked ones: the one with the smallest key. Rows with a null key stay.
+
+    Rows are judged one by one, so an id may be repeated: its rows go or stay by their own texts. Of a
+    group's rows with the smallest key, the text with the smallest 64-bit hash stays, and of rows that have
+    both in common any one. Rows without shingles (null and empty texts) stay.
+    """
+    rows = _linked_rows(docs, key, text).where(F.col("class").isNotNull() & F.col("doc").isNotNull())
+    kept = (F.col("doc") == F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
+    found = rows.groupBy("doc", "mark").agg(F.first(kept).alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    found = stored(found.select("doc", "mark", "kept"), "found")
+    names = [free_name(docs, n) for n in ("doc", "mark")]
+    marked = docs.withColumns({names[0]: F.col(key).cast("long"), names[1]: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    found = found.toDF(*names, "kept")
+    stay = marked.join(found, names, "left_anti")
+    repeated = found.where("kept").drop("kept")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(marked.join(repeated, names, "left_semi").dropDuplicates(names))
+    return stay.select(*docs.columns)

@@ -68,6 +68,20 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_smallest(docs.limit(0)).count() == 0
 
 
+def test_rows_of_a_repeated_id_are_judged_one_by_one(spark):
+    one = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11 a12 a13 a14 a15 a16 a17 a18 a19 a20 a21 a22 a23 a24 a25 a26 a27 a28 a29 a30"
+    two = one.replace("a", "b")
+    clean = [(9, f"only here {i} and nowhere else at all {i}", f"clean{i}") for i in range(3)]
+    docs = [(5, one, "5a"), (7, one + " x", "7a"), (5, two, "5b"), (3, two + " y", "3b"), (9, one + " z", "9a"), *clean]
+    # Of one id: equal texts, and near ones.
+    docs += [(20, "same text " * 9, "equal"), (20, "same text " * 9, "equal"), (30, one.replace("a", "c"), "near"), (30, one.replace("a", "c") + " w", "near")]
+    docs += [(40, "", "empty"), (40, "", "empty"), (40, None, "empty")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, mark string")
+    got = jaccard.keep_smallest(frame)
+    assert got.columns == frame.columns
+    assert sorted(r["mark"] for r in got.collect()) == sorted(["5a", "3b", "clean0", "clean1", "clean2", "equal", "near", "empty", "empty", "empty"])
+
+
 def test_tree_against_pairs():
     draw = np.random.default_rng(3)
     for _ in range(60):
