@@ -132,20 +132,22 @@ def fit(
 ) -> LanguageModel:
     """Learn from the rows where `learnable` holds and key, text and language are there.
 
-    The sample is at most `per_language` rows of each language; with repeated keys some more. Only its
-    ids are ranked, so no text is shuffled, and only feature vectors of the sample reach the driver.
+    The sample is at most `per_language` rows of each language, also with repeated keys, and of equal rows
+    one. Only its ids and hashes of its texts are ranked, so no text is shuffled before, and only feature
+    vectors of the sample reach the driver.
     """
-    rows = docs.where(learnable).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).dropna()
-    ranked = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    sample = rows.select("k", "l").withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_language)
+    rows = docs.where(learnable).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).dropna().withColumn("h", F.xxhash64("t"))
+    own = ["k", "l", "h"]
+    ranked = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", "h")
+    sample = rows.select(own).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_language)
 
     @F.pandas_udf("binary")
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: None if (x := features(t)) is None else x.tobytes())
 
-    # The sample's ids are bounded by `per_language`, so sending them to all tasks is safe.
-    chosen = rows.join(F.broadcast(sample.select("k", "l").distinct()), ["k", "l"])
+    # The sample's rows are bounded by `per_language`, so sending them to all tasks is safe.
+    chosen = rows.join(F.broadcast(sample.select(own).distinct()), own).dropDuplicates(own)
     got = [r for r in chosen.select("k", "l", vectors("t").alias("x")).collect() if r.x is not None]
     got.sort(key=lambda r: (r.l, r.k, bytes(r.x)))
     if not got:

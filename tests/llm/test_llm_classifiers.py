@@ -84,3 +84,12 @@ def test_grams():
     assert len(buckets) == 6 + 5
     repeated = np.concatenate((buckets, buckets))
     assert sorted(characters.distinct(repeated, np.full(1 << 18, 7, np.int32))) == sorted(set(buckets.tolist()))
+
+
+def test_language_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    rows = [(i % 2, f"words of text {i % 9}", "en") for i in range(200)] + [(7, "der eine Satz", "de")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, languages: seen.extend(languages) or language.LanguageModel())
+    language.fit(docs, F.lit(True), per_language=4)
+    assert 1 <= seen.count("en") <= 4 and seen.count("de") == 1
