@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import fingerprint, jaccard, language, lm_scoring, packing, quality, sentence_pieces, substring, toxicity, url_filter
+from tablewarden.llm import (
+    conversation_repair,
+    fingerprint,
+    jaccard,
+    language,
+    lm_scoring,
+    packing,
+    quality,
+    ranked_search,
+    sentence_pieces,
+    substring,
+    toxicity,
+    url_filter,
+    vector_search,
+)
 from tablewarden.llm.common import file_bytes, fold, table
 from tablewarden.llm.oracles import ORACLES  # noqa: F401
 from tablewarden.llm.rules import URL_RULES
@@ -69,6 +83,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(conversation_repair.rows_of(conversations))
+    judged = conversation_repair.judge(rows, conversations.select(F.col("conv_id").alias("conv")).distinct())
+    return conversation_repair.with_digests(rows, judged).withColumnsRenamed({"conv": "conv_id", "sha256": "repaired_sha256"})
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -80,4 +109,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fingerprint": op10_fingerprint,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_exact_search": op12_exact_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
