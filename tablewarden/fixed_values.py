@@ -133,6 +133,8 @@ TLS_MODES = ("disabled", "preferred", "required", "verify-ca", "verify-identity"
 # Redaction.
 REDACTED = "[redacted]"
 SECRET_ASSIGNMENT_KEYS = ("password", "passwd", "pwd")
+# An assigned secret, whatever its case; group 1 is all but the value.
+SECRET_ASSIGNMENT_PATTERN = r"""((?:password|passwd|pwd)\s*[=:]\s*)(?:"[^"]*"|'[^']*'|[^\s,;]+)"""
 SENSITIVE_KEY_PATTERN = (
     "(?i)(password|passwd|pwd|secret|token|authorization|credential|api[-_]?key)"
 )

@@ -26,12 +26,9 @@ _SPACE = (
 
 
 def assignment_pattern(keys: Sequence[str] = fixed.SECRET_ASSIGNMENT_KEYS) -> str:
-    """``key = value`` or ``key: value`` with a quoted or bare value; group 1 is all but the value."""
-    blanks = f"[{_SPACE}]*"
-    sign = blanks + "[=:]" + blanks
-    values = [mark + f"[^{mark}]*" + mark for mark in ('"', "'")]  # quoted either way
-    values.append(f"[^,;{_SPACE}]+")  # bare, up to a blank or separator
-    return "((?:" + "|".join(keys) + ")" + sign + ")(?:" + "|".join(values) + ")"
+    """The fixed pattern of an assigned secret, for other key words too, with every blank named."""
+    pattern = fixed.SECRET_ASSIGNMENT_PATTERN.replace("|".join(fixed.SECRET_ASSIGNMENT_KEYS), "|".join(keys))
+    return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]")
 
 
 def strip_control(text: Column) -> Column:
