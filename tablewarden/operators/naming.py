@@ -16,7 +16,7 @@ from tablewarden.operators import ordered
 
 
 def unique_keys(
-    df: DataFrame, name: str, order: str, limit: int = ordered.ROWS_PER_SCAN
+    df: DataFrame, name: str, order: str, width: int = ordered.ROWS_PER_STRETCH
 ) -> DataFrame:
     """Add ``key``: the name's slug, then ``slug-2``, ``slug-3`` … in the order given.
 
@@ -26,7 +26,7 @@ def unique_keys(
     everything else is a row number. ``order`` is a unique long column.
     """
     slugged = df.withColumn("slug", names.slug(F.col(name)))
-    counted = ordered.numbered(slugged, ["slug"], [order], "_nth", F.col(order), limit)
+    counted = ordered.numbered(slugged, ["slug"], [order], "_nth", F.col(order), width)
     child = r"\A(.*)-([2-9]|[1-9][0-9]+)\z"
     arrivals = counted.groupBy("slug").agg(
         F.min(order).alias("_first"), F.count(F.lit(1)).alias("_rows")
@@ -43,13 +43,14 @@ def unique_keys(
         .where(F.col("place").isNotNull())
         .join(arrivals.select(F.col("slug").alias("parent")), "parent", "left_semi")
     )
+    pairs = session.materialised(_arrived_before(counted, pairs, order, width), "pairs")
     if pairs.isEmpty():
         return _with_key(counted.withColumn("_place", F.col("_nth")))
-    skips = _skipped_places(_arrived_before(counted, pairs, order, limit))
-    return _with_key(_past_skips(counted, skips, limit))
+    skips = _skipped_places(pairs)
+    return _with_key(_past_skips(counted, skips, width))
 
 
-def _arrived_before(counted: DataFrame, pairs: DataFrame, order: str, limit: int) -> DataFrame:
+def _arrived_before(counted: DataFrame, pairs: DataFrame, order: str, width: int) -> DataFrame:
     """Pairs with ``come``: how many of the parent's rows came before the child's first.
 
     A child's first arrival is numbered among its parent's rows; what is not another child is a row.
@@ -57,74 +58,56 @@ def _arrived_before(counted: DataFrame, pairs: DataFrame, order: str, limit: int
     marks = pairs.select(F.col("parent").alias("slug"), F.col("_first").alias("_at"), "child", "place")
     rows = counted.join(pairs.select(F.col("parent").alias("slug")).distinct(), "slug", "left_semi")
     entries = rows.select("slug", F.col(order).alias("_at")).unionByName(marks, allowMissingColumns=True)
-    among_all = ordered.numbered(entries, ["slug"], ["_at"], "_all", F.col("_at"), limit).where("child IS NOT NULL")
-    among_marks = ordered.numbered(marks, ["slug"], ["_at"], "_marks", F.col("_at"), limit).select("child", "_marks")
+    among_all = ordered.numbered(entries, ["slug"], ["_at"], "_all", F.col("_at"), width).where("child IS NOT NULL")
+    among_marks = ordered.numbered(marks, ["slug"], ["_at"], "_marks", F.col("_at"), width).select("child", "_marks")
     return among_all.join(among_marks, "child").select(
         F.col("slug").alias("parent"), "child", "place", (F.col("_all") - F.col("_marks")).alias("come")
     )
 
 
-_SKIPS = "slug string, place long, index long, child string, skipped boolean"
+_SKIPS = "slug string, place long, index long"
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children by parent and place: a parent skips a place that a literal child had before the parent got there.
+    """Pairs by family, depth, parent and place: a parent skips a place that a literal child had before the parent got there.
 
-    Only the number of places skipped so far is kept, so a parent may have any number of children.
+    Parents come before their children, so whether a parent lost its own first place is known when its pairs
+    come. Kept are the number of places the parent has skipped, and the family's names that lost theirs.
     """
-    parent, skipped = None, 0
+    family, parent, skipped, losers = None, None, 0, set()
     for batch in batches:
         out = []
-        for slug, lost, child, place, come in zip(*[batch.column(n).to_pylist() for n in ("slug", "lost", "child", "place", "come")]):
+        for root, slug, child, place, come in zip(*[batch.column(n).to_pylist() for n in ("root", "parent", "child", "place", "come")]):
+            if root != family:
+                family, losers = root, set()
             if slug != parent:
-                parent, skipped = slug, 0
-                if lost:  # its own first place went to its parent
-                    out.append((slug, 1, 0, None, True))
-                    skipped = 1
-            if child is not None:
-                skips = come < place - skipped
-                out.append((slug, place, skipped, child, skips))
-                skipped += skips
-        columns = list(zip(*out)) or [()] * 5
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+                parent, skipped = slug, int(slug in losers)
+            if come < place - skipped:
+                out.append((slug, place, skipped))
+                skipped += 1
+            else:  # the parent had come to that place before
+                losers.add(child)
+                out.append((child, 1, 0))
+        columns = list(zip(*out)) or [()] * 3
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types)], names=["slug", "place", "index", "child", "skipped"]
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["slug", "place", "index"]
         )
 
 
 def _skipped_places(pairs: DataFrame) -> DataFrame:
-    """(slug, place, index): the places each slug skips, numbered from 0; parents are solved before children.
+    """(slug, place, index): the places each slug skips, numbered from 0.
 
-    There are as many rounds as numbers follow each other at the end of a name (``a-2-2-2``); each
-    round's decisions are stored, so no plan grows.
+    A family are the names that differ only in the numbers they end with; one pass over its pairs, however
+    many numbers follow each other at a name's end (``a-2-2-2``), tells them all.
     """
-    pairs = session.materialised(pairs, "pairs")
-    children = pairs.withColumnRenamed("parent", "slug")
-    level = children.select("slug").distinct().join(pairs.select(F.col("child").alias("slug")), "slug", "left_anti")
-    level = level.withColumn("lost", F.lit(False))
-    solved = []
-    while True:
-        decided = session.materialised(
-            level.join(children, "slug", "left").repartition("slug").sortWithinPartitions("slug", "place").mapInArrow(_follow, _SKIPS),
-            "skips",
-        )
-        if decided.isEmpty():
-            break
-        solved.append(decided.where("skipped").select("slug", "place", "index"))
-        # A child lost its own first place where its parent did not skip it; children that neither lost
-        # it nor have children of their own leave no row.
-        level = decided.where("child IS NOT NULL").select(F.col("child").alias("slug"), (~F.col("skipped")).alias("lost"))
-    return _all_of(solved)
-
-
-def _all_of(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    root = F.regexp_replace("parent", r"(-([2-9]|[1-9][0-9]+))+\z", "")
+    depth = F.size(F.split(F.substr("parent", F.length("root") + 1), "-"))
+    families = pairs.withColumn("root", root).withColumn("depth", depth)
+    placed = families.repartition("root").sortWithinPartitions("root", "depth", "parent", "place")
+    return placed.select("root", "parent", "child", "place", "come").mapInArrow(_follow, _SKIPS)
 
 
-def _past_skips(counted: DataFrame, skips: DataFrame, limit: int) -> DataFrame:
+def _past_skips(counted: DataFrame, skips: DataFrame, width: int) -> DataFrame:
     """The n-th row takes the n-th place that is not skipped.
 
     The j-th skip moves a row on if its place is at most n + j, so ordered by place - j the skips
@@ -135,7 +118,7 @@ def _past_skips(counted: DataFrame, skips: DataFrame, limit: int) -> DataFrame:
     together = rows.unionByName(marks, allowMissingColumns=True)
     # Rows and skips of one value stand together: skips first.
     position = F.col("_value") * 2 + F.col("_kind")
-    numbered = ordered.numbered(together, ["slug"], ["_value", "_kind", "_j"], "_place", position, limit)
+    numbered = ordered.numbered(together, ["slug"], ["_value", "_kind", "_j"], "_place", position, width)
     return numbered.where("_kind = 1").drop("_value", "_kind", "_j")
 
 

@@ -1,9 +1,12 @@
 """Order-dependent work that survives a hot group.
 
 A window over one key runs in one task. Most order-dependent rules here are therefore plain
-aggregates (smallest position, value at the largest position). Where a true scan is needed, groups
-above a row limit are cut into ordered chunks, each scanned on its own, and the little each chunk
-passes on is carried from chunk to chunk.
+aggregates (smallest position, value at the largest position). Where a true scan is needed, every group
+is cut into stretches of a fixed width along its order, each scanned on its own, and the little that a
+stretch passes on is carried from stretch to stretch. A row's stretch follows from the row alone, so
+nothing has to be counted before the plan is made, and plan and result are the same at every size. A group
+within one stretch, as most are, costs one more row in the table that carries. Many rows at nearly one position
+are one stretch: Spark sorts them on disk, and the scans remember no more than a few values.
 """
 
 from __future__ import annotations
@@ -13,50 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SCAN = 1_000_000
-BROADCAST_ROWS = 100_000
-# Chunk numbers of three cuts with up to 2^20 pieces each fit a long.
-CUT_LEVELS = 3
-PIECES = 1 << 20
-CHUNK = "_chunk"
+#: Width of a stretch where positions count rows, and where they are microseconds.
+ROWS_PER_STRETCH = 1_000_000
+MICROS_PER_STRETCH = 3_600_000_000
+STRETCH = "_stretch"
 
 
-def cut_hot_groups(
-    df: DataFrame, keys: Sequence[str], position: Column, limit: int = ROWS_PER_SCAN
-) -> tuple[DataFrame, bool]:
-    """Add ``_chunk``: 0 in ordinary groups, rising with ``position`` (a long) in hot ones.
-
-    Finding hot groups is a map-side combined count over the key columns only. A hot group is cut
-    into stretches of equal width, and stretches still too full (a burst) are cut again; only rows at
-    one and the same position cannot be parted. There are at most rows/limit hot groups, and they are
-    broadcast only when counted to be few; otherwise the join is an ordinary one. The flag tells
-    whether any group was cut.
-    """
-    cut = df.withColumn(CHUNK, F.lit(0).cast("long"))
-    groups = [*keys, CHUNK]
-    any_hot = False
-    for _ in range(CUT_LEVELS):
-        sizes = (
-            cut.groupBy(*groups)
-            .agg(
-                F.count(F.lit(1)).alias("_rows"),
-                F.min(position).alias("_low"),
-                F.max(position).alias("_high"),
-            )
-            .where((F.col("_rows") > limit) & (F.col("_low") < F.col("_high")))
-        )
-        hot = sizes.count()
-        if hot == 0:
-            break
-        any_hot = True
-        # Twice as many pieces as needed, so that ordinary unevenness does not call for another cut.
-        pieces = F.least(F.ceil(F.col("_rows") * 2 / F.lit(limit)), F.lit(PIECES)).cast("long")
-        width = F.floor((F.col("_high") - F.col("_low")) / pieces).cast("long") + 1
-        sizes = sizes.select(*groups, F.col("_low"), width.alias("_width"))
-        joined = cut.join(F.broadcast(sizes) if hot <= BROADCAST_ROWS else sizes, groups, "left")
-        piece = F.coalesce(F.floor((position - F.col("_low")) / F.col("_width")).cast("long"), F.lit(0))
-        cut = joined.withColumn(CHUNK, F.col(CHUNK) * PIECES + piece).drop("_low", "_width")
-    return cut, any_hot
+def in_stretches(df: DataFrame, position: Column, width: int = ROWS_PER_STRETCH) -> DataFrame:
+    """Add ``_stretch``, which rises with ``position`` (a long)."""
+    return df.withColumn(STRETCH, F.floor(position / F.lit(width)).cast("long"))
 
 
 def numbered(
@@ -65,52 +33,52 @@ def numbered(
     order: Sequence[str],
     name: str,
     position: Column,
-    limit: int = ROWS_PER_SCAN,
+    width: int = ROWS_PER_STRETCH,
 ) -> DataFrame:
     """Row numbers within each key, also where one key holds most rows.
 
-    Ordinary groups take one window. A cut group adds the sizes of its earlier chunks.
+    Rows are numbered within their stretch, and the sizes of the earlier stretches are added.
+    ``position`` is a long that rises with ``order``.
     """
-    cut, any_hot = cut_hot_groups(df, keys, position, limit)
+    cut = in_stretches(df, position, width)
     local = cut.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)).cast("long")
+        name, F.row_number().over(Window.partitionBy(*keys, STRETCH).orderBy(*order)).cast("long")
     )
-    if not any_hot:
-        return local.drop(CHUNK)
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.groupBy(*keys, CHUNK)
+        cut.groupBy(*keys, STRETCH)
         .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*keys, CHUNK, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+        .select(*keys, STRETCH, F.sum("_size").over(earlier).alias("_before"))
+        .where("_before IS NOT NULL")
     )
     return (
-        local.join(offsets, [*keys, CHUNK], "left")
-        .withColumn(name, F.col(name) + F.col("_before"))
-        .drop(CHUNK, "_before")
+        local.join(offsets, [*keys, STRETCH], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        .drop(STRETCH, "_before")
     )
 
 
 def carried_forward(
-    df: DataFrame, keys: Sequence[str], line: str, value: str, name: str, lines_per_chunk: int
+    df: DataFrame, keys: Sequence[str], line: str, value: str, name: str, lines_per_stretch: int
 ) -> DataFrame:
-    """Last non-null ``value`` at or before each line. Line numbers cut the chunks, with no extra job."""
-    cut = df.withColumn(CHUNK, F.floor(F.col(line) / F.lit(lines_per_chunk)).cast("long"))
+    """Last non-null ``value`` at or before each line."""
+    cut = in_stretches(df, F.col(line), lines_per_stretch)
     so_far = (
-        Window.partitionBy(*keys, CHUNK)
+        Window.partitionBy(*keys, STRETCH)
         .orderBy(line)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
     )
     endings = (
-        cut.groupBy(*keys, CHUNK)
+        cut.groupBy(*keys, STRETCH)
         .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(line))).alias("_end"))
-        .select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        .select(*keys, STRETCH, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     )
     return (
         cut.withColumn("_local", F.last(value, ignorenulls=True).over(so_far))
-        .join(endings, [*keys, CHUNK], "left")
+        .join(endings, [*keys, STRETCH], "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop(CHUNK, "_local", "_carried")
+        .drop(STRETCH, "_local", "_carried")
     )

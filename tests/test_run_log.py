@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,11 +56,11 @@ def log(spark, runs):
     return RunLog(spark.createDataFrame(rows, SCHEMA).repartition(4))
 
 
-LIMITS = [ordered.ROWS_PER_SCAN, 5]
+WIDTHS = [None, 5]
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_lock_windows(log, runs, limit):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_lock_windows(log, runs, width):
     expected = set()
     for run, steps in runs.items():
         armed = None
@@ -72,13 +73,13 @@ def test_lock_windows(log, runs, limit):
                 armed = None
         if armed is not None:
             expected.add((run, armed[0], None, "never"))
-    got = run_log.lock_windows(log, limit=limit).collect()
+    got = run_log.lock_windows(log, width=width).collect()
     assert {(r.run_id, r.sequence, r.waited_us, r.outcome) for r in got} == expected
     assert len(got) == len(expected)
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_faults_after_unlock(log, runs, limit):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_faults_after_unlock(log, runs, width):
     expected = set()
     for run, steps in runs.items():
         armed = unlocked = False
@@ -89,7 +90,7 @@ def test_faults_after_unlock(log, runs, limit):
                 expected.add((run, seq))
             if kind in ("progress", "warned_progress"):
                 armed = unlocked = False
-    got = run_log.faults_after_unlock(log, limit=limit).collect()
+    got = run_log.faults_after_unlock(log, width=width).collect()
     assert {(r.run_id, r.sequence) for r in got} == expected
     assert len(got) == len(expected) > 0
 
@@ -104,16 +105,17 @@ def kept_of(steps, gap, last=None):
     return kept
 
 
-@pytest.mark.parametrize(("limit", "gap"), [(1_000_000, 250), (5, 250), (30, 5000)])
-def test_throttle(log, runs, limit, gap):
+# Stretches of microseconds: shorter than the gap, so that it spans many of them, and longer.
+@pytest.mark.parametrize(("width", "gap"), [(None, 250), (10_000, 250), (1_000_000, 250), (100_000, 5000), (300_000, 30_000)])
+def test_throttle(log, runs, width, gap):
     expected = {(run, seq) for run, steps in runs.items() for seq in kept_of(steps, gap)}
-    got = throttle.throttle(log, gap, limit).collect()
+    got = throttle.throttle(log, gap, width).collect()
     assert {(r.run_id, r.sequence) for r in got} == expected
     assert len(got) == len(expected)
 
 
-@pytest.mark.parametrize("limit", LIMITS)
-def test_throttle_goes_on_from_a_seed(spark, log, runs, limit):
+@pytest.mark.parametrize("width", [None, 700_000])
+def test_throttle_goes_on_from_a_seed(spark, log, runs, width):
     base = int((START - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     names = [r for i, r in enumerate(runs) if i % 2]
     seed = spark.createDataFrame([(r, base - 100_000) for r in names], "run_id string, micros long")
@@ -122,25 +124,52 @@ def test_throttle_goes_on_from_a_seed(spark, log, runs, limit):
         for run, steps in runs.items()
         for seq in kept_of(steps, 5000, -100 if run in names else None)
     }
-    got = throttle.throttle(log, 5000, limit, seed).collect()
+    got = throttle.throttle(log, 5000, width, seed).collect()
     assert {(r.run_id, r.sequence) for r in got} == expected
 
 
+def test_step_functions_compose_in_any_grouping():
+    rng = random.Random(9)
+    for _ in range(60):
+        gap = rng.choice([1, 5, 40, 200])
+        at, pieces = 0, []
+        for _ in range(rng.choice([2, 3, 5])):
+            times, drops = [], []
+            for _ in range(rng.choice([1, 4, 30])):
+                at += rng.choice([0, 1, 3, 50]) if times else rng.choice([1, 2, 60])
+                times.append(at)
+                drops.append(rng.random() < 0.9)
+            by_time = sorted({t: all(d for s, d in zip(times, drops) if s == t) for t in times}.items())
+            pieces.append(throttle.step_function(np.array([t for t, _ in by_time]), np.array([d for _, d in by_time]), gap))
+        left, right = pieces[0], pieces[-1]
+        for piece in pieces[1:]:
+            left = throttle.composed(left, piece, gap)
+        for piece in reversed(pieces[:-1]):
+            right = throttle.composed(piece, right, gap)
+        assert left == right
+        for last in [None, *range(-gap - 2, 2)]:
+            one_by_one = last
+            for piece in pieces:
+                one_by_one = throttle.applied(piece, one_by_one, gap)
+            assert throttle.applied(left, last, gap) == one_by_one
+
+
 def test_throttle_of_a_burst_at_one_time(spark):
     steps = [("progress", 0)] * 40 + [("other", 0), ("progress", 0)] + [("progress", 300)] * 50
     hot = RunLog(spark.createDataFrame(make_run("hot", steps), SCHEMA))
-    got = [r.sequence for r in throttle.throttle(hot, 250, 10).orderBy("sequence").collect()]
+    got = [r.sequence for r in throttle.throttle(hot, 250, 50_000).orderBy("sequence").collect()]
     assert got == kept_of(steps, 250)
 
 
-def test_throttle_of_dense_progress_in_one_hot_run(spark):
+@pytest.mark.parametrize("width", [None, 20_000, 300_000])
+def test_throttle_of_dense_progress_in_one_hot_run(spark, width):
     rng = random.Random(3)
     at, steps = 0, []
     for _ in range(3000):
         at += rng.choice([0, 1, 2, 7])
         steps.append(("progress" if rng.random() < 0.999 else "other", at))
     hot = RunLog(spark.createDataFrame(make_run("hot", steps), SCHEMA))
-    got = [r.sequence for r in throttle.throttle(hot, 100, 400).orderBy("sequence").collect()]
+    got = [r.sequence for r in throttle.throttle(hot, 100, width).orderBy("sequence").collect()]
     assert got == kept_of(steps, 100)
 
 
@@ -168,7 +197,7 @@ def test_numbers_and_headings_survive_cutting(spark):
     rows = [(rng.choice("aaaaab"), i, rng.choice([None, None, "h" + str(i)])) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, at long, h string")
     plain = ordered.numbered(df, ["k"], ["at"], "n", F.col("at")).collect()
-    cut = ordered.numbered(df, ["k"], ["at"], "n", F.col("at"), limit=37).collect()
+    cut = ordered.numbered(df, ["k"], ["at"], "n", F.col("at"), width=37).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, cut))
     last, expected = {}, {}
     for k, at, h in rows:
@@ -218,11 +247,40 @@ def test_verdicts(spark, steps, done, facts, reason):
         [("r", *facts)],
         "run_id string, tool string, exit int, aborted boolean, checked boolean, files_found long",
     )
-    verdict = run_log.judge(RunLog(spark.createDataFrame(rows, SCHEMA)), outcomes).collect()
+    log = RunLog(spark.createDataFrame(rows, SCHEMA))
+    verdict = run_log.judge(log, outcomes).collect()
+    assert run_log.judge(log, outcomes, width=1).collect() == verdict
     assert [v.reason for v in verdict] == [reason]
     assert verdict[0].code == (0 if reason is None else 130 if reason == "cancelled" else 1)
 
 
+@pytest.mark.parametrize("width", [None, 1, 5])
+def test_the_watchdog_of_a_verdict_agrees_with_its_rows(spark, log, runs, width):
+    """Runs cut at any place have the verdict that their locks and faults give."""
+    over = {r.run_id for r in run_log.lock_windows(log).collect() if r.outcome != "in_time"}
+    faults = {r.run_id for r in run_log.faults_after_unlock(log).collect()}
+    rows = [(r, "exporter", 0, False, False, None) for r in runs]
+    outcomes = spark.createDataFrame(
+        rows, "run_id string, tool string, exit int, aborted boolean, checked boolean, files_found long"
+    )
+    found = {r.run_id: r.reason for r in run_log.judge(log, outcomes, width=width).collect()}
+    assert found == {r: "lock-budget" if r in over else "cancelled" if r in faults else "completion-count" for r in runs}
+    assert over and faults
+
+
+def test_a_verdict_plans_without_a_job_and_reads_the_log_once(spark, log):
+    outcomes = spark.createDataFrame(
+        [("r", "exporter", 0, False, False, 1)],
+        "run_id string, tool string, exit int, aborted boolean, checked boolean, files_found long",
+    )
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    before = sorted(jobs())
+    verdict = run_log.judge(log, outcomes)
+    assert sorted(jobs()) == before
+    plan = verdict._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
+
+
 def test_progress_and_terminals(spark):
     schema = "run_id string, sequence long, event_time timestamp, type string, completed string, total string"
     rows = [

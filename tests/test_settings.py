@@ -66,13 +66,13 @@ def greedy_keys(slugs):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("limit", [1_000_000, 9])
-def test_keys_are_those_of_taking_names_in_turn(spark, seed, limit):
+@pytest.mark.parametrize("width", [1_000_000, 9])
+def test_keys_are_those_of_taking_names_in_turn(spark, seed, width):
     rng = random.Random(seed)
     pool = ["a", "a", "a", "a-2", "a-3", "a-2-2", "a-2-2-2", "a-02", "a-1", "b", "b-2", "c-9", "a-4", "a-10"]
     slugs = [rng.choice(pool) for _ in range(70)]
     df = spark.createDataFrame(list(enumerate(slugs)), "at long, name string").repartition(3)
-    got = [r.key for r in naming.unique_keys(df, "name", "at", limit).orderBy("at").collect()]
+    got = [r.key for r in naming.unique_keys(df, "name", "at", width).orderBy("at").collect()]
     assert got == greedy_keys(slugs)
 
 
@@ -85,6 +85,15 @@ def test_a_name_may_have_very_many_numbered_children(spark):
     assert got == greedy_keys(slugs)
 
 
+def test_a_family_of_many_depths_is_one_pass(spark):
+    rng = random.Random(2)
+    slugs = ["a"] * 30 + [f"a-{n}" for n in range(2, 100_002)] + ["a" + "-2" * n for n in range(1, 12)] * 3 + ["a-7-2", "a-7"]
+    rng.shuffle(slugs)
+    df = spark.createDataFrame(list(enumerate(slugs)), "at long, name string").repartition(3)
+    got = [r.key for r in naming.unique_keys(df, "name", "at").orderBy("at").collect()]
+    assert got == greedy_keys(slugs)
+
+
 def pick(spark, keys, listing):
     found = naming.pick_artifacts(
         spark.createDataFrame([(k,) for k in keys], "id string"),
