@@ -59,6 +59,12 @@ def postings(values: np.ndarray, lengths: np.ndarray) -> dict[int, tuple[np.ndar
     return {int(d): (row[own], values[own]) for d, own in zip(dimensions, np.split(held, starts[1:]))}
 
 
+def _long(score: int) -> int:
+    if not -(2**63) <= score < 2**63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return score
+
+
 class QueryGroup:
     """Some sparse queries: for each dimension the queries that hold it, and their weights."""
 
@@ -83,9 +89,7 @@ class QueryGroup:
                     total[np.ix_(rows, queries)] += share
         if exact:
             return total.astype(np.int64)
-        if any(not -(2**63) <= s < 2**63 for s in total.ravel()):
-            raise OverflowError("an inner product is beyond 64 bits")
-        return total.astype(np.int64)
+        return np.array([[_long(s) for s in row] for row in total], np.int64).reshape(total.shape)
 
 
 class Best:
@@ -165,7 +169,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, scale: float = 256.0, id
         # A block has as many questions as fit in memory, by the counts above: no whole table of queries gets here.
         block = questions.where(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)) == number).orderBy("id", "vector").collect()
         values = [np.array(row["vector"], np.float64) for row in block]
-        own = [sum(int(x) * int(x) for x in scaled(v, scale)) for v in values]
+        own = [_long(sum(int(x) * int(x) for x in scaled(v, scale))) for v in values]
         names = spark.createDataFrame([(i, row["asked"], own[i], row["id"]) for i, row in enumerate(block)], asked_schema)
         found = rows.mapInArrow(_searched(spark.sparkContext.broadcast(values), scale, k + 1), found_schema)
         answer = _without_own(best_of(found, ["question"], order, k + 1).join(names, "question"), k).select(
