@@ -127,13 +127,13 @@ def test_empty_table_and_very_long_texts(spark):
 
 @pytest.mark.parametrize(
     ("word", "cost", "audit"),
-    [("", 0, ""), ("s", 4, "D"), ("ua", 0, "KK"), ("sua", 0, "KKK"), ("u", 3, "KI"), ("a", 3, "IK"), ("uu", 6, "KIKI"), ("x", 4, "D"),
+    [("", 0, ""), ("s", 4, "D"), ("ua", 0, "KK"), ("sua", 0, "KKK"), ("u", 3, "KI"), ("a", 3, "IK"), ("uu", 3, "KR"), ("x", 4, "D"),
      ("uU", 6, "KR"), ("uaU", 4, "KKD"), ("o", 4, "D"), ("uo", 3, "KR")],
 )
 def test_small_words(word, cost, audit):
     found = list(repair.shared_endings(iter([word[::-1]])))
     assert [f[1] for f in found] == [cost]
-    assert word == "uu" or found[0][2] == audit
+    assert found[0][2] == audit
 
 
 def test_endings_are_made_once(monkeypatch):
