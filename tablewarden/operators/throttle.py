@@ -146,14 +146,14 @@ def throttle(
                 key = (runs[low].as_py(), stretches[low].as_py())
                 if key != group:
                     group, last = key, carries[low].as_py()
-                last = _keep(times[low:high], drops[low:high], mask[low:high], last, gap)
+                last = keep(times[low:high], drops[low:high], mask[low:high], last, gap)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     placed = cut.repartition(run, stretch).sortWithinPartitions(run, stretch, "_us", *log.order)
     return placed.mapInArrow(fold, placed.schema).select(*columns)
 
 
-def _keep(times: np.ndarray, drops: np.ndarray, mask: np.ndarray, last: int | None, gap: int) -> int | None:
+def keep(times: np.ndarray, drops: np.ndarray, mask: np.ndarray, last: int | None, gap: int) -> int | None:
     """Mark the kept ones of a run's events in order; returns the last time kept."""
     n = len(times)
     if n < MANY:

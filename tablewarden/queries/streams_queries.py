@@ -14,16 +14,19 @@ from tablewarden.sources.folders import Folders
 from tablewarden.sources.run_log import stream_lines
 from tablewarden.streaming import streams
 
-# Lines arrive in several files, one micro-batch each, and some of them a day late.
-FILES = 4
+# Lines arrive in several micro-batches, and some of them a day late.
+BATCHES = 4
 LATE_DAYS = 1
 DELAY = "2 days"
 # A run is one user on one day, so it has ended when nothing came for longer.
 IDLE = "25 hours"
 
 
-def _log_lines(spark: SparkSession, sf: str, folder: str, late_days: int = LATE_DAYS) -> str:
-    """The run-log view written as JSON lines of both tools' format, file after file, and a last line to close it."""
+def _log_lines(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """The run-log view as a stream of JSON lines in the tools' format: stretch after stretch, and a last line to close it.
+
+    Each stretch is written by all partitions as so many files, which are one micro-batch.
+    """
     log = c.run_log(spark, sf).events
     k = F.col("k").cast("string")
     counted = F.col("source_event") == "purchase"
@@ -52,14 +55,15 @@ def _log_lines(spark: SparkSession, sf: str, folder: str, late_days: int = LATE_
         )
     )
     path = f"{folder}/lines"
-    # Each file has the lines of a stretch of time, in no order; every other line comes late.
+    # Each batch has the lines of a stretch of time, in no order; every other line comes late.
     micros, day = F.unix_micros(F.col("ts").cast("timestamp")), 86_400_000_000
     ends = log.agg(F.min(micros).alias("low"), F.max(micros).alias("high")).first()
-    arrival = micros + (F.col("event_id") % 2) * (late_days * day)
-    number = F.least(F.floor((arrival - ends.low) / ((ends.high - ends.low) / FILES + day)), F.lit(FILES - 1))
+    arrival = micros + (F.col("event_id") % 2) * (LATE_DAYS * day)
+    number = F.least(F.floor((arrival - ends.low) / ((ends.high - ends.low) / BATCHES + day)), F.lit(BATCHES - 1))
     lines = session.materialised(log.select(F.concat(line, F.lit("\r")).alias("line"), number.alias("number")), "lines")
-    for n in range(FILES):
-        lines.where(F.col("number") == n).select("line").coalesce(1).write.mode("append").text(path)
+    files = spark.sparkContext.defaultParallelism
+    for n in range(BATCHES):
+        lines.where(F.col("number") == n).select("line").repartition(files).write.mode("append").text(path)
     # One event long after the others lets every timer of theirs expire.
     end = log.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
     closing = end.select(
@@ -70,7 +74,7 @@ def _log_lines(spark: SparkSession, sf: str, folder: str, late_days: int = LATE_
         ).alias("line")
     )
     closing.coalesce(1).write.mode("append").text(path)
-    return path
+    return stream_lines(spark, path, maxFilesPerTrigger=str(files))
 
 
 def _drop_lines(spark: SparkSession, folder: str) -> None:
@@ -78,17 +82,15 @@ def _drop_lines(spark: SparkSession, folder: str) -> None:
     Folders(spark).delete(f"{folder}/lines")
 
 
-def _events(spark: SparkSession, path: str) -> DataFrame:
-    return streams.typed_events(stream_lines(spark, path, maxFilesPerTrigger="1"), "exporter", DELAY, c.COMPLETIONS)
+def _events(lines: DataFrame) -> DataFrame:
+    return streams.typed_events(lines, "exporter", DELAY, c.COMPLETIONS)
 
 
 def stream_lock_watchdog(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "watchdog")
-    lines = stream_lines(spark, _log_lines(spark, sf, folder), maxFilesPerTrigger="1")
-    watched = streams.watch_locks(
-        streams.parsed_events(lines, "exporter", c.COMPLETIONS), c.LOCK, c.PROGRESS, runs.LOCK_BUDGET, DELAY
-    )
-    told = streams.drain(spark, watched, folder)
+    events = streams.parsed_events(_log_lines(spark, sf, folder), "exporter", c.COMPLETIONS)
+    watched = streams.watch_locks(events, c.LOCK, c.PROGRESS, runs.LOCK_BUDGET, DELAY)
+    told = streams.drain(spark, watched, folder, shape=lambda batch: streams.told_locks(batch, runs.LOCK_BUDGET))
     _drop_lines(spark, folder)
     return told.select("run_id", F.col("sequence").alias("event_id"), "over_budget")
 
@@ -105,7 +107,7 @@ WHERE source_event = 'signup'
 
 def stream_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "lifecycle")
-    followed = streams.follow_lifecycle(_events(spark, _log_lines(spark, sf, folder)), c.LIFECYCLE, IDLE)
+    followed = streams.follow_lifecycle(_events(_log_lines(spark, sf, folder)), c.LIFECYCLE, IDLE)
     states = streams.drain(spark, followed, folder)
     _drop_lines(spark, folder)
     return states.where(F.col("run_id") != "closing").select("run_id", F.col("lifecycle").alias("status"))
@@ -116,29 +118,23 @@ STREAM_LIFECYCLE = f"SELECT subject AS run_id, status FROM ({runs.LIFECYCLE_CHEC
 
 def stream_throttle(spark: SparkSession, sf: str) -> DataFrame:
     folder = session.scratch_dir(spark, "throttle")
-    # Thinning follows a log as it grows, so its lines come in order of time, file after file.
-    events = _events(spark, _log_lines(spark, sf, folder, late_days=0))
-    kept = streams.drain_throttled(spark, events, folder, runs.THROTTLE_MS)
+    kept = streams.drain_throttled(spark, _events(_log_lines(spark, sf, folder)), folder, runs.THROTTLE_MS)
     _drop_lines(spark, folder)
-    return (
-        kept.where(F.col("run_id") != "closing")
-        .select("run_id", F.col("sequence").alias("event_id"))
-    )
+    return kept.where(F.col("run_id") != "closing").select("run_id", F.col("sequence").alias("event_id"))
 
 
 STREAM_THROTTLE = f"SELECT run_id, event_id FROM ({runs.PROGRESS_THROTTLE}) t"
 
 
 def stream_run_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of each run, told when it has ended, and the runs with a terminal record from a deduplicated stream."""
+    """Counters of each run, told when it has ended, and the runs' first terminal records, repeats told apart."""
     folder = session.scratch_dir(spark, "status")
     lines = _log_lines(spark, sf, folder)
 
-    told = streams.drain(spark, streams.run_status(_events(spark, lines), IDLE), f"{folder}/status")
+    told = streams.drain(spark, streams.run_status(_events(lines), IDLE), f"{folder}/status")
     terminal = (F.col("type") == "completion") | F.coalesce(F.col("fatal"), F.lit(False))
-    ended = streams.drain(
-        spark, streams.one_terminal(_events(spark, lines), terminal).select("run_id"), f"{folder}/ended"
-    )
+    records = streams.drain(spark, streams.terminal_records(_events(lines), terminal), f"{folder}/ended")
+    ended = records.where("NOT repeat").select("run_id")
     _drop_lines(spark, folder)
     ends = ended.groupBy("run_id").agg(F.count(F.lit(1)).alias("terminals"))
     return (

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablewarden import fixed_values as fixed
 from tablewarden.functions import redaction
@@ -13,7 +18,11 @@ from tablewarden.operators import log_parse, run_log, throttle
 from tablewarden.operators.run_log import RunLog, Transition, is_transition
 from tablewarden.sources.folders import Folders
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State may exceed memory, and a micro-batch stores what it changed, not all there is.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def parsed_events(
@@ -44,39 +53,47 @@ def watch_locks(
     budget_seconds: int = fixed.LOCK_BUDGET_SECONDS,
     delay: str = "0 seconds",
 ) -> DataFrame:
-    """Stream of (run_id, sequence of the lock, over_budget); a lock is told when its deadline is past.
+    """Stream of closed stretches of runs, for :func:`told_locks`: their locks and the progress that may release them.
 
     Progress after a lock and within its budget lies in the lock's own stretch of time of the budget's
     length, or in the next one. In its own, any later progress is in time, so the latest one tells; of
     the next, the earliest one tells. So progress goes to its own stretch and, shifted by the budget, to
-    the one before, and one windowed aggregate per run and stretch holds what is needed: two numbers and
-    the locks that wait. A run with most events is spread over its stretches. ``events`` come without a
-    watermark; rows may be late by ``delay``. The state of a stretch goes when it is told.
+    the one before. Every lock is a row of state of its own, and a stretch's progress is one with two
+    numbers, so no row grows with a burst; all of them leave together when the stretch is past. ``events``
+    come without a watermark; rows may be late by ``delay``.
     """
     kind = F.when(is_transition(lock), "lock").when(is_transition(progress), "progress")
     budget = F.expr(f"INTERVAL {budget_seconds} SECONDS")
     own = F.named_struct(F.lit("at"), F.col("event_time"), F.lit("kind"), kind)
     before = F.named_struct(F.lit("at"), F.col("event_time") - budget, F.lit("kind"), F.lit("next"))
-    micros = F.unix_micros("event_time")
     position = F.struct("micros", "sequence")
-    stretches = (
+    return (
         events.where(kind.isNotNull())
-        .select("run_id", "sequence", micros.alias("micros"), F.inline(F.array_compact(F.array(own, F.when(kind == "progress", before)))))
+        .select(
+            "run_id", "sequence", F.unix_micros("event_time").alias("micros"),
+            F.inline(F.array_compact(F.array(own, F.when(kind == "progress", before)))),
+        )
         # Shifted rows are older by the budget, which is no lateness.
         .withWatermark("at", f"{delay} {budget_seconds} seconds")
-        .groupBy("run_id", F.window("at", f"{budget_seconds} seconds"))
+        .groupBy("run_id", F.window("at", f"{budget_seconds} seconds"), F.when(F.col("kind") == "lock", position).alias("lock"))
         .agg(
+            F.count(F.lit(1)).alias("n"),
             F.max(F.when(F.col("kind") == "progress", position)).alias("latest"),
             F.min(F.when(F.col("kind") == "next", F.col("micros"))).alias("following"),
-            F.collect_list(F.when(F.col("kind") == "lock", position)).alias("locks"),
         )
     )
-    in_time = F.coalesce(F.col("latest") > F.col("l"), F.lit(False)) | F.coalesce(
-        F.col("following") <= F.col("l.micros") + budget_seconds * 1_000_000, F.lit(False)
-    )
-    return stretches.select("run_id", "latest", "following", F.explode("locks").alias("l")).select(
-        "run_id", F.col("l.sequence").alias("sequence"), (~in_time).alias("over_budget")
+
+
+def told_locks(closed: DataFrame, budget_seconds: int = fixed.LOCK_BUDGET_SECONDS) -> DataFrame:
+    """(run_id, sequence of the lock, over_budget) of a micro-batch of :func:`watch_locks`."""
+    stretch = Window.partitionBy("run_id", "window")
+    latest, following = F.max("latest").over(stretch), F.min("following").over(stretch)
+    seen = closed.select("run_id", "lock", "n", latest.alias("latest"), following.alias("following")).where("lock IS NOT NULL")
+    in_time = F.coalesce(F.col("latest") > F.col("lock"), F.lit(False)) | F.coalesce(
+        F.col("following") <= F.col("lock.micros") + budget_seconds * 1_000_000, F.lit(False)
     )
+    each = F.explode(F.array_repeat(F.col("lock.sequence"), F.col("n").cast("int")))
+    return seen.select("run_id", each.alias("sequence"), (~in_time).alias("over_budget"))
 
 
 def _sessions(idle: str | None) -> list[Column]:
@@ -109,9 +126,33 @@ def run_status(events: DataFrame, idle: str | None = None) -> DataFrame:
     )
 
 
-def one_terminal(events: DataFrame, terminal: Column) -> DataFrame:
-    """The first terminal record of each run to arrive."""
-    return events.where(terminal).dropDuplicatesWithinWatermark(["run_id"])
+def terminal_records(events: DataFrame, terminal: Column, remember: str = "400 days") -> DataFrame:
+    """(run_id, sequence, event_time, repeat) of terminal records: all but a run's first are told as repeats.
+
+    The state has one entry per ended run, however late a second record comes, and lets it go when
+    event time has passed the run's end by ``remember``; that bounds it. ``events`` carry a watermark.
+    """
+    keep_ms = int(pd.Timedelta(remember).total_seconds() * 1000)
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["event_time", "sequence"], kind="stable")
+        repeat = np.full(len(rows), True)
+        if not state.exists:
+            repeat[0] = False
+            until = rows["event_time"].iloc[0].value // 1_000_000 + keep_ms
+            if until > state.getCurrentWatermarkMs():
+                state.update((True,))
+                state.setTimeoutTimestamp(until)
+        yield rows.assign(repeat=repeat)
+
+    ends = events.where(terminal).select("run_id", "sequence", "event_time")
+    return ends.groupBy("run_id").applyInPandasWithState(
+        judge, "run_id string, sequence long, event_time timestamp, repeat boolean", "ended boolean", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
 
 
 def scrub(
@@ -124,17 +165,18 @@ def scrub(
 
 
 def _run(spark: SparkSession, start: Callable[[], object]) -> None:
-    """Start a query under the RocksDB state store, whose state may exceed memory, and wait for its end."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, STATE_STORE)
+    """Start a query under the library's state store and wait for its end."""
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def drain(
@@ -143,70 +185,85 @@ def drain(
     folder: str,
     mode: str = "append",
     each_batch: Callable[[DataFrame, int], None] | None = None,
+    shape: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote.
 
-    ``each_batch`` is the caller's hook on every micro-batch; without it rows go to Parquet, and in
-    update mode each micro-batch to a folder of its own, told apart by ``batch_id``.
+    ``shape`` is applied to each micro-batch before it is written. ``each_batch`` is the caller's hook on
+    every micro-batch; without either, rows go to Parquet, and in update mode each micro-batch to a
+    folder of its own, told apart by ``batch_id``.
     """
     out = f"{folder}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # A batch that is run again after a failure replaces its own folder: once and no more.
         where = f"{out}/run={batch_id}"
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(where)
+        rows = batch if shape is None else shape(batch)
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(where)
         if each_batch is not None:
             # The hook gets what was written, so the batch is computed once.
-            each_batch(batch.sparkSession.read.schema(batch.schema).parquet(where), batch_id)
+            each_batch(rows.sparkSession.read.schema(rows.schema).parquet(where), batch_id)
 
     writer = (
         stream.writeStream.trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode(mode)
     )
-    if mode == "append" and each_batch is None:
+    if mode == "append" and each_batch is None and shape is None:
         _run(spark, lambda: writer.format("parquet").start(out))
     else:
         _run(spark, lambda: writer.foreachBatch(write).start())
     return spark.read.parquet(out)
 
 
+def in_order(events: DataFrame) -> DataFrame:
+    """Stream of (event_time, run_id, sequence, droppable) that leaves in time: no row is before one of an earlier micro-batch.
+
+    Events, which may come late by the watermark's delay, wait as single rows of state until the
+    watermark has passed them. Equal events of a run are one.
+    """
+    droppable = F.coalesce(F.col("type") == "progress", F.lit(False)).alias("droppable")
+    return events.groupBy("event_time", "run_id", "sequence", droppable).agg(F.count(F.lit(1)).alias("times"))
+
+
 def drain_throttled(
-    spark: SparkSession,
-    events: DataFrame,
-    folder: str,
-    interval_ms: int = fixed.PROGRESS_INTERVAL_MS,
+    spark: SparkSession, events: DataFrame, folder: str, interval_ms: int = fixed.PROGRESS_INTERVAL_MS
 ) -> DataFrame:
-    """Thin the progress of a stream; returns (run_id, sequence, micros) of the events kept.
+    """Thin the progress of a stream whose events may come late; returns (run_id, sequence, micros) of the events kept.
 
-    Each micro-batch goes through the batch operator, which cuts hot runs, seeded with the last kept
-    time per run. That time is the only state: one row per run and micro-batch, written beside the
-    output under the batch's number, so a batch that is run again finds and leaves the same. Across
-    micro-batches a run's events must arrive in order, as they do when a log is followed.
+    Two queries with a table between them: the first puts events in order, the second gives each
+    micro-batch of it to the batch operator, seeded with the last time kept per run. That time is
+    forgotten when all that is to come is an interval past it, as the next event is then kept whatever came
+    before; so the state holds the runs of the last interval. It is written under the batch's
+    number, so a batch that is run again finds and leaves the same.
     """
-    out, state = f"{folder}/out", f"{folder}/state"
+    gap = interval_ms * 1000
+    released = drain(spark, in_order(events), f"{folder}/ordered")
+    out, state = f"{folder}/thinned/out", f"{folder}/thinned/state"
     folders = Folders(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         before = f"{state}/after={batch_id - 1}"
         seed = session.read.parquet(before) if folders.exists(before) else None
-        # Kept for this batch only: its lines are parsed once, though they are read twice.
-        narrow = batch.select("run_id", "sequence", "event_time", "type").persist()
-        log = RunLog(narrow, ("event_time", "sequence"))
-        kept = throttle.throttle(log, interval_ms, seed=seed).select(
-            "run_id", "sequence", log.micros.alias("micros")
-        )
+        typed = batch.withColumn("type", F.when(F.col("droppable"), "progress"))
+        log = RunLog(typed, ("event_time", "sequence"))
+        kept = throttle.throttle(log, interval_ms, seed=seed).select("run_id", "sequence", log.micros.alias("micros"))
         kept.write.mode("overwrite").parquet(f"{out}/run={batch_id}")
-        narrow.unpersist()
         ends = session.read.parquet(f"{out}/run={batch_id}").select("run_id", "micros")
+        # Nothing that is to come is before the last event of this batch.
+        now = batch.agg(F.max(F.unix_micros("event_time"))).first()[0]
         if seed is not None:
             ends = ends.unionByName(seed)
         last = ends.groupBy("run_id").agg(F.max("micros").alias("micros"))
-        last.write.mode("overwrite").parquet(f"{state}/after={batch_id}")
+        last.where(F.lit(now is None) | (F.col("micros") + gap > F.lit(now))).write.mode("overwrite").parquet(f"{state}/after={batch_id}")
+        folders.delete(f"{state}/after={batch_id - 2}")
 
-    writer = events.writeStream.trigger(availableNow=True).option(
-        "checkpointLocation", f"{folder}/checkpoint"
-    )
+    follow = spark.readStream.schema(released.schema).parquet(f"{folder}/ordered/out")
+    writer = follow.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/thinned/checkpoint")
     _run(spark, lambda: writer.foreachBatch(write).start())
     return spark.read.parquet(out).select("run_id", "sequence", "micros")
+
+
+# Python workers get this code with the job; nothing has to be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -53,7 +53,7 @@ def test_watchdog_reports_at_the_deadline_across_micro_batches(spark, tmp_path):
     write(logs, "3.jsonl", [line("closing", 1, 600_000, PROGRESS)], 10)
     # The watermark moves between the files; a delay lets the second file's rows count.
     slow = streams.parsed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter")
-    got = streams.drain(spark, streams.watch_locks(slow, delay="1 minute"), str(tmp_path / "w"))
+    got = streams.drain(spark, streams.watch_locks(slow, delay="1 minute"), str(tmp_path / "w"), shape=streams.told_locks)
     assert {(r.run_id, r.sequence): r.over_budget for r in got.collect()} == {
         ("late", 1): True,
         ("never", 1): True,
@@ -94,12 +94,49 @@ def test_state_goes_when_runs_have_ended(spark, tmp_path):
     assert len(held) >= 6 and max(held) <= 3 and held[-1] <= 1
 
 
-def test_throttle_remembers_the_last_kept_event(spark, tmp_path):
+def test_a_burst_of_locks_keeps_state_rows_small(spark, tmp_path):
     logs = str(tmp_path / "logs")
-    write(logs, "1.jsonl", [line("r", i, 100 * i, PROGRESS) for i in range(5)], 100)
-    write(logs, "2.jsonl", [line("r", i, 100 * i, PROGRESS) for i in range(5, 10)], 50)
-    kept = streams.drain_throttled(spark, events(spark, logs, maxFilesPerTrigger="1"), str(tmp_path / "t"))
-    assert sorted(r.sequence for r in kept.collect()) == [0, 3, 6, 9]
+    write(logs, "1.jsonl", [line("hot", i, 100 + i % 3, LOCK) for i in range(4000)] + [line("hot", 9000, 9000, PROGRESS)], 100)
+    write(logs, "2.jsonl", [line("closing", 1, 600_000, PROGRESS)], 10)
+    slow = streams.parsed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter")
+    watched = streams.watch_locks(slow, delay="1 minute")
+    seen = []
+
+    def told(batch):
+        seen.append(watched.schema)
+        return streams.told_locks(batch)
+
+    got = streams.drain(spark, watched, str(tmp_path / "w"), shape=told)
+    assert got.count() == 4000 and got.where("over_budget").isEmpty()
+    # A lock is a row of its own: no row holds a list.
+    assert seen and not any(f.dataType.typeName() == "array" for f in watched.schema)
+
+
+def test_throttle_of_late_lines_across_micro_batches(spark, tmp_path):
+    logs = str(tmp_path / "logs")
+    write(logs, "1.jsonl", [line("r", i, 100 * i, PROGRESS) for i in (0, 2, 3, 7, 5)] + [line("gone", 1, 0, PROGRESS)], 100)
+    write(logs, "2.jsonl", [line("r", i, 100 * i, PROGRESS) for i in (9, 1, 4, 8, 6)], 50)
+    write(logs, "3.jsonl", [line("closing", i, 600_000 + 60_000 * i, PROGRESS) for i in range(2)], 10)
+    events = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "2 seconds")
+    kept = streams.drain_throttled(spark, events, str(tmp_path / "t"))
+    assert sorted(r.sequence for r in kept.where("run_id = 'r'").collect()) == [0, 3, 6, 9]
+
+
+def test_throttle_goes_on_across_batches_and_forgets(spark, tmp_path, monkeypatch):
+    logs, folder = str(tmp_path / "logs"), str(tmp_path / "t")
+    slices = [range(0, 5), range(5, 10), range(10, 15)]
+    for n, part in enumerate(slices):
+        rows = [line("r", i, 100 * i, PROGRESS) for i in part] + [line(f"once{n}", 0, 100 * part[0], PROGRESS)]
+        write(logs, f"{n}.jsonl", rows, 100 - n)
+        events = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "0 seconds")
+        streams.drain_throttled(spark, events, folder)  # goes on where the last call ended
+    write(logs, "9.jsonl", [line("closing", 1, 600_000, PROGRESS), line("closing", 2, 900_000, PROGRESS)], 10)
+    events = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "0 seconds")
+    kept = streams.drain_throttled(spark, events, folder)
+    assert sorted(r.sequence for r in kept.where("run_id = 'r'").collect()) == [0, 3, 6, 9, 12]
+    state = spark.read.parquet(f"{folder}/thinned/state")
+    newest = state.where(F.col("after") == state.agg(F.max("after")).first()[0])
+    assert {r.run_id for r in newest.collect()} <= {"closing"}
 
 
 def test_one_terminal_status_and_hook(spark, tmp_path):
@@ -114,9 +151,9 @@ def test_one_terminal_status_and_hook(spark, tmp_path):
         )
 
     ended = streams.drain(
-        spark, streams.one_terminal(source(), F.col("type") == "error"), str(tmp_path / "e")
+        spark, streams.terminal_records(source(), F.col("type") == "error"), str(tmp_path / "e")
     )
-    assert [r.run_id for r in ended.collect()] == ["r"]
+    assert sorted((r.run_id, r.sequence, r.repeat) for r in ended.collect()) == [("r", 1, False), ("r", 2, True), ("r", 3, True)]
     seen = []
     status = streams.drain(
         spark,
@@ -134,6 +171,21 @@ def test_one_terminal_status_and_hook(spark, tmp_path):
     assert [tuple(r) for r in refused.collect()] == [("{torn", "malformed")]
 
 
+def test_a_second_terminal_record_is_a_repeat_long_after_the_watermark(spark, tmp_path):
+    logs = str(tmp_path / "logs")
+    failed = ("x", "dump", "failed")
+    write(logs, "1.jsonl", [line("r", 1, 0, failed), line("s", 1, 0, failed)], 100)
+    for n in range(3):
+        write(logs, f"{n + 2}.jsonl", [line("other", n, 600_000 * (n + 1), failed)], 90 - n)
+    write(logs, "6.jsonl", [line("r", 2, 2_400_000, failed), line("t", 1, 2_400_000, failed)], 50)
+    source = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "1 second")
+    for remember, repeat in (("2 hours", True), ("15 minutes", False)):
+        told = streams.drain(spark, streams.terminal_records(source, F.col("type") == "error", remember), str(tmp_path / remember[:2]))
+        found = {(r.run_id, r.sequence): r.repeat for r in told.collect()}
+        assert found[("r", 1)] is found[("t", 1)] is found[("s", 1)] is False
+        assert found[("r", 2)] is repeat
+
+
 def test_scrub_in_flight(spark, tmp_path):
     logs = str(tmp_path / "logs")
     write(logs, "1.txt", ["pwd=x y"], 10)
