@@ -2,37 +2,40 @@
 
 Word counts come from all training documents. The most frequent words are the vocabulary of a gated
 recurrent model (see `recurrent`), all others share one symbol there and are told apart by their counts.
-The recurrent model is trained on every training document, in rounds: each task goes on from the same
-weights over its own documents, and the tasks' weights are averaged by their numbers of words.
-Counts of frequent words go to every task as a table of fixed size; those of rare words, of which there
-may be any number, meet the documents' rare words in a join.
+Every text is turned into the numbers of its words once; training and scoring read these. The
+recurrent model is trained on every training document, in rounds: documents are dealt to shards by a hash of
+key and text, each shard goes on from the same weights over its own documents of the round, and the shards'
+weights are averaged by their numbers of words. So the model follows from the rows, not from how the table
+is split. Counts of frequent words go to every task as a table of fixed size; those of rare words, of
+which there may be any number, meet the documents' rare words in a join.
 """
 
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import stored
-from tablewarden.llm.hashing import WordHashes, split_words
+from tablewarden.llm.hashing import CACHED_WORDS, WordHashes, split_words
 from tablewarden.llm.recurrent import LanguageModel
 
 #: Words of the recurrent model, and words whose counts every task holds.
 VOCABULARY, FREQUENT = 4096, 65_536
-#: Of every so many documents of a task, those that each round of a pass trains on; together all.
+#: Training documents are dealt into so many turns; each round trains on some of them, together on all.
 TURNS, ROUNDS = 8, ((0, 1), (1, 4), (4, 8))
-#: Words of training documents from which one pass is enough; fewer are passed over REPEATED times.
-ONE_PASS, REPEATED = 2_000_000, 3
+#: Words of one shard, on average over all rounds.
+SHARD_WORDS = 4_000_000
 #: Adam's rate; in the last round it falls to the second.
-RATE, LAST_RATE = 0.01, 0.001
+RATE, LAST_RATE = 0.04, 0.001
 #: Weights are averaged in so many pieces.
 PIECES = 64
 #: Words that a task counts, trains on, or scores, at a time.
@@ -54,36 +57,53 @@ class Corpus:
     other_distinct: int
 
 
-def _codes(text: str | None, known: WordHashes) -> np.ndarray:
-    return known.of(split_words(text, lower=True)).view(np.int64)
+class Places(dict):
+    """Each word's place among the frequent ones, -1 for others; forgets all when it holds too many."""
+
+    def __init__(self, codes: np.ndarray):
+        super().__init__()
+        self.codes = codes
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        code = _code(word)
+        at = int(np.searchsorted(self.codes, code))
+        self[word] = at = at if at < len(self.codes) and self.codes[at] == code else -1
+        return at
+
+
+def _code(word: bytes) -> int:
+    """A word's 64-bit name."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(code, count) of every word of the documents; each task counts before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = WordHashes(), [], 0
+        held, known = Counter(), WordHashes()
 
         def counted() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["code", "count"])
+            codes, counts = known.of(list(held)).view(np.int64), np.fromiter(held.values(), np.int64, len(held))
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "count"])
 
         for batch in batches:
             for value in batch.column(0):
-                held.append(_codes(value.as_py(), known))
-                size += len(held[-1])
-                if size >= WORDS_AT_ONCE:
-                    yield counted()
-                    held, size = [], 0
+                words = split_words(value.as_py(), lower=True)
+                for at in range(0, len(words), WORDS_AT_ONCE):
+                    held.update(words[at : at + WORDS_AT_ONCE])
+                    if len(held) >= CACHED_WORDS:
+                        yield counted()
+                        held.clear()
         if held:
             yield counted()
 
     return docs.select(text).mapInArrow(count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
 
 
-def learn(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text") -> tuple[Corpus, LanguageModel, DataFrame]:
-    """Corpus, recurrent model, and the table of all counts, from the rows where `learnable` holds."""
-    training = docs.where(learnable).select(F.col(key).alias("k"), F.col(text).alias("t"))
+def count_corpus(training: DataFrame) -> tuple[Corpus, LanguageModel, DataFrame]:
+    """What the counts of the training rows (column `t`) tell, the untrained model, and the table of all counts."""
     counts = stored(word_counts(training, "t"), "counts")
     totals = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("count"), F.lit(0)).alias("tokens")).first()
     documents = training.count()
@@ -99,50 +119,47 @@ def learn(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
         totals["distinct"] + (documents > 0), other, totals["distinct"] - in_model,
     )
     model = LanguageModel(np.concatenate(([documents, other], number[:in_model])).astype(float), alone=2, start=END)
-    train(model, training, corpus)
     return corpus, model, counts
 
 
-def train(model: LanguageModel, training: DataFrame, corpus: Corpus) -> None:
-    """Train the model on every text `t`; only weights reach the driver.
-
-    Which documents a task goes through follows from the table's files and splits, and so do the weights.
-    """
+def train(model: LanguageModel, numbered: DataFrame, corpus: Corpus) -> None:
+    """Train the model on every numbered text that is learned from; only weights reach the driver."""
     if not corpus.documents:
         return
-    numbered = stored(training.mapInArrow(_numbers_of(corpus), "turn int, n binary"), "numbers")
-    passes = REPEATED if corpus.tokens < ONE_PASS else 1
-    for turn in range(passes):
-        for low, high in ROUNDS:
-            last = turn == passes - 1 and high == TURNS
-            own = numbered.where((F.col("turn") >= low) & (F.col("turn") < high)).select("n")
-            trained = own.mapInArrow(_trained(model, LAST_RATE if last else RATE), "piece int, task int, tokens bigint, weights binary")
-            pieces = trained.repartition("piece").sortWithinPartitions("piece", "task").mapInArrow(_averaged, "piece int, weights binary")
-            found = {r["piece"]: np.frombuffer(r["weights"], np.float32) for r in pieces.collect()}
-            if found:
-                model.set_weights(np.concatenate([found[i] for i in range(PIECES)]))
-
-
-def _trained(model: LanguageModel, last: float):
-    """Each task's weights, in pieces, after its own documents, and how many words these have."""
+    shards = -(-corpus.tokens // SHARD_WORDS)
+    turn = F.pmod("name", F.lit(TURNS))
+    shard = F.pmod(F.floor(F.col("name") / TURNS), F.lit(shards)).cast("int")
+    learned = numbered.where("learned").select(shard.alias("shard"), "name", "n", turn.alias("turn"))
+    for low, high in ROUNDS:
+        own = learned.where((F.col("turn") >= low) & (F.col("turn") < high)).select("shard", "name", "n")
+        # One task may hold several shards, but trains them one by one, in an order of their own.
+        dealt = own.repartition(shards, "shard").sortWithinPartitions("shard", "name").select("shard", "n")
+        trained = dealt.mapInArrow(_trained(model, LAST_RATE if high == TURNS else RATE), "piece int, shard int, tokens bigint, weights binary")
+        pieces = trained.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(_averaged, "piece int, weights binary")
+        found = {r["piece"]: np.frombuffer(r["weights"], np.float32) for r in pieces.collect()}
+        if found:
+            model.set_weights(np.concatenate([found[i] for i in range(PIECES)]))
+
+
+def _trained(model: LanguageModel, last: float) -> Callable:
+    """Each shard's weights, in pieces, after its own documents, and how many words these have."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, texts, size, tokens = copy.deepcopy(model), [], 0, 0
-        for batch in batches:
-            for value in batch.column(0):
-                texts.append(np.frombuffer(value.as_py(), np.uint16).astype(np.int32))
+        rows = ((s, n) for batch in batches for s, n in zip(batch.column("shard").to_pylist(), batch.column("n")))
+        for shard, group in groupby(rows, key=lambda r: r[0]):
+            own, texts, size, tokens = copy.deepcopy(model), [], 0, 0
+            for _, value in group:
+                texts.append(np.frombuffer(value.as_py(), np.uint16))
                 size += len(texts[-1])
                 if size >= WORDS_AT_ONCE:
                     own.train(texts, 1, RATE, last)
                     tokens, texts, size = tokens + size, [], 0
-        if texts:
-            own.train(texts, 1, RATE, last)
-            tokens += size
-        if tokens:
+            if texts:
+                own.train(texts, 1, RATE, last)
+                tokens += size
             parts = [p.tobytes() for p in np.array_split(own.weights(), PIECES)]
-            task = TaskContext.get().partitionId()
-            columns = [pa.array(c, t) for c, t in ((range(PIECES), pa.int32()), ([task] * PIECES, pa.int32()), ([tokens] * PIECES, pa.int64()), (parts, pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["piece", "task", "tokens", "weights"])
+            columns = [pa.array(c, t) for c, t in ((range(PIECES), pa.int32()), ([shard] * PIECES, pa.int32()), ([tokens] * PIECES, pa.int64()), (parts, pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "shard", "tokens", "weights"])
 
     return train
 
@@ -158,32 +175,96 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([mean], pa.binary())], names=["piece", "weights"])
 
 
-def _numbered(codes: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its place among the frequent ones (-1: not there), and the numbers of the text's words and end."""
-    numbers = np.full(len(codes) + 1, OTHER, np.int32)
-    numbers[-1] = END
-    place = np.full(len(codes), -1)
-    if len(corpus.codes) and len(codes):
-        place = np.minimum(np.searchsorted(corpus.codes, codes), len(corpus.codes) - 1)
-        place[corpus.codes[place] != codes] = -1
-        numbers[:-1][place >= 0] = corpus.numbers[place[place >= 0]]
-    return place, numbers
+_NUMBERED = (
+    "k {key}, held_out boolean, learned boolean, name bigint, n_tokens bigint, n_known bigint, n_other bigint, frequent_sum double, "
+    "other_sum double, codes array<bigint>, times array<bigint>, n binary"
+)
 
 
-def _numbers_of(corpus: Corpus):
-    """The numbers of each text's words, and the document's turn, from batches of (key, text)."""
+def _numbers_of(corpus: Corpus) -> Callable:
+    """What the counts tell of each text, and the numbers of its words, from batches of (k, held_out, learned, name, t)."""
+    log_counts = np.log10(corpus.counts + 1.0)
+    end_sum = float(np.log10(corpus.documents + 1.0))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = WordHashes(), 0
+        places = Places(corpus.codes)
+        # A place of -1 is the last one here.
+        number_at, log_at = np.append(corpus.numbers, OTHER).astype(np.uint16), np.append(log_counts, 0.0)
         for batch in batches:
-            own = [_numbered(_codes(t.as_py(), known), corpus)[1].astype(np.uint16).tobytes() for t in batch.column(1)]
-            turns = (row + np.arange(len(own))) % TURNS
-            row += len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(turns.astype(np.int32)), pa.array(own, pa.binary())], names=["turn", "n"])
+            rows, codes, times, texts = [], [], [], []
+            for value in batch.column("t"):
+                words = split_words(value.as_py(), lower=True)
+                place = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+                numbers = np.append(number_at[place], np.uint16(END))
+                outside, beyond = numbers[:-1] == OTHER, np.flatnonzero(place < 0)
+                logs = log_at[place]
+                rows.append((len(words) + 1, len(words) - len(beyond) + (corpus.documents > 0), int(outside.sum()),
+                             float(logs.sum()) + end_sum, float(logs[outside].sum())))
+                rare = Counter(words[i] for i in beyond.tolist())
+                codes.append([_code(w) for w in rare])
+                times.append(list(rare.values()))
+                texts.append(numbers.tobytes())
+            own = [pa.array(c) for c in zip(*rows)] if rows else []
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (codes, times)]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:4], *own, *lists, pa.array(texts, pa.binary())],
+                    names=["k", "held_out", "learned", "name", "n_tokens", "n_known", "n_other", "frequent_sum", "other_sum", "codes", "times", "n"],
+                )
 
     return numbers
 
 
+def _scored(model: LanguageModel) -> Callable:
+    """Rows with the model's score instead of the numbers of their words."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, texts, size = [], [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            scores, at = model.score(texts), 0
+            for batch in waiting:
+                own = pa.array(scores[at : at + len(batch)], pa.float64())
+                at += len(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own], names=[*batch.schema.names[:-1], "model"])
+
+        for batch in batches:
+            # Pieces of a batch, so that no more words wait than are scored at once, and one text.
+            start = 0
+            for i, value in enumerate(batch.column("n")):
+                texts.append(np.frombuffer(value.as_py(), np.uint16))
+                size += len(texts[-1])
+                if size >= WORDS_AT_ONCE or i == len(batch) - 1:
+                    waiting.append(batch.slice(start, i + 1 - start))
+                    start = i + 1
+                if size >= WORDS_AT_ONCE:
+                    yield from done()
+                    waiting, texts, size = [], [], 0
+        if waiting:
+            yield from done()
+
+    return score
+
+
+def learn(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text") -> tuple[Corpus, LanguageModel, DataFrame, DataFrame]:
+    """Corpus, trained model, the table of all counts, and all rows with the numbers of their words.
+
+    The model learns from the rows where `learnable` holds.
+    """
+    learned = F.coalesce(learnable, F.lit(False))
+    own = docs.select(
+        F.col(key).alias("k"), F.coalesce(~learnable, F.lit(False)).alias("held_out"), learned.alias("learned"),
+        F.xxhash64(key, text).alias("name"), F.col(text).alias("t"),
+    )
+    corpus, model, counts = count_corpus(own.where("learned").select("t"))
+    kind = docs.schema[key].dataType.simpleString()
+    numbered = own.mapInArrow(_numbers_of(corpus), _NUMBERED.format(key=kind)).withColumn("row", F.monotonically_increasing_id())
+    # Written once, so that a row's number is the same whoever reads it.
+    numbered = stored(numbered, "numbers")
+    train(model, numbered, corpus)
+    return corpus, model, counts, numbered
+
+
 def score_documents(
     docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -196,53 +277,10 @@ def score_documents(
     not held out. Repeated rows are repeated, other columns not read; an empty table stays empty, and with
     no training document all counts are zero. Words are named by 64-bit hashes.
     """
-    corpus, model, counts = learn(docs, F.coalesce(learnable, F.lit(False)), key, text)
-    log_counts = np.log10(corpus.counts + 1.0)
-    key_type = docs.schema[key].dataType.simpleString()
-    fields = "n_tokens bigint, n_known bigint, n_other bigint, frequent_sum double, other_sum double, model double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, keys, rows, texts, rare, size = WordHashes(), [], [], [], [], 0
-
-        def done() -> pa.RecordBatch:
-            model_scores = model.score(texts)
-            n_tokens, n_known, n_other, frequent, other = map(np.array, zip(*rows))
-            offsets = np.concatenate(([0], np.cumsum([len(c) for c, _ in rare]))).astype(np.int32)
-            lists = [
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[i] for r in rare]).astype(np.int64)))
-                for i in (0, 1)
-            ]
-            names = ["k", "held_out", "n_tokens", "n_known", "n_other", "frequent_sum", "other_sum", "model", "codes", "times"]
-            own = [pa.concat_arrays([k[i] for k in keys]) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (n_tokens, n_known, n_other, frequent, other, model_scores)), *lists], names=names)
-
-        for batch in batches:
-            at = 0
-            for i, value in enumerate(batch.column(2)):
-                codes = _codes(value.as_py(), known)
-                place, numbers = _numbered(codes, corpus)
-                there = place[place >= 0]
-                outside = there[corpus.numbers[there] == OTHER]
-                rare.append(np.unique(codes[place < 0], return_counts=True))
-                rows.append((
-                    len(numbers), len(there) + (corpus.documents > 0), int((numbers == OTHER).sum()),
-                    float(log_counts[there].sum() + np.log10(corpus.documents + 1.0)), float(log_counts[outside].sum()),
-                ))
-                texts.append(numbers)
-                size += len(numbers)
-                if size >= WORDS_AT_ONCE:
-                    keys.append((batch.column(0)[at : i + 1], batch.column(1)[at : i + 1]))
-                    yield done()
-                    keys, rows, texts, rare, size, at = [], [], [], [], 0, i + 1
-            if at < len(batch):
-                keys.append((batch.column(0)[at:], batch.column(1)[at:]))
-        if rows:
-            yield done()
-
-    schema = f"k {key_type}, held_out boolean, {fields}, codes array<bigint>, times array<bigint>"
-    own = docs.select(F.col(key).alias("k"), F.coalesce(~learnable, F.lit(False)).alias("held_out"), F.col(text).alias("t"))
-    # Written once, so that a row's number is the same whoever reads it.
-    scored = stored(own.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    corpus, model, counts, numbered = learn(docs, learnable, key, text)
+    passed = numbered.select("row", "k", "held_out", "n_tokens", "n_known", "n_other", "frequent_sum", "other_sum", "codes", "times", "n")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in passed.schema.fields[:-1])
+    scored = stored(passed.mapInArrow(_scored(model), f"{fields}, model double"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("codes", "times")).alias("w")).select("row", "w.codes", "w.times")
     rare_counts = counts.withColumnRenamed("code", "codes")
     rare_sums = (

@@ -16,9 +16,11 @@ import numpy as np
 WIDTH = 16
 CLASSES = 64
 STEPS = 32  # back-propagation is cut after so many
-# Long inputs are trained on in more lanes, so that a lane has about so many words.
-TRAIN_LANES, MOST_LANES, TOKENS_PER_LANE = 32, 256, 2048
-SCORE_LANES, SCORE_STEPS = 256, 32
+# The more words are trained on, the more lanes they are laid into, so that a lane has about so many.
+TRAIN_LANES, MOST_LANES, TOKENS_PER_LANE = 32, 512, 8192
+# In training, though not in scoring, the state begins anew after so many words of a text, so that lanes are of a length.
+SEGMENT = 2048
+SCORE_LANES, SCORE_STEPS = 1024, 16
 
 
 def class_starts(counts: np.ndarray, alone: int, classes: int = CLASSES) -> np.ndarray:
@@ -34,30 +36,54 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def lanes(texts: list[np.ndarray], count: int, start: int) -> tuple[np.ndarray, ...]:
-    """Lay texts into lanes, long texts first and each into the shortest lane; lanes come by falling length.
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of each row, in place, up to a factor of the row, with their sums and the factors' logarithms.
 
-    Returns, by step and lane: input, target, first (a text begins), and text (-1 past the lane's end).
+    Rows whose exponentials are all far from the ends of the number range need no factor.
     """
-    count = max(1, min(count, len(texts)))
-    free = [(0, lane) for lane in range(count)]
-    own: list[list[int]] = [[] for _ in range(count)]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
-        used, lane = heapq.heappop(free)
-        own[lane].append(i)
-        heapq.heappush(free, (used + len(texts[i]), lane))
-    order = [lane for _, lane in sorted(free, key=lambda x: (-x[0], x[1]))]
-    length = max(used for used, _ in free)
-    target, first, text = np.zeros((count, length), np.int32), np.zeros((count, length), bool), np.full((count, length), -1, np.int32)
-    for row, lane in enumerate(order):
-        at = 0
-        for i in own[lane]:
-            n = len(texts[i])
-            target[row, at : at + n], text[row, at : at + n], first[row, at] = texts[i], i, True
-            at += n
-    inputs = np.concatenate((np.full((count, 1), start, np.int32), target[:, :-1]), axis=1)
-    inputs[first] = start
-    return inputs.T.copy(), target.T.copy(), first.T.copy(), text.T.copy()
+    ones = np.ones(logits.shape[1], logits.dtype)
+    if logits.max(initial=0) < 60 and logits.min(initial=0) > -60:
+        np.exp(logits, out=logits)
+        return logits @ ones, np.zeros(len(logits), logits.dtype)
+    top = logits.max(axis=1)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return logits @ ones, top
+
+
+class Lanes:
+    """Texts laid end to end in lanes, long texts first and each into the shortest lane; lanes come by falling length.
+
+    All lanes are one array with the place where each begins, so that one very long text makes no other lane longer.
+    """
+
+    def __init__(self, texts: list[np.ndarray], count: int, start: int):
+        count = max(1, min(count, len(texts)))
+        free = [(0, lane) for lane in range(count)]
+        own: list[list[int]] = [[] for _ in range(count)]
+        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+            used, lane = heapq.heappop(free)
+            own[lane].append(i)
+            heapq.heappush(free, (used + len(texts[i]), lane))
+        order = sorted(free, key=lambda x: (-x[0], x[1]))
+        texts_in_order = [i for _, lane in order for i in own[lane]]
+        sizes = np.array([len(texts[i]) for i in texts_in_order])
+        self.start, self.lengths = start, np.array([used for used, _ in order])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.target = np.concatenate([texts[i] for i in texts_in_order]).astype(np.int32, copy=False)
+        self.text = np.repeat(np.array(texts_in_order, np.int32), sizes)
+        self.first = np.zeros(len(self.target), bool)
+        self.first[np.cumsum(sizes) - sizes] = True
+
+    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """By step and live lane: input, target, first (a text begins), there (not past the lane's end) and text."""
+        for at in range(0, int(self.lengths[0]), steps):
+            live = int(np.searchsorted(-self.lengths, -at))
+            step = np.arange(at, min(at + steps, int(self.lengths[0])))[:, None]
+            there = step < self.lengths[:live]
+            place = np.where(there, self.begins[:live] + step, self.begins[:live])
+            target, first = self.target[place], self.first[place] & there
+            yield np.where(first, self.start, self.target[np.maximum(place - 1, 0)]), target, first, there, self.text[place]
 
 
 class LanguageModel:
@@ -66,6 +92,8 @@ class LanguageModel:
     def __init__(self, counts: np.ndarray, alone: int, start: int, width: int = WIDTH, seed: int = 7):
         draw = np.random.default_rng(seed)
         self.start, self.width = start, width
+        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] | None = None
+        self.updates = 0
         self.starts = class_starts(counts, alone)
         self.ends = np.append(self.starts[1:], len(counts))
         self.class_of = (np.searchsorted(self.starts, np.arange(len(counts)), "right") - 1).astype(np.int16)
@@ -110,14 +138,16 @@ class LanguageModel:
 
     def _losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Negative natural logarithm of each target's probability after state h."""
-        logits = h @ self.p["class"] + self.p["class_bias"]
-        top = logits.max(axis=1)
-        loss = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top - logits[np.arange(len(h)), self.class_of[target]]
+        def add(rows, logits: np.ndarray, chosen: np.ndarray) -> None:
+            own = logits[np.arange(len(logits)), chosen]
+            sums, top = _exponentials(logits)
+            loss[rows] += np.log(sums) + top - own
+
+        loss = np.zeros(len(h), h.dtype)
+        add(slice(None), h @ self.p["class"] + self.p["class_bias"], self.class_of[target])
         for c, rows in self._by_class(target):
             own = slice(self.starts[c], self.ends[c])
-            logits = h[rows] @ self.p["word"][own].T + self.p["word_bias"][own]
-            top = logits.max(axis=1)
-            loss[rows] += np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top - logits[np.arange(len(rows)), target[rows] - own.start]
+            add(rows, h[rows] @ self.p["word"][own].T + self.p["word_bias"][own], target[rows] - own.start)
         return loss
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -125,52 +155,49 @@ class LanguageModel:
         total = np.zeros(len(texts))
         if not texts:
             return total
-        inputs, target, first, text = lanes(texts, SCORE_LANES, self.start)
         entered_by_word = self.p["embed"] @ self.p["enter"] + self.p["enter_bias"]
-        live = (text >= 0).sum(axis=1)  # lanes come by falling length
-        h = np.zeros((inputs.shape[1], self.width), np.float32)
-        for begin in range(0, len(inputs), SCORE_STEPS):
-            states, targets, owners = [], [], []
-            for t in range(begin, min(begin + SCORE_STEPS, len(inputs))):
-                n = live[t]
-                h = h[:n]
-                if first[t, :n].any():
-                    h[first[t, :n]] = 0
-                h = self._step(entered_by_word[inputs[t, :n]], h)[0]
+        h = np.zeros((SCORE_LANES, self.width), np.float32)
+        for inputs, target, first, there, text in Lanes(texts, SCORE_LANES, self.start).windows(SCORE_STEPS):
+            states, begins = [], first.any(axis=1)
+            h = h[: inputs.shape[1]]
+            for t, entered in enumerate(entered_by_word[inputs]):
+                if begins[t]:
+                    h = np.where(first[t][:, None], np.float32(0), h)
+                h = self._step(entered, h)[0]
                 states.append(h)
-                targets.append(target[t, :n])
-                owners.append(text[t, :n])
-            owners = np.concatenate(owners)
-            loss = self._losses(np.concatenate(states), np.concatenate(targets))
-            total -= np.bincount(owners, weights=loss, minlength=len(texts))
+            live = there.ravel()
+            loss = self._losses(np.concatenate(states)[live], target.ravel()[live])
+            total -= np.bincount(text.ravel()[live], weights=loss, minlength=len(texts))
         return total / np.log(10)
 
-    def train(self, texts: list[np.ndarray], rounds: int = 3, rate: float = 0.01, last: float = 0.001) -> None:
-        """Truncated back-propagation through time with Adam steps, whose rate falls evenly to `last`."""
+    def train(self, texts: list[np.ndarray], rounds: int = 1, rate: float = 0.01, last: float = 0.001) -> None:
+        """Truncated back-propagation through time with Adam steps, whose rate falls evenly to `last`.
+
+        The optimizer's moments stay with the model, so texts may come in several calls.
+        """
         if not texts:
             return
-        tokens = sum(map(len, texts))
-        count = min(max(tokens // TOKENS_PER_LANE, TRAIN_LANES), MOST_LANES)
-        inputs, target, first, text = lanes(texts, count, self.start)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        live = (text >= 0).sum(axis=1)  # lanes come by falling length
-        step = 0
-        windows = range(0, len(inputs), STEPS)
-        for turn in range(rounds):
-            h = np.zeros((inputs.shape[1], self.width), np.float32)
-            for begin in windows:
-                part = slice(begin, begin + STEPS), slice(live[begin])
-                h, slopes = self._slopes(inputs[part], target[part], first[part], text[part] >= 0, h[: live[begin]])
-                step += 1
-                now = rate - (rate - last) * step / (rounds * len(windows))
+        if self.moments is None:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        pieces = [text[at : at + SEGMENT] for text in texts for at in range(0, len(text), SEGMENT)]
+        count = min(max(sum(map(len, texts)) // TOKENS_PER_LANE, TRAIN_LANES), MOST_LANES)
+        laid = Lanes(pieces, count, self.start)
+        steps, done = rounds * -(-int(laid.lengths[0]) // STEPS), 0
+        for _ in range(rounds):
+            h = np.zeros((len(laid.lengths), self.width), np.float32)
+            for inputs, target, first, there, _ in laid.windows(STEPS):
+                h, slopes = self._slopes(inputs, target, first, there, h[: inputs.shape[1]])
+                self.updates += 1
+                done += 1
+                now = rate - (rate - last) * done / steps
                 for name, slope in slopes.items():
-                    m, v = moments[name]
+                    m, v = self.moments[name]
                     m += np.float32(0.1) * (slope - m)
                     slope *= slope
                     v += np.float32(0.01) * (slope - v)
-                    root = np.sqrt(v / np.float32(1 - 0.99**step))
+                    root = np.sqrt(v / np.float32(1 - 0.99**self.updates))
                     root += np.float32(1e-6)
-                    self.p[name] -= np.float32(now / (1 - 0.9**step)) * m / root
+                    self.p[name] -= np.float32(now / (1 - 0.9**self.updates)) * m / root
 
     def _slopes(self, inputs, target, first, there, h) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         p, w = self.p, self.width
@@ -191,9 +218,8 @@ class LanguageModel:
         out = {k: np.zeros_like(v) for k, v in p.items()}
         d = states @ p["class"]
         d += p["class_bias"]
-        d -= d.max(axis=1, keepdims=True)
-        np.exp(d, out=d)
-        d *= (live * scale / d.sum(axis=1))[:, None].astype(d.dtype)
+        sums, _ = _exponentials(d)
+        d *= (live * scale / sums)[:, None].astype(d.dtype)
         d[np.arange(len(d)), self.class_of[flat]] -= live * scale
         out["class"], out["class_bias"] = states.T @ d, d.sum(axis=0)
         to_state = d @ p["class"].T
@@ -203,9 +229,8 @@ class LanguageModel:
             here = states[rows]
             d = here @ p["word"][own].T
             d += p["word_bias"][own]
-            d -= d.max(axis=1, keepdims=True)
-            np.exp(d, out=d)
-            d *= scale / d.sum(axis=1, keepdims=True)
+            sums, _ = _exponentials(d)
+            d *= (scale / sums)[:, None]
             d[np.arange(len(rows)), flat[rows] - own.start] -= scale
             out["word"][own], out["word_bias"][own] = d.T @ here, d.sum(axis=0)
             to_state[rows] += d @ p["word"][own]

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -22,8 +23,8 @@ def _model(width=4, noise=0.3):
 def test_slopes_are_those_of_the_loss():
     model, draw = _model()
     texts = [draw.integers(0, 12, n).astype(np.int32) for n in (7, 3, 5, 2)]
-    inputs, target, first, text = recurrent.lanes(texts, 2, 0)
-    _, slopes = model._slopes(inputs, target, first, text >= 0, np.zeros((2, 4)))
+    inputs, target, first, there, _ = next(recurrent.Lanes(texts, 2, 0).windows(100))
+    _, slopes = model._slopes(inputs, target, first, there, np.zeros((2, 4)))
     loss = lambda: -model.score(texts).sum() * np.log(10) / sum(map(len, texts))
     for name, values in model.p.items():
         for _ in range(4):
@@ -90,10 +91,10 @@ def test_nothing_to_learn_from_and_empty_table(spark):
 
 
 def test_every_training_document_trains_the_model(spark, monkeypatch):
-    """Each document is trained on once a pass, also those of one repeated id, and none that is held out."""
+    """Each document is trained on once, also those of one repeated id, and none that is held out."""
     rows = [(i if i % 3 else 1, f"word{i} " * (i % 5 + 1), i % 7 != 2) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, yes boolean").repartition(5)
-    monkeypatch.setattr(lm_scoring, "ONE_PASS", 0)
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 700)
     seen = spark.sparkContext.accumulator(0)
     own = recurrent.LanguageModel.train
 
@@ -105,16 +106,77 @@ def test_every_training_document_trains_the_model(spark, monkeypatch):
         train = counted
 
     monkeypatch.setattr(lm_scoring, "LanguageModel", Counting)
-    corpus, model, _ = lm_scoring.learn(docs, F.col("yes"))
+    corpus, model, _, _ = lm_scoring.learn(docs, F.col("yes"))
     assert seen.value == corpus.tokens == sum(i % 5 + 2 for i, (_, _, yes) in enumerate(rows) if yes)
     untrained = recurrent.LanguageModel(COUNTS, 2, 0)
     untrained.set_weights(untrained.weights())
     assert all(np.isfinite(v).all() for v in model.p.values()) and untrained.p["enter"].shape == (16, 48)
 
 
+def test_scores_do_not_follow_the_splits_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    scores = []
+    for parts in (4, 16):
+        found = lm_scoring.score_documents(docs.repartition(parts), fold(F.col("doc_id"), 7) != 2).collect()
+        scores.append({r.doc_id: (r.score, r.base_score) for r in found})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(np.allclose(scores[0][k], scores[1][k], rtol=1e-4) for k in scores[0])
+
+
+def score_by_loops(p, classes, text):
+    """One word at a time: the state, then the probability of the word's class and of the word within it."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, before, total, w = np.zeros(p["embed"].shape[1]), 0, 0.0, p["embed"].shape[1]
+    for word in text:
+        entered, carried = p["embed"][before] @ p["enter"] + p["enter_bias"], h @ p["carry"]
+        z, r = sigmoid(entered[:w] + carried[:w]), sigmoid(entered[w : 2 * w] + carried[w : 2 * w])
+        n = np.tanh(entered[2 * w :] + r * carried[2 * w :])
+        h = (1 - z) * n + z * h
+        c = next(i for i, own in enumerate(classes) if word in own)
+        of_class = np.exp(h @ p["class"] + p["class_bias"])
+        of_word = {v: np.exp(p["word"][v] @ h + p["word_bias"][v]) for v in classes[c]}
+        total += math.log10(of_class[c] / of_class.sum() * of_word[word] / sum(of_word.values()))
+        before = word
+    return total
+
+
+def test_trained_scores_by_plain_loops(spark):
+    """The whole operator on a small corpus: its model's weights, used word by word, give every score."""
+    rows = [(i, " ".join(["the cat sat", "a dog ran far", "the dog sat"][(i + j) % 3] for j in range(i % 4))) for i in range(60)]
+    rows += [(100, "unseen words here the cat"), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learnable = F.col("doc_id") < 50
+    corpus, model, counts, _ = lm_scoring.learn(docs, learnable)
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, learnable).collect()}
+    classes = [range(a, b) for a, b in zip(model.starts, model.ends)]
+    weights = {k: v.astype(float) for k, v in model.p.items()}
+    code = lambda w: lm_scoring._code(w.encode())
+    number = dict(zip(corpus.codes.tolist(), corpus.numbers.tolist()))
+    for key, text in rows:
+        words = (text or "").lower().split()
+        numbers = [number.get(code(w), lm_scoring.OTHER) for w in words] + [lm_scoring.END]
+        want = score_by_loops(weights, classes, numbers)
+        want += sum(math.log10(1 / (corpus.other_tokens + corpus.other_distinct + 1)) for n in numbers if n == lm_scoring.OTHER)
+        assert abs(got[key] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_a_million_words_beside_short_texts_take_little_memory():
+    model = recurrent.LanguageModel(COUNTS, 2, 0)
+    draw = np.random.default_rng(1)
+    texts = [draw.integers(0, 12, n).astype(np.uint16) for n in (1_000_000, *[5] * 2000)]
+    tracemalloc.start()
+    laid = recurrent.Lanes(texts, recurrent.SCORE_LANES, 0)
+    seen = sum(int(window[3].sum()) for _, window in zip(range(400), laid.windows(recurrent.SCORE_STEPS)))
+    model.train(texts[:1] + texts[1:9])
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert seen == sum(min(len(t), 400 * recurrent.SCORE_STEPS) for t in texts)
+
+
 def test_average_weighs_tasks_by_their_words():
     batch = pa.RecordBatch.from_pydict({
-        "piece": [0, 0, 1], "tokens": [1, 3, 5], "weights": [np.float32([0, 4]).tobytes(), np.float32([4, 0]).tobytes(), np.float32([7]).tobytes()],
+        "piece": [0, 0, 1], "shard": [0, 1, 0], "tokens": [1, 3, 5], "weights": [np.float32([0, 4]).tobytes(), np.float32([4, 0]).tobytes(), np.float32([7]).tobytes()],
     })
     got = [r for b in lm_scoring._averaged(iter([batch])) for r in b.to_pylist()]
     assert [(r["piece"], np.frombuffer(r["weights"], np.float32).tolist()) for r in got] == [(0, [3.0, 1.0]), (1, [7.0])]
