@@ -52,3 +52,11 @@ def fold(doc_id: Column, parts: int) -> Column:
 def words(text: Column) -> Column:
     """Runs of non-space characters; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+
+
+def slots_of(spark: SparkSession, count: int) -> list[int]:
+    """For each of so many partitions a number that Spark's hash puts there, so that each range has a task of its own."""
+    numbers = spark.range(32 * count + 64).select(F.col("id").cast("int").alias("slot"))
+    found = numbers.groupBy(F.pmod(F.hash("slot"), F.lit(count)).alias("part")).agg(F.min("slot")).collect()
+    known = dict(map(tuple, found))
+    return [known.get(part, part) for part in range(count)]

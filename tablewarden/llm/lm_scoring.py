@@ -13,7 +13,6 @@ which there may be any number, meet the documents' rare words in a join.
 from __future__ import annotations
 
 import copy
-import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,11 +20,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import stored
-from tablewarden.llm.hashing import CACHED_WORDS, WordHashes, split_words
+from tablewarden.llm.common import slots_of, stored
+from tablewarden.llm.hashing import CACHED_WORDS
 from tablewarden.llm.recurrent import LanguageModel
 
 #: Words of the recurrent model, and words whose counts every task holds.
@@ -33,13 +33,13 @@ VOCABULARY, FREQUENT = 4096, 65_536
 #: Training documents are dealt into so many turns; each round trains on some of them, together on all.
 TURNS, ROUNDS = 8, ((0, 1), (1, 4), (4, 8))
 #: Words of one shard, on average over all rounds.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 8_000_000
 #: Adam's rate; in the last round it falls to the second.
 RATE, LAST_RATE = 0.04, 0.001
 #: Weights are averaged in so many pieces.
 PIECES = 64
-#: Words that a task counts, trains on, or scores, at a time.
-WORDS_AT_ONCE = 2_000_000
+#: Words that a task counts or trains on, and that it scores, at a time.
+WORDS_AT_ONCE, SCORED_AT_ONCE = 2_000_000, 8_000_000
 END, OTHER = 0, 1  # numbers of the special words
 
 
@@ -58,39 +58,49 @@ class Corpus:
 
 
 class Places(dict):
-    """Each word's place among the frequent ones, -1 for others; forgets all when it holds too many."""
+    """Each word's place among the frequent ones, -1 for others; `rare` has the names of those. Forgets all when it holds too many."""
 
     def __init__(self, codes: np.ndarray):
         super().__init__()
-        self.codes = codes
+        self.place_of = {code: place for place, code in enumerate(codes.tolist())}
+        self.rare: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
+            self.rare.clear()
         code = _code(word)
-        at = int(np.searchsorted(self.codes, code))
-        self[word] = at = at if at < len(self.codes) and self.codes[at] == code else -1
-        return at
+        self[word] = place = self.place_of.get(code, -1)
+        if place < 0:
+            self.rare[word] = code
+        return place
 
 
 def _code(word: bytes) -> int:
     """A word's 64-bit name."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+    code = xxhash.xxh64_intdigest(word)
+    return code - (1 << 64) if code >> 63 else code
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    """Words of a text in UTF-8; A-Z, and only these, lower-cased."""
+    return (text or b"").lower().split()
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(code, count) of every word of the documents; each task counts before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = Counter(), WordHashes()
+        held: Counter[bytes] = Counter()
 
         def counted() -> pa.RecordBatch:
-            codes, counts = known.of(list(held)).view(np.int64), np.fromiter(held.values(), np.int64, len(held))
+            codes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held)).view(np.int64)
+            counts = np.fromiter(held.values(), np.int64, len(held))
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "count"])
 
         for batch in batches:
-            for value in batch.column(0):
-                words = split_words(value.as_py(), lower=True)
+            for value in batch.column(0).cast(pa.binary()):
+                words = _words(value.as_py())
                 for at in range(0, len(words), WORDS_AT_ONCE):
                     held.update(words[at : at + WORDS_AT_ONCE])
                     if len(held) >= CACHED_WORDS:
@@ -128,12 +138,14 @@ def train(model: LanguageModel, numbered: DataFrame, corpus: Corpus) -> None:
         return
     shards = -(-corpus.tokens // SHARD_WORDS)
     turn = F.pmod("name", F.lit(TURNS))
-    shard = F.pmod(F.floor(F.col("name") / TURNS), F.lit(shards)).cast("int")
+    shard = F.pmod(F.shiftright("name", TURNS.bit_length()), F.lit(shards)).cast("int")
+    slots = F.array(*[F.lit(slot) for slot in slots_of(numbered.sparkSession, shards)])
     learned = numbered.where("learned").select(shard.alias("shard"), "name", "n", turn.alias("turn"))
     for low, high in ROUNDS:
         own = learned.where((F.col("turn") >= low) & (F.col("turn") < high)).select("shard", "name", "n")
-        # One task may hold several shards, but trains them one by one, in an order of their own.
-        dealt = own.repartition(shards, "shard").sortWithinPartitions("shard", "name").select("shard", "n")
+        # A task for each shard; where one gets several, it trains them one by one, in an order of their own.
+        slotted = own.withColumn("slot", F.element_at(slots, F.col("shard") + 1)).repartition(shards, "slot")
+        dealt = slotted.sortWithinPartitions("shard", "name").select("shard", "n")
         trained = dealt.mapInArrow(_trained(model, LAST_RATE if high == TURNS else RATE), "piece int, shard int, tokens bigint, weights binary")
         pieces = trained.repartition("piece").sortWithinPartitions("piece", "shard").mapInArrow(_averaged, "piece int, weights binary")
         found = {r["piece"]: np.frombuffer(r["weights"], np.float32) for r in pieces.collect()}
@@ -188,12 +200,13 @@ def _numbers_of(corpus: Corpus) -> Callable:
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(corpus.codes)
+        known = places.rare
         # A place of -1 is the last one here.
         number_at, log_at = np.append(corpus.numbers, OTHER).astype(np.uint16), np.append(log_counts, 0.0)
         for batch in batches:
             rows, codes, times, texts = [], [], [], []
-            for value in batch.column("t"):
-                words = split_words(value.as_py(), lower=True)
+            for value in batch.column("t").cast(pa.binary()):
+                words = _words(value.as_py())
                 place = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
                 numbers = np.append(number_at[place], np.uint16(END))
                 outside, beyond = numbers[:-1] == OTHER, np.flatnonzero(place < 0)
@@ -201,7 +214,7 @@ def _numbers_of(corpus: Corpus) -> Callable:
                 rows.append((len(words) + 1, len(words) - len(beyond) + (corpus.documents > 0), int(outside.sum()),
                              float(logs.sum()) + end_sum, float(logs[outside].sum())))
                 rare = Counter(words[i] for i in beyond.tolist())
-                codes.append([_code(w) for w in rare])
+                codes.append([known[w] if w in known else _code(w) for w in rare])
                 times.append(list(rare.values()))
                 texts.append(numbers.tobytes())
             own = [pa.array(c) for c in zip(*rows)] if rows else []
@@ -234,10 +247,10 @@ def _scored(model: LanguageModel) -> Callable:
             for i, value in enumerate(batch.column("n")):
                 texts.append(np.frombuffer(value.as_py(), np.uint16))
                 size += len(texts[-1])
-                if size >= WORDS_AT_ONCE or i == len(batch) - 1:
+                if size >= SCORED_AT_ONCE or i == len(batch) - 1:
                     waiting.append(batch.slice(start, i + 1 - start))
                     start = i + 1
-                if size >= WORDS_AT_ONCE:
+                if size >= SCORED_AT_ONCE:
                     yield from done()
                     waiting, texts, size = [], [], 0
         if waiting:

@@ -17,7 +17,7 @@ WIDTH = 16
 CLASSES = 64
 STEPS = 32  # back-propagation is cut after so many
 # The more words are trained on, the more lanes they are laid into, so that a lane has about so many.
-TRAIN_LANES, MOST_LANES, TOKENS_PER_LANE = 32, 512, 8192
+TRAIN_LANES, MOST_LANES, TOKENS_PER_LANE = 32, 512, 2048
 # In training, though not in scoring, the state begins anew after so many words of a text, so that lanes are of a length.
 SEGMENT = 2048
 SCORE_LANES, SCORE_STEPS = 1024, 16
@@ -36,19 +36,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponentials(logits: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray | float]:
     """Exponentials of each row, in place, up to a factor of the row, with their sums and the factors' logarithms.
 
-    Rows whose exponentials are all far from the ends of the number range need no factor.
+    `plain` rows, whose exponentials are all far from the ends of the number range, need no factor.
     """
-    ones = np.ones(logits.shape[1], logits.dtype)
-    if logits.max(initial=0) < 60 and logits.min(initial=0) > -60:
-        np.exp(logits, out=logits)
-        return logits @ ones, np.zeros(len(logits), logits.dtype)
-    top = logits.max(axis=1)
-    logits -= top[:, None]
+    top: np.ndarray | float = 0.0
+    if not plain:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
-    return logits @ ones, top
+    return logits @ np.ones(logits.shape[1], logits.dtype), top
 
 
 class Lanes:
@@ -127,6 +125,12 @@ class LanguageModel:
         n = np.tanh(entered[:, 2 * w :] + r * carried[:, 2 * w :])
         return n + z * (h - n), z, r, n, carried[:, 2 * w :]
 
+    def _plain(self) -> bool:
+        """Whether no logit can be far from zero: states are between -1 and 1, so weights bound them."""
+        of_class = np.abs(self.p["class"]).sum(axis=0) + np.abs(self.p["class_bias"])
+        of_word = np.abs(self.p["word"]).sum(axis=1) + np.abs(self.p["word_bias"])
+        return max(of_class.max(), of_word.max()) < 60
+
     def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(class, rows with a target in it) of classes with more than one word."""
         kind = self.class_of[target]
@@ -140,10 +144,10 @@ class LanguageModel:
         """Negative natural logarithm of each target's probability after state h."""
         def add(rows, logits: np.ndarray, chosen: np.ndarray) -> None:
             own = logits[np.arange(len(logits)), chosen]
-            sums, top = _exponentials(logits)
+            sums, top = _exponentials(logits, plain)
             loss[rows] += np.log(sums) + top - own
 
-        loss = np.zeros(len(h), h.dtype)
+        loss, plain = np.zeros(len(h), h.dtype), self._plain()
         add(slice(None), h @ self.p["class"] + self.p["class_bias"], self.class_of[target])
         for c, rows in self._by_class(target):
             own = slice(self.starts[c], self.ends[c])
@@ -218,7 +222,8 @@ class LanguageModel:
         out = {k: np.zeros_like(v) for k, v in p.items()}
         d = states @ p["class"]
         d += p["class_bias"]
-        sums, _ = _exponentials(d)
+        plain = self._plain()
+        sums, _ = _exponentials(d, plain)
         d *= (live * scale / sums)[:, None].astype(d.dtype)
         d[np.arange(len(d)), self.class_of[flat]] -= live * scale
         out["class"], out["class_bias"] = states.T @ d, d.sum(axis=0)
@@ -229,7 +234,7 @@ class LanguageModel:
             here = states[rows]
             d = here @ p["word"][own].T
             d += p["word_bias"][own]
-            sums, _ = _exponentials(d)
+            sums, _ = _exponentials(d, plain)
             d *= (scale / sums)[:, None]
             d[np.arange(len(rows)), flat[rows] - own.start] -= scale
             out["word"][own], out["word_bias"][own] = d.T @ here, d.sum(axis=0)
