@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of characters is chosen if the smallest of its inner s-mers (by hash) is the first or the last
-one. That depends on the k-mer alone, so an edit changes the choice only where it touches the k-mer. A
-fingerprint keeps the chosen k-mers with the smallest hashes, each with its place; two fingerprints are
-alike by the anchors they share, as far as these lie at one common shift.
+one. That depends on the k-mer alone, so an edit changes the choice only where it touches the k-mer. Two
+documents are alike by the anchors they share, of all they have, as far as these lie at one common shift. What is
+written of a fingerprint are the anchors with hashes below a fixed bound, each with its place, so it grows with
+the text; of texts with few such anchors it has the smallest ones.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tablewarden.llm.common import slots_of
 
 K = 12
 S = 4
-ANCHORS = 48  # of a fingerprint, at most
+#: Anchors below this hash are written, and so many at least.
+BOUND, LEAST = 1 << 60, 48
 TOLERANCE = 16  # characters by which places may differ from the common shift
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -33,13 +38,13 @@ def _mixed(code: np.ndarray) -> np.ndarray:
 
 
 def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes and places of the chosen k-mers. A text shorter than k is one anchor; an empty one has none."""
+    """Hashes and places of the chosen k-mers. A text shorter than k is one anchor; an empty one has none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(points) < K:
         if not len(points):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-        return np.frombuffer(whole, "<u4"), np.zeros(1, np.int64)
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        whole = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return np.frombuffer(whole, "<u8"), np.zeros(1, np.int64)
     inner = points[: len(points) - S + 1].copy()
     for j in range(1, S):
         inner = inner * _A + points[j : len(points) - S + 1 + j]
@@ -55,41 +60,52 @@ def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     code = np.zeros(len(places), np.uint64)
     for j in [*range(0, K - S, S), K - S]:  # s-mers that cover the k-mer
         code = code * _A + inner[places + j]
-    return (_mixed(code) >> np.uint64(32)).astype(np.uint32), places
+    return _mixed(code), places
+
+
+Anchors = tuple[np.ndarray, np.ndarray]
 
 
-def sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors with the smallest hashes in rising order, each at its first place."""
+def sketch(text: str) -> Anchors:
+    """All anchors of a text in rising order of their hashes, each at its first place."""
     hashes, places = closed_syncmers(text)
     hashes, first = np.unique(hashes, return_index=True)
-    return hashes[:ANCHORS], places[first[:ANCHORS]]
+    return hashes, places[first]
 
 
-def written(found: tuple[np.ndarray, np.ndarray]) -> str:
-    return " ".join([f"{h:08x}@{p}" for h, p in zip(found[0].tolist(), found[1].tolist())])
+def written(found: Anchors) -> str:
+    """The anchors below the bound, or the smallest ones, as `hash@place`."""
+    kept = max(int(np.searchsorted(found[0], np.uint64(BOUND))), LEAST)
+    return " ".join([f"{h:016x}@{p}" for h, p in zip(found[0][:kept].tolist(), found[1][:kept].tolist())])
 
 
-def read(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+def read(fingerprint: str) -> Anchors:
     pairs = [a.split("@") for a in fingerprint.split()]
-    return np.array([int(h, 16) for h, _ in pairs], np.uint32), np.array([int(p) for _, p in pairs], np.int64)
+    return np.array([int(h, 16) for h, _ in pairs], np.uint64), np.array([int(p) for _, p in pairs], np.int64)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Dice's coefficient of the anchor sets, estimated from the smallest hashes of both; 1 for two empty ones."""
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Dice's coefficient of two anchor sets, of the shared ones those at one common shift; 1 for two empty ones."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
+    small, large = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    at = np.searchsorted(large[0], small[0])
+    at[at == len(large[0])] = 0
+    both = large[0][at] == small[0]
+    if not both.any():
         return 0.0
-    united = np.union1d(a[0], b[0])
-    # Beyond the smallest of the two largest hashes kept, one side may lack what it would have had.
-    full = [x[0][-1] for x in (a, b) if len(x[0]) == ANCHORS]
-    if full:
-        united = united[united <= min(full)]
-    shift = a[1][in_a] - b[1][in_b]
+    shift = small[1][both] - large[1][at[both]]
     close = np.abs(shift - np.sort(shift)[len(shift) // 2]) <= TOLERANCE
-    shared = np.isin(both[close], united).sum() / max(len(united), 1)
-    return float(2 * shared / (1 + shared))
+    return float(2 * close.sum() / (len(a[0]) + len(b[0])))
+
+
+def _comparable(a: Anchors, b: Anchors) -> tuple[Anchors, Anchors]:
+    """Of two written fingerprints the anchors up to the hash where both are still complete."""
+    ends = [min(int(x[0][-1]), BOUND - 1) if len(x[0]) == LEAST else BOUND - 1 for x in (a, b) if len(x[0]) >= LEAST]
+    if not ends:
+        return a, b
+    cut = [int(np.searchsorted(x[0], np.uint64(min(ends)), "right")) for x in (a, b)]
+    return (a[0][: cut[0]], a[1][: cut[0]]), (b[0][: cut[1]], b[1][: cut[1]])
 
 
 def fingerprint(text: Column) -> Column:
@@ -103,11 +119,11 @@ def fingerprint(text: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprint strings, 0 to 1; a null one counts as empty."""
+    """Likeness of two fingerprint strings, 0 to 1, by the anchors that are written; a null one counts as empty."""
 
     @F.pandas_udf("double")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([likeness(read(x or ""), read(y or "")) for x, y in zip(left, right)], dtype=float)
+        return pd.Series([likeness(*_comparable(read(x or ""), read(y or ""))) for x, y in zip(left, right)], dtype=float)
 
     return alike(a, b)
 
@@ -115,44 +131,78 @@ def similarity(a: Column, b: Column) -> Column:
 def _beside_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows in partitions by ranges of falling keys, each range closed by a row (`tail`) with the text that follows it.
 
-    The ranges come from quantiles of the keys, so a row's range never depends on a sample taken while
-    the job runs. Only the texts at the ranges' borders travel twice. Columns: range, tail, place, key, text.
+    The ranges come from quantiles of the keys, and of the texts' first bytes where one key (or none) has
+    more rows than a range should; so a row's range never depends on a sample taken while the job
+    runs. Only the texts at the ranges' borders travel twice. Columns: range, tail, place, start, key, text.
     """
     spark = docs.sparkSession
+    own_text = F.coalesce(F.col(text), F.lit(""))
+    # The first seven bytes as a number, which rises as texts do.
+    start = F.conv(F.rpad(F.hex(F.substring(own_text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
     rows = docs.select(
-        F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("place")
+        F.col(key), own_text.alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("place"), start.alias("start")
     )
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges)).first()[0]
-    borders = np.array(sorted(set(cuts or [])), np.int64)
+    shares = [i / ranges for i in range(1, ranges)] or [0.5]
+    cuts = rows.agg(F.percentile_approx("place", shares, 10 * ranges).alias("cuts"), F.count("*").alias("n")).first()
+    cut_places = sorted(set(cuts["cuts"] or []))
+    # A place that several quantiles fall on is cut again, by the texts' starts.
+    repeated = [p for p in cut_places if cuts["cuts"].count(p) > 1]
+    inner = {}
+    if repeated:
+        hot = spark.createDataFrame([(p,) for p in repeated], "place long")
+        found = rows.select("place", "start").join(F.broadcast(hot), "place").groupBy("place")
+        inner = dict(found.agg(F.percentile_approx("start", shares, 10 * ranges)).collect())
+    borders = []  # (place, start): rows up to there, by rising keys, belong before the border
+    for p in cut_places:
+        if p in inner:
+            step = max(1, -(-ranges // cuts["cuts"].count(p)))
+            # What comes before the place is a range of its own, and so are the parts of the place.
+            borders += [(p - 1, np.iinfo(np.int64).max)] if p > _LOWEST else []
+            borders += [(p, s) for s in sorted(set(inner[p][step - 1 :: step]))]
+        borders.append((p, np.iinfo(np.int64).max))
+    borders = sorted(set(borders))
+    border_place, border_start = (np.array([b[i] for b in borders], np.int64) for i in (0, 1))
+    slots = slots_of(spark, ranges)
 
     @F.pandas_udf("long")
-    def range_of(places: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, places.to_numpy()), dtype="int64")
-
-    ranged = rows.withColumn("range", range_of("place"))
-    # One row for each range: its first place in falling order.
-    heads = sorted(ranged.groupBy("range").agg(F.max("place").alias("place")).collect(), key=lambda r: r["range"])
-    goes_to = [(heads[i]["place"], heads[(i + 1) % len(heads)]["range"]) for i in range(len(heads))]
+    def range_of(places: pd.Series, starts: pd.Series) -> pd.Series:
+        place, start = places.to_numpy(), starts.to_numpy()
+        low, high = np.searchsorted(border_place, place, "left"), np.searchsorted(border_place, place, "right")
+        found = low.copy()
+        for first in np.unique(low[high - low > 1]):  # a place that is cut again
+            own = low == first
+            found[own] += np.searchsorted(border_start[first : high[own][0]], start[own])
+        return pd.Series(found, dtype="int64")
+
+    ranged = rows.withColumn("range", range_of("place", "start"))
+    # One row for each range: its first place, in falling order, with the text that comes first there.
+    first = ranged.groupBy("range").agg(F.max(F.struct("place", "start")).alias("head")).select("range", "head.*").collect()
+    heads = sorted((tuple(r) for r in first), key=lambda r: r[0])
+    goes_to = [(place, begin, own, heads[(i + 1) % len(heads)][0]) for i, (own, place, begin) in enumerate(heads)]
+    goes = F.broadcast(spark.createDataFrame(goes_to, "place long, start long, own long, range long"))
     head_rows = (
-        rows.select("place", "text")
-        .join(F.broadcast(spark.createDataFrame(goes_to, "place long, range long")), "place")
-        .groupBy("range", "place")
-        .agg(F.max("text").alias("text"))
+        rows.select("place", "start", "text").join(goes, ["place", "start"]).groupBy("range", "place", "start").agg(F.max("text").alias("text"))
     )
-    tails = head_rows.select("range", F.lit(True).alias("tail"), "place", F.lit(None).cast(docs.schema[key].dataType).alias(key), "text")
-    own = ranged.select("range", F.lit(False).alias("tail"), "place", key, "text")
-    return own.unionByName(tails).repartition("range").sortWithinPartitions("range", "tail", F.desc("place"), F.desc("text"))
+    nothing = F.lit(None).cast(docs.schema[key].dataType).alias(key)
+    tails = head_rows.select("range", F.lit(True).alias("tail"), "place", "start", nothing, "text")
+    own = ranged.select("range", F.lit(False).alias("tail"), "place", "start", key, "text")
+    slot = F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod("range", F.lit(ranges)) + 1).cast("int"))
+    dealt = own.unionByName(tails).withColumn("slot", slot).repartition(ranges, "slot").drop("slot")
+    return dealt.sortWithinPartitions("range", "tail", F.desc("place"), F.desc("text"))
 
 
 def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last third is the start of the next document.
 
     The next document has the next smaller key; the last one's is the first (one document: itself). Rows
-    with the same key follow each other by falling text, null keys come last, null texts are empty.
+    with the same key follow each other by falling text, null keys come last, null texts are empty. Keys
+    are whole numbers; any other type is refused. Likeness counts all anchors of both texts.
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. An
     empty table gives an empty one; other columns are not read.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} is not a whole number")
     schema = (
         f"{key} {docs.schema[key].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"

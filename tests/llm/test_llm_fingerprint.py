@@ -3,7 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tablewarden.llm import fingerprint as fp
 
 
@@ -42,8 +44,28 @@ def test_likeness():
     assert fp.likeness(own, fp.sketch(text[:2000] + other[:1000])) > 0.4
     assert fp.likeness(own, fp.sketch("zz" * 40 + text)) > 0.8  # one shift for all
     assert fp.likeness(fp.sketch(""), fp.sketch("")) == 1 and fp.likeness(own, fp.sketch("")) == 0
+    kept = max((own[0] < fp.BOUND).sum(), fp.LEAST)
     back = fp.read(fp.written(own))
-    assert (back[0] == own[0]).all() and (back[1] == own[1]).all()
+    assert (back[0] == own[0][:kept]).all() and (back[1] == own[1][:kept]).all()
+    assert len(fp.read(fp.written(fp.sketch("".join(draw.choices("abcdefghijklmnop ", k=100_000)))))[0]) > 10 * fp.LEAST
+
+
+def test_a_shared_passage_of_long_texts_is_seen():
+    draw = random.Random(5)
+    passage = "".join(draw.choices("abcdefghij ", k=300))
+    long = ["".join(draw.choices("abcdefghijklmnop ", k=20_000)) for _ in range(2)]
+    a, b = fp.sketch(long[0] + passage), fp.sketch(passage + long[1])
+    shared = len(set(a[0].tolist()) & set(b[0].tolist()))
+    assert shared > 40 and abs(fp.likeness(a, b) - 2 * shared / (len(a[0]) + len(b[0]))) < 1e-3
+
+
+def test_written_fingerprints_estimate_likeness(spark):
+    draw = random.Random(6)
+    text = "".join(draw.choices("abcdefghijklmnop ", k=30_000))
+    edited = text[:20_000] + "".join(draw.choices("abcdefghijklmnop ", k=10_000))
+    pairs = spark.createDataFrame([(fp.written(fp.sketch(text)), fp.written(fp.sketch(edited)))], "a string, b string")
+    estimate = pairs.select(fp.similarity(pairs.a, pairs.b).alias("s")).first().s
+    assert abs(estimate - fp.likeness(fp.sketch(text), fp.sketch(edited))) < 0.06
 
 
 def brute(rows):
@@ -85,3 +107,31 @@ def test_columns(spark):
     assert got == [fp.written(fp.sketch("some text to look at")), ""]
     pairs = spark.createDataFrame([(got[0], got[0]), (got[0], None), (None, "")], "a string, b string")
     assert [r.s for r in pairs.select(fp.similarity(pairs.a, pairs.b).alias("s")).collect()] == [1.0, 0.0, 1.0]
+
+
+def test_many_null_and_repeated_ids_are_spread(spark):
+    draw = random.Random(8)
+    rows = [(None, "".join(draw.choices("abcdefg ", k=draw.choice([0, 3, 20, 40])))) for _ in range(10_000)]
+    rows += [(7, f"{draw.random()} text") for _ in range(3000)] + [(i, f"own {i}") for i in range(3000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        sizes = fp._beside_next(docs, "doc_id", "text").groupBy(F.spark_partition_id()).count().collect()
+        got = [tuple(r) for r in fp.compare_with_next(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(r["count"] for r in sizes) < 3 * len(rows) / 16
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
+def test_other_ids_are_refused(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        fp.compare_with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_registered_query(spark):
+    sf = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in entry.queries()["op10_fingerprint"](spark, sf).collect()]
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
