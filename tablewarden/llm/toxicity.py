@@ -3,7 +3,8 @@
 Each document is the set of its hashed character n-grams. The ratio of a bucket compares in how many
 toxic and in how many clean documents of the sample it occurs; a linear support vector machine is trained
 on the sets scaled by these ratios, and its weights times the ratios are the model: one number per bucket.
-A logistic curve, fitted on documents held back for it, makes the sum a score.
+A logistic curve makes the sum a score. It is fitted to the margins that each document of the sample gets
+from a model trained without it, and both classes weigh the same in it, however few toxic documents there are.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm import characters
@@ -28,6 +29,8 @@ LEAST_DOCUMENTS = 3
 #: Buckets that are nearly as frequent in either class get no weight.
 LEAST_RATIO = 1.0
 THRESHOLD = 0.7
+#: The curve's margins come from so many models, each trained without its share of the sample.
+FOLDS = 5
 
 
 def gram_set(text: str | None, scratch: np.ndarray) -> np.ndarray:
@@ -86,37 +89,36 @@ def _curve(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve that turns margins into shares of toxic documents (Newton steps)."""
     # Smoothed targets keep the curve finite where the classes part cleanly.
     target = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    share = np.where(toxic, len(toxic) / (2 * toxic.sum()), len(toxic) / (2 * (~toxic).sum()))
     x = np.column_stack([margin, np.ones(len(margin))])
     found = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ found, -30, 30)))
-        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
-        move = np.linalg.solve(bend, x.T @ (p - target))
+        bend = (x * (share * p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2)
+        move = np.linalg.solve(bend, x.T @ (share * (p - target)))
         found -= np.clip(move, -2, 2)
     return float(max(found[0], 1e-3)), float(found[1])
 
 
 def train(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 8, cost: float = 0.003) -> ToxicityModel:
-    """Fit the weights; with fewer than five documents of a class, every score is the smoothed share of toxic ones.
-
-    The curve from margins to scores is fitted on every fifth document by a model trained without it.
-    """
+    """Fit the weights; with fewer than five documents of a class, every score is the smoothed share of toxic ones."""
     size, toxic = 1 << BITS, np.asarray(toxic, bool)
     share = (toxic.sum() + 0.5) / (len(sets) + 1)
-    if min(toxic.sum(), (~toxic).sum()) < 5:
+    if min(toxic.sum(), (~toxic).sum()) < FOLDS:
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    place = np.empty(len(sets), int)  # within the class, so that both parts hold both classes
+    fold = np.empty(len(sets), int)  # by place within the class, so that all parts hold both classes
     for kind in (toxic, ~toxic):
-        place[kind] = np.arange(kind.sum())
-    aside = place % 5 == 4
+        fold[kind] = np.arange(kind.sum()) % FOLDS
 
     def fitted(rows: np.ndarray) -> tuple[np.ndarray, float]:
         own = [sets[i] for i in np.flatnonzero(rows)]
         return _machine(own, toxic[rows], _ratios(own, toxic[rows]), rounds, cost)
 
-    weights, bias = fitted(~aside)
-    margin = np.array([weights[sets[i]].sum() + bias for i in np.flatnonzero(aside)])
-    slope, shift = _curve(margin, toxic[aside])
+    margin = np.empty(len(sets))
+    for out in range(FOLDS):
+        weights, bias = fitted(fold != out)
+        margin[fold == out] = [weights[sets[i]].sum() + bias for i in np.flatnonzero(fold == out)]
+    slope, shift = _curve(margin, toxic)
     weights, bias = fitted(np.ones(len(sets), bool))
     return ToxicityModel((weights * slope).astype(np.float32), float(bias * slope + shift))
 
@@ -128,13 +130,23 @@ def fit(
     """Learn from labelled rows where `learnable` (of the label's key) holds.
 
     A key labelled twice counts as toxic if one of its labels says so; null keys, labels and texts are
-    left out. The sample is at most `per_class` keys of each class; only ids are ranked, and only the
-    sample's bucket sets reach the driver.
+    left out. The sample is at most `per_class` texts of `per_class` keys of each class, also with repeated
+    keys, and of equal rows one. Only ids and hashes of texts are ranked, and only the sample's bucket
+    sets reach the driver.
     """
     known = labels.where(learnable).select(F.col(key).alias("k"), F.col(label).alias("y")).dropna()
-    known = known.groupBy("k").agg(F.max("y").alias("y"))
-    ranked = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    sample = known.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= per_class).select("k", "y")
+    known = known.groupBy("k").agg((F.max("y") == 1).alias("y"))
+
+    def first_of_each_class(rows: DataFrame, *order: Column) -> DataFrame:
+        # Each task keeps no more than what is asked for, whatever the share of a class.
+        of_class = [rows.where(F.col("y") == kind).orderBy(*order).limit(per_class) for kind in (True, False)]
+        return of_class[0].unionByName(of_class[1])
+
+    ids = first_of_each_class(known, F.xxhash64("k"), F.col("k"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().withColumn("h", F.xxhash64("t"))
+    # The sample's ids and rows are bounded by `per_class`, so sending them to all tasks is safe.
+    texts = rows.select("k", "h").join(F.broadcast(ids), "k").distinct()
+    sample = first_of_each_class(texts, F.xxhash64("k"), F.col("k"), F.col("h"))
 
     @F.pandas_udf("binary")
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -142,11 +154,10 @@ def fit(
         for batch in texts:
             yield batch.map(lambda t: gram_set(t, scratch).tobytes())
 
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna()
-    # The sample's ids are bounded by `per_class`, so sending them to all tasks is safe.
-    got = rows.join(F.broadcast(sample), "k").select("k", "y", sets("t").alias("x")).collect()
+    chosen = rows.join(F.broadcast(sample), ["k", "h"]).dropDuplicates(["k", "h"])
+    got = chosen.select("k", "y", sets("t").alias("x")).collect()
     got.sort(key=lambda r: (r.k, bytes(r.x)))
-    return train([np.frombuffer(r.x, np.int32) for r in got], np.array([r.y == 1 for r in got], bool))
+    return train([np.frombuffer(r.x, np.int32) for r in got], np.array([r.y for r in got], bool))
 
 
 def scored(text: Column, model: ToxicityModel, threshold: float = THRESHOLD) -> Column:

@@ -59,7 +59,7 @@ def test_toxicity_held_out(spark):
     aside = [i for i in labels if _held_out(i)]
     toxic, clean = [got[i].score for i in aside if labels[i]], [got[i].score for i in aside if not labels[i]]
     assert np.mean([[t > c for c in clean] for t in toxic]) > 0.95
-    assert np.mean([c < 0.7 for c in clean]) > 0.98 and np.mean([t >= 0.7 for t in toxic]) > 0.65
+    assert np.mean([c < 0.7 for c in clean]) > 0.98 and np.mean([t >= 0.7 for t in toxic]) > 0.85
 
 
 def test_toxicity_edges(spark):
@@ -93,3 +93,65 @@ def test_language_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(language, "train", lambda x, languages: seen.extend(languages) or language.LanguageModel())
     language.fit(docs, F.lit(True), per_language=4)
     assert 1 <= seen.count("en") <= 4 and seen.count("de") == 1
+
+
+def test_toxicity_sample_is_bounded_with_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"words of text {i % 400}") for i in range(1200)] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sets, toxic: seen.extend(toxic.tolist()))
+    toxicity.fit(docs, labels, F.lit(True), per_class=5)
+    assert sorted(seen) == [False] * 5 + [True] * 5
+
+
+def test_toxicity_ratios_and_machine_by_plain_loops():
+    """The model is the same as one over dictionaries of n-grams' buckets, solved by projected gradient steps."""
+    texts = ["you are scum and trash here", "what trash you scum", "scum of the trash", "you trash, scum", "scum and trash again"] * 2
+    texts += ["a nice clean day for all", "the day is clean and nice", "all is nice here", "what a day for you", "clean and nice again"] * 2
+    toxic = np.array([True] * 10 + [False] * 10)
+    scratch = toxicity.new_scratch()
+    sets = [toxicity.gram_set(t, scratch) for t in texts]
+    counts = {kind: {} for kind in (True, False)}
+    for own, kind in zip(sets, toxic):
+        for g in own.tolist():
+            counts[kind][g] = counts[kind].get(g, 0) + 1
+    ratio = {}
+    for g in counts[True].keys() | counts[False].keys():
+        t, c = counts[True].get(g, 0), counts[False].get(g, 0)
+        r = np.log((t + 1) / 12) - np.log((c + 1) / 12)
+        if t + c >= toxicity.LEAST_DOCUMENTS and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[g] = r
+    got = toxicity._ratios(sets, toxic)
+    assert {int(g): round(got[g], 9) for g in np.flatnonzero(got)} == {g: round(r, 9) for g, r in ratio.items()}
+    weights, bias = toxicity._machine(sets, toxic, got, 400, 0.003)
+    names = sorted(ratio)
+    x = np.array([[ratio[g] if g in set(own.tolist()) else 0.0 for g in names] + [1.0] for own in sets])
+    sign, w = np.where(toxic, 1.0, -1.0), np.zeros(len(names) + 1)
+    for _ in range(20_000):
+        short = np.maximum(1 - sign * (x @ w), 0)
+        w -= 0.002 * (w - 2 * 0.003 * (x.T @ (sign * short)))
+    assert np.allclose([weights[g] for g in names], w[:-1] * [ratio[g] for g in names], atol=2e-3) and abs(bias - w[-1]) < 2e-3
+
+
+def test_language_votes_by_plain_loops(spark):
+    """Predictions of the registered query's model: family by the largest margin, then all pairs of the family vote."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.fit(docs, fold(F.col("doc_id"), 3) != 1)
+    rows = docs.select("doc_id", "text").collect()
+    got = {r.doc_id: r.lang_pred for r in QUERIES["op2_language_id"](spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        x = language.features(r.text)
+        if x is None:
+            assert got[r.doc_id] == "und"
+            continue
+        margins = [sum(a * b for a, b in zip(x.tolist(), w[:-1].tolist())) + w[-1] for w in model.family_weights.T]
+        family = max(zip(margins, model.families))[1]
+        votes = {own: 0 for own in model.members[family]}
+        strength = dict.fromkeys(votes, 0.0)
+        for (a, b), weights in model.pair_weights.items():
+            if a in votes and b in votes:
+                margin = float(x @ weights[:-1] + weights[-1])
+                votes[a if margin > 0 else b] += 1
+                strength[a] += margin
+                strength[b] -= margin
+        assert got[r.doc_id] == max(votes, key=lambda own: (votes[own], strength[own]))
