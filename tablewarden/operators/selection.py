@@ -42,6 +42,56 @@ def pattern_hits(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return catalog.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
+def _anchors(pattern: Column) -> Column:
+    """(side, kind, text) of what a pattern says literally: whole names, what they begin with, what they end with."""
+    dot = F.instr(pattern, ".")
+    found = []
+    for side, glob in ((DATABASE, F.substr(pattern, F.lit(1), dot - 1)), (TABLE, F.substr(pattern, dot + 1))):
+        first, last = F.regexp_extract(glob, r"\A[^*?]*", 0), F.regexp_extract(glob, r"[^*?]*\z", 0)
+        wild = glob.rlike(r"[*?]")
+        for kind, text in (("whole", F.when(~wild, glob)), ("start", F.when(wild, first)), ("end", F.when(wild, last))):
+            found.append(F.when(text.isNotNull(), F.struct(F.length(text).alias("size"), F.lit(side).alias("side"), F.lit(kind).alias("kind"), text.alias("text"))))
+    return F.array_compact(F.array(*found))
+
+
+def _regex(glob: Column) -> Column:
+    """Anchored regex of a glob, as :func:`names.glob_regex` makes it, for a column of globs."""
+    literal = F.regexp_replace(glob, r"([^A-Za-z0-9*?])", r"\\$1")
+    any_one = names._ANY.replace("\\", "\\\\")
+    body = F.regexp_replace(F.regexp_replace(literal, r"\?", any_one), r"\*", any_one + "*")
+    return F.concat(F.lit(r"\A"), body, F.lit(r"\z"))
+
+
+def match_pattern_table(catalog: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
+    """(pattern, database_name, table_name) of every match of a table of qualified patterns, however many.
+
+    A pattern is found by its longest literal part: a whole name, or what a name begins or ends with.
+    Catalog rows have one key for every kind and length of such parts that occur, so rows and patterns meet by
+    equality, and only these pairs are confirmed by the whole pattern. Malformed and null patterns match nothing,
+    repeated ones count once; names are those of :func:`names.glob_regex`.
+    """
+    well_formed = patterns.where(F.col(column).rlike(r"(?s)\A[^.]+\..")).select(F.col(column).alias("pattern")).distinct()
+    # Of parts of one length whole names come first, then any.
+    best = F.array_max(F.transform(_anchors(F.col("pattern")), lambda a: F.struct(a["size"], (a["kind"] == "whole").alias("exact"), a["side"], a["kind"], a["text"])))
+    anchored = well_formed.withColumn("a", best).select("pattern", "a.side", "a.kind", "a.size", "a.text")
+    # Kinds and lengths are few: names are short.
+    shapes = anchored.select("side", "kind", F.when(F.col("kind") != "whole", F.col("size")).alias("size")).distinct().collect()
+    keys = []
+    for shape in sorted(shapes, key=str):
+        name = F.col(shape["side"])
+        text = {"whole": name, "start": F.left(name, F.lit(shape["size"])), "end": F.right(name, F.lit(shape["size"]))}[shape["kind"]]
+        long_enough = F.lit(True) if shape["kind"] == "whole" else F.length(name) >= shape["size"]
+        keys.append(F.when(long_enough, F.struct(F.lit(shape["side"]).alias("side"), F.lit(shape["kind"]).alias("kind"), text.alias("text"))))
+    if not keys:
+        return catalog.sparkSession.createDataFrame([], f"pattern string, {DATABASE} string, {TABLE} string")
+    placed = catalog.select(DATABASE, TABLE, F.inline(F.array_compact(F.array(*keys))))
+    pairs = placed.join(anchored.drop("size"), ["side", "kind", "text"])
+    dot = F.instr("pattern", ".")
+    left, right = F.substr("pattern", F.lit(1), dot - 1), F.substr("pattern", dot + 1)
+    fits = F.rlike(F.col(DATABASE), _regex(left)) & F.rlike(F.col(TABLE), _regex(right))
+    return pairs.where(fits).select("pattern", DATABASE, TABLE)
+
+
 def malformed_patterns(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:
     rows = spark.createDataFrame([(p,) for p in patterns], "pattern string")
     dot = F.instr(F.col("pattern"), ".")

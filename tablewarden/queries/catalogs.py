@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.findings import Rule, all_findings, check
 from tablewarden.operators import catalog, grants, selection, settings
 from tablewarden.queries import common as c
+from tablewarden.sources.catalog import dumped_catalog
 
 PATTERNS = (
     "economy.red*",
@@ -73,6 +75,33 @@ WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.pattern = q.p)
 """
 
 
+# Patterns by the thousand: whole names, beginnings, endings, single characters, and some without a letter.
+PATTERN_TABLE = """
+SELECT DISTINCT CASE p_partkey % 6
+         WHEN 0 THEN concat(lower(p_type), '.', t)
+         WHEN 1 THEN concat(substr(lower(p_type), 1, 3), '*.', substr(t, 1, 9), '*')
+         WHEN 2 THEN concat('*.*_', cast(p_partkey AS string))
+         WHEN 3 THEN concat(lower(p_type), '.?', substr(t, 2, 8), '*', substr(t, -2))
+         WHEN 4 THEN concat('*', substr(lower(p_type), -3), '.', substr(t, 1, 12), '??')
+         ELSE concat(substr(t, 1, 4), '.') END AS pattern
+FROM (SELECT *, concat(replace(p_name, ' ', '_'), '_', cast(p_partkey AS string)) AS t FROM part) p
+WHERE p_partkey % 7 < 3
+"""
+
+
+def glob_table(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.match_pattern_table(c.view(spark, sf, c.OBJECTS), c.view(spark, sf, PATTERN_TABLE))
+
+
+GLOB_TABLE = f"""
+SELECT pattern, database_name, table_name FROM ({PATTERN_TABLE}) p
+JOIN ({c.OBJECTS}) o
+  ON regexp_full_match(database_name, replace(replace(split_part(pattern, '.', 1), '*', '.*'), '?', '.'))
+ AND regexp_full_match(table_name, replace(replace(split_part(pattern, '.', 2), '*', '.*'), '?', '.'))
+WHERE split_part(pattern, '.', 2) <> ''
+"""
+
+
 def scope_resolve(spark: SparkSession, sf: str) -> DataFrame:
     objects = c.view(spark, sf, c.OBJECTS)
     here = selection.in_databases(selection.of_kinds(objects, include_views=False), DATABASES)
@@ -216,6 +245,51 @@ SELECT 'trigger-tables', database_name, 'info', cast(count(*) AS varchar) FROM m
 """
 
 
+# A server's catalog as text, with sizes that no double holds.
+DUMPED_TABLES = f"""
+SELECT database_name AS "TABLE_SCHEMA", table_name AS "TABLE_NAME",
+       CASE kind WHEN 'view' THEN 'VIEW' ELSE 'BASE TABLE' END AS "TABLE_TYPE", engine AS "ENGINE",
+       CASE WHEN kind = 'view' THEN NULL WHEN object_id % 9 = 0 THEN '18446744073709551615' ELSE cast(object_id AS string) END AS "TABLE_ROWS",
+       object_id
+FROM ({c.OBJECTS}) o
+"""
+
+
+def catalog_from_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog dumped as JSON lines, read back for some databases: tables with keys and triggers, and objects by database."""
+    folder = session.scratch_dir(spark, "dump")
+    tables = c.view(spark, sf, DUMPED_TABLES.replace('"', "`"))
+    schema, table, key = F.col("TABLE_SCHEMA"), F.col("TABLE_NAME"), F.col("object_id")
+    dumped = {
+        "SCHEMATA": tables.select(schema.alias("SCHEMA_NAME")).distinct(),
+        "TABLES": tables.drop("object_id"),
+        "STATISTICS": tables.where(key % 3 != 0).select(schema, table, (key % 2).alias("NON_UNIQUE")),
+        "TRIGGERS": tables.where(key % 5 == 0).select(schema.alias("EVENT_OBJECT_SCHEMA"), table.alias("EVENT_OBJECT_TABLE")),
+        "ROUTINES": tables.where(key % 7 == 0).select(schema.alias("ROUTINE_SCHEMA")),
+        "EVENTS": tables.where(key % 11 == 0).select(schema.alias("EVENT_SCHEMA")),
+    }
+    for name, rows in dumped.items():
+        rows.write.json(f"{folder}/{name}")
+    facts = dumped_catalog(spark, folder, DATABASES)
+    names = ["database_name", "table_name"]
+    marked = catalog.mark_existence(facts["tables"], names, facts["keys"], "has_key")
+    marked = catalog.mark_existence(marked, names, facts["triggers"], "has_triggers")
+    counted = catalog.object_counts(facts["databases"], facts["tables"], facts["routines"], facts["events"])
+    return marked.join(counted, "database_name").select(
+        *names, "kind", "engine", F.col("estimated_rows").cast("string").alias("estimated_rows"), "has_key", "has_triggers", "objects"
+    )
+
+
+CATALOG_FROM_DUMP = f"""
+WITH t AS ({DUMPED_TABLES}),
+n AS (SELECT "TABLE_SCHEMA" AS d, count(*) + count(*) FILTER (object_id % 7 = 0) + count(*) FILTER (object_id % 11 = 0) AS objects FROM t GROUP BY 1)
+SELECT "TABLE_SCHEMA" AS database_name, "TABLE_NAME" AS table_name,
+       CASE "TABLE_TYPE" WHEN 'VIEW' THEN 'view' ELSE 'base-table' END AS kind, "ENGINE" AS engine, "TABLE_ROWS" AS estimated_rows,
+       object_id % 3 <> 0 AND object_id % 2 = 0 AS has_key, object_id % 5 = 0 AS has_triggers, objects
+FROM t JOIN n ON d = "TABLE_SCHEMA" WHERE d IN ({", ".join(f"'{d}'" for d in DATABASES)})
+"""
+
+
 def _parsed_grants(spark: SparkSession, sf: str) -> DataFrame:
     return grants.parse_grants(c.view(spark, sf, c.GRANTS).drop("database_name"))
 
@@ -378,6 +452,8 @@ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
 """
 
 QUERIES = {
+    "glob_table": glob_table,
+    "catalog_from_dump": catalog_from_dump,
     "glob_select": glob_select,
     "scope_resolve": scope_resolve,
     "identifier_findings": identifier_findings,
@@ -390,6 +466,8 @@ QUERIES = {
     "user_fallback": user_fallback,
 }
 ORACLES = {
+    "glob_table": GLOB_TABLE,
+    "catalog_from_dump": CATALOG_FROM_DUMP,
     "glob_select": GLOB_SELECT,
     "scope_resolve": SCOPE_RESOLVE,
     "identifier_findings": IDENTIFIER_FINDINGS,

@@ -1,10 +1,14 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rules
 from tablewarden import fixed_values as fixed
 from tablewarden.findings import check
-from tablewarden.operators import catalog, grants
+from tablewarden.functions import names
+from tablewarden.operators import catalog, grants, selection
+from tablewarden.sources.catalog import dumped_catalog
 
 TABLES = "database_name string, table_name string, kind string, engine string, has_key boolean"
 
@@ -187,3 +191,54 @@ def test_visibility(spark, statements, visible):
     requests = spark.createDataFrame([("u", "a")], "grantee string, database string")
     rows = grants.visibility(requests, parsed(spark, *statements)).collect()
     assert [r.visible for r in rows] == [visible]
+
+
+def test_a_table_of_patterns_matches_as_the_list_does(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab.c(1_é") for _ in range(rng.choice([1, 2, 3, 6])))
+    tables = [(rng.choice(["app", "a", "ab", "b(", "c"]), word()) for _ in range(300)] + [("app", "x\ny"), ("app", "*")]
+    globs = lambda: "".join(rng.choice(["a", "b", "*", "?", ".", "c", "é", "(", "*"]) for _ in range(rng.choice([1, 2, 4])))
+    patterns = [f"{rng.choice(['app', 'a*', '*', '?', 'b(', '*b', 'a?'])}.{globs()}" for _ in range(150)]
+    patterns += ["app.x*", "*.*", "??.?", "no-dot", ".x", "app.", None, "app.x*", r"app.\E*", "*.*"]
+    catalog_rows = spark.createDataFrame(tables, "database_name string, table_name string")
+    found = selection.match_pattern_table(catalog_rows, spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    good = sorted({p for p in patterns if p and names.is_qualified(p)})
+    want = selection.select_tables(catalog_rows, good).select(F.explode("patterns"), "database_name", "table_name")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert found.count() > 100
+    assert selection.match_pattern_table(catalog_rows, spark.createDataFrame([], "pattern string")).count() == 0
+
+
+def test_ten_thousand_patterns_meet_names_by_equality(spark):
+    catalog_rows = spark.range(1_000_000).select(F.concat(F.lit("db"), F.col("id") % 100).alias("database_name"), F.concat(F.lit("t_"), "id").alias("table_name"))
+    patterns = spark.range(10_000).select(F.concat(F.lit("db?*.t_"), F.col("id") + 100_000, F.lit("*")).alias("pattern"))
+    found = selection.match_pattern_table(catalog_rows, patterns)
+    assert found.count() == 10_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_dumped_catalog_keeps_digits_and_databases(spark, tmp_path):
+    views = {
+        "SCHEMATA": ['{"SCHEMA_NAME":"app"}', '{"SCHEMA_NAME":"other"}'],
+        "TABLES": [
+            '{"TABLE_SCHEMA":"app","TABLE_NAME":"t","TABLE_TYPE":"BASE TABLE","ENGINE":"InnoDB","TABLE_ROWS":18446744073709551615}',
+            '{"TABLE_SCHEMA":"app","TABLE_NAME":"v","TABLE_TYPE":"VIEW","ENGINE":null,"TABLE_ROWS":null}',
+            '{"TABLE_SCHEMA":"other","TABLE_NAME":"t","TABLE_TYPE":"BASE TABLE","ENGINE":"InnoDB","TABLE_ROWS":"1"}',
+        ],
+        "STATISTICS": ['{"TABLE_SCHEMA":"app","TABLE_NAME":"t","NON_UNIQUE":"0"}', '{"TABLE_SCHEMA":"app","TABLE_NAME":"u","NON_UNIQUE":1}'],
+        "TRIGGERS": ['{"EVENT_OBJECT_SCHEMA":"app","EVENT_OBJECT_TABLE":"t"}'],
+        "ROUTINES": ['{"ROUTINE_SCHEMA":"app"}', '{"ROUTINE_SCHEMA":"other"}'],
+        "EVENTS": [],
+    }
+    for name, lines in views.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text("\n".join(lines))
+    facts = dumped_catalog(spark, str(tmp_path), ["app"])
+    assert [(r.table_name, r.kind, None if r.estimated_rows is None else str(r.estimated_rows)) for r in facts["tables"].orderBy("table_name").collect()] == [
+        ("t", "base-table", "18446744073709551615"), ("v", "view", None),
+    ]
+    assert [tuple(r) for r in facts["keys"].collect()] == [("app", "t")]
+    assert {n: f.count() for n, f in facts.items()} == {"databases": 1, "tables": 2, "keys": 1, "triggers": 1, "routines": 1, "events": 0}
+    plan = facts["tables"]._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(TABLE_SCHEMA" in plan or "PushedFilters: [IsNotNull(TABLE_SCHEMA), EqualTo(TABLE_SCHEMA,app)" in plan
