@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,22 @@ def section_findings(
     return all_findings([override, repeated])
 
 
+def repeated_values(rows: DataFrame, columns: Sequence[str], rule: str) -> DataFrame:
+    """Findings for values of some columns that more than one row has; counted before the shuffle. Nulls are no values."""
+    counted = rows.where(F.concat(*[F.col(c).cast("string") for c in columns]).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+    return check(
+        counted,
+        [
+            Rule(
+                rule,
+                F.col("times") > 1,
+                F.concat_ws(" ", *columns),
+                F.concat(F.lit("appears "), F.col("times").cast("string"), F.lit(" times")),
+            )
+        ],
+    )
+
+
 def objects_with_files(objects: DataFrame, files: DataFrame) -> DataFrame:
     """Objects with flags for the files they have; files are first reduced to one row per object."""
     per_object = (

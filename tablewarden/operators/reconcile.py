@@ -114,6 +114,44 @@ def checksum(df: DataFrame, portable_scale: int | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("checksum"))
 
 
+#: Parts of each of the two levels that tables are compared by before rows are.
+FAN_BITS = 10
+FAN = 1 << FAN_BITS
+
+
+def narrowed(left: DataFrame, right: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the parts in which they agree: what a difference of rows has to look at.
+
+    A tree of two levels over the hash of the columns ``by``: first so many parts are compared by
+    their numbers and hash sums, then parts of the parts that differ. What is shuffled are sums, at most one
+    for each part, so the rows that a comparison then shuffles follow the parts that differ and not the tables. Each
+    table is scanned three times. With ``by`` a key, a changed row is in one part on both sides; equal tables
+    leave nothing. Columns of one name must have one type.
+    """
+    columns = left.columns
+    spot = F.xxhash64(*[F.col(f"`{c}`") for c in by])
+    first = F.pmod(spot, F.lit(FAN)).cast("int")
+    second = F.pmod(F.shiftright(spot, FAN_BITS), F.lit(FAN)).cast("int")
+
+    def placed(df: DataFrame) -> DataFrame:
+        rows = df.select(*[f"`{c}`" for c in columns])
+        return rows.select("*", first.alias("_first"), second.alias("_second"), row_hash(rows).alias("_hash"))
+
+    sides = [placed(left), placed(right)]
+
+    def differing(parts: list[str], rows: list[DataFrame]) -> DataFrame:
+        summed = [side.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), hash_sum(F.col("_hash")).alias("h")) for side in rows]
+        signed = summed[0].unionByName(summed[1].select(*parts, (-F.col("n")).alias("n"), (-F.col("h")).alias("h")))
+        return signed.groupBy(*parts).agg(F.sum("n").alias("n"), F.sum("h").alias("h")).where("n <> 0 OR h <> 0").select(*parts)
+
+    # At most FAN rows, so sending them to all tasks is safe.
+    outer = F.broadcast(differing(["_first"], sides))
+    inner = differing(["_first", "_second"], [side.join(outer, "_first", "left_semi") for side in sides])
+    # At most FAN times FAN pairs of numbers.
+    kept = [side.join(F.broadcast(inner), ["_first", "_second"], "left_semi") for side in sides]
+    return kept[0].select(*[f"`{c}`" for c in columns]), kept[1].select(*[f"`{c}`" for c in columns])
+
+
 def row_surplus(left: DataFrame, right: DataFrame) -> DataFrame:
     """Multiset difference: each differing row once, with how many more the left side has.
 

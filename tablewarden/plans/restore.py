@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.findings import check, refuse_on
-from tablewarden.operators import catalog, naming
+from tablewarden.findings import FINDINGS, all_findings, check, refuse_on
+from tablewarden.operators import artifact, catalog, naming
 from tablewarden.plans import snapshot
+from tablewarden.sources import artifact_files
 from tablewarden.sources.folders import Folders
 
 DESTINATION_RULES = (
@@ -23,7 +24,7 @@ DESTINATION_RULES = (
 )
 
 
-SHOWN_CANDIDATES = 10  # in a message
+SHOWN_CANDIDATES = 10  # in a message; of more only the number
 
 
 class NotApproved(Exception):
@@ -134,6 +135,37 @@ def restored_counts(
     )
 
 
+DUMP_METADATA = "metadata"
+
+
+def verify_dump(
+    spark: SparkSession, path: str, source: str, reported_files: int | None = None, loader: str = "loader"
+) -> DataFrame:
+    """Findings on a flat artifact of text files: every entry, the manifest's sections, and what objects must have.
+
+    Entries that Spark's readers pass over (hidden ones, folders) are judged too. ``reported_files`` is the number
+    that the run which wrote the artifact told, without the manifest. First failures come in
+    ``artifact.RULE_ORDER``.
+    """
+    if not Folders(spark).exists(f"{path}/{DUMP_METADATA}"):
+        return spark.createDataFrame([("not-an-artifact", path, "error", "there is no manifest")], FINDINGS)
+    entries = artifact_files.list_entries(spark, path)
+    files = entries.where("regular")
+    sections = artifact_files.read_sections(spark, f"{path}/{DUMP_METADATA}").withColumn("artifact", F.lit(path))
+    listed = sections.where(F.col("table_name").isNotNull()).dropDuplicates(["database_name", "table_name"])
+    parts = [
+        artifact.file_findings(entries.where(F.col("file_name") != DUMP_METADATA)),
+        artifact.section_findings(sections, loader=loader),
+        artifact.emptiness_findings(sections, source),
+        artifact.restore_findings(listed, files),
+        artifact.repeated_values(entries, ["file_name"], "duplicate-file"),
+    ]
+    if reported_files is not None:
+        data = entries.where(F.col("file_name") != DUMP_METADATA)
+        parts.append(artifact.file_count_findings(data, F.lit(reported_files)))
+    return all_findings(parts)
+
+
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Names of the published artifacts below a folder; staged ones begin with a dot."""
     names = [(n,) for n in Folders(spark).folders(root) if not n.startswith(".")]
@@ -152,8 +184,9 @@ def find_artifact(spark: SparkSession, root: str, key: str, explicit: str | None
     chosen = naming.pick_artifacts(keys, listing).collect()[0]  # one key
     if chosen.matches == 0:
         raise LookupError(f"{key}: none matched")
+    if chosen.matches > SHOWN_CANDIDATES:
+        raise LookupError(f"{key}: {chosen.matches} matches")
     if chosen.path is None:
-        # A message for a person: it tells the number and shows the first few.
-        shown = naming.artifact_candidates(keys, listing).orderBy("name").limit(SHOWN_CANDIDATES).collect()
+        shown = naming.artifact_candidates(keys, listing).orderBy("name").collect()
         raise LookupError(f"{key}: {chosen.matches} matches: {', '.join(r.name for r in shown)}")
     return f"{root}/{chosen.path}"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewarden import fixed_values as fixed
 from tablewarden.findings import FINDINGS, Rule, all_findings, check, refuse_on
-from tablewarden.operators import reconcile, selection
+from tablewarden.operators import artifact, reconcile, selection
 from tablewarden.sources.artifact_files import list_files
 from tablewarden.sources.catalog import Reader
 from tablewarden.sources.folders import Folders
@@ -23,7 +23,7 @@ MANIFEST_SCHEMA = (
     "database_name string, table_name string, kind string, scope string, rows long, "
     "checksum decimal(38,0), definition string, schema_json string"
 )
-RULE_ORDER = ("not-an-artifact", "missing-data", "missing-schema", "row-count", "unsafe-identifier")
+RULE_ORDER = ("not-an-artifact", "unexpected-entry", "duplicate-object", "missing-data", "missing-schema", "row-count", "unsafe-identifier")
 
 # A further check a caller may add: (manifest, files) -> findings.
 ExtraRule = Callable[[DataFrame, DataFrame], DataFrame]
@@ -173,10 +173,34 @@ def verify(
             )
         ],
     )
-    parts = [presence, differing, selection.identifier_findings(manifest)]
+    parts = [
+        presence,
+        differing,
+        selection.identifier_findings(manifest),
+        artifact.repeated_values(manifest, ["database_name", "table_name"], "duplicate-object"),
+        unexpected_entries(spark, path, tables, files),
+    ]
     return all_findings([*parts, *(rule(manifest, files) for rule in extra_rules)])
 
 
+def unexpected_entries(spark: SparkSession, path: str, tables: DataFrame, files: DataFrame) -> DataFrame:
+    """What lies in an artifact and is neither manifest nor data of a listed table: hidden entries, files, folders.
+
+    The listings are one call for the root and one for its data folder. Markers that Spark's writers
+    leave (``_SUCCESS`` and checksums) are part of a table's folder and not looked at.
+    """
+    folders = Folders(spark)
+    at_root = [n for n, _, _ in folders.unusual(path) if n not in (MANIFEST, DATA)] + folders.plain_files(path)
+    in_data = [f"{DATA}/{n}" for n in folders.plain_files(f"{path}/{DATA}")]
+    held = spark.createDataFrame([(n,) for n in folders.folders(f"{path}/{DATA}")], "object string")
+    listed = tables.select(F.concat_ws(".", "database_name", "table_name").alias("object"))
+    strange = held.join(listed, "object", "left_anti").select(F.concat(F.lit(f"{DATA}/"), "object").alias("entry"))
+    nested = files.where(F.size(F.split("file_name", "/")) != 2).select(F.concat(F.lit(f"{DATA}/"), "file_name").alias("entry"))
+    named = spark.createDataFrame([(n,) for n in [*at_root, *in_data]], "entry string")
+    entries = named.unionByName(strange).unionByName(nested).distinct()
+    return check(entries, [Rule("unexpected-entry", F.lit(True), F.col("entry"), F.lit("not part of the artifact"))])
+
+
 def stored_rows(spark: SparkSession, path: str, tables: DataFrame, threads: int = 4) -> DataFrame:
     """Rows each object's files hold. A count without columns reads file footers only."""
 

@@ -203,7 +203,7 @@ def keyed_difference(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderdate",
         "o_orderpriority",
     )
-    found = reconcile.keyed_difference(orders, copy, ["o_orderkey"])
+    found = reconcile.keyed_difference(*reconcile.narrowed(orders, copy, ["o_orderkey"]), ["o_orderkey"])
     return found.select(
         "o_orderkey", "status", F.array_join("columns", ",").alias("columns")
     )

@@ -44,6 +44,13 @@ class Folders:
             if not s.isFile() or s.getPath().getName().startswith((".", "_"))
         ]
 
+    def plain_files(self, path: str) -> list[str]:
+        """Names of the files directly below a path, but for checksums of a local file system; none where it does not exist."""
+        if not self.exists(path):
+            return []
+        names = [s.getPath().getName() for s in self._fs(path).listStatus(self._path(path)) if s.isFile()]
+        return [n for n in names if not (n.startswith(".") and n.endswith(".crc"))]
+
     def folders(self, path: str) -> list[str]:
         """Names of the folders directly below a path; none where it does not exist."""
         if not self.exists(path):

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import rules
 from tablewarden.operators import artifact, reconcile
+from tablewarden.plans.restore import verify_dump
 from tablewarden.sources.artifact_files import list_entries, list_files, read_sections
 
 
@@ -118,6 +119,31 @@ def test_nothing_escapes_the_listing_of_an_artifact(spark, tmp_path):
     assert rules(artifact.file_findings(entries)) == [("control-file", "metadata.header"), ("unexpected-entry", "sub")]
 
 
+def test_a_whole_dump_is_verified(spark, tmp_path):
+    root = tmp_path / "dump"
+    root.mkdir()
+    for name in ("app-schema-create.sql", "app.t-schema.sql", "app.t.00000.sql"):
+        (root / name).write_text("x")
+    (root / "metadata").write_text("[`app`.`t`]\nrows = 3\n")
+    assert rules(verify_dump(spark, str(root), "app", 3)) == []
+    assert rules(verify_dump(spark, str(root), "other")) == [("empty-artifact", "other")]
+    (root / ".hidden").write_text("x")
+    (root / "sub").mkdir()
+    (root / "metadata.partial").write_text("x")
+    (root / "app.t.00000.sql").unlink()
+    (root / "metadata").write_text("[`app`.`t`]\nrows = 3\n[`app`.`t`]\nrows = 4\n[loader_session_variables]\nsql_log_bin = 1\n")
+    assert {r for r, _ in rules(verify_dump(spark, str(root), "app", 3))} >= {
+        "unexpected-entry", "incomplete-artifact", "file-count", "binlog-override", "duplicate-section", "missing-data",
+    }
+    assert rules(verify_dump(spark, str(tmp_path / "none"), "app")) == [("not-an-artifact", str(tmp_path / "none"))]
+
+
+def test_values_that_must_be_unique(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, 2), (None, 2)], "name string, size int")
+    assert rules(artifact.repeated_values(rows, ["name"], "twice")) == [("twice", "a")]
+    assert rules(artifact.repeated_values(rows, ["size", "name"], "twice")) == [("twice", "1 a")]
+
+
 def test_an_indented_heading_hides_no_switch(spark, tmp_path):
     text = "[`app`.`t`]\nrows = 3\n  [loader_session_variables] \n SQL_LOG_BIN = 1\n[x]\ny = [1\n"
     (tmp_path / "metadata").write_text(text)
@@ -249,3 +275,18 @@ def test_reconcile_statuses(spark):
         "gone": "missing",
         "new": "unexpected",
     }
+
+
+def test_only_parts_that_differ_are_compared(spark):
+    left = spark.range(200_000).select("id", (F.col("id") % 7).alias("v"), F.lit(None).cast("string").alias("t"))
+    right = left.where("id <> 17").withColumn("v", F.when(F.col("id") == 55_555, 99).otherwise(F.col("v")))
+    right = right.unionByName(spark.createDataFrame([(900_000, 1, "new")], "id long, v long, t string")).repartition(5)
+    a, b = reconcile.narrowed(left, right, ["id"])
+    assert a.count() < 20 and b.count() < 20
+    found = {r.id: (r.status, r["columns"]) for r in reconcile.keyed_difference(a, b, ["id"]).collect()}
+    assert found == {17: ("left-only", None), 55_555: ("changed", ["v"]), 900_000: ("right-only", None)}
+    assert [d.count() for d in reconcile.narrowed(left, left.repartition(3), ["id"])] == [0, 0]
+    twice = left.unionByName(left.where("id = 3"))
+    surplus = reconcile.row_surplus(*reconcile.narrowed(twice, left, left.columns)).collect()
+    assert [(r.id, r.surplus) for r in surplus] == [(3, 1)]
+    assert [d.count() for d in reconcile.narrowed(left.limit(0), left.limit(3), ["id"])] == [0, 3]

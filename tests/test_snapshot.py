@@ -153,6 +153,18 @@ def test_faults_are_found(spark, artifact):
     assert [r for r, _ in rules(snapshot.verify(spark, artifact))] == ["not-an-artifact"]
 
 
+def test_what_does_not_belong_to_the_artifact_is_found(spark, artifact):
+    inside = next(os.path.join(artifact, "data", d) for d in sorted(os.listdir(os.path.join(artifact, "data"))))
+    os.makedirs(os.path.join(inside, "deeper"))
+    os.makedirs(os.path.join(artifact, "data", "app.unknown"))
+    for name in (".hidden", "notes.txt", "data/stray.sql", f"data/{os.path.basename(inside)}/deeper/x"):
+        with open(os.path.join(artifact, name), "w") as out:
+            out.write("x")
+    found = [s for r, s in rules(snapshot.verify(spark, artifact)) if r == "unexpected-entry"]
+    own = os.path.basename(inside)
+    assert found == sorted([".hidden", "data/app.unknown", f"data/{own}/deeper/x", "data/stray.sql", "notes.txt"])
+
+
 def test_nothing_is_changed_without_approval(spark, artifact, destination):
     plans = []
     job = restore(spark, artifact, destination)
