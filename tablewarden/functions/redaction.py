@@ -171,3 +171,21 @@ def clean_records(df: DataFrame, secrets: Sequence[str] = ()) -> DataFrame:
 def public_projection(df: DataFrame, secret: str, marker: str = "passwordConfigured") -> DataFrame:
     """Drop a secret column, telling only whether it was set."""
     return df.withColumn(marker, F.col(secret).isNotNull()).drop(secret)
+
+
+def public_value(value: Column, dtype: T.DataType, secret: str, marker: str = "passwordConfigured") -> Column:
+    """The same inside a value: every record of a registry, in maps, lists and records at any depth.
+
+    A record that has the field ``secret`` loses it and tells by ``marker``, in its place at the end,
+    whether it was set; null records stay null, and keys of maps are kept.
+    """
+    if isinstance(dtype, T.StructType):
+        fields = [public_value(value[f.name], f.dataType, secret, marker).alias(f.name) for f in dtype.fields if f.name != secret]
+        if secret in dtype.fieldNames():
+            fields.append(value[secret].isNotNull().alias(marker))
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(dtype, T.MapType):
+        return F.transform_values(value, lambda _, entry: public_value(entry, dtype.valueType, secret, marker))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda entry: public_value(entry, dtype.elementType, secret, marker))
+    return value

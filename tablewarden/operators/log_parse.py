@@ -267,10 +267,3 @@ def accepted(parsed: DataFrame) -> DataFrame:
 def quarantine(parsed: DataFrame, line: str = "line") -> DataFrame:
     """Refused lines with the first reason each."""
     return parsed.where(F.col("reason").isNotNull()).select(line, "reason")
-
-
-def strict_keys(json_text: Column, expected: Sequence[str]) -> tuple[Column, Column]:
-    """Keys a JSON object holds beyond the expected ones, and expected ones it lacks."""
-    keys = F.json_object_keys(json_text)
-    names = F.array(*[F.lit(k) for k in expected])
-    return F.array_sort(F.array_except(keys, names)), F.array_sort(F.array_except(names, keys))

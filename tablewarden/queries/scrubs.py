@@ -130,6 +130,29 @@ FROM events
 """
 
 
+def public_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """A registry of servers by nation, each entry without its password."""
+    key = F.col("s_suppkey")
+    entry = F.struct(
+        F.concat(F.lit("h"), key.cast("string")).alias("host"),
+        F.when(key % 3 != 0, F.concat(F.lit("pw-"), "s_name")).alias("password"),
+        F.struct(F.col("s_nationkey").alias("port"), F.when(key % 4 != 0, F.lit("x")).alias("password")).alias("replica"),
+    )
+    suppliers = c.table(spark, sf, "supplier")
+    entries = F.array_sort(F.collect_list(F.struct(F.lpad(key.cast("string"), 9, "0").alias("k"), entry.alias("v"))))
+    registry = suppliers.groupBy("s_nationkey").agg(F.map_from_entries(entries).alias("servers"))
+    public = redaction.public_value(F.col("servers"), registry.schema["servers"].dataType, "password")
+    return registry.select(F.col("s_nationkey").alias("nation"), F.to_json(public).alias("servers"))
+
+
+PUBLIC_REGISTRY = """
+SELECT s_nationkey AS nation, '{' || string_agg('"' || lpad(cast(s_suppkey AS varchar), 9, '0') || '":{"host":"h' || s_suppkey ||
+       '","replica":{"port":' || s_nationkey || ',"passwordConfigured":' || (s_suppkey % 4 <> 0) || '},"passwordConfigured":' ||
+       (s_suppkey % 3 <> 0) || '}', ',' ORDER BY s_suppkey) || '}' AS servers
+FROM supplier GROUP BY s_nationkey
+"""
+
+
 def error_tokens(spark: SparkSession, sf: str) -> DataFrame:
     fallback = "DATABASE_ERROR"
     codes = c.table(spark, sf, "events").select(
@@ -157,5 +180,15 @@ WITH t AS (
 SELECT DISTINCT subject, d AS issue FROM t
 """
 
-QUERIES = {"scrub_text": scrub_text, "scrub_records": scrub_records, "error_tokens": error_tokens}
-ORACLES = {"scrub_text": SCRUB_TEXT, "scrub_records": SCRUB_RECORDS, "error_tokens": ERROR_TOKENS}
+QUERIES = {
+    "scrub_text": scrub_text,
+    "scrub_records": scrub_records,
+    "public_registry": public_registry,
+    "error_tokens": error_tokens,
+}
+ORACLES = {
+    "scrub_text": SCRUB_TEXT,
+    "scrub_records": SCRUB_RECORDS,
+    "public_registry": PUBLIC_REGISTRY,
+    "error_tokens": ERROR_TOKENS,
+}
