@@ -13,10 +13,10 @@ which there may be any number, meet the documents' rare words in a join.
 from __future__ import annotations
 
 import copy
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import slots_of, stored
-from tablewarden.llm.hashing import CACHED_WORDS
 from tablewarden.llm.recurrent import LanguageModel
 
 #: Words of the recurrent model, and words whose counts every task holds.
@@ -38,7 +37,7 @@ SHARD_WORDS = 8_000_000
 RATE, LAST_RATE = 0.04, 0.001
 #: Weights are averaged in so many pieces.
 PIECES = 64
-#: Words that a task counts or trains on, and that it scores, at a time.
+#: Counts that a task holds and words it trains on, and words that it scores, at a time.
 WORDS_AT_ONCE, SCORED_AT_ONCE = 2_000_000, 8_000_000
 END, OTHER = 0, 1  # numbers of the special words
 
@@ -57,59 +56,53 @@ class Corpus:
     other_distinct: int
 
 
-class Places(dict):
-    """Each word's place among the frequent ones, -1 for others; `rare` has the names of those. Forgets all when it holds too many."""
-
-    def __init__(self, codes: np.ndarray):
-        super().__init__()
-        self.place_of = {code: place for place, code in enumerate(codes.tolist())}
-        self.rare: dict[bytes, int] = {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-            self.rare.clear()
-        code = _code(word)
-        self[word] = place = self.place_of.get(code, -1)
-        if place < 0:
-            self.rare[word] = code
-        return place
+def _named(words: list[bytes]) -> np.ndarray:
+    """The words' 64-bit names."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _code(word: bytes) -> int:
-    """A word's 64-bit name."""
-    code = xxhash.xxh64_intdigest(word)
-    return code - (1 << 64) if code >> 63 else code
+    return int(_named([word])[0])
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    """Words of a text in UTF-8; A-Z, and only these, lower-cased."""
-    return (text or b"").lower().split()
+def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Each text's number of words, the different words of all of them, and for each word its place among these.
+
+    Words are parted by ASCII white space, and A-Z, and only these, lower-cased; null texts have none.
+    """
+    places: defaultdict[bytes, int] = defaultdict(count().__next__)
+    parts = []
+    for text in texts.cast(pa.binary()):
+        words = (text.as_py() or b"").lower().split()
+        parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+    lengths = np.array([len(p) for p in parts], np.int64)
+    return lengths, list(places), np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(code, count) of every word of the documents; each task counts before anything is shuffled."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            codes = np.fromiter(map(xxhash.xxh64_intdigest, held), np.uint64, len(held)).view(np.int64)
-            counts = np.fromiter(held.values(), np.int64, len(held))
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "count"])
+            codes, counts = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(codes)
+            codes, first = np.unique(codes[order], return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.add.reduceat(counts[order], first))], names=["code", "count"])
 
         for batch in batches:
-            for value in batch.column(0).cast(pa.binary()):
-                words = _words(value.as_py())
-                for at in range(0, len(words), WORDS_AT_ONCE):
-                    held.update(words[at : at + WORDS_AT_ONCE])
-                    if len(held) >= CACHED_WORDS:
-                        yield counted()
-                        held.clear()
+            _, words, index = _split(batch.column(0))
+            if words:
+                held.append((_named(words), np.bincount(index, minlength=len(words))))
+                size += len(words)
+            if size >= WORDS_AT_ONCE:
+                yield counted()
+                held, size = [], 0
         if held:
             yield counted()
 
-    return docs.select(text).mapInArrow(count, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
+    return docs.select(text).mapInArrow(counts_of, "code bigint, count bigint").groupBy("code").agg(F.sum("count").alias("count"))
 
 
 def count_corpus(training: DataFrame) -> tuple[Corpus, LanguageModel, DataFrame]:
@@ -199,31 +192,42 @@ def _numbers_of(corpus: Corpus) -> Callable:
     end_sum = float(np.log10(corpus.documents + 1.0))
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(corpus.codes)
-        known = places.rare
-        # A place of -1 is the last one here.
+        # A place of -1, of words that are not frequent, is the last one here.
         number_at, log_at = np.append(corpus.numbers, OTHER).astype(np.uint16), np.append(log_counts, 0.0)
         for batch in batches:
-            rows, codes, times, texts = [], [], [], []
-            for value in batch.column("t").cast(pa.binary()):
-                words = _words(value.as_py())
-                place = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                numbers = np.append(number_at[place], np.uint16(END))
-                outside, beyond = numbers[:-1] == OTHER, np.flatnonzero(place < 0)
-                logs = log_at[place]
-                rows.append((len(words) + 1, len(words) - len(beyond) + (corpus.documents > 0), int(outside.sum()),
-                             float(logs.sum()) + end_sum, float(logs[outside].sum())))
-                rare = Counter(words[i] for i in beyond.tolist())
-                codes.append([known[w] if w in known else _code(w) for w in rare])
-                times.append(list(rare.values()))
-                texts.append(numbers.tobytes())
-            own = [pa.array(c) for c in zip(*rows)] if rows else []
-            lists = [pa.array(c, pa.list_(pa.int64())) for c in (codes, times)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:4], *own, *lists, pa.array(texts, pa.binary())],
-                    names=["k", "held_out", "learned", "name", "n_tokens", "n_known", "n_other", "frequent_sum", "other_sum", "codes", "times", "n"],
-                )
+            lengths, words, index = _split(batch.column("t"))
+            rows, codes = len(lengths), _named(words)
+            place = np.full(len(words), -1)
+            if len(corpus.codes):
+                at = np.minimum(np.searchsorted(corpus.codes, codes), len(corpus.codes) - 1)
+                place = np.where(corpus.codes[at] == codes, at, -1)
+            owner = np.repeat(np.arange(rows), lengths)
+            token, log, rare = number_at[place][index], log_at[place][index], (place < 0)[index]
+            outside = token == OTHER
+
+            def of_texts(some: np.ndarray | slice = slice(None), weights: np.ndarray | None = None) -> np.ndarray:
+                return np.bincount(owner[some], weights=None if weights is None else weights[some], minlength=rows)
+
+            n_rare = of_texts(rare)
+            counted = [
+                lengths + 1, lengths - n_rare + (corpus.documents > 0), of_texts(outside),
+                of_texts(weights=log) + end_sum, of_texts(outside, log),
+            ]
+            # The words that are not frequent, each once for its text.
+            pairs, times = np.unique(owner[rare] * max(len(words), 1) + index[rare], return_counts=True)
+            of_text, word = np.divmod(pairs, max(len(words), 1))
+            ends = np.searchsorted(of_text, np.arange(rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (codes[word], times)]
+            # The numbers of all texts, each with its end, as bytes.
+            whole = np.full(len(index) + rows, END, np.uint16)
+            whole[np.arange(len(index)) + owner] = token
+            offsets = np.concatenate(([0], 2 * np.cumsum(lengths + 1))).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(whole)])
+            types = [pa.int64()] * 3 + [pa.float64()] * 2
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], *[pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(counted, types)], *lists, texts],
+                names=["k", "held_out", "learned", "name", "n_tokens", "n_known", "n_other", "frequent_sum", "other_sum", "codes", "times", "n"],
+            )
 
     return numbers
 

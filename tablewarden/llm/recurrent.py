@@ -164,12 +164,12 @@ class LanguageModel:
         for inputs, target, first, there, text in Lanes(texts, SCORE_LANES, self.start).windows(SCORE_STEPS):
             states, begins = [], first.any(axis=1)
             h = h[: inputs.shape[1]]
-            for t, entered in enumerate(entered_by_word[inputs]):
+            for t, words in enumerate(inputs):
                 if begins[t]:
                     h = np.where(first[t][:, None], np.float32(0), h)
-                h = self._step(entered, h)[0]
+                h = self._step(entered_by_word[words], h)[0]
                 states.append(h)
-            live = there.ravel()
+            live = slice(None) if there.all() else there.ravel()
             loss = self._losses(np.concatenate(states)[live], target.ravel()[live])
             total -= np.bincount(text.ravel()[live], weights=loss, minlength=len(texts))
         return total / np.log(10)
