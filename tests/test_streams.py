@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tablewarden.sources.log_tail import tail_lines
 from tablewarden.sources.run_log import read_lines, stream_lines
 from tablewarden.streaming import streams
 
@@ -193,3 +194,28 @@ def test_scrub_in_flight(spark, tmp_path):
         spark, streams.scrub(stream_lines(spark, logs), "line"), str(tmp_path / "c")
     )
     assert [r.line for r in out.collect()] == ["pwd=[redacted] y"]
+
+
+def test_a_log_that_grows_in_the_middle_of_a_line_loses_and_doubles_nothing(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    whole = "".join(f"línea {i} {'x' * (i % 50)}{chr(13) if i % 3 else ''}\n" for i in range(400)).encode()
+    cuts = [0, 5, 6, 7, 900, 901, 5000, len(whole) - 1, len(whole)]
+    seen = []
+    for n, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        with open(logs / "a.log", "ab") as out:
+            out.write(whole[low:high])
+        if n == 4:
+            (logs / "b.log").write_bytes(b"other\n\nhalf")
+        stream = tail_lines(spark, str(logs), splitBytes="700")
+        query = (
+            stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c"))
+            .format("parquet").start(str(tmp_path / "o"))
+        )
+        query.awaitTermination()
+        seen.append(spark.read.parquet(str(tmp_path / "o")).count())
+    told = [(r.file, r.at, r.line) for r in spark.read.parquet(str(tmp_path / "o")).orderBy("file", "at").collect()]
+    lines = whole.decode().split("\n")[:-1]
+    assert [t[2] for t in told if t[0] == "a.log"] == [line.rstrip("\r") for line in lines]
+    assert [t for t in told if t[0] == "b.log"] == [("b.log", 0, "other")]
+    assert seen == sorted(seen) and seen[0] == 0 and len(set(told)) == len(told)
