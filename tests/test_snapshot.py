@@ -8,6 +8,7 @@ from conftest import rules
 from tablewarden.findings import FINDINGS, RuleViolation
 from tablewarden.operators import reconcile
 from tablewarden.plans import snapshot
+from tablewarden.plans.backup import Backup
 from tablewarden.plans.restore import NotApproved, Restore, find_artifact, list_artifacts
 from tablewarden.plans.snapshot import Snapshot
 
@@ -229,3 +230,35 @@ def test_tables_named_like_the_folders_make_the_round_trip(spark, tmp_path, dest
     assert snapshot.verify(spark, target).count() == 0
     back = Restore(spark, target, database, destination).apply(True)
     assert {r.table_name: r.rows for r in back.collect()} == dict.fromkeys(names, 5000)
+
+
+CATALOG = [
+    ("app", "rows", "base-table", "InnoDB"),
+    ("app", "shape", "base-table", "InnoDB"),
+    ("app", "tmp_x", "base-table", "MyISAM"),
+    ("other", "t", "base-table", "InnoDB"),
+]
+
+
+def backup(spark, **options):
+    tables = spark.createDataFrame(CATALOG, "database_name string, table_name string, kind string, engine string")
+    keys = spark.createDataFrame([("app", "rows")], "database_name string, table_name string")
+    return Backup(spark, {"tables": tables, "keys": keys}, reader, **{"databases": ["app"], **options})
+
+
+def test_a_backup_checks_scopes_and_exports_in_one_call(spark, tmp_path):
+    target = str(tmp_path / "out" / "app-1")
+    manifest, warnings = backup(spark, drop=["app.tmp_*"], schema_only=["app.shape"], options={"with_checksum": True}).run(target)
+    assert {(r.table_name, r.scope, r.rows) for r in manifest.collect()} == {("rows", "ALL", 5000), ("shape", "SCHEMA", None)}
+    assert rules(warnings) == [("keyless-table", "app.shape")]
+    assert snapshot.verify(spark, target).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("options", "rule"),
+    [({}, "unsafe-engine"), ({"databases": ["app", "none"], "drop": ["app.tmp_*"]}, "missing-database")],
+)
+def test_a_backup_stops_before_it_writes(spark, tmp_path, options, rule):
+    with pytest.raises(RuleViolation, match=rule):
+        backup(spark, **options).run(str(tmp_path / "x"))
+    assert not os.path.exists(tmp_path / "x") and os.listdir(tmp_path) == []
