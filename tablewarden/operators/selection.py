@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden import session
 from tablewarden.findings import Rule, check
 from tablewarden.functions import names
 
@@ -42,16 +43,65 @@ def pattern_hits(catalog: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return catalog.agg(F.array(*counts).alias("c")).select(F.inline("c"))
 
 
-def _anchors(pattern: Column) -> Column:
-    """(side, kind, text) of what a pattern says literally: whole names, what they begin with, what they end with."""
-    dot = F.instr(pattern, ".")
-    found = []
-    for side, glob in ((DATABASE, F.substr(pattern, F.lit(1), dot - 1)), (TABLE, F.substr(pattern, dot + 1))):
-        first, last = F.regexp_extract(glob, r"\A[^*?]*", 0), F.regexp_extract(glob, r"[^*?]*\z", 0)
-        wild = glob.rlike(r"[*?]")
-        for kind, text in (("whole", F.when(~wild, glob)), ("start", F.when(wild, first)), ("end", F.when(wild, last))):
-            found.append(F.when(text.isNotNull(), F.struct(F.length(text).alias("size"), F.lit(side).alias("side"), F.lit(kind).alias("kind"), text.alias("text"))))
-    return F.array_compact(F.array(*found))
+# Shapes of patterns that names are cut by; patterns of rarer shapes are found by their longest run alone.
+SHAPES = 256
+
+
+def _glob_runs(glob: Column) -> Column:
+    """What a glob says at fixed places: the whole name, or its first run of literals and how many characters come
+    before it, and its last run and how many come after it; both lie outside the stars.
+    """
+    def run(pattern: str, around: str) -> Column:
+        text = F.regexp_extract(glob, pattern, 1)
+        return F.struct(
+            F.when(text == "", 0).otherwise(F.length(F.regexp_extract(glob, around, 0))).alias("at"), F.length(text).alias("size"), text.alias("text")
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("text"))
+    whole = ~glob.rlike(r"[*?]")
+    return F.struct(
+        whole.alias("whole"),
+        F.when(whole, F.struct(F.lit(0).alias("at"), F.length(glob).alias("size"), glob.alias("text"))).otherwise(run(r"\A\?*([^*?]*)", r"\A\?*")).alias("first"),
+        F.when(whole, none).otherwise(run(r"([^*?]*)\?*\z", r"\?*\z")).alias("last"),
+    )
+
+
+def _longest_run(runs: Column) -> Column:
+    """Of both halves' runs (:func:`_glob_runs`) the longest alone; of one length whole names come first."""
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit("").alias("text"))
+    ranked = [
+        F.struct(runs[half][run]["size"].alias("size"), runs[half]["whole"].alias("whole"), F.lit(half).alias("half"), F.lit(run).alias("run"))
+        for half in (DATABASE, TABLE)
+        for run in ("first", "last")
+    ]
+    best = F.greatest(*ranked)
+
+    def half(name: str) -> Column:
+        def kept(run: str) -> Column:
+            return F.when((best["half"] == name) & (best["run"] == run), runs[name][run]).otherwise(none).alias(run)
+
+        return F.struct((runs[name]["whole"] & (best["half"] == name)).alias("whole"), kept("first"), kept("last")).alias(name)
+
+    return F.struct(half(DATABASE), half(TABLE))
+
+
+def _shape(runs: Column) -> Column:
+    """Where a pattern's runs lie, without their texts; whole names of any length have one shape."""
+    def half(name: str) -> Column:
+        h = runs[name]
+        places = [F.when(h["whole"], 0).otherwise(h[run][field]).alias(f"{run}_{field}") for run in ("first", "last") for field in ("at", "size")]
+        return F.struct(h["whole"].alias("whole"), *places).alias(name)
+
+    return F.struct(half(DATABASE), half(TABLE))
+
+
+def _cut(name: Column, shape: Column) -> Column:
+    """A name's characters at the places of one half of a shape; null where it is too short for them."""
+    length, ends = F.length(name), shape["last_at"] + shape["last_size"]
+    first = F.substr(name, shape["first_at"] + 1, shape["first_size"])
+    last = F.substr(name, length - ends + 1, shape["last_size"])
+    long_enough = (length >= shape["first_at"] + shape["first_size"]) & (length >= ends)
+    return F.when(shape["whole"], name).when(long_enough, F.concat(first, last))
 
 
 def _regex(glob: Column) -> Column:
@@ -62,34 +112,61 @@ def _regex(glob: Column) -> Column:
     return F.concat(F.lit(r"\A"), body, F.lit(r"\z"))
 
 
-def match_pattern_table(catalog: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
-    """(pattern, database_name, table_name) of every match of a table of qualified patterns, however many.
+def _halves(pattern: str) -> tuple[Column, Column]:
+    dot = F.instr(pattern, ".")
+    return F.substr(pattern, F.lit(1), dot - 1), F.substr(pattern, dot + 1)
+
+
+def pattern_candidates(catalog: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
+    """(pattern, database_name, table_name) of pairs that agree in all that a pattern says at fixed places.
 
-    A pattern is found by its longest literal part: a whole name, or what a name begins or ends with.
-    Catalog rows have one key for every kind and length of such parts that occur, so rows and patterns meet by
-    equality, and only these pairs are confirmed by the whole pattern. Malformed and null patterns match nothing,
-    repeated ones count once; names are those of :func:`names.glob_regex`.
+    That is in both halves' whole names, or first and last runs of literals. Patterns whose runs lie at the same
+    places have one shape; a catalog row is cut once for every shape that occurs, so rows and patterns meet by
+    equality of all these characters. Beyond ``SHAPES`` shapes the rarer ones keep their longest run only, so the
+    shapes stay few however the patterns are written.
     """
     well_formed = patterns.where(F.col(column).rlike(r"(?s)\A[^.]+\..")).select(F.col(column).alias("pattern")).distinct()
-    # Of parts of one length whole names come first, then any.
-    best = F.array_max(F.transform(_anchors(F.col("pattern")), lambda a: F.struct(a["size"], (a["kind"] == "whole").alias("exact"), a["side"], a["kind"], a["text"])))
-    anchored = well_formed.withColumn("a", best).select("pattern", "a.side", "a.kind", "a.size", "a.text")
-    # Kinds and lengths are few: names are short.
-    shapes = anchored.select("side", "kind", F.when(F.col("kind") != "whole", F.col("size")).alias("size")).distinct().collect()
-    keys = []
-    for shape in sorted(shapes, key=str):
-        name = F.col(shape["side"])
-        text = {"whole": name, "start": F.left(name, F.lit(shape["size"])), "end": F.right(name, F.lit(shape["size"]))}[shape["kind"]]
-        long_enough = F.lit(True) if shape["kind"] == "whole" else F.length(name) >= shape["size"]
-        keys.append(F.when(long_enough, F.struct(F.lit(shape["side"]).alias("side"), F.lit(shape["kind"]).alias("kind"), text.alias("text"))))
-    if not keys:
+    left, right = _halves("pattern")
+    runs = well_formed.select("pattern", F.struct(_glob_runs(left).alias(DATABASE), _glob_runs(right).alias(TABLE)).alias("runs"))
+    runs = session.materialised(runs, "patterns")  # read for the shapes, and to meet the names
+    # One row per shape, up to a bound: names are short.
+    counted = runs.select(F.hash(_shape(F.col("runs"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    common = [r.code for r in counted.orderBy(F.desc("n"), "code").limit(SHAPES).collect()]
+    if not common:
         return catalog.sparkSession.createDataFrame([], f"pattern string, {DATABASE} string, {TABLE} string")
-    placed = catalog.select(DATABASE, TABLE, F.inline(F.array_compact(F.array(*keys))))
-    pairs = placed.join(anchored.drop("size"), ["side", "kind", "text"])
-    dot = F.instr("pattern", ".")
-    left, right = F.substr("pattern", F.lit(1), dot - 1), F.substr("pattern", dot + 1)
-    fits = F.rlike(F.col(DATABASE), _regex(left)) & F.rlike(F.col(TABLE), _regex(right))
-    return pairs.where(fits).select("pattern", DATABASE, TABLE)
+    if len(common) == SHAPES:
+        rare = ~F.hash(_shape(F.col("runs"))).isin(common)
+        runs = runs.withColumn("runs", F.when(rare, _longest_run(F.col("runs"))).otherwise(F.col("runs")))
+    shapes = runs.select(_shape(F.col("runs")).alias("shape")).distinct().collect()
+
+    def literal(half: Row) -> Column:
+        return F.struct(*[F.lit(value).alias(field) for field, value in half.asDict().items()])
+
+    listed = F.array(*[F.struct(literal(s["shape"][DATABASE]).alias(DATABASE), literal(s["shape"][TABLE]).alias(TABLE)) for s in sorted(shapes, key=str)])
+    cut = catalog.select(DATABASE, TABLE, F.explode(listed).alias("shape"))
+    cut = cut.withColumn("in_database", _cut(F.col(DATABASE), F.col("shape")[DATABASE])).withColumn("in_table", _cut(F.col(TABLE), F.col("shape")[TABLE]))
+    placed = cut.where("in_database IS NOT NULL AND in_table IS NOT NULL").select(DATABASE, TABLE, F.xxhash64("shape", "in_database", "in_table").alias("place"))
+
+    def text(half: str) -> Column:
+        return F.concat(F.col("runs")[half]["first"]["text"], F.col("runs")[half]["last"]["text"])
+
+    anchored = runs.select("pattern", F.xxhash64(_shape(F.col("runs")), text(DATABASE), text(TABLE)).alias("place"))
+    return placed.join(anchored, "place").select("pattern", DATABASE, TABLE)
+
+
+def match_pattern_table(catalog: DataFrame, patterns: DataFrame, column: str = "pattern") -> DataFrame:
+    """(pattern, database_name, table_name) of every match of a table of qualified patterns, however many.
+
+    Patterns meet names by equality (:func:`pattern_candidates`), and only such pairs are confirmed by the whole
+    pattern. Malformed and null patterns match nothing, repeated ones count once; names are those of
+    :func:`names.glob_regex`.
+    """
+    left, right = _halves("pattern")
+
+    def fits(name: str, glob: Column) -> Column:
+        return F.when(glob.rlike(r"[*?]"), F.rlike(F.col(name), _regex(glob))).otherwise(F.col(name) == glob)
+
+    return pattern_candidates(catalog, patterns, column).where(fits(DATABASE, left) & fits(TABLE, right))
 
 
 def malformed_patterns(spark: SparkSession, patterns: Sequence[str]) -> DataFrame:

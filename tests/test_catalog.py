@@ -218,6 +218,22 @@ def test_ten_thousand_patterns_meet_names_by_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_few_shapes_are_cut_and_the_others_meet_by_their_longest_run(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SHAPES", 2)
+    test_a_table_of_patterns_matches_as_the_list_does(spark)
+
+
+def test_patterns_of_one_database_meet_names_by_both_halves(spark):
+    # All name one database, which is longer than any run of their tables'.
+    code = F.lpad(F.col("id").cast("string"), 4, "0")
+    tail = F.right(code, F.lit(2))
+    tables = spark.range(4000).select(F.lit("warehouse").alias("database_name"), F.concat(F.lit("x"), code, F.lit("_"), tail).alias("table_name"))
+    patterns = spark.range(4000).select(F.concat(F.lit("warehouse.?"), code, F.lit("*"), tail).alias("pattern"))
+    assert selection.pattern_candidates(tables, patterns).count() == 4000  # not 16 million
+    found = selection.match_pattern_table(tables, patterns).collect()
+    assert len(found) == 4000 and all(r.pattern[11:15] == r.table_name[1:5] for r in found)
+
+
 def test_a_dumped_catalog_keeps_digits_and_databases(spark, tmp_path):
     views = {
         "SCHEMATA": ['{"SCHEMA_NAME":"app"}', '{"SCHEMA_NAME":"other"}'],
