@@ -5,8 +5,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,31 +126,55 @@ def run_status(events: DataFrame, idle: str | None = None) -> DataFrame:
     )
 
 
-def terminal_records(events: DataFrame, terminal: Column, remember: str = "400 days") -> DataFrame:
+def _remembered(state: GroupState) -> pd.Series:
+    """Milliseconds until which each ended run of a group is remembered, by run."""
+    if not state.exists:
+        return pd.Series([], dtype="int64", index=pd.Index([], dtype=object))
+    table = pa.ipc.open_stream(state.get[0]).read_all()
+    return pd.Series(table["until"].to_numpy(), index=pd.Index(table["run_id"].to_pylist(), dtype=object))
+
+
+def _remember(state: GroupState, until: pd.Series) -> None:
+    """Keep what the watermark has not passed; the group is asked again when it passes the first of them."""
+    until = until[until >= state.getCurrentWatermarkMs()]
+    if until.empty:
+        if state.exists:
+            state.remove()
+        return
+    batch = pa.record_batch([pa.array(list(until.index), pa.string()), pa.array(until.to_numpy(), pa.int64())], names=["run_id", "until"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    state.update((sink.getvalue().to_pybytes(),))
+    state.setTimeoutTimestamp(int(until.min()))
+
+
+def terminal_records(events: DataFrame, terminal: Column, remember: str = "400 days", groups: int = 1024) -> DataFrame:
     """(run_id, sequence, event_time, repeat) of terminal records: all but a run's first are told as repeats.
 
     The state has one entry per ended run, however late a second record comes, and lets it go when
-    event time has passed the run's end by ``remember``; that bounds it. ``events`` carry a watermark.
+    event time has passed the run's end by ``remember``; that bounds it. Runs are dealt to ``groups`` by a hash and
+    a group's runs judged together, as every group of a micro-batch costs Python milliseconds whatever its
+    size; a stream that goes on from a checkpoint keeps its number. ``events`` carry a watermark.
     """
     keep_ms = int(pd.Timedelta(remember).total_seconds() * 1000)
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = _remembered(state)
         if state.hasTimedOut:
-            state.remove()
+            _remember(state, until)
             return
         rows = pd.concat(list(batches)).sort_values(["event_time", "sequence"], kind="stable")
-        repeat = np.full(len(rows), True)
-        if not state.exists:
-            repeat[0] = False
-            until = rows["event_time"].iloc[0].value // 1_000_000 + keep_ms
-            if until > state.getCurrentWatermarkMs():
-                state.update((True,))
-                state.setTimeoutTimestamp(until)
-        yield rows.assign(repeat=repeat)
-
-    ends = events.where(terminal).select("run_id", "sequence", "event_time")
-    return ends.groupBy("run_id").applyInPandasWithState(
-        judge, "run_id string, sequence long, event_time timestamp, repeat boolean", "ended boolean", "append",
+        new = ~rows["run_id"].duplicated() & ~rows["run_id"].isin(until.index)
+        ended = rows[new]
+        ends = pd.Series(ended["event_time"].to_numpy("datetime64[ms]").astype("int64") + keep_ms, index=pd.Index(ended["run_id"], dtype=object))
+        _remember(state, pd.concat([until, ends[ends > state.getCurrentWatermarkMs()]]))
+        yield rows[["run_id", "sequence", "event_time"]].assign(repeat=~new)
+
+    group = F.pmod(F.xxhash64("run_id"), F.lit(groups)).alias("_group")
+    ends = events.where(terminal).select("run_id", "sequence", "event_time", group)
+    return ends.groupBy("_group").applyInPandasWithState(
+        judge, "run_id string, sequence long, event_time timestamp, repeat boolean", "ended binary", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 

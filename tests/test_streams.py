@@ -187,6 +187,29 @@ def test_a_second_terminal_record_is_a_repeat_long_after_the_watermark(spark, tm
         assert found[("r", 2)] is repeat
 
 
+def test_runs_are_judged_in_groups_and_forgotten_after_a_repeat_too(spark, tmp_path):
+    logs, folder = str(tmp_path / "logs"), str(tmp_path / "e")
+    failed = ("x", "dump", "failed")
+    minute = 60_000
+    runs = [f"r{n}" for n in range(60)]
+    batches = [
+        [line(r, 1, minute, failed) for r in runs[:40]] + [line(r, 2, minute + 5, failed) for r in runs[:5]],
+        [line(r, 3, 5 * minute, failed) for r in runs[:20]] + [line(r, 1, 5 * minute, failed) for r in runs[40:]],
+        [line("other", 1, 50 * minute, failed)],
+        [line("other", 2, 50 * minute, failed)],  # by now the first batch's runs have been forgotten
+        [line(r, 4, 51 * minute, failed) for r in runs[:20]],
+    ]
+    for n, rows in enumerate(batches):
+        write(logs, f"{n}.jsonl", rows, 100 - n)
+    source = streams.typed_events(stream_lines(spark, logs, maxFilesPerTrigger="1"), "exporter", "1 second")
+    told = streams.drain(spark, streams.terminal_records(source, F.col("type") == "error", "30 minutes", groups=3), folder)
+    found = {(r.run_id, r.sequence): r.repeat for r in told.collect()}
+    assert len(found) == sum(map(len, batches))
+    assert {k for k, repeat in found.items() if repeat} == {(r, 2) for r in runs[:5]} | {(r, 3) for r in runs[:20]} | {("other", 2)}
+    state = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    assert 0 < state.count() <= 3  # a row a group, not a row a run
+
+
 def test_scrub_in_flight(spark, tmp_path):
     logs = str(tmp_path / "logs")
     write(logs, "1.txt", ["pwd=x y"], 10)
