@@ -129,38 +129,56 @@ def _with_key(placed: DataFrame) -> DataFrame:
     return placed.withColumn("key", key).drop("_nth", "_place")
 
 
-def artifact_candidates(keys: DataFrame, listing: DataFrame) -> DataFrame:
-    """(id, name): every artifact named ``id-…`` of every key, one row each.
+# Keys or names of one task; it bounds what a task sorts, whatever number of partitions a session sets.
+ROWS_PER_TASK = 50_000
 
-    Every artifact name is matched by equality with its own prefixes before a dash, so no key is
-    compared with names that do not begin with it.
-    """
+
+def _sizes(keys: DataFrame, listing: DataFrame) -> tuple[int, list[int]]:
+    """How many tasks keys and names are dealt to, and the numbers of dashed parts that keys have (few: keys are short)."""
+    told = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size(F.split("id", "-"))).alias("parts")).first()
+    return -(-max(told.n, listing.count()) // ROWS_PER_TASK), sorted(n for n in told.parts if n > 0)
+
+
+def _dealt(df: DataFrame, tasks: int, column: str) -> DataFrame:
+    """Rows of one value together, in so many tasks; one task's rows are left to Spark."""
+    return df.repartition(tasks, column) if tasks > 1 else df
+
+
+def _candidates(keys: DataFrame, listing: DataFrame, tasks: int, parts: list[int]) -> DataFrame:
     dashed = F.split("name", "-")
+    lengths = F.array(*[F.lit(n) for n in parts]).cast("array<int>")
     prefixes = F.transform(
-        F.sequence(F.lit(1), F.size(dashed) - 1),
+        F.filter(lengths, lambda n: n < F.size(dashed)),
         lambda n: F.array_join(F.slice(dashed, F.lit(1), n), "-"),
     )
-    return (
-        listing.where(F.contains(F.col("name"), F.lit("-")))
-        .select("name")
-        .distinct()
-        .select(F.explode(prefixes).alias("id"), "name")
-        .join(keys.select("id").distinct(), "id", "left_semi")
+    names_once = _dealt(listing.where(F.contains(F.col("name"), F.lit("-"))).select("name"), tasks, "name").distinct()
+    return _dealt(names_once.select(F.explode(prefixes).alias("id"), "name"), tasks, "id").join(
+        _dealt(keys.select("id"), tasks, "id").distinct(), "id", "left_semi"
     )
 
 
+def artifact_candidates(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """(id, name): every artifact named ``id-…`` of every key, one row each.
+
+    Every artifact name is matched by equality with its own prefixes before a dash, so no key is
+    compared with names that do not begin with it; prefixes of more or fewer parts than any key has are left out.
+    """
+    return _candidates(keys, listing, *_sizes(keys, listing))
+
+
 def pick_artifacts(keys: DataFrame, listing: DataFrame) -> DataFrame:
     """Per key (column ``id``) the number of its candidates, and its artifact where there is just one.
 
     The candidates themselves are the rows of :func:`artifact_candidates`; whoever prints them decides
     how many to show.
     """
-    counted = artifact_candidates(keys, listing).groupBy("id").agg(
+    tasks, parts = _sizes(keys, listing)
+    counted = _candidates(keys, listing, tasks, parts).groupBy("id").agg(
         F.count(F.lit(1)).alias("matches"), F.min("name").alias("path")
     )
     matches = F.coalesce("matches", F.lit(0)).cast("long")
     return (
-        keys.select("id")
+        _dealt(keys.select("id"), tasks, "id")
         .join(counted, "id", "left")
         .select("id", matches.alias("matches"), F.when(matches == 1, F.col("path")).alias("path"))
     )

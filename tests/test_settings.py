@@ -118,6 +118,24 @@ def test_one_match_is_picked_and_other_numbers_are_problems(spark):
     assert sorted((r.id, r.name) for r in found) == [("m", n) for n in many]
 
 
+def test_keys_and_names_are_dealt_to_as_many_tasks_as_there_are_rows_for(spark, monkeypatch):
+    monkeypatch.setattr(naming, "ROWS_PER_TASK", 100)
+    rng = random.Random(3)
+    word = lambda: "-".join(rng.choice(["a", "b", "", "c1"]) for _ in range(rng.choice([1, 2, 3, 5])))
+    ids, listed = [word() for _ in range(40)] + [None, "a"], [word() for _ in range(2000)] + [None, "a-x"]
+    keys, listing = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([(n,) for n in listed], "name string")
+    want = sorted((i, n) for i in {i for i in ids if i is not None} for n in {n for n in listed if n} if n.startswith(i + "-"))
+    found = naming.artifact_candidates(keys, listing)
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() == 21  # 2002 names, whatever spark.sql.shuffle.partitions says
+    picked = naming.pick_artifacts(keys, listing)
+    names_of = {i: [n for k, n in want if k == i] for i in ids}
+    expected = [(i, len(names_of[i]), names_of[i][0] if len(names_of[i]) == 1 else None) for i in ids]
+    assert sorted(map(tuple, picked.collect()), key=str) == sorted(expected, key=str)
+    empty = spark.createDataFrame([], "id string")
+    assert naming.pick_artifacts(empty, listing).count() == naming.artifact_candidates(empty, listing).count() == 0
+
+
 SETTINGS = "id int, port int, threads int, threshold int, profile string, mode string, protect_ddl boolean, tls string"
 
 
