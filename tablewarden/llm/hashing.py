@@ -32,13 +32,32 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` consecutive words, by its first word's place."""
-    count = len(words) - size + 1
-    if count <= 0:
+def run_sums(words: np.ndarray, size: int) -> np.ndarray:
+    """The polynomial of each run of `size` words; runs are put together from runs of powers of two."""
+    if len(words) < size:
         return np.empty(0, np.uint64)
-    code = words[:count].copy()
-    for j in range(1, size):
-        code = code * _FACTOR + words[j : j + count]
-    code = (code ^ (code >> np.uint64(32))) * _MIX
+    part, length, done, done_length = words, 1, None, 0
+    while True:
+        if size & 1:
+            if done is None:
+                done = part
+            else:
+                later = done[length:]
+                done = part[: len(later)] * np.uint64(pow(int(_FACTOR), done_length, 1 << 64)) + later
+            done_length += length
+        size >>= 1
+        if not size:
+            return done
+        part = part[:-length] * np.uint64(pow(int(_FACTOR), length, 1 << 64)) + part[length:]
+        length *= 2
+
+
+def mixed(sums: np.ndarray) -> np.ndarray:
+    """Hashes of runs by their polynomials."""
+    code = (sums ^ (sums >> np.uint64(32))) * _MIX
     return code ^ (code >> np.uint64(29))
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` consecutive words, by its first word's place."""
+    return mixed(run_sums(words, size))

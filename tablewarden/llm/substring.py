@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import free_name, stored
-from tablewarden.llm.hashing import WordHashes, run_hashes, split_words
+from tablewarden.llm.hashing import WordHashes, mixed, run_hashes, run_sums, split_words
 
 WINDOW = 13
 PERIOD = 7
@@ -69,16 +69,78 @@ def _sample_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"anchors": [np.unique(anchors(w)[0]) for w in words], "windows": [np.unique(windows(w)) for w in words]})
 
 
+@dataclass
+class Stretch:
+    """The words of some texts one after another: hashes, and of each word its text and its place there."""
+
+    words: np.ndarray
+    lengths: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+
+    def starts(self, size: int) -> np.ndarray:
+        """Where runs of `size` words of one text start."""
+        return np.flatnonzero(self.place + size <= self.lengths[self.text])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Names of anchors, told apart by text in the bits above theirs, and where they start."""
+        at = self.starts(ANCHOR)
+        at = at[_COVERED[self.place[at] % PERIOD]]
+        codes = mixed(run_sums(self.words, ANCHOR)[at]) >> np.uint64(64 - ANCHOR_BITS)
+        return (self.text[at] << ANCHOR_BITS) | codes.astype(np.int64), at
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        return (mixed(run_sums(self.words, WINDOW)[at]) >> np.uint64(1)).astype(np.int64)
+
+
+_COVERED = np.isin(np.arange(PERIOD), COVER)
+#: Texts and, beyond one text, words that are hashed together; the texts' numbers stand above an anchor's bits.
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 1000, 200_000
+
+
+def _stretches(known: WordHashes, texts: Iterator[str]) -> Iterator[Stretch]:
+    """All texts in their order, some at a time, as numpy costs more by the call than by the word."""
+
+    def stretch(parts: list[np.ndarray]) -> Stretch:
+        lengths = np.array([len(p) for p in parts], np.int64)
+        text = np.repeat(np.arange(len(parts)), lengths)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return Stretch(np.concatenate(parts), lengths, text, place)
+
+    parts, n_words = [], 0
+    for text in texts:
+        parts.append(known.of(split_words(text)))
+        n_words += len(parts[-1])
+        if n_words >= WORDS_AT_ONCE or len(parts) >= TEXTS_AT_ONCE:
+            yield stretch(parts)
+            parts, n_words = [], 0
+    if parts:
+        yield stretch(parts)
+
+
+def _found(codes: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes are in a sorted list, and where they would be there."""
+    if not len(listed):
+        return np.zeros(len(codes), bool), np.zeros(len(codes), np.int64)
+    held = np.minimum(np.searchsorted(listed, codes), len(listed) - 1)
+    return listed[held] == codes, held
+
+
+def _by_text(values: np.ndarray, text: np.ndarray, n_texts: int) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(np.bincount(text, minlength=n_texts))[:-1])
+
+
 def _smallest_holders(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(code, doc): the smallest document of each common window, among those of a batch."""
     known = WordHashes()
     for batch in batches:
         smallest = np.full(len(codes), np.iinfo(np.int64).max)
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = windows(known.of(split_words(text.as_py())))
-            held = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            held = held[codes[held] == own]
-            smallest[held] = np.minimum(smallest[held], doc)
+        docs, done = batch.column(0).to_numpy(), 0
+        for s in _stretches(known, (text.as_py() for text in batch.column(1))):
+            at = s.starts(WINDOW)
+            there, held = _found(s.windows(at), codes)
+            np.minimum.at(smallest, held[there], docs[done + s.text[at[there]]])
+            done += len(s.lengths)
         there = smallest < np.iinfo(np.int64).max
         yield pa.RecordBatch.from_arrays([pa.array(codes[there]), pa.array(smallest[there])], names=["code", "doc"])
 
@@ -87,9 +149,14 @@ def _shuffled_anchors(batches: Iterator[pd.Series], common: Common) -> Iterator[
     """Each document's anchors without the common ones, and whether it has any of these."""
     known = WordHashes()
     for texts in batches:
-        sets = [np.unique(anchors(known.of(split_words(t)))[0]) for t in texts]
-        rest = [s[~np.isin(s, common.anchors, assume_unique=True)] for s in sets]
-        yield pd.DataFrame({"anchors": rest, "common": [len(r) < len(s) for r, s in zip(rest, sets)]})
+        rest, has_common = [], []
+        for s in _stretches(known, texts):
+            named = np.unique(s.anchors()[0])
+            text, codes = named >> ANCHOR_BITS, named & ((1 << ANCHOR_BITS) - 1)
+            listed = _found(codes, common.anchors)[0]
+            rest += _by_text(codes[~listed], text[~listed], len(s.lengths))
+            has_common += (np.bincount(text[listed], minlength=len(s.lengths)) > 0).tolist()
+        yield pd.DataFrame({"anchors": rest, "common": has_common})
 
 
 def _windows(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]], common: Common) -> Iterator[pd.DataFrame]:
@@ -99,22 +166,33 @@ def _windows(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]], common: C
     """
     known = WordHashes()
     for docs, texts, shared in inputs:
-        rows = []
-        for doc, text, wanted in zip(docs, texts, shared):
-            words = known.of(split_words(text))
-            own, places = anchors(words)
-            start = around(places[np.isin(own, wanted) | np.isin(own, common.anchors)], len(words))
-            codes = windows(words)[start]
-            codes, first, times = np.unique(codes, return_index=True, return_counts=True)
-            start = np.where(times > 1, -1 - start[first], start[first]).astype(np.int32)
-            sure = np.zeros(len(codes), bool)
-            decided = sure
+        codes_of, starts_of, sure_of, done = [], [], [], 0
+        for s in _stretches(known, texts):
+            n_texts = len(s.lengths)
+            ids, wanted = docs.to_numpy()[done : done + n_texts], [np.asarray(w, np.int64) for w in shared[done : done + n_texts]]
+            done += n_texts
+            of_text = np.repeat(np.arange(n_texts), [len(w) for w in wanted])
+            wanted = np.concatenate(wanted)
+            named, at = s.anchors()
+            hit = _found(named, np.sort(((of_text << ANCHOR_BITS) | wanted)[wanted >= 0]))[0]
+            hit |= _found(named & ((1 << ANCHOR_BITS) - 1), common.anchors)[0]
+            start = around(at[hit], len(s.words))
+            start = start[s.place[start] + WINDOW <= s.lengths[s.text[start]]]
+            codes, text = s.windows(start), s.text[start]
+            order = np.lexsort((codes, text))  # equal ones stay by their start
+            codes, text, place = codes[order], text[order], s.place[start[order]]
+            first = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (text[1:] != text[:-1]))[: len(codes)])
+            times = np.diff(np.append(first, len(codes)))
+            codes, text, place = codes[first], text[first], place[first]
+            place = np.where(times > 1, -1 - place, place).astype(np.int32)
+            decided, held = _found(codes, common.windows)
+            sure = decided.copy()
             if len(common.windows):
-                held = np.minimum(np.searchsorted(common.windows, codes), len(common.windows) - 1)
-                decided = common.windows[held] == codes
-                sure = decided & (common.smallest[held] < doc)
-            rows.append((codes[~decided], start[~decided], start[sure]))
-        yield pd.DataFrame(rows, columns=["code", "start", "sure"])
+                sure &= common.smallest[held] < ids[text]
+            codes_of += _by_text(codes[~decided], text[~decided], n_texts)
+            starts_of += _by_text(place[~decided], text[~decided], n_texts)
+            sure_of += _by_text(place[sure], text[sure], n_texts)
+        yield pd.DataFrame({"code": codes_of, "start": starts_of, "sure": sure_of})
 
 
 def _without(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -85,3 +85,20 @@ def test_drop_repeats_keeps_columns_and_drops_the_emptied(spark):
     got = {r.substring: (r.text, r.n_chars) for r in substring.drop_repeats(docs).collect()}
     assert got == {"a": (text, len(text)), "c": ("more words", 10), "d": (text, len(text)), "e": (None, None)}
     assert substring.drop_repeats(docs.limit(0)).count() == 0
+
+
+def test_texts_hashed_together_are_told_apart():
+    """Anchors and windows of several texts in one stretch are those of each text alone."""
+    draw = random.Random(8)
+    texts = [" ".join(f"w{draw.randint(0, 30)}" for _ in range(n)) for n in (0, 6, 7, 12, 13, 40, 0, 90)]
+    known = substring.WordHashes()
+    (s,) = substring._stretches(known, iter(texts))
+    named, at = s.anchors()
+    starts = s.starts(substring.WINDOW)
+    codes = s.windows(starts)
+    for n, text in enumerate(texts):
+        words = known.of(substring.split_words(text))
+        own, places = substring.anchors(words)
+        mine = s.text[at] == n
+        assert np.array_equal(named[mine] & ((1 << substring.ANCHOR_BITS) - 1), own) and np.array_equal(s.place[at[mine]], places)
+        assert np.array_equal(codes[s.text[starts] == n], substring.windows(words))
