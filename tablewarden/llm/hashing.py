@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -32,6 +33,40 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
+_SPACES = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+#: Masks of a word's last bytes, by their number up to eight.
+_LAST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes of the longest word that is hashed by eights together with others.
+LONG_WORD = 64
+
+
+def hash_texts(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (those of `split_words`) of some texts, and how many words each text has.
+
+    Words are cut and hashed in their texts' bytes, eight at a time, so nothing is looked up or remembered; a word's
+    length counts too. Other hashes than those of `WordHashes`.
+    """
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join([b"", *encoded, bytes(8)])
+    raw = np.frombuffer(data, np.uint8)[:-8]  # a break before and after every text
+    space = _SPACES[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(raw), "<u8", data, strides=(1,))  # the eight bytes from every place
+    codes = sizes.astype(np.uint64) * _FACTOR
+    left, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(left):
+        rest = sizes[left] - at
+        part = eight[starts[left] + at] & _LAST[np.minimum(rest, 8)]
+        codes[left] = mixed((codes[left] ^ part) * _FACTOR)
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        word = data[starts[i] : starts[i] + sizes[i]]
+        codes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    ends = np.cumsum([len(e) + 1 for e in encoded])
+    return codes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 def run_sums(words: np.ndarray, size: int) -> np.ndarray:
     """The polynomial of each run of `size` words; runs are put together from runs of powers of two."""
     if len(words) < size:

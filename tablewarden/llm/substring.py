@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import free_name, stored
-from tablewarden.llm.hashing import WordHashes, mixed, run_hashes, run_sums, split_words
+from tablewarden.llm.hashing import WordHashes, hash_texts, mixed, run_hashes, run_sums, split_words
 
 WINDOW = 13
 PERIOD = 7
@@ -63,9 +63,8 @@ class Common:
 
 
 def _sample_sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    known = WordHashes()
     for texts in batches:
-        words = [known.of(split_words(t)) for t in texts]
+        words = [hash_texts([t])[0] for t in texts]
         yield pd.DataFrame({"anchors": [np.unique(anchors(w)[0]) for w in words], "windows": [np.unique(windows(w)) for w in words]})
 
 
@@ -94,28 +93,28 @@ class Stretch:
 
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
-#: Texts and, beyond one text, words that are hashed together; the texts' numbers stand above an anchor's bits.
-TEXTS_AT_ONCE, WORDS_AT_ONCE = 1000, 200_000
+#: Texts and, beyond one text, characters that are hashed together; the texts' numbers stand above an anchor's bits.
+TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 1000, 1_000_000
 
 
-def _stretches(known: WordHashes, texts: Iterator[str]) -> Iterator[Stretch]:
+def _stretches(texts: Iterator[str]) -> Iterator[Stretch]:
     """All texts in their order, some at a time, as numpy costs more by the call than by the word."""
 
-    def stretch(parts: list[np.ndarray]) -> Stretch:
-        lengths = np.array([len(p) for p in parts], np.int64)
-        text = np.repeat(np.arange(len(parts)), lengths)
+    def stretch(some: list[str]) -> Stretch:
+        words, lengths = hash_texts(some)
+        text = np.repeat(np.arange(len(some)), lengths)
         place = np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return Stretch(np.concatenate(parts), lengths, text, place)
+        return Stretch(words, lengths, text, place)
 
-    parts, n_words = [], 0
+    some, characters = [], 0
     for text in texts:
-        parts.append(known.of(split_words(text)))
-        n_words += len(parts[-1])
-        if n_words >= WORDS_AT_ONCE or len(parts) >= TEXTS_AT_ONCE:
-            yield stretch(parts)
-            parts, n_words = [], 0
-    if parts:
-        yield stretch(parts)
+        some.append(text)
+        characters += len(text or "")
+        if characters >= CHARACTERS_AT_ONCE or len(some) >= TEXTS_AT_ONCE:
+            yield stretch(some)
+            some, characters = [], 0
+    if some:
+        yield stretch(some)
 
 
 def _found(codes: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +131,10 @@ def _by_text(values: np.ndarray, text: np.ndarray, n_texts: int) -> list[np.ndar
 
 def _smallest_holders(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(code, doc): the smallest document of each common window, among those of a batch."""
-    known = WordHashes()
     for batch in batches:
         smallest = np.full(len(codes), np.iinfo(np.int64).max)
         docs, done = batch.column(0).to_numpy(), 0
-        for s in _stretches(known, (text.as_py() for text in batch.column(1))):
+        for s in _stretches((text.as_py() for text in batch.column(1))):
             at = s.starts(WINDOW)
             there, held = _found(s.windows(at), codes)
             np.minimum.at(smallest, held[there], docs[done + s.text[at[there]]])
@@ -147,10 +145,9 @@ def _smallest_holders(batches: Iterator[pa.RecordBatch], codes: np.ndarray) -> I
 
 def _shuffled_anchors(batches: Iterator[pd.Series], common: Common) -> Iterator[pd.DataFrame]:
     """Each document's anchors without the common ones, and whether it has any of these."""
-    known = WordHashes()
     for texts in batches:
         rest, has_common = [], []
-        for s in _stretches(known, texts):
+        for s in _stretches(texts):
             named = np.unique(s.anchors()[0])
             text, codes = named >> ANCHOR_BITS, named & ((1 << ANCHOR_BITS) - 1)
             listed = _found(codes, common.anchors)[0]
@@ -164,10 +161,9 @@ def _windows(inputs: Iterator[tuple[pd.Series, pd.Series, pd.Series]], common: C
 
     Common windows are decided here: those that a smaller document has go into `sure`.
     """
-    known = WordHashes()
     for docs, texts, shared in inputs:
         codes_of, starts_of, sure_of, done = [], [], [], 0
-        for s in _stretches(known, texts):
+        for s in _stretches(texts):
             n_texts = len(s.lengths)
             ids, wanted = docs.to_numpy()[done : done + n_texts], [np.asarray(w, np.int64) for w in shared[done : done + n_texts]]
             done += n_texts

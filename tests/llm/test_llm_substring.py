@@ -91,14 +91,28 @@ def test_texts_hashed_together_are_told_apart():
     """Anchors and windows of several texts in one stretch are those of each text alone."""
     draw = random.Random(8)
     texts = [" ".join(f"w{draw.randint(0, 30)}" for _ in range(n)) for n in (0, 6, 7, 12, 13, 40, 0, 90)]
-    known = substring.WordHashes()
-    (s,) = substring._stretches(known, iter(texts))
+    (s,) = substring._stretches(iter(texts))
     named, at = s.anchors()
     starts = s.starts(substring.WINDOW)
     codes = s.windows(starts)
     for n, text in enumerate(texts):
-        words = known.of(substring.split_words(text))
+        words = substring.hash_texts([text])[0]
         own, places = substring.anchors(words)
         mine = s.text[at] == n
         assert np.array_equal(named[mine] & ((1 << substring.ANCHOR_BITS) - 1), own) and np.array_equal(s.place[at[mine]], places)
         assert np.array_equal(codes[s.text[starts] == n], substring.windows(words))
+
+
+def test_words_are_hashed_as_they_are_split():
+    draw = random.Random(9)
+    texts = ["".join(draw.choice([" ", "\n", "\x0b", "\x1c", "\u00a0", "a", "b", "é", "日", "\0", "\ud800", "x" * 9, "y" * 70]) for _ in range(n)) for n in (0, 1, 5, 300, 900)]
+    texts += [None, "", " ", "a", "a\0", "a\0\0", "abcdefgh", "abcdefghi", "abcdefgh\0", "z" * 64, "z" * 65, "z" * 64 + "\0"]
+    codes, lengths = substring.hash_texts(texts)
+    words = [substring.split_words(t) for t in texts]
+    assert lengths.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    by_word = {}
+    for word, code in zip(flat, codes.tolist(), strict=True):
+        assert by_word.setdefault(word, code) == code
+    assert len(set(by_word.values())) == len(by_word) > 50
+    assert substring.hash_texts([])[0].size == 0
