@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import xxhash
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -67,6 +68,44 @@ def hash_texts(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
+#: The multipliers of XXH64, and the bytes from which on a word takes its other way.
+_P1, _P2, _P3, _P4, _P5 = np.array(
+    [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64
+)
+_XXH64_LONG = 32
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def xxh64(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """XXH64, with seed 0, of the words that `ends` (with the first one's start) cuts out of `data`."""
+    starts, sizes = ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
+    data += bytes(8)
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from every place
+    codes = sizes.astype(np.uint64) + _P5
+    short = sizes < _XXH64_LONG
+    for at in range(0, _XXH64_LONG - 8, 8):
+        some = np.flatnonzero(short & (sizes >= at + 8))
+        part = _turned(eight[starts[some] + at] * _P2, 31) * _P1
+        codes[some] = _turned(codes[some] ^ part, 27) * _P1 + _P4
+    some = np.flatnonzero(short & (sizes & 4 > 0))
+    part = eight[starts[some] + (sizes[some] & ~7)] & _LAST[4]
+    codes[some] = _turned(codes[some] ^ (part * _P1), 23) * _P2 + _P3
+    for left in (3, 2, 1):
+        some = np.flatnonzero(short & (sizes & 3 >= left))
+        part = eight[starts[some] + sizes[some] - left] & _LAST[1]
+        codes[some] = _turned(codes[some] ^ (part * _P5), 11) * _P1
+    for by, factor in ((33, _P2), (29, _P3)):
+        codes ^= codes >> np.uint64(by)
+        codes *= factor
+    codes ^= codes >> np.uint64(32)
+    for i in np.flatnonzero(~short).tolist():
+        codes[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return codes
+
+
 def run_sums(words: np.ndarray, size: int) -> np.ndarray:
     """The polynomial of each run of `size` words; runs are put together from runs of powers of two."""
     if len(words) < size:

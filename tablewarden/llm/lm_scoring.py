@@ -13,18 +13,18 @@ which there may be any number, meet the documents' rare words in a join.
 from __future__ import annotations
 
 import copy
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import count, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import slots_of, stored
+from tablewarden.llm.hashing import xxh64
 from tablewarden.llm.recurrent import LanguageModel
 
 #: Words of the recurrent model, and words whose counts every task holds.
@@ -56,27 +56,31 @@ class Corpus:
     other_distinct: int
 
 
-def _named(words: list[bytes]) -> np.ndarray:
+def _named(words: pa.Array) -> np.ndarray:
     """The words' 64-bit names."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+    _, ends, data = words.cast(pa.binary()).buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    return xxh64(data.to_pybytes() if data else b"", ends).view(np.int64)
 
 
 def _code(word: bytes) -> int:
-    return int(_named([word])[0])
+    return int(_named(pa.array([word]))[0])
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Each text's number of words, the different words of all of them, and for each word its place among these.
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's number of words, the names of the different words of all of them, and for each word its place among these.
 
     Words are parted by ASCII white space, and A-Z, and only these, lower-cased; null texts have none.
     """
-    places: defaultdict[bytes, int] = defaultdict(count().__next__)
-    parts = []
-    for text in texts.cast(pa.binary()):
-        words = (text.as_py() or b"").lower().split()
-        parts.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
-    lengths = np.array([len(p) for p in parts], np.int64)
-    return lengths, list(places), np.concatenate(parts) if parts else np.empty(0, np.int32)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.values
+    # White space at an end of a text leaves an empty word there.
+    some = pc.binary_length(words).to_numpy() > 0
+    ends = np.append(0, np.cumsum(some))[split.offsets.to_numpy()]
+    if not some.all():
+        words = words.filter(pa.array(some))
+    encoded = words.dictionary_encode()
+    return np.diff(ends), _named(encoded.dictionary), encoded.indices.to_numpy()
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,10 +96,10 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(np.add.reduceat(counts[order], first))], names=["code", "count"])
 
         for batch in batches:
-            _, words, index = _split(batch.column(0))
-            if words:
-                held.append((_named(words), np.bincount(index, minlength=len(words))))
-                size += len(words)
+            _, codes, index = _split(batch.column(0))
+            if len(codes):
+                held.append((codes, np.bincount(index, minlength=len(codes))))
+                size += len(codes)
             if size >= WORDS_AT_ONCE:
                 yield counted()
                 held, size = [], 0
@@ -195,9 +199,8 @@ def _numbers_of(corpus: Corpus) -> Callable:
         # A place of -1, of words that are not frequent, is the last one here.
         number_at, log_at = np.append(corpus.numbers, OTHER).astype(np.uint16), np.append(log_counts, 0.0)
         for batch in batches:
-            lengths, words, index = _split(batch.column("t"))
-            rows, codes = len(lengths), _named(words)
-            place = np.full(len(words), -1)
+            lengths, codes, index = _split(batch.column("t"))
+            rows, place = len(lengths), np.full(len(codes), -1)
             if len(corpus.codes):
                 at = np.minimum(np.searchsorted(corpus.codes, codes), len(corpus.codes) - 1)
                 place = np.where(corpus.codes[at] == codes, at, -1)
@@ -214,8 +217,8 @@ def _numbers_of(corpus: Corpus) -> Callable:
                 of_texts(weights=log) + end_sum, of_texts(outside, log),
             ]
             # The words that are not frequent, each once for its text.
-            pairs, times = np.unique(owner[rare] * max(len(words), 1) + index[rare], return_counts=True)
-            of_text, word = np.divmod(pairs, max(len(words), 1))
+            pairs, times = np.unique(owner[rare] * max(len(codes), 1) + index[rare], return_counts=True)
+            of_text, word = np.divmod(pairs, max(len(codes), 1))
             ends = np.searchsorted(of_text, np.arange(rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int64))) for c in (codes[word], times)]
             # The numbers of all texts, each with its end, as bytes.

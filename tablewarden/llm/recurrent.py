@@ -21,6 +21,8 @@ TRAIN_LANES, MOST_LANES, TOKENS_PER_LANE = 32, 512, 2048
 # In training, though not in scoring, the state begins anew after so many words of a text, so that lanes are of a length.
 SEGMENT = 2048
 SCORE_LANES, SCORE_STEPS = 1024, 16
+# Rows of logits that are worked on at a time: few enough to stay in a core's cache from one step to the next.
+ROWS_AT_ONCE = 2048
 
 
 def class_starts(counts: np.ndarray, alone: int, classes: int = CLASSES) -> np.ndarray:
@@ -32,10 +34,6 @@ def class_starts(counts: np.ndarray, alone: int, classes: int = CLASSES) -> np.n
     return np.concatenate((np.arange(alone), alone + np.flatnonzero(np.diff(bins, prepend=-1))))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _exponentials(logits: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray | float]:
     """Exponentials of each row, in place, up to a factor of the row, with their sums and the factors' logarithms.
 
@@ -73,15 +71,21 @@ class Lanes:
         self.first = np.zeros(len(self.target), bool)
         self.first[np.cumsum(sizes) - sizes] = True
 
-    def windows(self, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """By step and live lane: input, target, first (a text begins), there (not past the lane's end) and text."""
-        for at in range(0, int(self.lengths[0]), steps):
+    def windows(self, steps: int, cells: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+        """By step and live lane: input, target, first (a text begins), there (not past the lane's end) and text.
+
+        A window has so many steps, or more where few lanes are live, as long as it has no more than `cells` cells.
+        """
+        at = 0
+        while at < self.lengths[0]:
             live = int(np.searchsorted(-self.lengths, -at))
-            step = np.arange(at, min(at + steps, int(self.lengths[0])))[:, None]
+            end = min(at + max(steps, cells // live), int(self.lengths[0]))
+            step = np.arange(at, end)[:, None]
             there = step < self.lengths[:live]
             place = np.where(there, self.begins[:live] + step, self.begins[:live])
             target, first = self.target[place], self.first[place] & there
             yield np.where(first, self.start, self.target[np.maximum(place - 1, 0)]), target, first, there, self.text[place]
+            at = end
 
 
 class LanguageModel:
@@ -95,6 +99,7 @@ class LanguageModel:
         self.starts = class_starts(counts, alone)
         self.ends = np.append(self.starts[1:], len(counts))
         self.class_of = (np.searchsorted(self.starts, np.arange(len(counts)), "right") - 1).astype(np.int16)
+        self.several = self.ends - self.starts > 1
         per_class = np.add.reduceat(counts + 1.0, self.starts)
         small = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
         self.p = {
@@ -117,13 +122,42 @@ class LanguageModel:
         ends = np.cumsum([v.size for v in self.p.values()])[:-1]
         self.p = {k: own.reshape(v.shape).copy() for (k, v), own in zip(self.p.items(), np.split(weights, ends))}
 
-    def _step(self, entered: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        w = self.width
-        carried = h @ self.p["carry"]
-        gates = _sigmoid(entered[:, : 2 * w] + carried[:, : 2 * w])
-        z, r = gates[:, :w], gates[:, w:]
-        n = np.tanh(entered[:, 2 * w :] + r * carried[:, 2 * w :])
-        return n + z * (h - n), z, r, n, carried[:, 2 * w :]
+    def _entering(self) -> np.ndarray:
+        """What each word adds to the update gate, the reset gate and the new value, as three tables."""
+        own = self.p["embed"] @ self.p["enter"] + self.p["enter_bias"]
+        return np.ascontiguousarray(own.reshape(-1, 3, self.width).transpose(1, 0, 2))
+
+    def _run(self, entering: np.ndarray, inputs: np.ndarray, first: np.ndarray, h: np.ndarray, kept: bool) -> tuple[np.ndarray, ...]:
+        """The states after each step, from state h on; where `kept`, also those before, the gates with what is carried, and the new values."""
+        (steps, count), w, kind = inputs.shape, self.width, entering.dtype
+        entered = entering.take(inputs, axis=1)
+        carry = np.ascontiguousarray(self.p["carry"].reshape(w, 3, w).transpose(1, 0, 2))
+        states = np.empty((steps, count, w), kind)
+        slots = steps if kept else 1  # else each step overwrites the one before
+        before, gates, new = np.empty((slots, count, w), kind), np.empty((slots, 3, count, w), kind), np.empty((slots, count, w), kind)
+        begins = first.any(axis=1)
+        for t in range(steps):
+            if begins[t]:
+                h = np.where(first[t][:, None], kind.type(0), h)
+            slot = t if kept else 0
+            both, z, n, after = gates[slot, :2], gates[slot, 0], new[slot], states[t]
+            if kept:
+                before[t] = h
+            np.matmul(h, carry, out=gates[slot])
+            # Both gates are 1 / (1 + exp(-x)), by way of tanh.
+            both += entered[:2, t]
+            both *= 0.5
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            np.multiply(gates[slot, 1], gates[slot, 2], out=n)
+            n += entered[2, t]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=after)
+            after *= z
+            after += n
+            h = after
+        return states, before, gates, new
 
     def _plain(self) -> bool:
         """Whether no logit can be far from zero: states are between -1 and 1, so weights bound them."""
@@ -131,27 +165,33 @@ class LanguageModel:
         of_word = np.abs(self.p["word"]).sum(axis=1) + np.abs(self.p["word_bias"])
         return max(of_class.max(), of_word.max()) < 60
 
-    def _by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(class, rows with a target in it) of classes with more than one word."""
-        kind = self.class_of[target]
-        order = np.argsort(kind, kind="stable")
-        present, at = np.unique(kind[order], return_index=True)
-        for c, rows in zip(present, np.split(order, at[1:])):
-            if self.ends[c] - self.starts[c] > 1:
-                yield c, rows
+    def _by_class(self, kind: np.ndarray, some: np.ndarray | bool = True) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """`some` rows with a target in a class of more than one word, class by class, and (class, from, to) for their places."""
+        rows = np.flatnonzero(self.several[kind] & some)
+        own = kind[rows]
+        ends = np.cumsum(np.bincount(own, minlength=len(self.starts))).tolist()
+        return rows[np.argsort(own, kind="stable")], [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
-    def _losses(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def _losses(self, h: np.ndarray, target: np.ndarray, plain: bool) -> np.ndarray:
         """Negative natural logarithm of each target's probability after state h."""
-        def add(rows, logits: np.ndarray, chosen: np.ndarray) -> None:
+
+        def of(logits: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            logits += bias
             own = logits[np.arange(len(logits)), chosen]
             sums, top = _exponentials(logits, plain)
-            loss[rows] += np.log(sums) + top - own
+            return np.log(sums) + top - own
 
-        loss, plain = np.zeros(len(h), h.dtype), self._plain()
-        add(slice(None), h @ self.p["class"] + self.p["class_bias"], self.class_of[target])
-        for c, rows in self._by_class(target):
+        p, kind = self.p, self.class_of[target]
+        loss = np.empty(len(h), h.dtype)
+        for at in range(0, len(h), ROWS_AT_ONCE):
+            rows = slice(at, at + ROWS_AT_ONCE)
+            loss[rows] = of(h[rows] @ p["class"], p["class_bias"], kind[rows])
+        rows, parts = self._by_class(kind)
+        here, word, within = h.take(rows, axis=0), target[rows], np.empty(len(rows), h.dtype)
+        for c, a, b in parts:
             own = slice(self.starts[c], self.ends[c])
-            add(rows, h[rows] @ self.p["word"][own].T + self.p["word_bias"][own], target[rows] - own.start)
+            within[a:b] = of(here[a:b] @ p["word"][own].T, p["word_bias"][own], word[a:b] - own.start)
+        loss[rows] += within
         return loss
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -159,18 +199,13 @@ class LanguageModel:
         total = np.zeros(len(texts))
         if not texts:
             return total
-        entered_by_word = self.p["embed"] @ self.p["enter"] + self.p["enter_bias"]
-        h = np.zeros((SCORE_LANES, self.width), np.float32)
-        for inputs, target, first, there, text in Lanes(texts, SCORE_LANES, self.start).windows(SCORE_STEPS):
-            states, begins = [], first.any(axis=1)
-            h = h[: inputs.shape[1]]
-            for t, words in enumerate(inputs):
-                if begins[t]:
-                    h = np.where(first[t][:, None], np.float32(0), h)
-                h = self._step(entered_by_word[words], h)[0]
-                states.append(h)
+        entering, plain = self._entering(), self._plain()
+        h = np.zeros((SCORE_LANES, self.width), entering.dtype)
+        for inputs, target, first, there, text in Lanes(texts, SCORE_LANES, self.start).windows(SCORE_STEPS, SCORE_LANES * SCORE_STEPS):
+            states = self._run(entering, inputs, first, h[: inputs.shape[1]], kept=False)[0]
+            h = states[-1]
             live = slice(None) if there.all() else there.ravel()
-            loss = self._losses(np.concatenate(states)[live], target.ravel()[live])
+            loss = self._losses(states.reshape(-1, self.width)[live], target.ravel()[live], plain)
             total -= np.bincount(text.ravel()[live], weights=loss, minlength=len(texts))
         return total / np.log(10)
 
@@ -204,60 +239,68 @@ class LanguageModel:
                     self.p[name] -= np.float32(now / (1 - 0.9**self.updates)) * m / root
 
     def _slopes(self, inputs, target, first, there, h) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        p, w = self.p, self.width
+        p, w, kind = self.p, self.width, self.p["embed"].dtype
         steps, count = inputs.shape
-        x = p["embed"][inputs.ravel()]
-        entered = (x @ p["enter"] + p["enter_bias"]).reshape(steps, count, 3 * w)
-        before, states, z, r, n, carried = np.empty((6, steps, count, w), p["embed"].dtype)
+        after, before, gates, new = self._run(self._entering(), inputs, first, h, kept=True)
         begins = first.any(axis=1)
-        for t in range(steps):
-            if begins[t]:
-                h = np.where(first[t][:, None], np.float32(0), h)
-            before[t] = h
-            h, z[t], r[t], n[t], carried[t] = self._step(entered[t], h)
-            states[t] = h
-        states = states.reshape(-1, w)
+        states = after.reshape(-1, w)
         flat, live = target.ravel(), there.ravel()
         scale = np.float32(1.0 / max(int(live.sum()), 1))
         out = {k: np.zeros_like(v) for k, v in p.items()}
-        d = states @ p["class"]
-        d += p["class_bias"]
-        plain = self._plain()
-        sums, _ = _exponentials(d, plain)
-        d *= (live * scale / sums)[:, None].astype(d.dtype)
-        d[np.arange(len(d)), self.class_of[flat]] -= live * scale
-        out["class"], out["class_bias"] = states.T @ d, d.sum(axis=0)
-        to_state = d @ p["class"].T
-        rows_live = np.flatnonzero(live)
-        for c, picked in self._by_class(flat[rows_live]):
-            rows, own = rows_live[picked], slice(self.starts[c], self.ends[c])
-            here = states[rows]
-            d = here @ p["word"][own].T
+        plain, of_class, share = self._plain(), self.class_of[flat], live * scale
+        d, to_state = np.empty((len(states), len(self.starts)), kind), np.empty_like(states)
+        for at in range(0, len(states), ROWS_AT_ONCE):
+            rows = slice(at, at + ROWS_AT_ONCE)
+            own = np.matmul(states[rows], p["class"], out=d[rows])
+            own += p["class_bias"]
+            sums, _ = _exponentials(own, plain)
+            own *= (share[rows] / sums)[:, None].astype(kind)
+            own[np.arange(len(own)), of_class[rows]] -= share[rows]
+            np.matmul(own, p["class"].T, out=to_state[rows])
+        out["class"], out["class_bias"] = states.T @ d, np.einsum("ij->j", d)
+        rows, parts = self._by_class(of_class, live)
+        here, word, more = states.take(rows, axis=0), flat[rows], np.empty((len(rows), w), kind)
+        for c, a, b in parts:
+            own = slice(self.starts[c], self.ends[c])
+            d = here[a:b] @ p["word"][own].T
             d += p["word_bias"][own]
             sums, _ = _exponentials(d, plain)
             d *= (scale / sums)[:, None]
-            d[np.arange(len(rows)), flat[rows] - own.start] -= scale
-            out["word"][own], out["word_bias"][own] = d.T @ here, d.sum(axis=0)
-            to_state[rows] += d @ p["word"][own]
+            d[np.arange(b - a), word[a:b] - own.start] -= scale
+            out["word"][own], out["word_bias"][own] = d.T @ here[a:b], d.sum(axis=0)
+            np.matmul(d, p["word"][own], out=more[a:b])
+        to_state[rows] += more
         to_state = to_state.reshape(steps, count, w)
-        to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), carried * r * (1 - r)
         # Slopes at the gates, of what enters and of what is carried.
-        entered, carry = np.empty_like(entered), np.empty_like(entered)
-        back, over = np.zeros((count, w), p["embed"].dtype), p["carry"].T.copy()
+        entered, carry = np.empty((2, steps, count, 3 * w), kind)
+        back, over = np.zeros((count, w), kind), p["carry"].T.copy()
         for t in reversed(range(steps)):
-            dh = to_state[t] + back
-            dn = dh * to_n[t]
-            carry[t, :, :w] = dh * to_z[t]
-            carry[t, :, w : 2 * w] = dn * to_r[t]
-            carry[t, :, 2 * w :] = dn * r[t]
+            dh, n, (z, r, carried) = to_state[t], new[t], gates[t]
+            dh += back
+            dn, dz, dr = (1 - z), before[t] - n, carried * r
+            dz *= z
+            dz *= dn
+            dz *= dh
+            dn *= 1 - n * n
+            dn *= dh
+            dr *= 1 - r
+            dr *= dn
+            carry[t, :, :w], carry[t, :, w : 2 * w] = dz, dr
+            entered[t, :, : 2 * w] = carry[t, :, : 2 * w]
             entered[t, :, 2 * w :] = dn
-            back = dh * z[t] + carry[t] @ over
+            dn *= r
+            carry[t, :, 2 * w :] = dn
+            back = carry[t] @ over
+            dh *= z
+            back += dh
             if begins[t]:
                 back[first[t]] = 0
-        entered[:, :, : 2 * w] = carry[:, :, : 2 * w]
         entered, carry = entered.reshape(-1, 3 * w), carry.reshape(-1, 3 * w)
-        out["enter"], out["enter_bias"], out["carry"] = x.T @ entered, entered.sum(axis=0), before.reshape(-1, w).T @ carry
-        order = np.argsort(inputs.ravel(), kind="stable")
-        words, at = np.unique(inputs.ravel()[order], return_index=True)
-        out["embed"][words] = np.add.reduceat((entered @ p["enter"].T)[order], at)
-        return h, out
+        x = p["embed"].take(inputs.ravel(), axis=0)
+        # The longer matrix goes first, which takes half the time.
+        out["enter"], out["enter_bias"], out["carry"] = (entered.T @ x).T, np.einsum("ij->j", entered), (carry.T @ before.reshape(-1, w)).T
+        words = inputs.ravel().astype(np.min_scalar_type(len(p["embed"])))
+        order, often = np.argsort(words, kind="stable"), np.bincount(words)
+        present = np.flatnonzero(often)
+        out["embed"][present] = np.add.reduceat((entered @ p["enter"].T).take(order, axis=0), (np.cumsum(often) - often)[present])
+        return after[-1].copy(), out

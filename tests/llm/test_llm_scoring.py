@@ -5,9 +5,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tablewarden.llm import lm_scoring, recurrent
+from tablewarden.llm import hashing, lm_scoring, recurrent
 from tablewarden.llm.common import fold
 
 COUNTS = np.array([5, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1], float)
@@ -47,6 +48,18 @@ def test_probabilities_sum_to_one_and_lanes_do_not_matter():
     assert model.score([]).shape == (0,)
 
 
+def test_one_long_text_is_scored_in_few_windows(monkeypatch):
+    """Where few lanes are left their windows get longer, so a long text costs no window for every few words."""
+    model, draw = _model()
+    texts = [draw.integers(0, 12, n).astype(np.int32) for n in (100_000, *[40] * 300)]
+    windows, own = [], recurrent.LanguageModel._losses
+    monkeypatch.setattr(recurrent.LanguageModel, "_losses", lambda self, h, *more: windows.append(len(h)) or own(self, h, *more))
+    scores = model.score(texts)
+    assert sum(windows) == sum(map(len, texts))
+    assert len(windows) < 30 and max(windows) <= recurrent.SCORE_LANES * recurrent.SCORE_STEPS
+    assert np.allclose(scores[1:20], [model.score([t])[0] for t in texts[1:20]])
+
+
 def test_untrained_model_gives_shares_of_counts():
     model = recurrent.LanguageModel(COUNTS, 2, 0)
     want = np.log10((COUNTS + 1) / (COUNTS + 1).sum())
@@ -61,6 +74,21 @@ def test_training_learns_what_follows_what():
     assert model.score(texts[:1])[0] > before / 3
 
 
+def test_words_are_cut_as_bytes_split_and_named_as_xxhash_names_them():
+    texts = ["  a\tB\x0b c\x0c\r\n", "", None, " \n ", "É é x\x1cy\x85z w\xa0w", "İ ẞ \0 \0\0 K", " ".join("A" * n for n in range(1, 80)), "a b A"]
+    whole = [(t or "").encode().lower().split() for t in texts]
+    for low, high in ((0, 8), (1, 7), (2, 3), (3, 4), (0, 0)):
+        lengths, codes, places = lm_scoring._split(pa.array(texts, pa.string())[low:high])
+        words = [w for own in whole[low:high] for w in own]
+        assert lengths.tolist() == [len(own) for own in whole[low:high]]
+        assert len(codes) == len(set(words))
+        assert codes[places].view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+    draw = np.random.default_rng(3)
+    words = [draw.bytes(n) for n in [*range(70)] * 5]
+    got = hashing.xxh64(b"".join(words), np.cumsum([0, *map(len, words)]))
+    assert got.tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
 ROWS = [(i, t) for i, t in enumerate(["the cat sat", "The dog sat on the mat", "", None, "new words only", "x " * 30_000, "the"] * 6)]
 
 
